@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import truncation
+from . import bpe, leakage, truncation
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +25,20 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_rates(truncation.judged(_texts(spark, sf_dir)))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids by byte_bpe_50k."""
+    return bpe.encode_corpus(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id: at least 12 consecutive item words stand in the document."""
+    return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
+
+
+def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start_word, words, near_words of every leak."""
+    return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches}
 ORACLES: dict[str, str] = {}
