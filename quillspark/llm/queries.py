@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import bpe, leakage, truncation
+from . import bpe, leakage, truncation, vectors
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_rates(truncation.judged(_texts(spark, sf_dir)))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_a < chunk_b, one among the other's 5 most similar by cosine."""
+    return vectors.neighbour_pairs(vectors.nearest(load(spark, sf_dir, "document_chunks"), "id", "embedding", 384))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids by byte_bpe_50k."""
     return bpe.encode_corpus(load(spark, sf_dir, "documents"), "doc_id", "text")
@@ -40,5 +45,5 @@ def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches}
 ORACLES: dict[str, str] = {}
