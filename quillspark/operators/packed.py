@@ -262,4 +262,6 @@ def split_packed(df: DataFrame, keys: list[str], value: str, source: str) -> Dat
                 out.append(memo[k])
             yield pd.Series(out, dtype=object)
 
+    pieces = pieces.asNondeterministic()  # else the filter inferred for explode runs it a second time
+
     return df.select(*keys, pieces(F.col(value), F.col(source)).alias("_pieces")).select(*keys, F.posexplode("_pieces").alias("pos0", "piece")).select(*keys, (F.col("pos0") + 1).cast("long").alias("pos"), "piece")
