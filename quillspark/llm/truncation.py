@@ -36,8 +36,10 @@ _MARKS = re.compile(r'["()\[\]{}“”«»「」『』（）]|<[a-zA-Z/!][^<>\s]
 _LIST_LABEL = re.compile(r"(?:^|[\s,;])\w{1,3}\)")
 _BROKEN = re.compile(r"(?:\\u?[0-9a-fA-F]{0,3}|&#?\w{0,8}|%[0-9A-Fa-f]?|�|[ÃÂ]|[\ud800-\udfff])$")
 _NUMBER_END = re.compile(r"(?:^|[\s(])((?:\S+\s+){0,2})(\d[\d.,]*)\.$")
-_NUMBER_IN = re.compile(r"(\S+\s+\S+)\s+(\d+(?:[.,]\d+)*)(?=(\.?)(\s+)(\S))")
+_NUMBER_IN = re.compile(r"(?<=[ (])\d+(?:[.,]\d+)*(?=(\.?)\s+(\S))")
+_DIGITS = re.compile(r"[0-9][0-9.,]*")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S*$")
+_HEADS = re.compile(r"[Kk]ey ?words|[Ii]ndex terms|Subjects|Topics")
 _LIST_END = re.compile(r"(?:Keywords|Key words|Index terms|Subjects|Topics)\s*[:–-]\s*([^.!?]*)$", re.I)
 _BEFORE_STOP = re.compile(r"([^\W\d_][\w-]*)[.,;!?)]")
 _WORD_DOT = re.compile(r"(\S+?)\.$")
@@ -70,7 +72,7 @@ def _shape(text: str) -> str:
 
 def _number_key(before: str, number: str) -> str:
     """The two words before a number, and whether the number has decimals."""
-    return f"N {re.sub(r'[0-9][0-9.,]*', '0', ' '.join(before.lower().split()))} {'f' if re.search(r'[.,]', number) else 'i'}"
+    return f"N {_DIGITS.sub('0', ' '.join(before.lower().split()))} {'f' if '.' in number or ',' in number else 'i'}"
 
 
 def judge(text: str | None) -> tuple[str, str]:
@@ -78,22 +80,23 @@ def judge(text: str | None) -> tuple[str, str]:
     t = (text or "").rstrip()
     if not t:
         return "whole", ""
-    if SIGNS.search(t):
+    tail = t[-80:]  # what the end patterns look at; brackets and lists are followed through the whole text
+    if SIGNS.search(tail):
         return "cut", "sign"
-    if _BROKEN.search(t):
+    if _BROKEN.search(tail):
         return "cut", "escape"
     if unclosed(t):
         return "cut", "open"
-    if m := _LIST_END.search(t):
+    if _HEADS.search(t) and (m := _LIST_END.search(t)):
         return "list", "E " + m[1].rpartition(",")[2].strip().rpartition(" ")[2].lower()
-    if m := _ADDRESS.search(t):
+    if m := _ADDRESS.search(t, max(0, t.rfind(" "))):
         tail = m[0].rpartition("/")[2]
         return ("address", "A " + _shape(tail)) if re.match(r"(?:https?://|www\.)[^/\s]+/\S+", m[0]) else ("cut", "address")
     body = t.rstrip(_CLOSERS)
     end = body[-1:] if body else ""
     if end and end in TERMINATORS:
         if end == "." and body == t:
-            if m := _NUMBER_END.search(t):
+            if m := _NUMBER_END.search(tail):
                 return "number", _number_key(m[1], m[2])
             last = t.rsplit(None, 1)[-1].lstrip("(\"'“«[")
             w = _WORD_DOT.match(last)
@@ -110,8 +113,9 @@ def judge(text: str | None) -> tuple[str, str]:
 def evidence(text: str, into: Counter) -> None:
     """What stands within the text, away from its end: numbers that end a sentence or do not, words that end a phrase."""
     for m in _NUMBER_IN.finditer(text):
-        ends = m[3] == "." and (m[5].isupper() or m[5] in "\"“«([")
-        into[_number_key(m[1], m[2]), ends] += 1
+        before = text[max(0, m.start() - 40) : m.start()].split()[-2:]
+        ends = m[1] == "." and (m[2].isupper() or m[2] in "\"“«([")
+        into[_number_key(" ".join(before), m[0]), ends] += 1
     for w in _BEFORE_STOP.findall(text):
         into["E " + w.lower(), True] += 1
 
@@ -123,7 +127,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         seen: Counter = Counter()
         verdicts = [judge(t) for t in b["text"]]
-        for t in b["text"]:
+        for t in set(b["text"]):
             if t:
                 evidence(t, seen)
         yield pd.DataFrame({"part": "v", "tbl": b["tbl"], "record_key": b["record_key"], "source": b["source"], "verdict": [v for v, _ in verdicts], "key": [k for _, k in verdicts], "digest": [zlib.crc32(t.encode("utf-8", "replace")) if t else 0 for t in b["text"]], "n": [len(t) if t else 0 for t in b["text"]], "yes": 0, "no": 0})
