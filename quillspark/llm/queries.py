@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import bpe, leakage, truncation, vectors
+from . import bpe, leakage, scans, truncation, vectors
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.neighbour_pairs(vectors.nearest(load(spark, sf_dir, "document_chunks"), "id", "embedding", 384))
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.with_titles(load(spark, sf_dir, "paper_documents"), load(spark, sf_dir, "document_chunks"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, record_key, item_kind, line_no, repaired."""
+    return scans.repairs(_scanned(spark, sf_dir)).select("tbl", "record_key", "item_kind", "line_no", "repaired").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids by byte_bpe_50k."""
     return bpe.encode_corpus(load(spark, sf_dir, "documents"), "doc_id", "text")
@@ -45,5 +54,5 @@ def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches}
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches}
 ORACLES: dict[str, str] = {}

@@ -16,6 +16,7 @@ similarities are ordered by id.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -229,8 +230,9 @@ def nearest(chunks: DataFrame, key: str, vector: str, d: int, k: int = 5, probes
         copies = surplus.select("id", "h").join(members.where(F.col("r") <= k).select("h", F.col("id").alias("neighbour"), F.col("r").alias("rank")), "h").select("id", "neighbour", "rank", F.lit(1.0).alias("similarity"))
         out = surplus.select("id")
         rows = rows.join(F.broadcast(out) if surplus_n <= _ANTI_ROWS else out, "id", "left_anti")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()["v"]
-    books = Codebooks.fit(np.array(sample.tolist(), np.float32).reshape(-1, d), n)
+    share = min(1_000_000, math.ceil(1e6 * FIT_ROWS / n))  # by the hash of the id: about FIT_ROWS rows, the same in every run
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("v").toArrow()["v"].combine_chunks()
+    books = Codebooks.fit(sample.flatten().to_numpy().reshape(-1, d).astype(np.float32), n)
     del sample
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
