@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import bpe, leakage, scans, truncation, vectors
+from . import bpe, leakage, scans, sentences, truncation, vectors
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +54,10 @@ def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start_char, end_char of every sentence."""
+    return sentences.sentence_spans(load(spark, sf_dir, "documents"), "doc_id", "text").distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
