@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
-from . import bpe, leakage, scans, sentences, truncation, vectors
+from ..session import load, stored
+from . import bpe, leakage, matching, scans, sentences, survivors, truncation, vectors
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,31 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.unionByName(inputs)
 
 
+def _work_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = load(spark, sf_dir, "papers").select(F.concat(F.lit("p:"), "id").alias("nid"), "title", "authors", F.col("year").cast("string").alias("date"), "doi")
+    records = load(spark, sf_dir, "provider_records").select(F.concat(F.lit("r:"), "id").alias("nid"), "title", F.col("authors_raw").alias("authors"), F.col("published_date").alias("date"), "doi")
+    return papers.unionByName(records)
+
+
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paper_id, record_id, confidence: of the pair where it was compared, else 0.5 (linked through other rows)."""
+    nodes, scored = matching.works(_work_rows(spark, sf_dir))
+    papers = nodes.where("nid like 'p:%'").select(F.expr("substring(nid, 3)").alias("paper_id"), "work", F.col("rep").alias("rep_p"))
+    records = nodes.where("nid like 'r:%'").select(F.expr("substring(nid, 3)").alias("record_id"), "work", F.col("rep").alias("rep_r"))
+    pairs = papers.join(records, "work").withColumn("a", F.least("rep_p", "rep_r")).withColumn("b", F.greatest("rep_p", "rep_r"))
+    known = pairs.join(scored.select("a", "b", "confidence"), ["a", "b"], "left")
+    confidence = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.greatest(F.coalesce("confidence", F.lit(0.5)), F.lit(0.5)))
+    return known.groupBy("paper_id", "record_id").agg(F.round(F.max(confidence), 6).alias("confidence"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paper_id, record_id of one work."""
+    nodes, _ = matching.works(_work_rows(spark, sf_dir))
+    papers = nodes.where("nid like 'p:%'").select(F.expr("substring(nid, 3)").alias("paper_id"), "work").distinct()
+    records = nodes.where("nid like 'r:%'").select(F.expr("substring(nid, 3)").alias("record_id"), "work").distinct()
+    return papers.join(records, "work").select("paper_id", "record_id").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tbl, record_key of records whose text was cut within a word or a sentence."""
     return truncation.judged(_texts(spark, sf_dir)).where("is_cut").select("tbl", "record_key").distinct()
@@ -25,6 +50,35 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_rates(truncation.judged(_texts(spark, sf_dir)))
 
 
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, group_id (the smallest id) of papers rows whose work has two rows or more."""
+    nodes, _ = matching.works(_work_rows(spark, sf_dir))
+    papers = nodes.where("nid like 'p:%'").select(F.expr("substring(nid, 3)").alias("id"), "work").distinct()
+    groups = papers.groupBy("work").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
+    return stored(papers.join(groups, "work").select("id", "group_id"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group_id, field_name, record_key of the row that holds the best value."""
+    papers, inputs = load(spark, sf_dir, "papers"), load(spark, sf_dir, "paper_inputs")
+    texts = papers.select(F.lit("papers").alias("tbl"), F.col("id").alias("record_key"), "source", F.col("abstract").alias("text"))
+    return survivors.best_rows(_groups(spark, sf_dir), papers, inputs, truncation.judged(texts)).select("group_id", "field_name", "record_key").distinct()
+
+
+def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One built record per group: the best abstract, venue, state and citation count."""
+    best = stored(p4_found(spark, sf_dir))
+    papers = load(spark, sf_dir, "papers")
+    values = best.join(papers.select(F.col("id").alias("record_key"), "abstract", "venue"), "record_key", "left")
+    counts = load(spark, sf_dir, "paper_inputs").where("citation_count > 0").groupBy(F.col("input_id").alias("record_key")).agg(F.max("citation_count").alias("citations"))
+    pick = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c)))
+    return (
+        values.join(counts, "record_key", "left")
+        .groupBy("group_id")
+        .agg(pick("abstract", "abstract").alias("abstract"), pick("venue", "venue").alias("venue"), F.max(F.when(F.col("field_name") == "evidence_state", F.lit("full-text"))).alias("evidence_state"), pick("citation_count", "citations").alias("citation_count"))
+    )
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_a < chunk_b, one among the other's 5 most similar by cosine."""
     return vectors.neighbour_pairs(vectors.nearest(load(spark, sf_dir, "document_chunks"), "id", "embedding", 384))
@@ -59,5 +113,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_spans(load(spark, sf_dir, "documents"), "doc_id", "text").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_survivors": p4_survivors, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
