@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.packed import split_packed
 from ..session import load, stored
-from . import bpe, leakage, matching, scans, sentences, survivors, truncation, vectors
+from . import bpe, leakage, matching, names, scans, sentences, survivors, truncation, vectors
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,27 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _author_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = load(spark, sf_dir, "papers").select("id", "authors", "source").where(F.length(F.trim("authors")) > 0).distinct()
+    authors = split_packed(papers, ["id"], "authors", "source").groupBy(F.col("piece").alias("name")).agg(F.count("*").alias("n"))
+    return names.person_entities(authors)
+
+
+def _venue_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    venues = load(spark, sf_dir, "papers").where(F.length(F.trim("venue")) > 0).groupBy(F.col("venue").alias("name")).agg(F.count("*").alias("n"))
+    return names.venue_entities(venues)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, name_a, name_b: two spellings of one person or venue."""
+    return names.spelling_pairs(_author_entities(spark, sf_dir), "author").unionByName(names.spelling_pairs(_venue_entities(spark, sf_dir), "venue"))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, name, entity: one row per spelling."""
+    return _author_entities(spark, sf_dir).select(F.lit("author").alias("kind"), "name", "entity").unionByName(_venue_entities(spark, sf_dir).select(F.lit("venue").alias("kind"), "name", "entity"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_a < chunk_b, one among the other's 5 most similar by cosine."""
     return vectors.neighbour_pairs(vectors.nearest(load(spark, sf_dir, "document_chunks"), "id", "embedding", 384))
@@ -113,5 +135,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_spans(load(spark, sf_dir, "documents"), "doc_id", "text").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_survivors": p4_survivors, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
