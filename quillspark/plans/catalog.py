@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import packed_queries
+from . import packed_queries, reference_queries
 
-QUERIES = {**packed_queries.QUERIES}
-ORACLES: dict[str, str] = {}
-ENTRY = packed_queries.p2_found
+QUERIES = {**reference_queries.QUERIES, **packed_queries.QUERIES}
+ORACLES: dict[str, str] = {**reference_queries.ORACLES}
+ENTRY = reference_queries.federated_topk
