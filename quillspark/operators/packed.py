@@ -103,7 +103,7 @@ def piece_type(piece: str) -> str:
     """full: given and family name in either order; inverted: family, given; group; mono; other."""
     p = piece.strip()
     if _ORG.search(p):
-        return "group" if "," not in p and " and " not in p else "other"
+        return "group" if not re.search(r"[,&]|\sand\s", p) else "other"
     if "," in p:
         a, _, b = p.partition(",")
         single = len([w for w in a.split() if w.lower() not in PARTICLES]) == 1

@@ -78,7 +78,10 @@ def read_corpus_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Stored objects with the checks on size and magic number; page counts need a PDF library and are left to the caller."""
+    """Stored objects with the checks on size and magic number; page counts need a PDF library and are left to the caller.
+
+    Spark lists no files without bytes, so an empty object is a missing one.
+    """
     raw = spark.read.format("binaryFile").load(path)
     return raw.withColumn("problem", F.when(F.length("content") == 0, "empty").when(F.length("content") > 25 * 1024 * 1024, "too large").when(F.substring("content", 1, 4) != F.lit(b"%PDF"), "not a PDF"))
 
