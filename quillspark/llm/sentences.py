@@ -154,7 +154,7 @@ class Model:
     """Emission scores from the counts."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], edge: float, bare_edge: float):
-        self.counts, self.edge, self.bare_edge = counts, max(0.02, min(0.5, edge)), max(0.02, min(0.5, bare_edge))
+        self.counts, self.edge, self.bare_edge = counts, max(1e-5, min(0.5, edge)), max(1e-5, min(0.5, bare_edge))
         self.memo: dict[str, float] = {}
 
     def ratio(self, key: str) -> float:
@@ -162,7 +162,7 @@ class Model:
         got = self.memo.get(key)
         if got is None:
             e, n = self.counts.get(key, (0, 0))
-            p, q = (self.bare_edge, 0.004) if key[0] in "LR" else (self.edge, 0.002)
+            p, q = (self.bare_edge, self.bare_edge / 40) if key[0] in "LR" else (self.edge, self.edge / 60)  # other tokens reach an edge only by chance
             got = e * math.log(p / q) + (n - e) * math.log((1 - p) / (1 - q))
             self.memo[key] = got = max(-9.0, min(9.0, got))
         return got
@@ -268,7 +268,7 @@ def decode(block: str, model: Model) -> list[int]:
                     if len(word) == 1 and word.isalpha() or "." in word:
                         prior = -3.0
                     elif len(word) <= 3:
-                        prior = -0.5
+                        prior = 0.5
                 elif k[0] == "N":
                     prior = -1.0 if i <= 4 else 0.5
                 elif k[0] == "S":
@@ -346,7 +346,8 @@ def train(docs: DataFrame, text: str) -> Model:
                 if t:
                     learn(t, c)
             keys = sorted({k for k, _ in c})
-            yield pd.DataFrame({"key": keys, "e": [c[k, True] for k in keys], "n": [c[k, False] for k in keys]})
+            if keys:  # a frame without rows has no types
+                yield pd.DataFrame({"key": keys, "e": [c[k, True] for k in keys], "n": [c[k, False] for k in keys]})
 
     counted = stored(docs.select(text).mapInPandas(run, "key string, e long, n long").groupBy("key").agg(F.sum("e").alias("e"), F.sum("n").alias("n")))
     bare = F.col("key").rlike("^[LR] ")
@@ -369,7 +370,8 @@ def sentence_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
                     ks.append(k)
                     ss.append(s)
                     es.append(e)
-            yield pd.DataFrame({key: ks, "start_char": ss, "end_char": es})
+            if ks:
+                yield pd.DataFrame({key: ks, "start_char": ss, "end_char": es})
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.mapInPandas(run, f"`{key}` {kind}, start_char long, end_char long")
