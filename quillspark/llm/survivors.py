@@ -56,8 +56,11 @@ def venue_quality(rows: DataFrame) -> DataFrame:
     )
     # A word seen in a single form and near a much more usual word is a slip even where the right form is absent.
     rare = spots.groupBy("word").agg(F.countDistinct("venue").alias("forms"), F.max("word_n").alias("word_n"), F.min("venue").alias("venue")).where((F.col("forms") == 1) & (F.length("word") >= 4))
-    usual = word_n.where(F.length("word") >= 4)
-    near = rare.alias("r").join(usual.alias("u"), F.abs(F.length("r.word") - F.length("u.word")) <= 1).where((F.col("r.word") != F.col("u.word")) & (F.col("u.word_n") > 3 * F.col("r.word_n")) & (F.levenshtein(F.col("r.word"), F.col("u.word")) <= 2)).select(F.col("r.venue").alias("venue")).distinct()
+    # Two words one edit apart share a form with one letter left out, so this is an equi-join.
+    shorter = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(200))))))
+    r = rare.select(F.col("word").alias("r_word"), F.col("word_n").alias("r_n"), "venue", F.explode(shorter(F.col("word"))).alias("form"))
+    u = word_n.where(F.length("word") >= 4).select(F.col("word").alias("u_word"), F.col("word_n").alias("u_n"), F.explode(shorter(F.col("word"))).alias("form"))
+    near = r.join(u, "form").where((F.col("r_word") != F.col("u_word")) & (F.col("u_n") > 3 * F.col("r_n")) & (F.levenshtein("r_word", "u_word") <= 2)).select("venue").distinct()
     right = forms.join(slips, "venue", "left_anti").join(near, "venue", "left_anti")
     return full.join(right, "venue").select("id", F.col("n").alias("venue_score"))
 

@@ -154,13 +154,12 @@ def judged(texts: DataFrame) -> DataFrame:
     )
     # A whole number where decimals are usual is a decimal cut at its point.
     decimals = seen.where("key like 'N % f'").select(F.expr("concat(substring(key, 1, length(key) - 1), 'i')").alias("key"), (F.col("yes") + F.col("no")).alias("decimals"))
-    whole_addresses = seen.where("key like 'A %'").agg(F.sum("yes").alias("addresses"))
+    addresses = seen.where("key like 'A %'").agg(F.sum("yes").alias("n")).first().n or 0
     joined = (
         rows.withColumn("limit_source", F.coalesce("source", F.lit("")))
         .join(limits, ["tbl", "limit_source", "n"], "left")
         .join(seen, "key", "left")
         .join(decimals, "key", "left")
-        .join(F.broadcast(whole_addresses))  # one row
     )
     yes, no, at = F.coalesce("yes", F.lit(0)), F.coalesce("no", F.lit(0)), F.coalesce("at_limit", F.lit(False))
     is_cut = (
@@ -168,7 +167,7 @@ def judged(texts: DataFrame) -> DataFrame:
         .when(F.col("verdict") == "whole", False)
         .when(F.col("verdict") == "number", (no > yes) | ((yes == 0) & at) | (yes * 20 < F.coalesce("decimals", F.lit(0))))
         .when(F.col("verdict") == "list", at | (yes < 2))
-        .otherwise(at | (yes * 50 < F.col("addresses")))
+        .otherwise(at | (yes * 50 < addresses))
     )
     return joined.select("tbl", "record_key", "source", is_cut.alias("is_cut"), F.when(is_cut, F.when(F.col("verdict") == "cut", F.col("key")).otherwise(F.col("verdict"))).alias("why"))
 
