@@ -42,6 +42,9 @@ _ADDRESS = re.compile(r"(?:https?://|www\.)\S*$")
 _HEADS = re.compile(r"[Kk]ey ?words|[Ii]ndex terms|Subjects|Topics")
 _LIST_END = re.compile(r"(?:Keywords|Key words|Index terms|Subjects|Topics)\s*[:–-]\s*([^.!?]*)$", re.I)
 _BEFORE_STOP = re.compile(r"([^\W\d_][\w-]*)[.,;!?)]")
+_QUOTE_END = re.compile(r'(^|\S)\s*["“«]([^"“”«»]{1,300}[.!?])["”»]$')
+_QUOTE_IN = re.compile(r'(^|[^\s"])\s*["“«]([^"“”«»]{1,300}[.!?])["”»](?=\s+(\S))')
+_REMARK_END = re.compile(r"(^|\S+)\s*\([^()]*\)$")
 _WORD_DOT = re.compile(r"(\S+?)\.$")
 
 
@@ -75,8 +78,14 @@ def _number_key(before: str, number: str) -> str:
     return f"N {_DIGITS.sub('0', ' '.join(before.lower().split()))} {'f' if '.' in number or ',' in number else 'i'}"
 
 
+def _quote_key(before: str, inside: str) -> str:
+    """What stands before a quotation (an end, a colon, a word), and its last mark."""
+    kind = "end" if not before or before in TERMINATORS + _CLOSERS else "colon" if before == ":" else "word"
+    return f"Q {kind} {inside[-1]}"
+
+
 def judge(text: str | None) -> tuple[str, str]:
-    """(verdict, key): cut, whole, or what the corpus must decide: number, list, address (with its key)."""
+    """(verdict, key): cut, whole, or what the corpus must decide: number, list, address, quote (with its key)."""
     t = (text or "").rstrip()
     if not t:
         return "whole", ""
@@ -92,6 +101,16 @@ def judge(text: str | None) -> tuple[str, str]:
     if m := _ADDRESS.search(t, max(0, t.rfind(" "))):
         tail = m[0].rpartition("/")[2]
         return ("address", "A " + _shape(tail)) if re.match(r"(?:https?://|www\.)[^/\s]+/\S+", m[0]) else ("cut", "address")
+    if t[-1] == ")":
+        # A remark stands on its own after a whole sentence; a bracket within a sentence leaves it open.
+        m = _REMARK_END.search(t)
+        if m and m[1]:
+            before = m[1]
+            w = _WORD_DOT.match(before.lstrip("(\"'“«["))
+            if before[-1] not in TERMINATORS + _CLOSERS + ":" or (w and w[1].lower() in ABBREVIATIONS):
+                return "cut", "word"
+    if t[-1] in '"”»' and (m := _QUOTE_END.search(t)):
+        return "quote", _quote_key(m[1], m[2])
     body = t.rstrip(_CLOSERS)
     end = body[-1:] if body else ""
     if end and end in TERMINATORS:
@@ -116,6 +135,9 @@ def evidence(text: str, into: Counter) -> None:
         before = text[max(0, m.start() - 40) : m.start()].split()[-2:]
         ends = m[1] == "." and (m[2].isupper() or m[2] in "\"“«([")
         into[_number_key(" ".join(before), m[0]), ends] += 1
+    if '"' in text or "”" in text or "»" in text:
+        for m in _QUOTE_IN.finditer(text):
+            into[_quote_key(m[1], m[2]), not m[3].islower()] += 1
     for w in _BEFORE_STOP.findall(text):
         into["E " + w.lower(), True] += 1
 
@@ -166,6 +188,7 @@ def judged(texts: DataFrame) -> DataFrame:
         F.when(F.col("verdict") == "cut", True)
         .when(F.col("verdict") == "whole", False)
         .when(F.col("verdict") == "number", (no > yes) | ((yes == 0) & at) | (yes * 20 < F.coalesce("decimals", F.lit(0))))
+        .when(F.col("verdict") == "quote", no > yes)
         .when(F.col("verdict") == "list", at | (yes < 2))
         .otherwise(at | (yes * 50 < addresses))
     )

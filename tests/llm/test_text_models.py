@@ -9,8 +9,8 @@ from quillspark.llm import bpe, leakage, scans, sentences, truncation  # noqa: E
 
 
 # ---- truncation ----
-CUT = ["The entity linker delays the argument gra", "We report 3 cases in which the", "A gain of points […]", "It fades on l (truncated)", "so [cut]", "peer inde... Read more", "w&am", "in linguistics w\\u00", 'called it "a battery cell!', "(why not the other", "compared by Ms.", "cf. Fig.", "and so on…", "the antenn("]
-WHOLE = [None, "", "   ", "One.", "Why did it fail?!", 'The panel wrote: "It holds."', "It held. (ice core)", "No abstract available.", '"Is it enough?" they asked after the round.', "为何如此？", "यह है।"]
+CUT = ["The entity linker delays the argument gra", "We report 3 cases in which the", "A gain of points […]", "It fades on l (truncated)", "so [cut]", "peer inde... Read more", "w&am", "in linguistics w\\u00", 'called it "a battery cell!', "(why not the other", "compared by Ms.", "cf. Fig.", "and so on…", "the antenn(", "The ice core (why not the other?)", "cf. Fig. 3 and Eq. (12)"]
+WHOLE = [None, "", "   ", "One.", "Why did it fail?!", "It held. (ice core)", "No abstract available.", '"Is it enough?" they asked after the round.', "为何如此？", "यह है।"]
 
 
 @pytest.mark.parametrize("text", CUT)
@@ -28,6 +28,9 @@ def test_numbers_and_lists_are_decided_by_the_corpus(spark):
     rows = [("t", str(i), "s", body) for i in range(6)] + [("t", "n", "s", "Results show a gain of 3."), ("t", "r", "s", "It was left in round 4. It was left in round 4."), ("t", "l", "s", "Fine. Keywords: ice core, gla"), ("t", "e", None, None)]
     rows += [("t", f"q{i}", "s", f"It was left in round {i}. The kelp bed, it is a kelp bed. So.") for i in range(3)]
     got = {r.record_key: r.is_cut for r in truncation.judged(spark.createDataFrame(rows * 2, "tbl string, record_key string, source string, text string")).collect()}
+    rows = [("t", str(i), "s", 'They wrote: "It holds." Then "Is it enough?" they asked. One called it "a cell!" and left.') for i in range(5)] + [("t", "a", "s", 'They wrote: "It holds."'), ("t", "b", "s", 'It was so. "Is it enough?"'), ("t", "c", "s", 'One called it "a cell!"')]
+    quotes = {r.record_key: r.is_cut for r in truncation.judged(spark.createDataFrame(rows, "tbl string, record_key string, source string, text string")).collect()}
+    assert quotes["c"] and not quotes["a"]
     assert got["n"] and got["l"] and not got["r"] and not got["0"] and not got["e"] and len(got) == 13
 
 
