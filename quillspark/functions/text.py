@@ -135,6 +135,36 @@ def parse_mdy(text: Column) -> Column:
     return F.date_format(F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d), "yyyy-MM-dd")
 
 
+def outer_json(text: Column) -> Column:
+    """The JSON object or array within an answer: fences go, then everything outside the first and last bracket of its kind."""
+    t = F.trim(text)
+    t = F.when(F.startswith(t, F.lit("```")), F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")).otherwise(t)
+    kind = F.regexp_extract(t, r"([{\[])", 1)
+    return F.trim(F.when(kind == "{", F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit("")), t)).when(kind == "[", F.coalesce(F.nullif(F.regexp_extract(t, r"(?s)(\[.*\])", 1), F.lit("")), t)).otherwise(t))
+
+
+def repaired_json(text: Column) -> Column:
+    """The outer JSON as it is if it parses, else without commas before closing brackets; null if neither parses."""
+    j = outer_json(text)
+    fixed = F.regexp_replace(j, r",\s*([\]}])", "$1")
+    ok = lambda c: F.try_parse_json(c).isNotNull()
+    return F.when(ok(j), j).when(ok(fixed), fixed)
+
+
+def safe_filename(name: Column) -> Column:
+    """The last part of a path with everything but letters, digits and _ . - replaced; 200 characters at most."""
+    clean = F.substring(F.regexp_replace(F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/]*)/*$", 1), r"[^a-zA-Z0-9_.-]", "_"), 1, 200)
+    return F.when(clean == "", "document.pdf").otherwise(clean)
+
+
+def object_key(owner: Column, paper: Column, filename: Column) -> Column:
+    return F.concat_ws("/", F.lit("papers"), falsy_chain(owner, F.lit("public")), paper, safe_filename(filename))
+
+
+def is_uuid(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"(?i)^\s*(?:urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?\s*$"), F.lit(False))
+
+
 @F.pandas_udf(T.StringType())
 def title_case(text: pd.Series) -> pd.Series:
     """A capital after every non-letter, which initcap does not give."""

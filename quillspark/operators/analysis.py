@@ -79,3 +79,22 @@ def similarity_edges(items: DataFrame, group: str, key: str, vector: str, least:
     pairs = x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col(f"x.{key}") < F.col(f"y.{key}")))
     w = dot(F.col(f"x.{vector}"), F.col(f"y.{vector}"))
     return pairs.select(F.col(f"x.{group}").alias(group), F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"), w.alias("_w")).where(F.col("_w") >= least).select(group, "a", "b", F.round("_w", 4).alias("weight"))
+
+
+def is_placeholder(strengths: Column) -> Column:
+    """Whether any stored strength is a placeholder phrase."""
+    return F.coalesce(F.exists(strengths, lambda s: tx.any_contains(s, V.PLACEHOLDERS)), F.lit(False))
+
+
+def repair_analyses(stored: DataFrame, papers: DataFrame, key: str, title: str, text: str) -> DataFrame:
+    """stored (key, strengths, confidence): placeholder rows are computed anew from the paper, missing ones added, the rest stay."""
+    good = stored.where(~is_placeholder(F.col("strengths"))).select(key, "strengths", "confidence", F.lit(False).alias("repaired"))
+    rest = papers.join(good.select(key), key, "left_anti")
+    new = heuristic_analysis(rest.select(key, title, text), title, text)
+    return good.unionByName(new.select(key, "strengths", "confidence", F.lit(True).alias("repaired")))
+
+
+def titled_edges(edges: DataFrame, nodes: DataFrame, key: str, title: str) -> DataFrame:
+    """Edges with the titles of both ends; a missing node leaves its title null."""
+    side = lambda c: nodes.select(F.col(key).alias(c), F.col(title).alias(f"{c}_title"))
+    return edges.join(side("a"), "a", "left").join(side("b"), "b", "left")

@@ -383,6 +383,25 @@ def similarity_edges(spark, d):
     return analysis.similarity_edges(one, "request_id", "id", "e")
 
 
+@query("titled_similarity_edges", ORACLES["similarity_edges"].replace("select request_id, a, b, round(w, 4) as weight from p where w >= 0.25", "select request_id, a, b, round(w, 4) as weight, x.title as a_title, y.title as b_title from p left join papers x on x.id = a left join papers y on y.id = b where w >= 0.25"))
+def titled_similarity_edges(spark, d):
+    return analysis.titled_edges(similarity_edges(spark, d), load(spark, d, "papers"), "id", "title").select("request_id", "a", "b", "weight", "a_title", "b_title")
+
+
+@query("repaired_analyses", """select case when source = 'upload' then true else false end as repaired, count(*) as n from papers group by 1""")
+def repaired_analyses(spark, d):
+    p = load(spark, d, "papers")
+    kept = p.where("source not in ('upload', 'arxiv')").select("id", F.array(F.lit("It is fast.")).alias("strengths"), F.lit(0.85).alias("confidence"))
+    kept = kept.unionByName(p.where("source = 'arxiv'").select("id", F.array(F.lit("It is small.")).alias("strengths"), F.lit(0.7).alias("confidence")))
+    stale = p.where("source = 'upload'").select("id", F.array(F.lit("Not verified yet")).alias("strengths"), F.lit(0.5).alias("confidence"))
+    return analysis.repair_analyses(kept.unionByName(stale), p, "id", "title", "abstract").groupBy("repaired").agg(F.count("*").alias("n"))
+
+
+@query("object_keys", "select distinct id, 'papers/' || 'public' || '/' || coalesce(paper_id, '') || '/' || case when f = '' then 'document.pdf' else f end as object_key from (select id, paper_id, substr(regexp_replace(regexp_extract(coalesce(filename, ''), '([^/]*)/*$', 1), '[^a-zA-Z0-9_.-]', '_', 'g'), 1, 200) as f from paper_documents)")
+def object_keys(spark, d):
+    return load(spark, d, "paper_documents").select("id", tx.object_key(F.lit(None).cast("string"), F.coalesce("paper_id", F.lit("")), F.col("filename")).alias("object_key")).distinct()
+
+
 @query("analysis_summary", r"""with b as (select id, trim(regexp_replace(coalesce(abstract, ''), '[\s\x{a0}]+', ' ', 'g')) as t, coalesce(title, '') as title from papers),
  c as (select id, title, case when t = '' then 'Academic publication titled: ' || title || '.' else t end as t from b),
  s as (select id, title, t, [trim(x) for x in string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) if length(trim(x)) > 18] as s from c)

@@ -42,6 +42,25 @@ def test_dates_and_titles(spark):
     assert one(spark, tx.first_authors(F.col("t")), t=text) == "A. One, B. Two" and one(spark, tx.first_venue(F.col("t")), t=text) == "Journal of X"
 
 
+def test_json_repair(spark):
+    for text, want in [('```json\n{"a": [1, 2,],}\n```', '{"a": [1, 2]}'), ('Sure: [1, 2] done', "[1, 2]"), ('{"a": 1}', '{"a": 1}'), ("none", None), (None, None)]:
+        assert one(spark, tx.repaired_json(F.col("t")), t=text) == want
+
+
+def test_names_and_keys(spark):
+    assert one(spark, tx.safe_filename(F.col("t")), t="../a b/Ü x.pdf") == "__x.pdf" and one(spark, tx.safe_filename(F.col("t")), t="") == "document.pdf"
+    assert one(spark, tx.object_key(F.lit(""), F.lit("p"), F.col("t")), t="f.pdf") == "papers/public/p/f.pdf"
+    assert one(spark, tx.is_uuid(F.col("t")), t="7dea4661-0b5c-40a6-b691-000cdc1d4f2a") and not one(spark, tx.is_uuid(F.col("t")), t="x")
+
+
+def test_stale_analyses_are_repaired(spark):
+    papers = spark.createDataFrame([("a", "T", "We propose a robust thing for all of us."), ("b", "T", "x"), ("c", "T", None)], "id string, title string, abstract string")
+    stored = spark.createDataFrame([("a", ["Not verified yet"], 0.1), ("b", ["It is fast."], 0.9)], "id string, strengths array<string>, confidence double")
+    got = {r.id: r for r in analysis.repair_analyses(stored, papers, "id", "title", "abstract").collect()}
+    assert got["a"].repaired and "robust" in got["a"].strengths[0] and not got["b"].repaired and got["c"].repaired
+    assert {r.id: r.repaired for r in analysis.repair_analyses(stored.where("id = 'b'"), papers, "id", "title", "abstract").collect()} == {"a": True, "b": False, "c": True}
+
+
 def test_boilerplate(spark):
     assert one(spark, tx.is_boilerplate(F.col("t")), t="All Rights Reserved.") and not one(spark, tx.is_boilerplate(F.col("t")), t="A result.")
 
