@@ -136,4 +136,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*')"
+ORACLES: dict[str, str] = {
+    "p9_found": f"""with d as (select doc_id, {_WORDS} as w from documents where text is not null), b as (select item_id, {_WORDS} as w from benchmark where text is not null),
+ dg as (select doc_id, array_to_string(w[i : i + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
+ bg as (select distinct item_id, array_to_string(w[i : i + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from b))
+select distinct doc_id, item_id from dg join bg using (g)""",
+}

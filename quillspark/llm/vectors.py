@@ -213,6 +213,15 @@ def _search_cell(cells: _Cells, books: Codebooks, cell: int, k: int, probes: int
                 yield ids[s + i], oid[best[j]], rank, float(exact[j])
 
 
+def _uri(spark, path: str) -> str:
+    """The path with the scheme of its file system, as pyarrow wants it: executors open it without Hadoop's settings."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    if full.startswith("file:"):
+        return "file://" + full[5:].replace("//", "/") if not full.startswith("file:///") else full
+    return "s3" + full[3:] if full.startswith(("s3a:", "s3n:")) else full
+
+
 def nearest(chunks: DataFrame, key: str, vector: str, d: int, k: int = 5, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
     """id, neighbour, rank, similarity (cosine): the ``k`` most similar others of every usable vector."""
     spark = chunks.sparkSession
@@ -245,10 +254,10 @@ def nearest(chunks: DataFrame, key: str, vector: str, d: int, k: int = 5, probes
 
     path = shared_dir(spark)
     spread(rows).mapInPandas(encode, "cell int, id string, v binary, codes binary, norm2 float").repartition("cell").write.partitionBy("cell").parquet(path)
-    n_cells = len(books.coarse)
+    n_cells, where = len(books.coarse), _uri(spark, path)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = _Cells(path, d)
+        cells = _Cells(where, d)
         for b in batches:
             for cell in b["id"]:
                 found = list(_search_cell(cells, books, int(cell), k, probes, rerank))
