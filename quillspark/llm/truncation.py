@@ -41,7 +41,7 @@ _DIGITS = re.compile(r"[0-9][0-9.,]*")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S*$")
 _HEADS = re.compile(r"[Kk]ey ?words|[Ii]ndex terms|Subjects|Topics")
 _LIST_END = re.compile(r"(?:Keywords|Key words|Index terms|Subjects|Topics)\s*[:–-]\s*([^.!?]*)$", re.I)
-_BEFORE_STOP = re.compile(r"([^\W\d_][\w-]*)[.,;!?)]")
+_BEFORE_STOP = re.compile(r"([^\W\d_][\w-]*)[.,;!?)](?!\.)")
 _QUOTE_END = re.compile(r'(^|\S)\s*["“«]([^"“”«»]{1,300}[.!?])["”»]$')
 _QUOTE_IN = re.compile(r'(^|[^\s"])\s*["“«]([^"“”«»]{1,300}[.!?])["”»](?=\s+(\S))')
 _REMARK_END = re.compile(r"(^|\S+)\s*\([^()]*\)$")
