@@ -48,7 +48,7 @@ _ORG_OF = re.compile(
     r" (?:of|for|on)(?: the)? [^\W\d_][\w'’-]*(?: [A-Z][\w'’-]*)*(?:, [A-Z][\w'’-]*(?: [A-Z][\w'’-]*)*)*,?(?: (?:and|&) [A-Z][\w'’-]*)"
 )
 _ORG_AMP = re.compile(r"(?:^|(?<=[,;&] )|(?<=\band )|(?<=,))([A-Z][\w'’-]* & [A-Z][\w'’-]*(?: [A-Z][\w'’-]*)* (?:" + "|".join(ORG_WORDS) + r"))\b")
-_SUFFIX = re.compile(r",\s*((?:Jr|Sr)\.?|I{2,3}|IV|Ph\.?D\.?|M\.?D\.?)(?=\s*(?:$|[,;&|/·\r\n\t；、'\"\]]|and\b|et al))")
+_SUFFIX = re.compile(r",\s*((?:Jr|Sr)\.?|I{2,3}|Ph\.?D\.?)(?=\s*(?:$|[,;&|/·\r\n\t；、'\"\]]|and\b|et al))")
 _REMARK_TAIL = re.compile(r"[\s,;]*(?:\b(?:and|&)\s+)?\(?\b(?:et\s+al\b\.?|others\b\.?|(?:\d+\s+)?more\b(?:\s+authors)?\.?)\)?[\s,;.]*$|[\s,;]*(?:…|\.\.\.)$", re.I)
 _REMARK = re.compile(r"^(?:and\s+|&\s*)?(?:\(?(?:et\.?\s+al|others|u\.\s?a|(?:\+?\d+\s+)?more(?:\s+authors)?)\.?\)?|…|\.\.\.|\[?\.\.\.\]?)$", re.I)
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.?(?:[\s-]?[^\W\d_]\.)*|[^\W\d_]\.?|[A-Z]{1,3}|(?:[A-Z]\.?[\s-]?){1,3})$")
