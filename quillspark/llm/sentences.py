@@ -253,7 +253,7 @@ def decode(block: str, model: Model) -> list[int]:
                 # no space after the full stop: only between a word and a capital
                 before = block[max(0, i - 3) : i]
                 s = -9.0
-                if nxt and block[e] == nxt and nxt.isupper() and before.isalpha() and before.islower() and len(before) == 3 and r > -1:
+                if nxt and block[e] == nxt and nxt.isupper() and before[-2:].isalpha() and before[-2:].islower() and "." not in before and r > -1:
                     s = 2.0 + min(r, 4.0)
                 elif nxt and block[e] in _OPENERS and r > 0 and before[-1:].isalpha():
                     s = 1.0
