@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 LEAST_WORDS = 12
+SMALL_VOCABULARY = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -49,13 +50,15 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFr
     docs = spread(docs.select("doc_id", "text").where("text is not null"))
     items = items.select("item_id", "text").where("text is not null").distinct()
     terms = postings(items, "item_id", "text")
-    vocabulary = terms.select("term").distinct()
+    vocabulary = terms.select("term").distinct().persist()
+    small = vocabulary.count() <= SMALL_VOCABULARY  # checked: the items' words and anchors fit in a broadcast, else they are shuffled
+    sent = F.broadcast if small else (lambda df: df)
     own = docs.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-    df = own.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_docs"))
+    df = own.join(sent(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_docs"))
     anchors = item_anchors(terms, df, least)
     hits = (
         postings(docs, "doc_id", "text")
-        .join(anchors.select("item_id", "term", F.col("pos").alias("item_pos")), "term")
+        .join(sent(anchors.select("item_id", "term", F.col("pos").alias("item_pos"))), "term")
         .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"))
         .distinct()
     )
