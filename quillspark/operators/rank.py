@@ -71,10 +71,15 @@ class Weights:
 
 
 def hybrid_score(pairs: DataFrame, weights: Weights = Weights()) -> DataFrame:
-    """pairs (question, question_vector, text, section, embedding) -> kind, hybrid_score."""
+    """pairs (question, question_vector, text, section, embedding) -> kind, hybrid_score.
+
+    Words and types that were computed before the two sides met are used: columns q_words, t_words, kind.
+    """
     q, t = F.col("_q"), F.col("_t")
     kind = F.col("kind")
-    df = pairs.withColumn("_q", tx.content_words(F.col("question"))).withColumn("_t", tx.content_words(F.col("text"))).withColumn("kind", retrieval.classify(F.col("question")))
+    have = set(pairs.columns)
+    df = pairs.withColumn("_q", F.col("q_words") if "q_words" in have else tx.content_words(F.col("question"))).withColumn("_t", F.col("t_words") if "t_words" in have else tx.content_words(F.col("text")))
+    df = df if "kind" in have else df.withColumn("kind", retrieval.classify(F.col("question")))
     shared = F.size(F.array_intersect(q, t))
     lexical = shared / F.greatest(F.size(q), F.lit(1))
     from ..functions import vocabulary as V

@@ -27,8 +27,11 @@ def signals_of(kind: Column) -> Column:
     return out
 
 
-def evidence_supports(questions: DataFrame, chunks: DataFrame, query_keys: list[str]) -> DataFrame:
-    """questions (keys, question), chunks (keys, text, section) -> keys, kind, supported.
+def evidence_supports(questions: DataFrame, chunks: DataFrame, query_keys: list[str], on: list[str] | None = None) -> DataFrame:
+    """questions (keys, question), chunks (on, text, section) -> keys, kind, supported.
+
+    ``on``: the keys both sides have (all of them). With none, a fixed set of questions is put to every chunk and
+    the keys may lie on either side; the questions are then broadcast and nothing is shuffled before the aggregate.
 
     Per chunk booleans, then bool_or per query; a query without chunks is not supported.
     """
@@ -38,8 +41,10 @@ def evidence_supports(questions: DataFrame, chunks: DataFrame, query_keys: list[
     compound = F.regexp_extract_all("question", F.lit(r"\b[A-Za-z0-9]+-[A-Za-z0-9]+\b"), F.lit(0))
     q = q.withColumn("compounds", compound).withColumn("roots", tx.content_words(F.array_join("compounds", " ")))
     q = q.withColumn("beyond", F.array_except("topic", "roots"))
-    c = chunks.select(*query_keys, F.col("section"), tx.content_words(F.col("text")).alias("c_words"))
-    j = q.join(c, query_keys, "left")
+    on = query_keys if on is None else on
+    own = on or [k for k in query_keys if k in chunks.columns]
+    c = chunks.select(*own, F.col("section"), tx.content_words(F.col("text")).alias("c_words"))
+    j = q.join(c, on, "left") if on else c.crossJoin(F.broadcast(q))  # a fixed set of questions
     hit = lambda col: F.size(F.array_intersect(F.col(col), F.coalesce("c_words", F.array().cast("array<string>"))))
     need = F.when(F.size("topic") <= 2, 1).otherwise(F.ceil(F.size("topic") * 0.35))
     some = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))

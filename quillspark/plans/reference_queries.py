@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions import vocabulary as V
 from ..operators import analysis, chunking, metrics, rank, relational, retrieval
-from ..session import load, shared_dir, stored
+from ..session import load, shared_dir, spread
 from ..sources import readers
 from ..streaming import ingest
 
@@ -463,9 +463,7 @@ _LABEL = lambda m: "case kind " + " ".join(f"when '{k}' then ({' or '.join(f'''c
 select question_id, kind, count(*) as documents, count(*) filter (where n_q > 0 and (n_topic = 0 or topic_ok) and (n_c = 0 or ((n_r = 0 or root_ok) and (n_b = 0 or together_ok))) and case when kind in ('general', 'metadata') then any_ok else signal_ok end) as supported from g group by 1, 2""")
 def evidence_supports(spark, d):
     q, c = _question_chunks(spark, d)
-    docs = c.select("document_id").distinct()
-    asked = docs.crossJoin(F.broadcast(q))  # ten questions
-    per = retrieval.evidence_supports(asked, c.join(F.broadcast(q.select("question_id")), how="cross"), ["document_id", "question_id"])
+    per = retrieval.evidence_supports(q, spread(c), ["document_id", "question_id"], on=[])
     return per.groupBy("question_id", "kind").agg(F.count("*").alias("documents"), F.count_if("supported").alias("supported"))
 
 
@@ -474,7 +472,10 @@ def _hybrid_pairs(spark, d):
     q, _ = _question_chunks(spark, d)
     c = load(spark, d, "document_chunks").where("size(embedding) = 384").dropDuplicates(["id"])
     v = c.orderBy("id").limit(1).select(F.col("embedding").alias("question_vector"))
-    return c.select("id", "document_id", "text", "section", "chunk_index", "page", "embedding").crossJoin(F.broadcast(q)).crossJoin(F.broadcast(v))  # ten questions, one vector
+    c = spread(c)
+    q = q.withColumn("q_words", tx.content_words(F.col("question"))).withColumn("kind", retrieval.classify(F.col("question")))
+    c = c.select("id", "document_id", "text", "section", "chunk_index", "page", "embedding", tx.content_words(F.col("text")).alias("t_words"))
+    return c.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(v))  # ten questions, one vector
 
 
 @query("hybrid_topk", f"""with q as {_kinds(_Q_SQL, 'question_id, question')},
