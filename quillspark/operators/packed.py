@@ -66,6 +66,13 @@ def _unmask(text: str) -> str:
     return text.translate(_UNMASK).replace(_AND, "and")
 
 
+def _bare(piece: str) -> str:
+    """Without separators, quotes and white space of any kind around it."""
+    while (p := piece.strip().strip(_TRIM)) != piece:
+        piece = p
+    return piece
+
+
 def _quoted(text: str) -> list[str]:
     """Items between quotes, of a list literal or a quoted row; a quote closes only before , ; ] or the end."""
     out, i, n = [], 0, len(text)
@@ -175,8 +182,9 @@ def split_value(value: str | None, prior: dict[str, float] | None = None, groups
                 pieces = _as_written(text, pieces)
     out = []
     for p in pieces:
-        p = _unmask(p.strip().strip(_TRIM))
+        p = _unmask(_bare(p))
         p = _REMARK_TAIL.sub("", _LEAD_CONJ.sub("", p)).strip(_TRIM) if ("al" in p or "other" in p or "more" in p or "…" in p or ".." in p or p[:4] == "and " or p[:1] == "&") else p
+        p = _bare(p)
         if p and not _REMARK.match(p):
             out.append(p)
     return out
