@@ -5,9 +5,9 @@ over the title's character trigrams, by the identifier and by author pair and ye
 signatures get similarity features; a logistic classifier, trained on weak labels of a bounded sample of
 pairs, gives each pair a calibrated probability; links above one half are closed to works.
 
-A band shared by more signatures than ``WIDE`` is split by a second attribute (an author token,
-the identifier or the year), and in a part that is still wide every signature is compared with the
-part's first one of each title form instead of with all others; nothing is dropped.
+All pairs of signatures that share a block are scored, at any size of the block: one of more signatures than
+``WIDE`` is cut into squares that are joined apart, so a hot block spreads over the tasks. Its cost still grows
+with the square of its size.
 
 Defined results: rows without a title match only by identifier; null attributes are missing, not equal;
 sequels, corrections and replies are works of their own; repeated rows count once.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.packed import PARTICLES, split_value
@@ -276,21 +276,18 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     # Lists only of keys with WIDE members or fewer: the wide ones are taken out before anything is collected.
     usual = all_blocks.join(wide_keys, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("reps")).where("size(reps) > 1")
     ahead = usual.select(F.posexplode("reps").alias("i", "a"), "reps").select("a", F.explode(F.expr("slice(reps, i + 2, size(reps))")).alias("b"))
-    # Wide blocks: parts by a second attribute; in a part each is compared with the first of every title form.
-    more = _wide_pairs(all_blocks.join(wide_keys, "key", "left_semi").join(reps.select("rep", "marker", "doi", "year", "names", F.xxhash64("core").alias("form")), "rep"))
+    more = _wide_pairs(all_blocks.join(wide_keys, "key", "left_semi").join(reps.select("rep", "marker"), "rep"))
     return ahead.where("a <> b").unionByName(more).distinct()
 
 
 def _wide_pairs(wide: DataFrame) -> DataFrame:
-    tokens = F.filter(F.split(F.regexp_replace("names", ";", " "), " "), lambda w: F.length(w) > 2)
-    parts = F.array_compact(F.array_union(F.transform(F.array_distinct(tokens), lambda w: F.concat(F.lit("n"), w)), F.array(F.when(F.col("doi") != "", F.concat(F.lit("d"), "doi")), F.when((F.col("names") == "") | (F.size(tokens) == 0), F.concat(F.lit("y"), F.col("year").cast("string"))))))
-    wide = wide.select("key", "rep", "form", "marker", "year", F.explode(parts).alias("part"))
-    heads = wide.groupBy("key", "part", "form", "marker", "year").agg(F.min("rep").alias("head"))
-    near = wide.join(heads, ["key", "part", "form", "marker", "year"]).select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    in_part = Window.partitionBy("key", "part")
-    chain = heads.select("head", F.min("head").over(in_part).alias("first"), F.lag("head").over(in_part.orderBy("form", "marker", "year", "head")).alias("before"))
-    across = chain.select(F.col("first").alias("a"), F.col("head").alias("b")).unionByName(chain.select(F.col("before").alias("a"), F.col("head").alias("b")).where("a is not null"))
-    return near.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """All pairs of equal marker in blocks of any size: a block is cut into squares of about ``WIDE`` by ``WIDE``, each joined on its own."""
+    parts = wide.groupBy("key", "marker").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("parts"))
+    rows = stored(wide.join(parts, ["key", "marker"]).withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) as int)")))
+    left = rows.select("key", "marker", F.col("rep").alias("a"), F.col("part").alias("i"), F.explode(F.expr("sequence(part, parts - 1)")).alias("j"))
+    right = rows.select("key", "marker", F.col("rep").alias("b"), F.explode(F.expr("sequence(0, part)")).alias("i"), F.col("part").alias("j"))
+    met = left.join(right, ["key", "marker", "i", "j"]).where("i < j or a < b").where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 FEATURES = ["ts", "sub", "drop", "au", "ad", "am", "y0", "y1", "y2", "de", "dd", "ta"]

@@ -71,6 +71,17 @@ def test_wide_blocks_lose_no_link(spark):
     assert sum(work[f"g{k}:0"] == work[f"g{k}:1"] for k in range(70)) == 70
 
 
+@pytest.mark.parametrize("n", [48, 49, 150])
+def test_blocks_of_any_size_give_all_pairs(spark, n):
+    """Different titles that meet only by author pair and year, with two markers."""
+    rng = random.Random(5)
+    reps = [(k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)), "part2" if k % 10 == 0 else "", "", 2001, "smith ann;larsson bo") for k in range(n)]
+    df = spark.createDataFrame(reps, "rep long, core string, marker string, doi string, year int, names string")
+    got = [(r.a, r.b) for r in matching.candidate_pairs(df).collect()]
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if (a % 10 == 0) == (b % 10 == 0)}
+    assert len(got) == len(set(got)) and want <= set(got)
+
+
 def test_calibration_on_held_out_pairs():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))
