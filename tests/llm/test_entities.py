@@ -82,6 +82,22 @@ def test_blocks_of_any_size_give_all_pairs(spark, n):
     assert len(got) == len(set(got)) and want <= set(got)
 
 
+def test_chance_of_meeting_in_a_band():
+    """By the LSH formula: 1 - (1 - j^4)^8 per author token, 1 - (1 - j^8)^16 for titles alone."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    grams = lambda t: {f" {t} "[i : i + 3] for i in range(len(t))}
+    met, due = np.zeros(2), np.zeros(2)
+    for _ in range(4000):
+        a = "".join(rng.choice(letters) for _ in range(60))
+        b = "".join(rng.choice(letters) if rng.random() < 0.07 else c for c in a)
+        j = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+        kinds = {k >> 32 >= 100 for k in set(matching.bands(a, "smith")) & set(matching.bands(b, "smith"))}
+        met += [True in kinds, False in kinds]
+        due += [1 - (1 - j**4) ** 8, 1 - (1 - j**8) ** 16]
+    assert (met >= 0.95 * due).all(), (met, due)
+
+
 def test_calibration_on_held_out_pairs():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))
