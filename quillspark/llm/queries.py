@@ -53,8 +53,8 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, group_id (the smallest id) of papers rows whose work has two rows or more."""
-    nodes, _ = matching.works(load(spark, sf_dir, "papers").select(F.col("id").alias("nid"), "title", "authors", F.col("year").cast("string").alias("date"), "doi"))
-    papers = nodes.select(F.col("nid").alias("id"), "work").distinct()
+    nodes, _ = matching.works(_work_rows(spark, sf_dir))  # records take part, as in p1: rows may meet only through one
+    papers = nodes.where("nid like 'p:%'").select(F.expr("substring(nid, 3)").alias("id"), "work").distinct()
     groups = papers.groupBy("work").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
     return stored(papers.join(groups, "work").select("id", "group_id"))
 

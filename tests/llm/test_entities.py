@@ -7,7 +7,7 @@ pytest.importorskip("quillspark.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from quillspark.llm import graph, matching, names, survivors, vectors  # noqa: E402
+from quillspark.llm import graph, matching, names, queries, survivors, vectors  # noqa: E402
 
 
 def test_components(spark):
@@ -82,6 +82,14 @@ def test_blocks_of_any_size_give_all_pairs(spark, n):
     assert len(got) == len(set(got)) and want <= set(got)
 
 
+def test_papers_that_meet_through_a_record_are_one_group(spark, tmp_path):
+    papers = [("a", "Neural ozone layer for speech act in science", "Ann Smith; Bo Larsson", 2019, None), ("b", None, "Ann Smith; Bo Larsson", 2019, "10.1234/ab.1"), ("c", "Arid membrane under epidemic kelp bed", "Carla Diaz", 2015, None)]
+    records = [("r", "Neural ozone layer for speech act in science", "Ann Smith; Bo Larsson", "2019-05-01", "10.1234/ab.1"), ("s", "Arid membrane under epidemic kelp bed", "Carla Diaz", "2015", None)]
+    spark.createDataFrame(papers, "id string, title string, authors string, year int, doi string").write.parquet(str(tmp_path / "papers.parquet"))
+    spark.createDataFrame(records, "id string, title string, authors_raw string, published_date string, doi string").write.parquet(str(tmp_path / "provider_records.parquet"))
+    assert {(r.id, r.group_id) for r in queries._groups(spark, str(tmp_path)).collect()} == {("a", "a"), ("b", "a")}
+
+
 def test_chance_of_meeting_in_a_band():
     """By the LSH formula: 1 - (1 - j^4)^8 per author token, 1 - (1 - j^8)^16 for titles alone."""
     rng = random.Random(8)
