@@ -102,6 +102,40 @@ def test_leaks_equal_brute_force(spark):
 
 
 # ---- scans ----
+@pytest.mark.parametrize("line", ["Smith et al", "Smith et @1.,", "Smith et aI.,", "Smith ct al.", "Polar Research,v0l. 7", "Ice Sheets\t\t12", "- - - - - - - 12 - - - - - - -"])
+def test_furniture_by_pattern(line):
+    assert scans.furniture(["The text runs on here", line, "and goes on after it."])[1]
+
+
+@pytest.mark.parametrize("title,header", [("Common errors in modern models", "Cornmon errors in modern models"), ("Common errors in modern models of drifting sea ice and of the seasons", "Comrnon errors in modern models of drifting sea ice and of the seasons"), ("Wide drains under the old wall", "vvide drains under the old wall")])
+def test_misread_titles_are_furniture(title, header):
+    lines = ["some text of the page before", header, "and it goes on here for a while", "until it ends."]
+    assert scans.furniture(lines, (title,)) == [False, True, False, False]
+
+
+def test_a_title_under_its_cut_header_is_no_furniture():
+    title = "Athesel: Molecular dosage plan for contrastive sensor array in networks of cells"
+    lines = [title.upper()[:46], title, "some text of the page", "until it ends."]
+    assert scans.furniture(lines) == scans.furniture(lines, (title,)) == [True, False, False, False]
+    assert scans.title_of(lines) == title
+
+
+def test_the_cheap_test_is_necessary():
+    rng = random.Random(4)
+    words = "common modern errors drain wall ice sheet models under the old season of drifting".split()
+    met = 0
+    for _ in range(3000):
+        a = " ".join(rng.choice(words) for _ in range(rng.randrange(3, 9)))
+        b = a
+        for _ in range(rng.randrange(0, 6)):
+            k = rng.randrange(len(b))
+            b = b[:k] + rng.choice(["", "rn", "x", "@"]) + b[k + 1 :]
+        if scans._alike(a, b):
+            met += 1
+            assert scans._may_be_alike(a, b)
+    assert met > 500
+
+
 def test_furniture():
     lines = ["Journal of Polar Research, vol. 2", "A spatial approach to glacier flow and ice", "Methods", "We saw", "- 1 -", "Page 2", "[3]", "l1", "1 | Beleso", "van Mared et al.", "2  Annals of Tidal Ecology", "0.96 9.0", "3 Results", "the topic of St. Ivarra, vol. 3", ""]
     got = [l for l, f in zip(lines, scans.furniture(lines)) if f]
