@@ -221,7 +221,7 @@ class Trie:
 
 
 def choose(word: str, count: int, trie: Trie) -> list[tuple[str, float]]:
-    """The right words a spelling may stand for, best first; empty if it stands for itself."""
+    """All right words a spelling may stand for, best first without context; empty if it stands for itself."""
     odd = bool(_ODD.search(word))
     if len(word) < 3:
         return []
@@ -234,7 +234,7 @@ def choose(word: str, count: int, trie: Trie) -> list[tuple[str, float]]:
         if n >= need * count and len(c) >= 3:
             found.append((c, math.log(n) - 3.0 * cost))
     found.sort(key=lambda x: (-x[1], x[0]))
-    return [f for f in found if f[1] > found[0][1] - 1.5][:3]
+    return found
 
 
 def _with_case(right: str, seen: str, opens: bool, upper_share: float) -> str:

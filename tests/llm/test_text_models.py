@@ -102,6 +102,13 @@ def test_leaks_equal_brute_force(spark):
 
 
 # ---- scans ----
+def test_context_decides_for_a_rarer_word(spark):
+    texts = ["sheets fall here and they fall here"] * 150 + ["they may fail here"] * 30 + ["they may fa1l here", "sheets fa1l here"]
+    rows = [("document_chunks", str(k), t, None) for k, t in enumerate(texts)]
+    got = {(r.record_key, r.repaired) for r in scans.repairs(spark.createDataFrame(rows, "tbl string, record_key string, text string, title string")).collect()}
+    assert got == {("180", "fail"), ("181", "fall")}
+
+
 @pytest.mark.parametrize("line", ["Smith et al", "Smith et @1.,", "Smith et aI.,", "Smith ct al.", "Polar Research,v0l. 7", "Ice Sheets\t\t12", "- - - - - - - 12 - - - - - - -"])
 def test_furniture_by_pattern(line):
     assert scans.furniture(["The text runs on here", line, "and goes on after it."])[1]
