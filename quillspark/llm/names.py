@@ -149,6 +149,15 @@ def similar_pairs(rows: DataFrame, key: str, tokens: str, least: float) -> DataF
     return both.where(shared >= least * (F.size("set_a") + F.size("set_b") - shared)).select("key_a", "key_b")
 
 
+def near_families(rows: DataFrame, other: str) -> DataFrame:
+    """key_a < key_b of equal ``other`` whose family names may be one slip apart: every pair ``_near`` accepts is among them.
+
+    In up to four letters a swap leaves too few 2-grams; single letters keep a Jaccard of 0.6 at any one edit.
+    """
+    of = lambda df, q, least: similar_pairs(df.select("key", F.transform(grams(F.col("family"), q), lambda g: F.concat_ws("|", other, g)).alias("t")), "key", "t", least)
+    return of(rows, 2, 0.3).unionByName(of(rows.where(F.length("family") <= 5), 1, 0.6)).distinct()
+
+
 @F.pandas_udf(T.BooleanType())
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near_words(x, y, 1) or (min(len(x), len(y)) in (2, 3) and x[:1] == y[:1] and near_words(x + "....", y + "....")) or (len(x) == len(y) == 4 and sorted(x) == sorted(y) and x[0] == y[0]) for x, y in zip(a, b)])
@@ -161,7 +170,7 @@ def person_keys(settled: DataFrame) -> DataFrame:
     with_given = keys.groupBy("given").agg(F.count("*").alias("families"))
     wide = keys.join(with_family, "family").join(with_given, "given")
     wide = stored(wide.select("key", "family", "given", "givens", "families", "n"))
-    by_family = similar_pairs(keys.select("key", F.transform(grams(F.col("family"), 2), lambda g: F.concat_ws("|", "given", g)).alias("t")), "key", "t", 0.3)
+    by_family = near_families(keys, "given")
     by_given = similar_pairs(keys.select("key", F.transform(grams(F.col("given"), 1), lambda g: F.concat_ws("|", "family", g)).alias("t")), "key", "t", 0.6)
     side = lambda p: wide.select(F.col("key").alias(f"key_{p}"), *[F.col(c).alias(f"{c}_{p}") for c in ("family", "given", "givens", "families", "n")])
     pairs = by_family.unionByName(by_given).distinct().join(side("a"), "key_a").join(side("b"), "key_b")
@@ -190,7 +199,7 @@ def person_entities(names: DataFrame) -> DataFrame:
     # No such person: a family name one slip away, with the same initial.
     lone = stored(short.join(best, "name", "left_anti").select("name", "family", "initial"))
     probe = lone.select(F.concat_ws("|", F.lit("~"), "family", "initial").alias("key"), "family", "initial").distinct().unionByName(homes.select(F.concat_ws("|", "entity", "family", "initial").alias("key"), "family", "initial"))
-    near = similar_pairs(probe.select("key", F.transform(grams(F.col("family"), 2), lambda g: F.concat_ws("|", "initial", g)).alias("t")), "key", "t", 0.3)
+    near = near_families(probe, "initial")
     near = near.select(F.col("key_a").alias("k"), F.col("key_b").alias("o")).unionByName(near.select(F.col("key_b").alias("k"), F.col("key_a").alias("o"))).where("k like '~|%' and o not like '~|%'")
     part = lambda c, i: F.element_at(F.split(F.col(c), "[|]"), i)
     slips = near.where(_near(part("k", 2), part("o", -2))).select(part("k", 2).alias("family"), part("k", 3).alias("initial"), F.concat_ws("|", part("o", 1), part("o", 2)).alias("entity")).join(weight, "entity")

@@ -157,6 +157,18 @@ def test_person_and_venue_entities(spark):
     assert [(r.name_a, r.name_b) for r in pairs] == [("x", "y")]
 
 
+def test_slips_in_short_family_names(spark):
+    """Every pair that the verifier accepts is a candidate, and links its spellings."""
+    forms = ["wang", "wnag", "chen", "hcen", "kim", "kmi", "li", "lu", "lee", "leee", "aaaa", "aaab", "park", "pakr", "singh", "snigh"]
+    df = spark.createDataFrame([(f, f, "ann") for f in forms], "key string, family string, given string")
+    got = {(r.key_a, r.key_b) for r in names.near_families(df, "given").collect()}
+    both = spark.createDataFrame([(a, b) for a in forms for b in forms if a < b], "a string, b string")
+    want = {(r.a, r.b) for r in both.where(names._near("a", "b")).collect()}
+    assert ("wang", "wnag") in want and ("kim", "kmi") in want and want <= got
+    e = {r.name: r.entity for r in names.person_entities(spark.createDataFrame([("Wang, Nathaniel", 9), ("Wnag, Nathaniel", 1), ("Kim, Ilse", 9), ("Kmi, Ilse", 1), ("Kmi, Q.", 1)], "name string, n long")).collect()}
+    assert e["Wang, Nathaniel"] == e["Wnag, Nathaniel"] and e["Kim, Ilse"] == e["Kmi, Ilse"]
+
+
 def test_entities_of_empty_tables(spark):
     empty = spark.createDataFrame([], "name string, n long")
     assert names.person_entities(empty).count() == 0 and names.venue_entities(empty).count() == 0
