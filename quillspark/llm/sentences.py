@@ -1,27 +1,36 @@
 """Sentence units of documents in many languages and scripts.
 
 Lines are first joined into blocks: a line break within a hard-wrapped paragraph is white space, any
-other ends a unit (headings, titles, paragraphs). Within a block a linear-chain model labels every
-candidate position (a terminator with its closing quotes and brackets; in scripts written without full
-stops, a space) as boundary or inside. Its emission scores are log-likelihood ratios learned from the
-corpus itself: how often the token before the mark, or the letters around the space, stand at the edge
-of a block, where the boundary is certain. The scripts without full stops are trained on text stripped
-of punctuation. Transition scores discourage units without a word. Viterbi decoding gives the best
-labelling of the block.
+other ends a unit (headings, titles, paragraphs). Within a block a linear-chain conditional random field
+tags every candidate position (a terminator with its closing quotes and brackets; in scripts written
+without full stops, a space) as boundary or inside; all other characters are inside by construction. Its
+emissions are log-linear in what stands around the candidate, among it a log-likelihood ratio counted
+over the whole corpus: how often the token before the mark, or the letters around the space, stand at the
+edge of a block, where the boundary is certain. Its transitions depend on the two tags and on what lies
+between the two candidates. All weights are learned; none is set by hand.
+
+Training needs no labels from people. Blocks of a bounded sample are put end to end, so the seam is a
+certain boundary; for scripts without full stops they are stripped of punctuation first. ``clue`` tags what
+is certain either way (a small letter after a full stop, a mark within a quotation, a word that never ends
+a block) and leaves the rest open; the likelihood of the clues, summed over all taggings that agree with
+them, is maximised. Viterbi decoding gives the best tagging of a block.
 
 Positions are code points from 0, end exclusive, without white space at either end. Defined results:
-null, empty and blank texts give no rows; repeated rows count once.
+null, empty and blank texts give no rows; repeated rows count once; an empty table gives no rows. What
+precedes a candidate is looked at up to 60 characters back, what follows up to 12 (a feature window).
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, stored
@@ -107,7 +116,7 @@ def _soft(text: str, line: tuple[int, int, int], nxt: tuple[int, int], width: in
 def _key_before(block: str, i: int) -> str:
     """The token before a mark, in lower case; a number goes with the word before it."""
     head = _JUNK.sub("", block[max(0, i - 60) : i])
-    m = _WORD_BEFORE.search(head)
+    m = _WORD_BEFORE.search(head, max(head.rfind(" "), head.rfind("\n")) + 1)  # a word holds no space
     if not m:
         return "S "
     w = m[0].lower()
@@ -150,8 +159,8 @@ def learn(text: str, into: Counter) -> None:
                 into[k, False] += 1
 
 
-class Model:
-    """Emission scores from the counts."""
+class Keys:
+    """What the corpus tells of the tokens at candidates: how surely they stand at the edge of a block."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], edge: float, bare_edge: float):
         self.counts, self.edge, self.bare_edge = counts, max(1e-5, min(0.5, edge)), max(1e-5, min(0.5, bare_edge))
@@ -164,6 +173,8 @@ class Model:
             e, n = self.counts.get(key, (0, 0))
             p, q = (self.bare_edge, self.bare_edge / 40) if key[0] in "LR" else (self.edge, self.edge / 60)  # other tokens reach an edge only by chance
             got = e * math.log(p / q) + (n - e) * math.log((1 - p) / (1 - q))
+            if len(self.memo) > 500_000:
+                self.memo.clear()
             self.memo[key] = got = max(-9.0, min(9.0, got))
         return got
 
@@ -199,124 +210,276 @@ def _nesting(block: str) -> list[tuple[int, int]]:
     return spans
 
 
-def decode(block: str, model: Model) -> list[int]:
-    """Ends of the units within one block (its own end left out), by Viterbi over the candidates."""
-    spans = _nesting(block) if re.search(r'["“”„«»「」『』（）()\[\]]', block) else []
+_ANY_QUOTE = re.compile(r'["“”„«»「」『』（）()\[\]]')
+_LATE_CLOSER = re.compile(r"\s+[»›]")
+_DASH = re.compile(r"\s+[—–]\s")
+
+
+def _kind_of(nxt: str) -> str:
+    """The class of the character after a mark."""
+    if not nxt:
+        return "none"
+    return "lower" if nxt.islower() else "upper" if nxt.isupper() else "digit" if nxt.isdigit() else "comma" if nxt in ",;:" else "letter" if nxt.isalpha() else "other"
+
+
+def _gap(block: str, a: int, e: int) -> str:
+    """How much text lies between two candidates."""
+    if e - a >= 50:
+        return "much"
+    n = 0
+    for ch in block[a:e]:
+        n += ch.isalnum()
+    return "none" if not n else "brief" if n <= 2 else "short" if n <= 12 else "some" if n <= 30 else "much"
+
+
+def observe(block: str, keys: Keys, seam: int = -1) -> tuple[list[int], list[list[tuple[str, float]]], list[str], list[int]]:
+    """Candidates of a block: their ends, emission features, transition classes and clues (1 boundary, 0 inside, -1 open).
+
+    ``seam``: the place where two blocks were put together; a candidate that ends there is a boundary.
+    """
+    spans = _nesting(block) if _ANY_QUOTE.search(block) else []
     ends: list[int] = []
-    emit: list[float] = []
+    feats: list[list[tuple[str, float]]] = []
+    between: list[str] = []
+    clues: list[int] = []
     n = len(block)
+    ratio = keys.ratio
+    last = 0
     for m in _CANDIDATE.finditer(block):
         i, j = m.span()
+        clue = -1
         if m[0].isspace():
             if i == 0 or j == n or block[i - 1] in STOPS or (block[i - 1] in _CLOSERS and i > 1 and block[i - 2] in STOPS):
                 continue
             left, right = _bare_keys(block, i, j)
-            s = model.ratio(left) + model.ratio(right)
-            if not _BARE_RE.match(block[i - 1]) or not _BARE_RE.match(block[j]):  # another script on one side
-                one = model.ratio(left) if _BARE_RE.match(block[i - 1]) else model.ratio(right)
-                other = block[j] if _BARE_RE.match(block[i - 1]) else block[i - 1]
-                s = one + (-6.0 if other.isdigit() else 2.0 if other.isupper() or other in "\"“¿¡" else 0.0)
-            if any(a < i <= b for a, b in spans):
-                s -= 8
-            ends.append(i)
-            emit.append(s)
-            continue
-        e = j
-        # Closing quotes and brackets go with the sentence; French sets a space before them.
-        while e < n:
-            if block[e] in _CLOSERS and (block[e] != "'" or e + 1 == n or not block[e + 1].isalpha()) and not (block[e] == '"' and not any(b == e for _, b in spans)) and not (block[e] == "“" and not any(b == e for _, b in spans)):
-                e += 1
-            elif block[e].isspace() and re.match(r"\s+[»›]", block[e:]) and any(a < i and b == e + len(re.match(r"\s+", block[e:])[0]) for a, b in spans):
-                e += len(re.match(r"\s+[»›]", block[e:])[0])
-            elif _JUNK.match(block[e]) and e + 1 < n and block[e + 1] in _CLOSERS:
-                e += 1
-            else:
-                break
-        if e >= n or not block[e:].strip():
-            continue
-        spaced = block[e].isspace()
-        if not spaced and _JUNK.match(block[e]):
-            rest = _JUNK.sub("", block[e : e + 8])
-            spaced = rest[:1].isspace()
-        nxt = _first(block, e)
-        mark = m[0]
-        if mark[0] in FULL or mark[-1] in FULL:
-            s = 6.0
-        elif "…" in mark or mark.count(".") >= 2 and not mark.strip("."):
-            s = 3.0 if nxt.isupper() and spaced else -6.0
-        elif "!" in mark or "?" in mark:
-            s = (-6.0 if e > j or not spaced else 1.0) if nxt.islower() else 5.0 if spaced or e > j else 1.0 if nxt.isupper() or not nxt.isascii() else -4.0
+            a, b = ratio(left), ratio(right)
+            before, after = bool(_BARE_RE.match(block[i - 1])), bool(_BARE_RE.match(block[j]))
+            if before and after:
+                f = [("space", 1.0), ("space sum", (a + b) / 3), ("space left", min(a, b) / 3)]
+                if min(a, b) >= 1.5 and a + b >= 5:
+                    clue = 1
+                elif a + b <= -4:
+                    clue = 0
+            else:  # another script on one side: only the other side tells
+                other = block[j] if before else block[i - 1]
+                one = a if before else b
+                c = "digit" if other.isdigit() else "upper" if other.isupper() else "quote" if other in "\"“¿¡" else "other"
+                f = [(f"mixed {before} {c}", 1.0), (f"mixed sum {c == 'digit'}", one / 3)]
+                if one >= 6 and c != "digit":
+                    clue = 1
+                elif one <= -3 or c == "digit" and one < 3:
+                    clue = 0
+            if any(x < i <= y for x, y in spans):
+                f, clue = [("space within", 1.0)], 0
+            e = i
+            gap = "s " + _gap(block, last, e)
         else:
-            k = _key_before(block, i)
-            r = model.ratio(k)
-            if not spaced and e == j:
-                # no space after the full stop: only between a word and a capital
-                before = block[max(0, i - 3) : i]
-                s = -9.0
-                if nxt and block[e] == nxt and nxt.isupper() and before[-2:].isalpha() and before[-2:].islower() and "." not in before and r > -1:
-                    s = 2.0 + min(r, 4.0)
-                elif nxt and block[e] in _OPENERS and r > 0 and before[-1:].isalpha():
-                    s = 1.0
-            elif nxt.islower() or nxt in ",;:":
-                s = -7.0
-                if nxt.islower() and r > 2.5 and k[0] == "W":
-                    s = 1.0  # texts in small letters throughout: the word before tells
+            e = j
+            # Closing quotes and brackets go with the sentence; French sets a space before them.
+            while e < n:
+                if block[e] in _CLOSERS and (block[e] != "'" or e + 1 == n or not block[e + 1].isalpha()) and not (block[e] == '"' and not any(b == e for _, b in spans)) and not (block[e] == "“" and not any(b == e for _, b in spans)):
+                    e += 1
+                elif block[e].isspace() and (late := _LATE_CLOSER.match(block, e)) and any(a < i and b == late.end() - 1 for a, b in spans):
+                    e = late.end() - 1
+                elif _JUNK.match(block[e]) and e + 1 < n and block[e + 1] in _CLOSERS:
+                    e += 1
+                else:
+                    break
+            if e >= n or not block[e:].strip():
+                continue
+            spaced = block[e].isspace()
+            if not spaced and _JUNK.match(block[e]):
+                spaced = _JUNK.sub("", block[e : e + 8])[:1].isspace()
+            nxt = _first(block, e)
+            kind = _kind_of(nxt)
+            mark = m[0]
+            if mark[0] in FULL or mark[-1] in FULL:
+                f, clue = [("full", 1.0), (f"full {kind}", 1.0)], 1
+            elif "…" in mark or mark.count(".") >= 2 and not mark.strip("."):
+                f = [("dots", 1.0), (f"dots {kind} {spaced}", 1.0)]
+                clue = 1 if kind == "upper" and spaced else 0
+            elif "!" in mark or "?" in mark:
+                f = [("call", 1.0), (f"call {kind} {spaced} {e > j}", 1.0)]
+                clue = (0 if e > j or not spaced else -1) if kind == "lower" else 1 if spaced or e > j else -1 if kind == "upper" or nxt and not nxt.isascii() else 0
             else:
-                prior = 1.5
+                k = _key_before(block, i)
+                r = ratio(k)
                 word = k[2:]
-                if k[0] == "W":
-                    if len(word) == 1 and word.isalpha() or "." in word:
-                        prior = -3.0
-                    elif len(word) <= 3:
-                        prior = 0.5
-                elif k[0] == "N":
-                    prior = -1.0 if i <= 4 else 0.5
-                elif k[0] == "S":
-                    prior = 2.0
-                s = prior + r - (1.0 if nxt.isdigit() else 0.0)
-        inside = [(a, b) for a, b in spans if a < i and b >= e]
-        if inside:
-            s = -9.0
-        closed = [a for a, b in spans if i < b < e and a < i]
-        if closed:
-            a = min(closed)
-            opens_unit = not block[:a].strip() or bool(ends) and _opens(block, a, ends, emit)
-            quote = block[a] not in "([（【"
-            if quote and opens_unit and not nxt.isupper():
-                s = -5.0  # direct speech first, then who spoke
-            elif quote and not spaced and nxt and not nxt.isupper() and block[e] not in _OPENERS and opens_unit:
-                s = -5.0
-        if e < n and block[e] in ",，、;；:：—" or re.match(r"\s+[—–]\s", block[e:]):
-            s = -8.0
+                if not spaced and e == j:
+                    before = block[max(0, i - 3) : i]
+                    close = bool(nxt) and block[e] == nxt and kind == "upper" and before[-2:].isalpha() and before[-2:].islower() and "." not in before
+                    opens = bool(nxt) and block[e] in _OPENERS and before[-1:].isalpha()
+                    where = "close" if close else "opens" if opens else f"tight {kind}"
+                    clue = (1 if r > 1 else 0 if r <= -2 else -1) if close or opens else 0
+                elif kind in ("lower", "comma"):
+                    where = f"before {kind} {k[0]}"
+                    clue = -1 if kind == "lower" and r > 2.5 and k[0] == "W" else 0
+                else:
+                    shape = "initial" if k[0] == "W" and (len(word) == 1 and word.isalpha() or "." in word) else "brief" if k[0] == "W" and len(word) <= 3 else "first" if k[0] == "N" and i <= 4 else k[0]
+                    where = f"dot {shape} {'digit' if kind == 'digit' else ''}"
+                    clue = 1 if r >= (1 if shape not in ("initial", "first") else 5) else 0 if r <= (1 if shape in ("initial", "first") else -3) else -1
+                family = where.partition(" ")[0]  # what a rare case shares with its like
+                f = [(where, 1.0), (f"ratio {where}", r / 3), (f"{family} all", 1.0), (f"ratio {family} all", r / 3)]
+            gap = "m " + _gap(block, last, e)
+            within = bool(spans) and any(a < i and b >= e for a, b in spans)
+            closed = [a for a, b in spans if i < b < e and a < i] if spans else []
+            if within:
+                f, clue = [("within", 1.0)], 0
+            elif closed and block[min(closed)] not in "([（【" and kind != "upper" and (spaced or nxt and block[e] not in _OPENERS):
+                # Direct speech that opens a unit, and who spoke after it: the tag before the quotation tells.
+                direct = not block[last : min(closed)].strip()
+                gap = "speech" if direct else gap
+                f = [("speech", 1.0), (f"speech {kind}", 1.0)] if direct else f
+                clue = 0 if direct else clue
+            if block[e] in ",，、;；:：—" or _DASH.match(block, e):
+                f, clue = [("goes on", 1.0)], 0
+        if seam >= 0 and last < seam <= e + 1 and e <= seam:
+            clue = 1
         ends.append(e)
-        emit.append(s)
+        feats.append(f)
+        between.append(gap)
+        clues.append(clue)
+        last = e
+    return ends, feats, between, clues
+
+
+class Chain:
+    """A linear-chain conditional random field over two tags: 0 inside, 1 boundary."""
+
+    def __init__(self, emit: dict[str, float], move: dict[str, tuple[float, float, float, float]]):
+        self.emit, self.move = emit, move  # move: inside to inside, inside to boundary, boundary to inside, boundary to boundary
+
+    @classmethod
+    def fit(cls, sequences: list[tuple[list[list[tuple[str, float]]], list[str], list[int]]], rounds: int = 60, l2: float = 0.02, rate: float = 0.3) -> Chain:
+        """Weights that maximise the likelihood of the clues; open tags are summed over. All sequences step together."""
+        sequences = [s for s in sequences if s[2] and max(s[2]) >= 0]
+        if not sequences:
+            return cls({}, {})
+        names = {k: i for i, k in enumerate(sorted({k for fs, _, _ in sequences for f in fs for k, _ in f}))}
+        gaps = {k: i for i, k in enumerate(sorted({g for _, gs, _ in sequences for g in gs}))}
+        sequences = sorted(sequences, key=lambda s: -len(s[2]))
+        lens = np.array([len(s[2]) for s in sequences])
+        top, many = int(lens.max()), len(sequences)
+        width = max(len(f) for fs, _, _ in sequences for f in fs)
+        at = np.full((top, many, width), len(names), np.int64)
+        val = np.zeros((top, many, width))
+        gap = np.zeros((top, many), np.int64)
+        may = np.ones((top, many, 2))  # which tags the clues allow
+        for s, (fs, gs, cs) in enumerate(sequences):
+            for t, (f, g, c) in enumerate(zip(fs, gs, cs)):
+                for w, (k, v) in enumerate(f):
+                    at[t, s, w], val[t, s, w] = names[k], v
+                gap[t, s] = gaps[g]
+                if c >= 0:
+                    may[t, s, 1 - c] = 0.0
+        here = np.arange(top)[:, None] < lens[None, :]
+        alive = here.sum(1)  # sequences are ordered by length, so those alive come first
+
+        def expected(allow: np.ndarray, e: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Expected tags (top, many) and moves (top, many, 2, 2) under the allowed taggings."""
+            up = np.exp(np.clip(e, -30, 30))
+            step = np.exp(np.clip(m, -20, 20))[gap]  # top, many, from, to
+            f = np.zeros((top, many, 2))
+            b = np.ones((top, many, 2))
+            for t in range(top):
+                n = alive[t]
+                came = step[t, :n, 1] if t == 0 else np.einsum("sp,spc->sc", f[t - 1, :n], step[t, :n])
+                came = came * allow[t, :n]
+                came[:, 1] *= up[t, :n]
+                f[t, :n] = came / came.sum(1, keepdims=True)
+            for t in range(top - 2, -1, -1):
+                n = alive[t + 1]
+                ahead = b[t + 1, :n] * allow[t + 1, :n]
+                ahead[:, 1] *= up[t + 1, :n]
+                back = np.einsum("spc,sc->sp", step[t + 1, :n], ahead)
+                b[t, :n] = back / back.sum(1, keepdims=True)
+            tag = f * b
+            tag = tag[:, :, 1] / tag.sum(2).clip(1e-300)
+            prev = np.concatenate([np.broadcast_to(np.array([0.0, 1.0]), (1, many, 2)), f[:-1]])
+            cur = b * allow
+            cur[:, :, 1] *= up
+            pair = prev[:, :, :, None] * step * cur[:, :, None, :]
+            return tag * here, pair / pair.sum((2, 3), keepdims=True).clip(1e-300) * here[:, :, None, None]
+
+        w, m = np.zeros(len(names) + 1), np.zeros((len(gaps), 2, 2))
+        mw, vw, mm, vm = np.zeros_like(w), np.zeros_like(w), np.zeros_like(m), np.zeros_like(m)
+        every = np.ones_like(may)
+        for k in range(1, rounds + 1):
+            e = (w[at] * val).sum(2)
+            tag, pair = (x - y for x, y in zip(expected(may, e, m), expected(every, e, m)))
+            gw = np.bincount(at.ravel(), (val * tag[:, :, None]).ravel(), len(w)) - l2 * w
+            gm = np.zeros_like(m)
+            np.add.at(gm, gap.ravel(), pair.reshape(-1, 2, 2))
+            gm -= l2 * m
+            gw[-1] = 0.0
+            for x, g, a, v in ((w, gw, mw, vw), (m, gm, mm, vm)):
+                a += 0.1 * (g - a)
+                v += 0.01 * (g * g - v)
+                x += rate * (a / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        return cls({k: float(w[i]) for k, i in names.items()}, {k: tuple(m[i].ravel().tolist()) for k, i in gaps.items()})
+
+    def scores(self, feats: list[list[tuple[str, float]]]) -> list[float]:
+        """Emission of the boundary tag against inside, per candidate."""
+        get = self.emit.get
+        return [sum([get(k, 0.0) * v for k, v in f]) for f in feats]
+
+    def viterbi(self, emit: list[float], between: list[str]) -> list[int]:
+        """The best tags."""
+        still = (0.0, 0.0, 0.0, 0.0)
+        back: list[tuple[int, int]] = []
+        a, b = -1e30, 0.0  # a block opens after a boundary
+        for s, g in zip(emit, between):
+            ii, ib, bi, bb = self.move.get(g, still)
+            p, q, x, y = a + ii, b + bi, a + ib, b + bb
+            back.append((1 if q > p else 0, 1 if y > x else 0))
+            a, b = (q if q > p else p), (y if y > x else x) + s
+        tag = 1 if b > a else 0
+        out = [0] * len(emit)
+        for t in range(len(emit) - 1, -1, -1):
+            out[t] = tag
+            tag = back[t][tag]
+        return out
+
+
+class Model:
+    """The corpus counts and the chain."""
+
+    def __init__(self, keys: Keys, chain: Chain):
+        self.keys, self.chain = keys, chain
+
+
+def decode(block: str, model: Model) -> list[int]:
+    """Ends of the units within one block (its own end left out)."""
+    ends, feats, between, _ = observe(block, model.keys)
     if not ends:
         return []
-    # Viterbi: labels inside (0) and boundary (1); a unit without a word costs.
-    back: list[list[int]] = []
-    state = [0.0, 0.0]
-    for t, (e, s) in enumerate(zip(ends, emit)):
-        to_inside = (state[0], 0) if state[0] >= state[1] else (state[1], 1)
-        gap = block[ends[t - 1] : e] if t else block[:e]
-        empty = not any(ch.isalnum() for ch in gap)
-        to_bound = max((state[0] + s / 2, 0), (state[1] + s / 2 - (20.0 if empty else 0.0), 1)) if t else (s / 2 - (20.0 if empty else 0.0), 0)
-        back.append([to_inside[1], to_bound[1]])
-        state = [to_inside[0] - s / 2, to_bound[0]]
-    label = 0 if state[0] >= state[1] else 1
-    out = []
-    for t in range(len(ends) - 1, -1, -1):
-        if label:
-            out.append(ends[t])
-        label = back[t][label]
-    return out[::-1]
+    return [e for e, tag in zip(ends, model.chain.viterbi(model.chain.scores(feats), between)) if tag]
+
+
+_PUNCTUATION = re.compile(r"[.,;:!?…\"'“”„«»()\[\]]")
+_SEAM_CHARS, _SEAM_MOST = 500, 20  # training only: characters on either side of a seam, candidates of a sequence
 
 
-def _opens(block: str, a: int, ends: list[int], emit: list[float]) -> bool:
-    """Whether the quote at ``a`` stands right after an accepted boundary."""
-    for e, s in zip(reversed(ends), reversed(emit)):
-        if e <= a:
-            return s > 0 and not block[e:a].strip()
-    return False
+def training(text: str, keys: Keys) -> list[tuple[list[list[tuple[str, float]]], list[str], list[int]]]:
+    """Training sequences of a text: each block put before the next one (the last before the first)."""
+    own = [block for a, b in blocks(text) if (block := text[a:b].strip())]
+    out = []
+    for k, block in enumerate(own):
+        nxt = own[(k + 1) % len(own)][:_SEAM_CHARS]
+        left = block[-_SEAM_CHARS:]
+        bare = bool(_BARE_RE.search(block))
+        if bare:
+            left, nxt = _PUNCTUATION.sub("", left).strip(), _PUNCTUATION.sub("", nxt).strip()
+        elif left.rstrip("\"'”’»)] ")[-1:] not in STOPS:  # a heading or a list item: no seam, but what stands in it
+            nxt = ""
+        gap = "" if left[-1:] in FULL and not left[-1:].isascii() and "\u3000" < nxt[:1] < "\uffff" else " "
+        if left and nxt:
+            _, f, g, c = observe(left + gap + nxt, keys, len(left))
+            out.append((f[:_SEAM_MOST], g[:_SEAM_MOST], c[:_SEAM_MOST]))
+        if bare or not nxt:  # abbreviations and quotations as they are written
+            _, f, g, c = observe(block[:_SEAM_CHARS], keys)
+            out.append((f[:_SEAM_MOST], g[:_SEAM_MOST], c[:_SEAM_MOST]))
+    return out
 
 
 def split(text: str | None, model: Model) -> list[tuple[int, int]]:
@@ -336,7 +499,19 @@ def split(text: str | None, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def train(docs: DataFrame, text: str) -> Model:
+FIT_TEXTS = 250  # of each script so many texts at most (by hash) train the chain; the counts cover all texts
+# The scripts whose texts are sampled apart, by a character of theirs.
+SCRIPTS = {"bare": f"[{_BARE}]", "kana": "[\u3040-\u30ff]", "han": "[\u4e00-\u9fff]", "deva": "[\u0900-\u097f]", "arab": "[\u0600-\u06ff]", "cyrl": "[\u0400-\u04ff]"}
+
+
+def _script(text: Column) -> Column:
+    out = F.lit("other")
+    for name, rx in reversed(SCRIPTS.items()):
+        out = F.when(text.rlike(rx), name).otherwise(out)
+    return out
+
+
+def count_keys(docs: DataFrame, text: str) -> Keys:
     """Counts over all documents, aggregated per batch and then by key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,16 +528,40 @@ def train(docs: DataFrame, text: str) -> Model:
     bare = F.col("key").rlike("^[LR] ")
     totals = counted.agg(F.sum(F.when(~bare, F.col("n"))).alias("n"), F.sum(F.when(~bare, F.col("e"))).alias("e"), F.sum(F.when(F.col("key").startswith("L "), F.col("n"))).alias("bn"), F.sum(F.when(F.col("key").startswith("L "), F.col("e"))).alias("be")).first()
     every = (totals.n or 0) + 2 * (totals.bn or 0)
-    rows = counted.where(F.col("n") >= max(2, math.ceil(every * MIN_SHARE))).collect()  # at most 1 / MIN_SHARE rows
-    return Model({r.key: (r.e, r.n) for r in rows}, 1.5 * (totals.e or 0) / max(1, totals.n or 0), 1.2 * (totals.be or 0) / max(1, totals.bn or 0))
+    rows = counted.where(F.col("n") >= max(2, math.ceil(every * MIN_SHARE))).toPandas()  # at most 1 / MIN_SHARE rows; the rest count as unseen
+    return Keys(dict(zip(rows["key"], zip(rows["e"].tolist(), rows["n"].tolist()))), 1.5 * (totals.e or 0) / max(1, totals.n or 0), 1.2 * (totals.be or 0) / max(1, totals.bn or 0))
+
+
+def train(docs: DataFrame, text: str) -> Model:
+    """Keys from all documents, the chain from a bounded sample of each script."""
+    keys = count_keys(docs, text)
+    texts = docs.where(F.length(text) > 0).select(F.col(text).alias("t"), _script(F.col(text)).alias("script"))
+    sizes = {r.script: r.n for r in texts.groupBy("script").agg(F.count("*").alias("n")).collect()}  # a row per script
+    if not sizes:
+        return Model(keys, Chain({}, {}))
+    place = F.pmod(F.xxhash64("t"), F.lit(1_000_000))
+    chosen = F.lit(False)
+    for name, n in sizes.items():
+        chosen = chosen | ((F.col("script") == name) & (place < min(1_000_000, math.ceil(1e6 * FIT_TEXTS / n))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [json.dumps(x) for t in b["t"] for x in training(t, keys)]
+            if rows:
+                yield pd.DataFrame({"sequence": rows})
+
+    sample = texts.where(chosen).select(F.substring("t", 1, 8 * _SEAM_CHARS).alias("t")).mapInPandas(run, "sequence string").toPandas()
+    return Model(keys, Chain.fit(sorted((json.loads(x) for x in sample["sequence"]), key=str)))
 
 
 def sentence_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, start_char, end_char of every sentence of every document."""
     docs = spread(docs.select(key, text))
     model = train(docs, text)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 1 / MIN_SHARE counts and some hundred weights
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = sent.value
         for b in batches:
             ks, ss, es = [], [], []
             for k, t in zip(b[key], b[text]):

@@ -1,3 +1,5 @@
+import functools
+import itertools
 import random
 from collections import Counter
 
@@ -197,12 +199,23 @@ CORPUS = (
 )
 
 
+QUOTED = [
+    'They said: "It came back at night." Then they left. The bird (as in round 5.) rose.', '"It rose. We saw it," said Dr. Yarnov at night. They left. "Is it back?" they asked. It was.',
+    'The panel called it "a bird!" and left. Did it rise?! It did. Was it so? It was! They left.', "“够了。”他们说。他写道：“很好。” 结果是好的！真的吗？是的。", "（全部。）结果是好的。「足りる。」と述べた。良い！",
+    "2. Methods\n\nIt was so. They left.\n\n3. Ergebnis\n\nIt rose. They left.", "(It was seen.) They left at night. The bird (why not?) came back. (All of it.) It was so.",
+]
+
+
+@functools.cache
 def model():
     c: Counter = Counter()
     for t in CORPUS:
         sentences.learn(t, c)
-    keys = {k for k, _ in c}
-    return sentences.Model({k: (c[k, True], c[k, False]) for k in keys}, 0.6, 0.6)
+    keys = sentences.Keys({k: (c[k, True], c[k, False]) for k in {k for k, _ in c}}, 0.6, 0.6)
+    rng = random.Random(2)
+    latin, thai = [t for t in CORPUS if t.isascii()], [t for t in CORPUS if "ก" <= t[0] <= "๙"]
+    texts = ["\n\n".join(" ".join(rng.sample(pool, rng.randrange(1, 3))) for _ in range(4)) for pool in (latin, thai) for _ in range(60)] + QUOTED * 10
+    return sentences.Model(keys, sentences.Chain.fit([x for t in texts for x in sentences.training(t, keys)]))
 
 
 def units(text):
@@ -243,13 +256,54 @@ def test_spans(spark):
 
 
 def test_held_out_accuracy():
-    """Trained on half of generated paragraphs, measured on the other half."""
+    """Trained on single sentences, measured on paragraphs drawn from them."""
     rng = random.Random(4)
-    make = lambda: [rng.choice(CORPUS[:30]) for _ in range(rng.randrange(2, 7))]
-    train, test = [make() for _ in range(200)], [make() for _ in range(200)]
-    c: Counter = Counter()
-    for p in train:
-        sentences.learn(" ".join(p), c)
-    m = sentences.Model({k: (c[k, True], c[k, False]) for k in {k for k, _ in c}}, 0.25, 0.25)
-    hit = sum([t[a:b] for a, b in sentences.split(t, m)] == p for p, t in ((p, " ".join(p)) for p in test))
-    assert hit / len(test) > 0.95
+    tests = [[rng.choice(CORPUS[:30]) for _ in range(rng.randrange(2, 7))] for _ in range(200)]
+    assert sum(units(" ".join(p)) == p for p in tests) / len(tests) > 0.95
+
+
+def chains(many, seed):
+    """Sequences in which the emission says little and a boundary never follows a brief gap after a boundary."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(many):
+        f, g, y, before = [], [], [], 1
+        for _ in range(8):
+            gap = rng.choice(["brief", "much"])
+            tag = 0 if gap == "brief" and before else int(rng.random() < 0.85)
+            sure = rng.random() < 0.6
+            f.append([("mark", 1.0)] + ([("word", 1.0 if tag else -1.0)] if sure else []))
+            g.append(gap)
+            y.append(tag)
+            before = tag
+        out.append((f, g, y))
+    return out
+
+
+def test_decoding_uses_transitions():
+    rng = random.Random(8)
+    hidden = [(f, g, [t if rng.random() < 0.5 else -1 for t in y]) for f, g, y in chains(400, 1)]
+    chain = sentences.Chain.fit(hidden)
+    assert chain.move["brief"][3] < chain.move["much"][3] - 2  # boundary after boundary over a brief gap
+    right = wrong = 0
+    for f, g, y in chains(200, 2):
+        emit = chain.scores(f)
+        got, cut = chain.viterbi(emit, g), [int(s > 0) for s in emit]
+        right += sum(a != b and a == t for a, b, t in zip(got, cut, y))
+        wrong += sum(a != b and b == t for a, b, t in zip(got, cut, y))
+    assert right > 5 * wrong and right > 100
+
+
+def test_viterbi_is_the_best_path():
+    rng = random.Random(5)
+    for _ in range(40):
+        n = rng.randrange(1, 8)
+        move = {g: tuple(rng.gauss(0, 2) for _ in range(4)) for g in "ab"}
+        emit, gaps = [rng.gauss(0, 2) for _ in range(n)], [rng.choice("ab") for _ in range(n)]
+        worth = lambda y: sum(move[g][2 * p + q] + (e if q else 0.0) for p, q, g, e in zip((1, *y), y, gaps, emit))
+        assert tuple(sentences.Chain({}, move).viterbi(emit, gaps)) == max(itertools.product((0, 1), repeat=n), key=worth)
+
+
+def test_a_model_without_texts():
+    keys = sentences.Keys({}, 0.5, 0.5)
+    assert sentences.split("One. Two.", sentences.Model(keys, sentences.Chain.fit([]))) == [(0, 9)]
