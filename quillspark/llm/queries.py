@@ -115,6 +115,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repairs(_scanned(spark, sf_dir)).select("tbl", "record_key", "item_kind", "line_no", "repaired").distinct()
 
 
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, record_key, paragraph_no, text: the repaired text as continuous paragraphs."""
+    records = stored(_scanned(spark, sf_dir))
+    return scans.reflowed(records, scans.repairs(records))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids by byte_bpe_50k."""
     return bpe.encode_corpus(load(spark, sf_dir, "documents"), "doc_id", "text")
@@ -135,7 +141,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_spans(load(spark, sf_dir, "documents"), "doc_id", "text").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p7_found": p7_found, "p7_text": p7_text, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*')"
 ORACLES: dict[str, str] = {
     "p9_found": f"""with d as (select doc_id, {_WORDS} as w from documents where text is not null), b as (select item_id, {_WORDS} as w from benchmark where text is not null),

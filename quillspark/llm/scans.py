@@ -1,23 +1,28 @@
 """Noise in text from scanned pages: parted words, misread characters, running headers and page numbers.
 
 Pass one reads every record line by line, sets page furniture aside, joins words parted at line ends
-and counts the words of all running text. Words above a relative frequency form the vocabulary (so its
-size has a bound); every other spelling is looked up once: a Levenshtein automaton whose edits are the
-visual confusions of scanners, with one free substitution, is intersected with the vocabulary trie,
-which gives all candidates; they are ranked by edit cost, frequency and, where several remain, by the
-words that stand before them in the corpus. Pass two emits the repairs of every record.
-
-Defined results: null, empty and blank texts have no repairs; rows that repeat whole count once; a
-compound parted at its own hyphen keeps it; a cut-off last word is no misreading.
+and counts the words of all running text. Spellings seen three times or more form the vocabulary. Every
+spelling is looked up once: a weighted Levenshtein automaton (one insertion, deletion or substitution of
+any letter, and the visual confusions of scanners) is intersected with the vocabulary trie, which gives
+all candidates; they are ranked by edit cost, frequency and, where several remain, by the words that stand
+before them in the corpus. The trie is sharded, and the look-ups are spread over tasks: no vocabulary
+travels to the driver or with the tasks. Pass two emits the repairs of every record; which spellings have
+a candidate it learns from a bitmap of fixed size, whose chance hits a join takes out again. ``reflowed``
+applies the repairs and gives continuous paragraphs.
+
+Defined results: null, empty and blank texts have no repairs and no paragraphs; rows that repeat whole
+count once; a compound parted at its own hyphen keeps it; a cut-off last word is no misreading.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,7 +93,7 @@ def furniture(lines: list[str], titles: tuple[str, ...] = ()) -> list[bool]:
     for l in lines:
         t = l.strip()
         f = False
-        if 0 < len(t) < 110:
+        if t:
             if _PAGE_NUMBER.match(t):
                 f = True
             elif ("|" in t or "•" in t or "·" in t) and _PAGE_AND_NAME.match(t):
@@ -122,12 +127,19 @@ def furniture(lines: list[str], titles: tuple[str, ...] = ()) -> list[bool]:
     return out
 
 
-def title_of(lines: list[str]) -> str:
+def title_of(text: str) -> str:
     """The first line of running text that opens with a capital: the title of a document's first page."""
-    flags = furniture(lines)
-    for l, f in zip(lines, flags):
-        if l.strip() and not f:
-            return l.strip()
+    lines = text.split("\n")
+    at, body = 0, 0
+    while at < len(lines):
+        # Only the first lines of running text decide about the next one: no more are read than that takes.
+        while at < len(lines) and body < 6:
+            body += bool(lines[at].strip())
+            at += 1
+        for l, f in zip(lines[:at], furniture(lines[:at])):
+            if l.strip() and not f:
+                return l.strip()
+        body = 0
     return ""
 
 
@@ -175,7 +187,7 @@ class Trie:
             node = self.root
             for ch in w:
                 node = node.setdefault(ch, {})
-            node["$"] = w
+            node["$$"] = w
 
     def _walk(self, node: dict, true: str) -> dict | None:
         for ch in true:
@@ -185,54 +197,81 @@ class Trie:
         return node
 
     def candidates(self, word: str, most: int = 3) -> dict[str, float]:
-        """Vocabulary words within ``most`` confusions, or one free substitution and one confusion; with the least cost."""
+        """Vocabulary words within ``most`` confusions, or one free edit (in words of four letters or more) and one confusion; with the least cost.
+
+        A confusion costs 1, a free substitution 2.5, a free insertion or deletion 2.75.
+        """
         out: dict[str, float] = {}
         n = len(word)
         best: dict[tuple[int, int], float] = {}
-        todo = [(self.root, 0, 0.0, 0, False)]
+        todo = [(self.root, 0, 0.0, 0, n < 4)]
         while todo:
             node, i, cost, edits, free = todo.pop()
-            state = (id(node), i * 2 + free)
-            if best.get(state, 99.0) <= cost:
+            if edits:  # states without an edit are met once
+                state = (id(node), (i * 2 + free) * 4 + edits)
+                if best.get(state, 99.0) <= cost:
+                    continue
+                best[state] = cost
+            # An open state may yet take an edit; a closed one only follows the word.
+            may_free = not free and edits < 2
+            if edits >= most or (free and n >= 4 and edits >= 2):
+                while i < n and node is not None:
+                    node = node.get(word[i])
+                    i += 1
+                w = node.get("$$") if node is not None else None
+                if w is not None and cost < out.get(w, 99.0):
+                    out[w] = cost
                 continue
-            best[state] = cost
             if i == n:
-                w = node.get("$")
+                w = node.get("$$")
                 if w is not None and cost < out.get(w, 99.0):
                     out[w] = cost
-                continue
-            ch = word[i]
-            nxt = node.get(ch)
-            if nxt is not None:
-                todo.append((nxt, i + 1, cost, edits, free))
-            if edits >= most:
-                continue
-            for seen, true in _BY_SEEN.get(ch, ()):
-                if word.startswith(seen, i):
-                    to = self._walk(node, true)
-                    if to is not None:
-                        todo.append((to, i + len(seen), cost + 1.0, edits + 1, free))
-            if not free and edits < 2 and n >= 6:
+            else:
+                ch = word[i]
+                nxt = node.get(ch)
+                if nxt is not None:
+                    todo.append((nxt, i + 1, cost, edits, free))
+                for seen, true in _BY_SEEN.get(ch, ()):
+                    if word.startswith(seen, i):
+                        to = self._walk(node, true)
+                        if to is not None:
+                            todo.append((to, i + len(seen), cost + 1.0, edits + 1, free))
+                if may_free:
+                    todo.append((node, i + 1, cost + 2.75, edits + 1, True))  # a letter too many
+                    for other, to in node.items():
+                        if other != "$$" and other != ch:
+                            todo.append((to, i + 1, cost + 2.5, edits + 1, True))
+            if may_free:
                 for other, to in node.items():
-                    if other != "$" and other != ch:
-                        todo.append((to, i + 1, cost + 2.5, edits + 1, True))
+                    if other != "$$":
+                        todo.append((to, i, cost + 2.75, edits + 1, True))  # a letter lost
         out.pop(word, None)
         return out
 
 
 def choose(word: str, count: int, trie: Trie) -> list[tuple[str, float]]:
-    """All right words a spelling may stand for, best first without context; empty if it stands for itself."""
+    """All right words a spelling may stand for, best first without context; empty if it stands for itself.
+
+    The more an edit costs, the more frequent than the spelling a right word must be. What only adds or drops
+    a letter at the end is an inflection, not a misreading.
+    """
     odd = bool(_ODD.search(word))
     if len(word) < 3:
         return []
     found = []
     for c, cost in trie.candidates(word).items():
         n = trie.counts[c]
+        shifted = cost % 1 == 0.75
         need = 2 if odd and cost == int(cost) else 25 if cost <= 2 else 60
         if cost != int(cost) and odd:
             need = 400
-        if n >= need * count and len(c) >= 3:
-            found.append((c, math.log(n) - 3.0 * cost))
+        elif cost == 2.5 and len(word) < 6 or shifted:
+            need = 400
+        if n < need * count or len(c) < 3:
+            continue
+        if shifted and (cost > 2.75 or word.startswith(c) or c.startswith(word) or c[:-1] == word[:-1] or word[: min(len(c), len(word)) - 1] == c[: min(len(c), len(word)) - 1]):
+            continue
+        found.append((c, math.log(n) - 3.0 * cost))
     found.sort(key=lambda x: (-x[1], x[0]))
     return found
 
@@ -247,35 +286,25 @@ def _with_case(right: str, seen: str, opens: bool, upper_share: float) -> str:
     return right
 
 
-def whole_word(left: str, rest: str, counts: dict[str, int]) -> tuple[str, bool]:
-    """The word parted as left + rest, and whether it keeps a hyphen."""
-    joined, compound = (left + rest), f"{left}-{rest}"
-    a, b = counts.get(joined.lower(), 0), counts.get(compound.lower(), 0)
-    if b > a:
-        return compound, True
-    if a:
-        return joined, False
-    both = min(counts.get(left.lower(), 0), counts.get(rest.lower(), 0))
-    return (compound, True) if both > 0 and len(left) > 3 and len(rest) > 3 else (joined, False)
-
-
 _COUNTS = "word string, n long, upper long"
 
 
 def word_counts(records: DataFrame) -> DataFrame:
-    """Words of all running text without the parted ones; counted per batch before the shuffle."""
+    """word, n, upper: words of all running text; counted per batch before the shuffle. What parted words may be comes with n = 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raw: Counter = Counter()
+            n: Counter = Counter()
+            up: Counter = Counter()
             for text, title in zip(b["text"], b["title"]):
                 if text:
                     lines = running(text, (title,) if title else ())[1]
-                    parted(lines)
+                    for _, left, rest in parted(lines):
+                        n[(left + rest).lower()] += 0
+                        n[f"{left}-{rest}".lower()] += 0
                     for _, words in lines:
                         raw.update(words)
-            n: Counter = Counter()
-            up: Counter = Counter()
             for w, c in raw.items():
                 core = _core(w)
                 if core and _is_word(core):
@@ -289,7 +318,57 @@ def word_counts(records: DataFrame) -> DataFrame:
     return records.mapInPandas(run, _COUNTS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("upper").alias("upper"))
 
 
-RARE = 2e-6  # words rarer than this are not in the vocabulary, so it has at most 1 / RARE words
+LEAST_SEEN = 3  # spellings seen less often are no right words
+SHARD_WORDS, PART_WORDS = 60_000, 20_000  # words of a trie, look-ups of a task
+BITS = 26  # the bitmap has so many address bits: 8 MB
+
+
+def look_up(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """word, right_word, score of every spelling (word, n) that may stand for a word of ``vocabulary`` (word, n).
+
+    Each shard of the vocabulary meets each part of the spellings in a task of its own.
+    """
+    shards = max(1, math.ceil(vocabulary.count() / SHARD_WORDS))
+    asked = words.where(F.length("word") >= 3)
+    parts = max(words.sparkSession.sparkContext.defaultParallelism, math.ceil(asked.count() / PART_WORDS))
+    place = lambda n: F.pmod(F.xxhash64("word"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("word", F.greatest("n", F.lit(1)).alias("n"), place(parts).alias("part"), every(shards).alias("shard")).repartition(shards * parts, "part", "shard")
+    right = vocabulary.select("word", "n", place(shards).alias("shard"), every(parts).alias("part")).repartition(shards * parts, "part", "shard")
+
+    def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        trie = Trie(dict(zip(known["word"], known["n"].tolist())))
+        rows = [(w, r, s) for w, n in zip(asked["word"], asked["n"].tolist()) for r, s in choose(w, n, trie)]
+        return pd.DataFrame(rows, columns=["word", "right_word", "score"])
+
+    return left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInPandas(meet, "word string, right_word string, score double")
+
+
+def bitmap(words: DataFrame, word: str) -> bytes:
+    """Which hashes occur; of one size whatever the number of words."""
+    slot = F.pmod(F.crc32(F.col(word).cast("binary")), F.lit(1 << BITS))
+    got = words.select(slot.alias("s")).groupBy(F.shiftright("s", 5).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).toPandas()  # at most 2 ** (BITS - 5) rows
+    out = np.zeros(1 << (BITS - 5), "<u4")
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype("<u4")
+    return out.tobytes()
+
+
+def _has(bits: bytes, word: str) -> bool:
+    s = zlib.crc32(word.encode("utf-8", "replace")) % (1 << BITS)
+    return bool(bits[s >> 3] >> (s & 7) & 1)
+
+
+def whole_words(breaks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``breaks`` (found = left + rest) with found and word set to the whole word: with its hyphen where that is the more usual form."""
+    both = [F.concat("left_part", "rest"), F.concat_ws("-", "left_part", "rest"), F.col("left_part"), F.col("rest")]
+    names = ["joined", "compound", "l", "r"]
+    rows = breaks.select("*", *[F.lower(c).alias(n) for c, n in zip(both, names)])
+    known = stored(rows.select(F.explode(F.array(*names)).alias("word")).distinct().join(vocabulary.select("word", "n"), "word"))
+    for n in names:
+        rows = rows.join(known.select(F.col("word").alias(n), F.col("n").alias(f"n_{n}")), n, "left")
+    seen = lambda n: F.coalesce(f"n_{n}", F.lit(0))
+    hyphen = (seen("compound") > seen("joined")) | ((seen("joined") == 0) & (F.least(seen("l"), seen("r")) > 0) & (F.length("left_part") > 3) & (F.length("rest") > 3))
+    return rows.withColumn("found", F.when(hyphen, both[1]).otherwise(both[0])).withColumn("word", F.lower("found")).drop(*names, *[f"n_{n}" for n in names])
 
 
 def with_titles(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -297,43 +376,33 @@ def with_titles(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def title(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: title_of(t.split("\n")[:8]) if t else "")
+        return texts.map(lambda t: title_of(t) if t else "")
 
     title = title.asNondeterministic()  # one evaluation
-    titles = stored(spread(docs.where("length(content) > 0").select("id", F.substring("content", 1, 2000).alias("content"))).select("id", title("content").alias("title")).where("length(title) >= 12").groupBy("id").agg(F.min("title").alias("title")))
+    titles = stored(spread(docs.where("length(content) > 0").select("id", "content")).select("id", title("content").alias("title")).where("length(title) >= 12").groupBy("id").agg(F.min("title").alias("title")))
     a = docs.select(F.lit("paper_documents").alias("tbl"), F.col("id").alias("record_key"), F.col("content").alias("text"), F.lit(None).cast("string").alias("title"))
     b = chunks.select(F.lit("document_chunks").alias("tbl"), F.col("id").alias("record_key"), F.col("text"), F.col("document_id")).join(titles.withColumnRenamed("id", "document_id"), "document_id", "left").select("tbl", "record_key", "text", "title")
     return a.unionByName(b).where("length(text) > 0")
 
 
+_RAW = "tbl string, record_key string, item_kind string, line_no long, found string, word string, prev string, opens boolean, left_part string, rest string, n long"
+
+
 def repairs(records: DataFrame) -> DataFrame:
     """tbl, record_key, item_kind, line_no, found, repaired; ``records`` as from ``with_titles``."""
     records = spread(records)
+    spark = records.sparkSession
     counted = stored(word_counts(records))
-    total = counted.agg(F.sum("n").alias("t")).first().t or 0
-    floor = max(3, math.ceil(total * RARE))
-    vocabulary = {r.word: (r.n, r.upper) for r in counted.where(F.col("n") >= floor).where(~F.col("word").rlike(r"[0-9@|$€ﬀ-ﬄ]")).collect()}  # at most 1 / RARE rows
-    counts = {w: n for w, (n, _) in vocabulary.items()}
-    upper = {w: u / n for w, (n, u) in vocabulary.items() if u}
-
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(counts)
-        for b in batches:
-            rows = [(w, r, s) for w, n in zip(b["word"], b["n"]) for r, s in choose(w, int(n), trie)]
-            if rows:
-                w, r, s = zip(*rows)
-                yield pd.DataFrame({"word": w, "right_word": r, "score": s})
-
-    found = "word string, right_word string, score double"
-    fixes = stored(counted.mapInPandas(look_up, found))
-    # What may need a repair: words outside the vocabulary, and those of its words that have a candidate (both sets
-    # below are part of the vocabulary, so their size has its bound).
-    doubtful_words = {r.word for r in fixes.join(counted.where(F.col("n") >= floor), "word", "left_semi").select("word").distinct().collect()}
+    vocabulary = counted.where(F.col("n") >= LEAST_SEEN).where(~F.col("word").rlike(r"[0-9@|$€ﬀ-ﬄ]"))
+    looked = stored(look_up(counted, vocabulary))
+    # A spelling that stands for another word is no right word itself.
+    fixes = stored(looked.join(looked.select(F.col("word").alias("right_word")).distinct(), "right_word", "left_anti").select("word", "right_word", "score"))
     several = fixes.groupBy("word").agg(F.count("*").alias("c")).where("c > 1")
-    rivals = {r.right_word for r in fixes.join(several, "word", "left_semi").select("right_word").distinct().collect()}
+    fixable, rivals = (spark.sparkContext.broadcast(x) for x in (bitmap(fixes, "word"), bitmap(fixes.join(several, "word", "left_semi"), "right_word")))  # 8 MB each
 
     def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sound: set[str] = set()  # tokens as written that need no second look
+        has_fix, is_rival = fixable.value, rivals.value
         for b in batches:
             out: list[tuple] = []
             pairs: Counter = Counter()
@@ -341,11 +410,10 @@ def repairs(records: DataFrame) -> DataFrame:
                 sound.clear()
             for tbl, key, text, title in zip(b["tbl"], b["record_key"], b["text"], b["title"]):
                 flags, run = running(text, (title,) if title else ())
-                out += [(tbl, key, "furniture", i + 1, "", "", "", False, 1) for i, f in enumerate(flags) if f]
+                out += [(tbl, key, "furniture", i + 1, "", "", "", False, "", "", 1) for i, f in enumerate(flags) if f]
                 before = {n: (run[n][1][-2] if len(run[n][1]) > 1 else "") for n in range(len(run))}
                 for n, left, rest in parted(run):
-                    whole, _ = whole_word(left, rest, counts)
-                    out.append((tbl, key, "break", run[n][0] + 1, whole, whole.lower(), _core(before[n]).lower(), before[n][-1:] in ".!?:", 1))
+                    out.append((tbl, key, "break", run[n][0] + 1, "", "", _core(before[n]).lower(), before[n][-1:] in ".!?:", left, rest, 1))
                 prev_line = ""
                 for n, (i, words) in enumerate(run):
                     for k, w in enumerate(words):
@@ -361,40 +429,114 @@ def repairs(records: DataFrame) -> DataFrame:
                         if not core or not _is_word(core):
                             sound.add(w)
                             continue
-                        known = low in counts
                         prev = words[k - 1] if k else prev_line
-                        if low in rivals:
+                        rival = _has(is_rival, low)
+                        if rival:
                             pairs[_core(prev).lower(), low] += 1
-                        if not known or low in doubtful_words:
-                            out.append((tbl, key, "glyph", i + 1, core, low, _core(prev).lower(), not prev or prev[-1] in ".!?:" or prev[-2:] in ('."', '?"', '!"'), 1))
-                        elif low not in rivals:
+                        if _has(has_fix, low):
+                            out.append((tbl, key, "glyph", i + 1, core, low, _core(prev).lower(), not prev or prev[-1] in ".!?:" or prev[-2:] in ('."', '?"', '!"'), "", "", 1))
+                        elif not rival:
                             sound.add(w)
                     prev_line = words[-1] if words else prev_line
-            out += [(None, None, "pair", None, None, w, p, False, c) for (p, w), c in pairs.items()]
+            out += [(None, None, "pair", None, None, w, p, False, None, None, c) for (p, w), c in pairs.items()]
             if out:
-                yield pd.DataFrame(out, columns=["tbl", "record_key", "item_kind", "line_no", "found", "word", "prev", "opens", "n"]).astype({"line_no": "Int64"})
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _RAW.split(", ")]).astype({"line_no": "Int64"})
 
-    schema = "tbl string, record_key string, item_kind string, line_no long, found string, word string, prev string, opens boolean, n long"
-    raw = stored(records.mapInPandas(items, schema))
-    # Words that occur only parted have no count of their own; they are looked up as well.
-    only_parted = raw.where("item_kind = 'break'").select("word").distinct().join(counted, "word", "left_anti").select("word", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("upper"))
-    fixes = stored(fixes.unionByName(only_parted.mapInPandas(look_up, found)))
+    raw = stored(records.mapInPandas(items, _RAW))
+    breaks = stored(whole_words(raw.where("item_kind = 'break'"), vocabulary))
+    words = breaks.unionByName(raw.where("item_kind = 'glyph'"))
 
     # Context: where a spelling has several candidates, the one seen after the same word elsewhere comes first.
-    several = fixes.groupBy("word").agg(F.count("*").alias("c")).where("c > 1")
-    doubtful = raw.where("item_kind in ('glyph', 'break')").join(several, "word", "left_semi").select("word", "prev").distinct().join(fixes, "word")
+    doubtful = words.join(several, "word", "left_semi").select("word", "prev").distinct().join(fixes, "word")
     pairs = raw.where("item_kind = 'pair'").groupBy("prev", F.col("word").alias("right_word")).agg(F.sum("n").alias("seen"))
     ranked = doubtful.join(pairs, ["prev", "right_word"], "left").withColumn("r", F.row_number().over(Window.partitionBy("word", "prev").orderBy((F.col("score") + F.log1p(F.coalesce("seen", F.lit(0)))).desc(), "right_word")))
     by_context = ranked.where("r = 1").select("word", "prev", F.col("right_word").alias("by_context"))
     by_word = fixes.groupBy("word").agg(F.max_by("right_word", F.struct("score", "right_word")).alias("by_word"))
-    raw = raw.where("item_kind <> 'pair'").join(fixes.select("word").distinct(), "word", "left_semi").unionByName(raw.where("item_kind in ('furniture', 'break')").join(fixes.select("word").distinct(), "word", "left_anti"))
 
     @F.pandas_udf("string")
-    def cased(right: pd.Series, seen: pd.Series, opens: pd.Series) -> pd.Series:
-        return pd.Series([_with_case(r, s, bool(o), upper.get(r, 0.0)) if r else r for r, s, o in zip(right, seen, opens)], dtype=object)
-
-    right = F.coalesce("by_context", "by_word")
-    fixed = raw.join(by_word, "word", "left").join(by_context, ["word", "prev"], "left").where((F.col("item_kind") != "glyph") | right.isNotNull())
-    kind = F.col("item_kind")
-    repaired = F.when(kind == "furniture", F.lit("")).when(right.isNotNull(), cased(right, F.col("found"), F.col("opens"))).otherwise(F.col("found"))
-    return fixed.select("tbl", "record_key", "item_kind", "line_no", "found", repaired.alias("repaired"))
+    def cased(right: pd.Series, seen: pd.Series, opens: pd.Series, upper: pd.Series) -> pd.Series:
+        return pd.Series([_with_case(r, s, bool(o), u) if r else r for r, s, o, u in zip(right, seen, opens, upper)], dtype=object)
+
+    fixed = words.join(by_word, "word", "left").join(by_context, ["word", "prev"], "left").withColumn("right_word", F.coalesce("by_context", "by_word")).where((F.col("item_kind") != "glyph") | F.col("right_word").isNotNull())
+    shares = counted.where("upper > 0").select(F.col("word").alias("right_word"), (F.col("upper") / F.col("n")).alias("upper_share"))
+    fixed = fixed.join(shares, "right_word", "left")
+    repaired = F.when(F.col("right_word").isNotNull(), cased("right_word", "found", "opens", F.coalesce("upper_share", F.lit(0.0)))).otherwise(F.col("found"))
+    furniture_rows = raw.where("item_kind = 'furniture'").select("tbl", "record_key", "item_kind", "line_no", F.lit("").alias("found"), F.lit("").alias("repaired"))
+    return fixed.select("tbl", "record_key", "item_kind", "line_no", "found", repaired.alias("repaired")).unionByName(furniture_rows)
+
+
+# ---- reflow ----
+_STOPS = ".!?:"
+_ORDINAL = re.compile(r"\d+(?:\.\d+)*\.?$")
+
+
+def _lead(token: str) -> str:
+    return token[: len(token) - len(token.lstrip(_EDGE))]
+
+
+def _tail(token: str) -> str:
+    return token[len(token.rstrip(_EDGE)) :]
+
+
+def reflow(text: str, items: list[tuple[str, int, str, str]]) -> list[str]:
+    """The paragraphs of a record with its repairs (item_kind, line_no, found, repaired) applied.
+
+    Furniture is left out and parts no paragraph. A paragraph ends at a blank line after a whole sentence, and
+    before and after a heading: a short line, with or without a number, that opens with a capital and has no stop.
+    """
+    gone = {n for k, n, _, _ in items if k == "furniture"}
+    joined = {n: r for k, n, _, r in items if k == "break"}
+    right: dict[tuple[int, str], str] = {(n, f): r for k, n, f, r in items if k == "glyph"}
+    lines = []
+    for n, l in enumerate(text.split("\n"), 1):
+        if n not in gone:
+            lines.append((n, [_lead(w) + right[n, c] + _tail(w) if (n, c := _core(w)) in right else w for w in l.split()]))
+    pending = None
+    for n, words in lines:
+        if pending is not None and words:
+            at, whole = pending
+            at[-1] = _lead(at[-1]) + whole + _tail(words.pop(0))
+            pending = None
+        if n in joined and words:
+            pending = (words, joined[n])
+    out: list[list[str]] = []
+    now: list[str] = []
+    filled = [w for _, w in lines if w]
+    goes_on = {k for k, n in enumerate(n for n, w in lines if w) if n in joined}
+    longest = max((sum(map(len, w)) + len(w) for w in filled), default=0)
+
+    def heading(k: int) -> bool:
+        words = filled[k][1:] if _ORDINAL.match(filled[k][0]) else filled[k]
+        ahead = filled[k + 1][0][:1] if k + 1 < len(filled) else "A"
+        return k not in goes_on and 1 <= len(words) <= 6 and words[0][:1].isupper() and words[-1][-1:] not in ".,;:!?-" and not ahead.islower() and sum(map(len, filled[k])) + len(filled[k]) < 0.6 * longest
+
+    heads = [heading(k) for k in range(len(filled))]
+    k, blank = -1, False
+    for _, words in lines:
+        if not words:
+            blank = True
+            continue
+        k += 1
+        whole = not now or now[-1].rstrip("\"'”’»)]")[-1:] in tuple(_STOPS)
+        title = k == 1 and not whole and words[0][:1].isupper()  # what stands above the text
+        if now and (heads[k] or heads[k - 1] or title or (blank and (whole or words[0][:1].isupper()))):
+            out.append(now)
+            now = []
+        now += words
+        blank = False
+    if now:
+        out.append(now)
+    return [" ".join(w) for w in out]
+
+
+def reflowed(records: DataFrame, found: DataFrame) -> DataFrame:
+    """tbl, record_key, paragraph_no (from 1), text: the readable text of every record; ``found`` as from ``repairs``."""
+    each = found.distinct().groupBy("tbl", "record_key").agg(F.sort_array(F.collect_list(F.struct("item_kind", "line_no", "found", "repaired"))).alias("items"))  # of one record
+    rows = records.select("tbl", "record_key", "text").distinct().join(each, ["tbl", "record_key"], "left")
+
+    @F.pandas_udf("array<string>")
+    def paragraphs(texts: pd.Series, items: pd.Series) -> pd.Series:
+        return pd.Series([reflow(t, [(x["item_kind"], x["line_no"], x["found"], x["repaired"]) for x in i] if i is not None else []) if t else [] for t, i in zip(texts, items)], dtype=object)
+
+    paragraphs = paragraphs.asNondeterministic()  # one evaluation
+    return rows.select("tbl", "record_key", paragraphs("text", "items").alias("p")).select("tbl", "record_key", F.posexplode("p").alias("at", "text")).select("tbl", "record_key", (F.col("at") + 1).cast("long").alias("paragraph_no"), "text")

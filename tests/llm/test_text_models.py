@@ -126,7 +126,7 @@ def test_a_title_under_its_cut_header_is_no_furniture():
     title = "Athesel: Molecular dosage plan for contrastive sensor array in networks of cells"
     lines = [title.upper()[:46], title, "some text of the page", "until it ends."]
     assert scans.furniture(lines) == scans.furniture(lines, (title,)) == [True, False, False, False]
-    assert scans.title_of(lines) == title
+    assert scans.title_of("\n".join(lines)) == title
 
 
 def test_the_cheap_test_is_necessary():
@@ -176,6 +176,58 @@ def test_automaton_finds_every_candidate():
         assert brute_candidates(seen, vocabulary, 2) <= set(trie.candidates(seen))
 
 
+@pytest.mark.parametrize("seen,right", [("knowlege", "knowledge"), ("knowlledge", "knowledge"), ("rivr", "river"), ("riber", "river"), ("climat", "climate"), ("xclimate", "climate"), ("limate", "climate")])
+def test_automaton_takes_every_edit(seen, right):
+    assert right in scans.Trie(dict.fromkeys(["knowledge", "river", "climate"], 100)).candidates(seen)
+
+
+def test_automaton_equals_brute_force_edit_distance():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abe") for _ in range(rng.randrange(3, 8)))
+    vocabulary = dict.fromkeys({word() for _ in range(300)}, 100)
+    trie = scans.Trie(vocabulary)
+
+    def one_edit(a, b):
+        if abs(len(a) - len(b)) > 1 or a == b:
+            return False
+        i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
+
+    for _ in range(200):
+        w = word()
+        if len(w) >= 4:
+            assert {v for v in vocabulary if one_edit(w, v)} <= set(trie.candidates(w))
+
+
+def test_shards_and_bitmaps_change_nothing(spark, monkeypatch):
+    words = "clustered modern dampens outlasts knowledge limitation stochastic image graph multilingual corner burned".split()
+    seen = ["dustered", "darnpens", "oiitlasts", "kn0wledge", "1imitation", "5tochastic", "irnage", "gr@ph", "multilmgual", "bumed", "zzz", "no"]
+    asked = spark.createDataFrame([(w, 1) for w in seen], "word string, n long")
+    known = spark.createDataFrame([(w, 500) for w in words], "word string, n long")
+    rows = lambda: sorted(tuple(r) for r in scans.look_up(asked, known).collect())
+    whole = rows()
+    monkeypatch.setattr(scans, "SHARD_WORDS", 3)
+    monkeypatch.setattr(scans, "PART_WORDS", 2)
+    assert rows() == whole and len({w for w, _, _ in whole}) == 10
+    bits = scans.bitmap(asked, "word")
+    assert all(scans._has(bits, w) for w in seen) and not scans._has(bits, "modern") and len(bits) == 1 << 23
+
+
+def test_reflow(spark):
+    text = "Annals of Tidal Ecology, vol. 2\nHow ice moves\n1 Methods\nThe rnodern clus-\n- 1 -\nter (darnpens, the) kn0wledge base, and the\nimage outlasts it.\n\nIt ends here."
+    items = [("furniture", 1, "", ""), ("furniture", 5, "", ""), ("glyph", 4, "rnodern", "modern"), ("break", 4, "cluster", "cluster"), ("glyph", 6, "darnpens", "dampens"), ("glyph", 6, "kn0wledge", "knowledge")]
+    want = ["How ice moves", "1 Methods", "The modern cluster (dampens, the) knowledge base, and the image outlasts it.", "It ends here."]
+    assert scans.reflow(text, items) == want and scans.reflow("", []) == []
+    rows = spark.createDataFrame([("t", "a", text, None), ("t", "a", text, None), ("t", "b", "", None), ("t", "c", None, None)], "tbl string, record_key string, text string, title string")
+    found = spark.createDataFrame([("t", "a", *i) for i in items], "tbl string, record_key string, item_kind string, line_no long, found string, repaired string")
+    assert [(r.paragraph_no, r.text) for r in scans.reflowed(rows, found).orderBy("paragraph_no").collect()] == list(enumerate(want, 1))
+
+
+def test_the_title_is_looked_for_in_the_whole_text():
+    assert scans.title_of("\n" * 3000 + "- 1 -\n" * 40 + "Page 2\nSmith et al.\nHow ice moves\nand so on.") == "How ice moves"
+    assert scans.title_of("") == scans.title_of("\n \n") == ""
+
+
 def test_repairs(spark):
     good = "The modern cluster dampens the knowledge base and the image outlasts the long-term graph kernel in robotics. " * 200
     noisy = "Annals of Tidal Ecology, vol. 2\nA spatial approach to ice\nThe rnodern clus-\n- 1 -\nter darnpens the kn0wledge base, and the long-\nterm irnage outlasts it."
