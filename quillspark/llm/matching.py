@@ -1,16 +1,24 @@
 """Entities across sources without keys: works described by papers and by provider records.
 
 Rows that agree in all normalised attributes form one signature. Signatures are blocked by MinHash bands
-over the title's character trigrams, by the identifier and by author pair and year. Pairs of
-signatures get similarity features; a logistic classifier, trained on weak labels of a bounded sample of
-pairs, gives each pair a calibrated probability; links above one half are closed to works.
+over the title's character trigrams, by the identifier and by author pair and year. Pairs of signatures get
+similarity features in two views that know nothing of each other: the text (title, authors, year) and the
+identifier.
+
+A logistic classifier learns the text view from weak labels that only the identifier gives: pairs of alike
+titles whose identifiers agree, or differ. Its scores are calibrated on pairs it was not fitted on (four
+folds). The reverse gives the identifier's error rates: how often it agrees where the text is sure of one
+work, and where it is sure of two. As those labels err at that rate, the text's probability is corrected by
+it; both views together give the confidence of a pair, by Bayes' rule. Links above one half are closed to
+works. Where labels are few, prior weights (``PRIOR``) and a few typical pairs (``PROTOTYPES``) outweigh them.
 
 All pairs of signatures that share a block are scored, at any size of the block: one of more signatures than
 ``WIDE`` is cut into squares that are joined apart, so a hot block spreads over the tasks. Its cost still grows
 with the square of its size.
 
-Defined results: rows without a title match only by identifier; null attributes are missing, not equal;
-sequels, corrections and replies are works of their own; repeated rows count once.
+Defined results: rows without a title match only by identifier, half as surely as their authors agree; titles
+that share less than ``ALIKE`` of their words are of two works; null attributes are missing, not equal; sequels,
+corrections and replies are works of their own; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -18,7 +26,10 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,6 +60,8 @@ _YEAR = re.compile(r"(?:19|20)\d\d")
 
 def fold(text: str) -> str:
     """Small letters without marks."""
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFKD", text.casefold()).replace("ø", "o").replace("ł", "l").replace("đ", "d").replace("æ", "ae").replace("œ", "oe")
     return "".join(ch for ch in t if not unicodedata.combining(ch))
 
@@ -91,6 +104,7 @@ def author_keys(value: str | None) -> str:
     return ";".join(x for x in out if x)
 
 
+@lru_cache(1 << 17)
 def near_words(a: str, b: str, long_most: int = 2) -> bool:
     """Equal but for one edit (``long_most`` in words of nine letters or more), swaps of neighbours counting one."""
     if a == b:
@@ -130,6 +144,20 @@ def _distance(a: str, b: str) -> int:
     return prev[-1]
 
 
+LOOSELY = 0.45  # edits a letter up to which a word may still be the other one, badly typed
+
+
+@lru_cache(1 << 17)
+def _unlike(w: str, v: str) -> float:
+    """Edits a letter; 1 if they are more than ``LOOSELY``. Letters without a partner are edits, which is cheap to see."""
+    m = max(len(w), len(v))
+    room = LOOSELY * m
+    if abs(len(w) - len(v)) > room or m - (Counter(w) & Counter(v)).total() > room:
+        return 1.0
+    d = _distance(w, v) / m
+    return d if d <= LOOSELY else 1.0
+
+
 def title_features(a: str, b: str, common: frozenset[str] | set[str] = frozenset()) -> tuple[float, float, float]:
     """(share of matched words, words replaced, words left out).
 
@@ -156,8 +184,8 @@ def title_features(a: str, b: str, common: frozenset[str] | set[str] = frozenset
     for w in rest:
         hit = next((v for v in left if not (w in common and v in common) and near_words(w, v)), None)
         if hit is None and not w.isdigit():
-            close = [(_distance(w, v) / max(len(w), len(v)), v) for v in left if not v.isdigit() and abs(len(w) - len(v)) <= 3 and not (w in common and v in common)]
-            hit = min(close)[1] if close and min(close)[0] <= 0.45 else None
+            close = min(((_unlike(w, v), v) for v in left if not v.isdigit() and abs(len(w) - len(v)) <= 3 and not (w in common and v in common)), default=(1.0, None))
+            hit = close[1] if close[0] <= LOOSELY else None
         if hit is None:
             lone.append(w)
         else:
@@ -211,28 +239,75 @@ def author_similarity(a: str, b: str) -> float:
     return max(at_place, 0.7 * anywhere) - (0.1 if len(x) != len(y) and n == 1 else 0.0)
 
 
-_SEEDS = np.random.default_rng(11).integers(2**40, 2**63 - 1, size=(2, BANDS * ROWS_PER_BAND), dtype=np.uint64) | np.uint64(1)
-
-
-def bands(core: str, names: str) -> list[int]:
-    """Block keys of a signature: MinHash bands of the title's trigrams, and looser ones joined with author tokens."""
-    s = f" {core} "
-    grams = {zlib.crc32(s[i : i + 3].encode()) for i in range(len(s) - 2)}
-    if not core or not grams:
-        return []
-    h = np.fromiter(grams, np.uint64, len(grams))
-    low = (h[:, None] * _SEEDS[0] + _SEEDS[1]).min(0)  # odd multipliers modulo 2^64: the high bits decide
-    out = [zlib.crc32(low[b * ROWS_PER_BAND : (b + 1) * ROWS_PER_BAND].tobytes()) + (b << 32) for b in range(BANDS)]
-    people = [[w for w in p.split() if not w.isupper()] for p in names.split(";")[:2]]
-    tokens = list(dict.fromkeys([w for p in people[:1] for w in p[:2]] + [w for p in people[1:] for w in p[:1]]))[:3]
-    for b in range(LOOSE_BANDS):
-        part = low[b * LOOSE_ROWS : (b + 1) * LOOSE_ROWS].tobytes()
-        out += [zlib.crc32(w.encode(), zlib.crc32(part)) + ((b + 100) << 32) for w in tokens]
-    head = zlib.crc32(" ".join(core.split()[:6]).encode())  # titles given with and without their second half
-    out += [zlib.crc32(w.encode(), head) + (200 << 32) for w in tokens]
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+_RNG = np.random.default_rng(11)
+_SEEDS = _RNG.integers(2**40, 2**63 - 1, size=(2, BANDS * ROWS_PER_BAND), dtype=np.uint64) | np.uint64(1)
+_WEIGHTS = _RNG.integers(2**40, 2**63 - 1, size=16, dtype=np.uint64) | np.uint64(1)
+
+
+def _word_hash(w: str) -> int:
+    b = w.encode("utf-8", "replace")
+    return zlib.crc32(b) << 32 | zlib.crc32(b[::-1])
+
+
+def _minima(cores: list[str], at_once: int = 16_384) -> np.ndarray:
+    """MinHash values of each text's character trigrams, computed for many texts at once."""
+    texts = [f" {c} " for c in cores]
+    out = np.empty((len(texts), _SEEDS.shape[1]), np.uint64)
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= at_once):
+            size += len(texts[j])
+            j += 1
+        c = np.frombuffer("".join(texts[i:j]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        grams = _mix(c[:-2] * _WEIGHTS[0] + c[1:-1] * _WEIGHTS[1] + c[2:] * _WEIGHTS[2])
+        ends = np.cumsum([len(t) for t in texts[i:j]])
+        starts = np.r_[0, ends[:-1]]
+        # Trigrams that reach into the next text take no part: the one before stands for them.
+        over = np.concatenate([ends[:-1] - 2, ends[:-1] - 1]).astype(np.int64)
+        inner = np.ones(len(grams), bool)
+        inner[over[over < len(grams)]] = False
+        kept = np.cumsum(inner) - 1
+        h = grams[inner]
+        at = np.r_[0, kept[starts[1:]]].astype(np.int64)
+        for k in range(0, _SEEDS.shape[1], 32):  # odd multipliers modulo 2^64: the high bits decide
+            out[i:j, k : k + 32] = np.minimum.reduceat(h[:, None] * _SEEDS[0, k : k + 32] + _SEEDS[1, k : k + 32], at, axis=0)
+        i = j
     return out
 
 
+def band_keys(cores: list[str], names: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Block keys of signatures: MinHash bands of the titles' trigrams, and looser ones joined with author tokens."""
+    place = {c: i for i, c in enumerate(dict.fromkeys(c for c in cores if c))}
+    none = np.empty(0, np.int64)
+    if not place:
+        return [none] * len(cores), [none] * len(cores)
+    low = _minima(list(place))
+    tight = _mix((low.reshape(len(low), BANDS, ROWS_PER_BAND) * _WEIGHTS[:ROWS_PER_BAND]).sum(2) + np.arange(BANDS, dtype=np.uint64))
+    loose = _mix((low[:, : LOOSE_BANDS * LOOSE_ROWS].reshape(len(low), LOOSE_BANDS, LOOSE_ROWS) * _WEIGHTS[8 : 8 + LOOSE_ROWS]).sum(2) + np.arange(100, 100 + LOOSE_BANDS, dtype=np.uint64))
+    one, other = [], []
+    for core, people in zip(cores, names):
+        if not core:
+            one.append(none)
+            other.append(none)
+            continue
+        i = place[core]
+        words = [[w for w in p.split() if not w.isupper()] for p in people.split(";")[:2]]
+        tokens = list(dict.fromkeys([w for p in words[:1] for w in p[:2]] + [w for p in words[1:] for w in p[:1]]))[:3]
+        heads = np.array([_word_hash(w) for w in tokens], np.uint64)
+        head = np.uint64(_word_hash(" ".join(core.split()[:6])))  # titles given with and without their second half
+        bands = np.r_[loose[i], head]
+        one.append(tight[i].view(np.int64))
+        other.append(_mix(bands[:, None] + heads[None, :] * _WEIGHTS[15]).ravel().view(np.int64))
+    return one, other
+
+
 _SIG = "nid string, sig string, core string, marker string, doi string, year int, names string"
 
 
@@ -258,7 +333,7 @@ def blocks(reps: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def band(core: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([bands(c, n) for c, n in zip(core, names)], dtype=object)
+        return pd.Series([np.concatenate(x) for x in zip(*band_keys(list(core), list(names)))], dtype=object)
 
     author = F.expr("split(split(names, ';')[0], ' ')[0]")
     second = F.expr("split(get(split(names, ';'), 1), ' ')[0]")
@@ -271,10 +346,10 @@ def blocks(reps: DataFrame) -> DataFrame:
 def candidate_pairs(reps: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of signatures that share a block."""
     all_blocks = stored(blocks(reps))
-    sizes = all_blocks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    wide_keys = stored(sizes.where(F.col("size") > WIDE).select("key"))
+    sizes = stored(all_blocks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))  # most blocks hold one signature
+    wide_keys = sizes.where(F.col("size") > WIDE).select("key")
     # Lists only of keys with WIDE members or fewer: the wide ones are taken out before anything is collected.
-    usual = all_blocks.join(wide_keys, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("reps")).where("size(reps) > 1")
+    usual = all_blocks.join(sizes.where(F.col("size") <= WIDE).select("key"), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
     ahead = usual.select(F.posexplode("reps").alias("i", "a"), "reps").select("a", F.explode(F.expr("slice(reps, i + 2, size(reps))")).alias("b"))
     more = _wide_pairs(all_blocks.join(wide_keys, "key", "left_semi").join(reps.select("rep", "marker"), "rep"))
     return ahead.where("a <> b").unionByName(more).distinct()
@@ -290,49 +365,61 @@ def _wide_pairs(wide: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-FEATURES = ["ts", "sub", "drop", "au", "ad", "am", "y0", "y1", "y2", "de", "dd", "ta"]
+FEATURES = ["ts", "poor", "sub1", "sub2", "drop", "au", "ad", "aum", "am", "y0", "y1", "y2", "ta"]
+# What the classifier starts from (the last is the intercept); the labels of a corpus pull it away.
+PRIOR = [0.6, -1.8, 0.0, -2.5, 0.3, 1.0, -1.7, 1.1, 1.1, 0.0, -0.1, -1.0, 2.1, -1.7]
+# Twenty pairs of each kind that every corpus is taken to hold: equal in all, of which a tenth has a wrong identifier, and of two works.
+PROTOTYPES = [{"ts": 1.0, "au": 1.0, "ta": 1.0, "y0": 1.0}, {"ts": 0.6, "poor": 1.0, "sub2": 1.0, "ad": 1.0, "y2": 1.0}]
+ALIKE = 0.4  # share of matched title words from which a pair has something in common
+FOLDS = 4
 
 
 def pair_features(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """a, b, the text view, and the identifiers' view: de (equal), dd (different), tm (a title is missing)."""
     side = lambda p: reps.select(F.col("rep").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("core", "marker", "doi", "year", "names")])
     # Another part, a correction or a reply is another work whatever else agrees.
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where("marker_a = marker_b")
     common = common_words(reps)
+    names = ["a", "b", *FEATURES, "de", "dd", "tm"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        titles: dict[tuple[str, str], tuple[float, float, float]] = {}
+        authors: dict[tuple[str, str], float] = {}
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                ts, sub, drop = title_features(r.core_a, r.core_b, common)
-                both = bool(r.names_a and r.names_b)
-                au = author_similarity(r.names_a, r.names_b) if both else 0.0
-                dy = abs(r.year_a - r.year_b) if r.year_a and r.year_b else -1
-                de = bool(r.doi_a) and r.doi_a == r.doi_b
-                dd = bool(r.doi_a) and bool(r.doi_b) and r.doi_a != r.doi_b
-                out.append((r.a, r.b, ts, min(sub, 3.0), min(drop, 3.0), au, float(both and au < 0.34), float(not both), float(dy == 0), float(dy == 1), float(dy > 1), float(de), float(dd), ts * au))
-            yield pd.DataFrame(out, columns=["a", "b", *FEATURES])
-
-    return joined.mapInPandas(run, "a long, b long, " + ", ".join(f"{f} double" for f in FEATURES))
-
-
-def weak_label(f: pd.DataFrame) -> np.ndarray:
-    """1 same work, 0 another one, -1 unknown; from attributes that agree or contradict beyond doubt."""
-    out = np.full(len(f), -1)
-    same = (f["sub"] == 0) & (f.ts >= 0.85)
-    out[same & (f.de == 1) & (f.ad == 0)] = 1
-    out[same & (f.au >= 0.8) & (f.y2 == 0)] = 1
-    out[(f["sub"] >= 2) | ((f.ad == 1) & (f.de == 0)) | ((f["sub"] >= 1) & (f.de == 0)) | ((f.y2 == 1) & (f.au < 0.8) & (f.de == 0))] = 0
-    return out
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """Weights and intercept by Newton steps with an L2 term; outputs are calibrated on the weak labels."""
+            if len(titles) + len(authors) > 200_000:
+                titles.clear()
+                authors.clear()
+            for a, c, core_a, core_b, doi_a, doi_b, year_a, year_b, names_a, names_b in zip(*[b[x].tolist() for x in ("a", "b", "core_a", "core_b", "doi_a", "doi_b", "year_a", "year_b", "names_a", "names_b")]):
+                key = (core_a, core_b)
+                got = titles.get(key)
+                if got is None:
+                    got = titles[key] = title_features(core_a, core_b, common)
+                ts, sub, drop = got
+                both = bool(names_a and names_b)
+                au = 0.0
+                if both:
+                    key = (names_a, names_b)
+                    au = authors.get(key)
+                    if au is None:
+                        au = authors[key] = author_similarity(names_a, names_b)
+                dy = abs(year_a - year_b) if year_a and year_b else -1
+                ids = bool(doi_a) and bool(doi_b)
+                out.append((a, c, ts, float(ts < 0.7), float(sub == 1), float(sub >= 2), min(drop, 3.0), au, float(both and au < 0.34), float(both and 0.34 <= au < 0.8), float(not both), float(dy == 0), float(dy == 1), float(dy > 1), ts * au, float(ids and doi_a == doi_b), float(ids and doi_a != doi_b), float(not core_a or not core_b)))
+            yield pd.DataFrame(out, columns=names)
+
+    return joined.drop("marker_a", "marker_b").mapInPandas(run, "a long, b long, " + ", ".join(f"{f} double" for f in names[2:]))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40, prior: np.ndarray | None = None) -> np.ndarray:
+    """Weights and intercept by Newton steps; an L2 term draws them to ``prior`` (zero unless given)."""
     x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    reg = np.diag([l2] * (x.shape[1] - 1) + [1e-3])
+    start = np.zeros(x.shape[1]) if prior is None else np.asarray(prior, float)
+    w = start.copy()
+    reg = np.diag([l2] * (x.shape[1] - 1) + [1e-3 if prior is None else l2])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + reg @ w
+        g = x.T @ (p - y) + reg @ (w - start)
         h = (x * (p * (1 - p))[:, None]).T @ x + reg
         step = np.linalg.solve(h, g)
         w -= step
@@ -341,34 +428,89 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40
     return w
 
 
-# Weights used where a sample holds no labelled pair of one kind (tiny inputs): the fit of our test tables, rounded.
-DEFAULT_WEIGHTS = [5.0, -5.0, -0.5, 3.0, -5.0, -1.0, 1.0, 0.0, -2.0, 3.0, -0.5, 3.0, -6.0]
+@dataclass
+class Evidence:
+    """The calibrated text view and the error rates of identifiers."""
+
+    weights: np.ndarray
+    agree_same: float  # how often the identifiers of one work agree
+    agree_other: float  # how often those of two works do
+    reliability: list[tuple[float, int, float, float]]  # of held-out pairs: bin, pairs, mean probability, share of equal identifiers
+
+    @classmethod
+    def fit(cls, f: pd.DataFrame) -> Evidence:
+        """``f``: labelled pairs, that is, of alike titles with two identifiers."""
+        x, y = f[FEATURES].to_numpy(float).reshape(len(f), len(FEATURES)), f["de"].to_numpy(float)
+        fold = (f["a"].to_numpy(np.int64) ^ f["b"].to_numpy(np.int64)) % FOLDS
+        prior = np.array(PRIOR)
+        more = np.array([[p.get(k, 0.0) for k in FEATURES] for p in PROTOTYPES for _ in range(20)])
+        told = np.array([1.0] * 18 + [0.0] * 22)
+        learn = lambda k: fit_logistic(np.vstack([x[k], more]), np.r_[y[k], told], prior=prior)
+        apart = np.zeros(len(f))
+        for k in range(FOLDS):
+            apart[fold == k] = np.c_[x[fold == k], np.ones((fold == k).sum())] @ learn(fold != k)
+        scale = fit_logistic(apart[:, None], y, l2=20.0, prior=np.array([1.0, 0.0]))
+        w = learn(fold >= 0) * scale[0]
+        w[-1] += scale[1]
+        p = 1 / (1 + np.exp(-(apart * scale[0] + scale[1])))
+        order = np.argsort(p, kind="stable")
+        sure, other = y[order[len(y) // 2 :]], y[p < 0.05]
+        sure = sure[p[order[len(y) // 2 :]] > 0.7]
+        bins = np.array([0, 0.05, 0.2, 0.5, 0.7, 0.8, 0.86, 0.9, 1.0])
+        at = np.digitize(p, bins[1:-1])
+        reliability = [(float(bins[k + 1]), int((at == k).sum()), float(p[at == k].mean()), float(y[at == k].mean())) for k in range(len(bins) - 1) if (at == k).any()]
+        return cls(w, float((sure.sum() + 9) / (len(sure) + 10)), float((other.sum() + 0.05) / (len(other) + 10)), reliability)
+
+    def confidence(self, get) -> Column:
+        """Of a pair; ``get`` gives the column of a feature."""
+        z: Column = F.lit(float(self.weights[-1]))
+        for f, v in zip(FEATURES, self.weights):
+            z = z + F.lit(float(v)) * get(f)
+        q, r = self.agree_same, self.agree_other
+        text = (1 / (1 + F.exp(-z)) - r) / (q - r)  # the labels agree with the truth but for the identifiers' errors
+        text = F.when(get("tm") == 1, get("au") / 2).when(get("ts") < ALIKE, 0.0).otherwise(text)
+        text = F.least(F.greatest(text, F.lit(1e-4)), F.lit(1 - 1e-3))
+        told = F.when(get("de") == 1, float(np.log(q / r))).when(get("dd") == 1, float(np.log((1 - q) / (1 - r)))).otherwise(0.0)
+        return 1 / (1 + F.exp(-(F.log(text / (1 - text)) + told)))
+
+    def of_equals(self) -> Column:
+        """The confidence that two rows of one signature (core, doi, year, names) are of one work."""
+        flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+        own = {"ts": flag(F.col("core") != ""), "au": flag(F.col("names") != ""), "am": flag(F.col("names") == ""), "y0": flag(F.col("year") > 0), "de": flag(F.col("doi") != ""), "tm": flag(F.col("core") == "")}
+        own |= {"ta": own["ts"] * own["au"], "poor": own["tm"]}
+        return self.confidence(lambda f: own.get(f, F.lit(0.0)))
+
+
+def evidence(features: DataFrame) -> Evidence:
+    """Fitted on at most about ``FIT_PAIRS`` labelled pairs, drawn by hash from all."""
+    labelled = features.where((F.col("ts") >= ALIKE) & (F.col("de") + F.col("dd") > 0))
+    n = labelled.count()
+    share = 1_000_000 if n <= FIT_PAIRS else int(1e6 * FIT_PAIRS / n)
+    return Evidence.fit(labelled.where(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000)) < share).toPandas().sort_values(["a", "b"]))
 
 
-def score(features: DataFrame) -> DataFrame:
-    """a, b, confidence: the classifier is fitted on at most ``FIT_PAIRS`` pairs and applied to all."""
-    n = features.count()
-    share = 1_000_000 if n <= FIT_PAIRS else int(1e6 * FIT_PAIRS / n)
-    sample = features.where(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000)) < share).limit(2 * FIT_PAIRS).toPandas()
-    y = weak_label(sample) if len(sample) else np.array([])
-    if (y == 1).sum() >= 20 and (y == 0).sum() >= 20:
-        k = y >= 0
-        w = fit_logistic(sample.loc[k, FEATURES].to_numpy(float), y[k].astype(float))
-    else:
-        w = np.array(DEFAULT_WEIGHTS)
-    z: Column = F.lit(float(w[-1]))
-    for f, v in zip(FEATURES, w):
-        z = z + F.lit(float(v)) * F.col(f)
-    return features.withColumn("confidence", 1 / (1 + F.exp(-z)))
-
-
-def works(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (nid, title, authors, date, doi) -> (nid, work), and the scored pairs of signatures (a, b, confidence)."""
+def score(features: DataFrame) -> tuple[DataFrame, Evidence]:
+    """All pairs with their confidence, and the evidence it rests on."""
+    known = evidence(features)
+    return features.withColumn("confidence", known.confidence(F.col)), known
+
+
+def linked_at(scored: DataFrame, levels: tuple[float, ...]) -> DataFrame:
+    """id, level, comp: the works at rising levels. Two rows that share one are linked by a path of links as sure as the level."""
+    out = None
+    for t in levels:
+        c = components(scored.where(F.col("confidence") >= t).select("a", "b")).select("id", F.lit(t).alias("level"), "comp")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def works(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Evidence]:
+    """rows (nid, title, authors, date, doi) -> (nid, work, rep), the scored pairs of signatures (a, b, confidence), the signatures, the evidence."""
     sig = stored(signatures(rows).withColumn("rep", F.xxhash64("sig")).drop("sig"))
     reps = stored(sig.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("core", "marker", "doi", "year", "names")]))
     features = stored(pair_features(candidate_pairs(reps), reps))
-    scored = score(features)
+    scored, known = score(features)
     links = scored.where("confidence >= 0.5").select("a", "b", "confidence")
     comp = components(links)
     nodes = sig.select("nid", "rep").distinct().join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("nid", F.coalesce("comp", "rep").alias("work"), "rep")
-    return nodes, scored
+    return nodes, scored, reps, known

@@ -22,20 +22,34 @@ def _work_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.unionByName(records)
 
 
+LEVELS = (0.5, 0.7, 0.9, 0.95, 0.99)
+
+
 def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """paper_id, record_id, confidence: of the pair where it was compared, else 0.5 (linked through other rows)."""
-    nodes, scored = matching.works(_work_rows(spark, sf_dir))
+    """paper_id, record_id, confidence: of the pair itself, or of the surest path of links between the two (in steps of ``LEVELS``), whichever is higher."""
+    nodes, scored, reps, known = matching.works(_work_rows(spark, sf_dir))
+    scored = stored(scored.select("a", "b", "confidence"))
     papers = nodes.where("nid like 'p:%'").select(F.expr("substring(nid, 3)").alias("paper_id"), "work", F.col("rep").alias("rep_p"))
     records = nodes.where("nid like 'r:%'").select(F.expr("substring(nid, 3)").alias("record_id"), "work", F.col("rep").alias("rep_r"))
-    pairs = papers.join(records, "work").withColumn("a", F.least("rep_p", "rep_r")).withColumn("b", F.greatest("rep_p", "rep_r"))
-    known = pairs.join(scored.select("a", "b", "confidence"), ["a", "b"], "left")
-    confidence = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.greatest(F.coalesce("confidence", F.lit(0.5)), F.lit(0.5)))
-    return known.groupBy("paper_id", "record_id").agg(F.round(F.max(confidence), 6).alias("confidence"))
+    pairs = stored(papers.join(records, "work").select("paper_id", "record_id", "rep_p", "rep_r", F.least("rep_p", "rep_r").alias("a"), F.greatest("rep_p", "rep_r").alias("b")))
+    levels = matching.linked_at(scored, LEVELS)
+    side = lambda p: levels.select(F.col("id").alias(p), "level", "comp")
+    paths = pairs.select("a", "b").where("a <> b").distinct().join(side("a"), "a").join(side("b"), ["b", "level", "comp"]).groupBy("a", "b").agg(F.max("level").alias("path"))
+    equal = reps.select(F.col("rep").alias("a"), known.of_equals().alias("equal"))
+    joined = pairs.join(scored, ["a", "b"], "left").join(paths, ["a", "b"], "left").join(equal, "a", "left")
+    confidence = F.when(F.col("a") == F.col("b"), F.col("equal")).otherwise(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.coalesce("path", F.lit(0.0))))
+    return joined.groupBy("paper_id", "record_id").agg(F.round(F.max(confidence), 6).alias("confidence"))
+
+
+def p1_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """up_to, pairs, probability, agree: pairs the classifier was not fitted on, by its calibrated text probability, and how many have equal identifiers."""
+    known = matching.works(_work_rows(spark, sf_dir))[3]
+    return spark.createDataFrame(known.reliability, "up_to double, pairs long, probability double, agree double")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """paper_id, record_id of one work."""
-    nodes, _ = matching.works(_work_rows(spark, sf_dir))
+    nodes = matching.works(_work_rows(spark, sf_dir))[0]
     papers = nodes.where("nid like 'p:%'").select(F.expr("substring(nid, 3)").alias("paper_id"), "work").distinct()
     records = nodes.where("nid like 'r:%'").select(F.expr("substring(nid, 3)").alias("record_id"), "work").distinct()
     return papers.join(records, "work").select("paper_id", "record_id").distinct()
@@ -53,7 +67,7 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, group_id (the smallest id) of papers rows whose work has two rows or more."""
-    nodes, _ = matching.works(_work_rows(spark, sf_dir))  # records take part, as in p1: rows may meet only through one
+    nodes = matching.works(_work_rows(spark, sf_dir))[0]  # records take part, as in p1: rows may meet only through one
     papers = nodes.where("nid like 'p:%'").select(F.expr("substring(nid, 3)").alias("id"), "work").distinct()
     groups = papers.groupBy("work").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
     return stored(papers.join(groups, "work").select("id", "group_id"))
@@ -141,7 +155,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_spans(load(spark, sf_dir, "documents"), "doc_id", "text").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p7_found": p7_found, "p7_text": p7_text, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p1_reliability": p1_reliability, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p7_found": p7_found, "p7_text": p7_text, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*')"
 ORACLES: dict[str, str] = {
     "p9_found": f"""with d as (select doc_id, {_WORDS} as w from documents where text is not null), b as (select item_id, {_WORDS} as w from benchmark where text is not null),

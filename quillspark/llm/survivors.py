@@ -1,7 +1,8 @@
 """Best representative of each duplicate group, field by field.
 
 The rows of one work form a group. For every field the rows are ranked by a window: completeness first,
-then trust, then recency, then the key, so the order is total; the top row survives. The rank filter is
+then trust, then recency, then the key, so the order is total; the top row survives. How far a source is
+trusted is learned: the share of its abstracts that are whole. The rank filter is
 pushed below the shuffle (a window group limit), so a group of any size keeps one row per task.
 
 Defined results: groups of one row have no survivor; a field that no row of the group holds in full has
@@ -30,21 +31,27 @@ def top(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+LEAST_USES = 3  # times a word must stand in titles to be a word
+
+
 def venue_quality(rows: DataFrame) -> DataFrame:
     """id, venue_score: how surely the venue is written in full and spelled right; null if it is not.
 
-    A full form is in title case, without an abbreviation, an ampersand, a leading article or a turned
-    order. A spelling is right if each of its words is usual among the full forms of the corpus: at least
+    A full form is in title case, without an abbreviation (a short word that no title uses), an ampersand, a
+    leading article or a turned order. A spelling is right if each of its words is usual among the full forms of the corpus: at least
     as frequent as any word one letter away would need to be for it to be a slip of that word.
     """
     v = F.trim(F.col("venue"))
     words = F.split(v, r"\s+")
     shaped = rows.where(v.isNotNull() & ~v.rlike(NO_VENUE)).select("id", v.alias("venue"))
     full = shaped.where((F.size(words) >= 3) & ~v.rlike(r"[.&,;:]") & ~v.rlike(r"^(?i:the)\s") & v.rlike(r"^\p{Lu}\p{Ll}") & ~v.rlike(r"(?:^|\s)(?!(?:of|on|in|and|the|for|to|de|et)\b)\p{Ll}\S*") & ~v.rlike(r"\b\p{Lu}{2,}"))
-    full = full.where(~F.exists(words, lambda w: (F.length(w) <= 4) & ~F.lower(w).isin("of", "on", "in", "and", "the", "for", "to", "de", "et", "open", "data", "life", "soil", "arts", "law")))
     forms = stored(full.groupBy("venue").agg(F.count("*").alias("n")))
+    # A short word is an abbreviation unless the titles of the corpus use it as a word.
+    brief = forms.select("venue", F.explode(F.split("venue", r"\s+")).alias("w")).where("length(w) <= 4").select("venue", F.lower("w").alias("w"))
+    plain = rows.select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w")).where("length(w) <= 4").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_USES)
+    forms = stored(forms.join(brief.join(plain, "w", "left_anti").select("venue").distinct(), "venue", "left_anti"))
     # Words are compared within places: the same venue with one word misspelled has all other words in common.
-    spots = forms.select("venue", "n", F.posexplode(F.split("venue", r"\s+")).alias("at", "word")).withColumn("rest", F.xxhash64(F.concat_ws(" ", F.slice(F.split("venue", r"\s+"), F.lit(1), F.col("at"))), F.concat_ws(" ", F.slice(F.split("venue", r"\s+"), F.col("at") + 2, F.lit(100)))))
+    spots = forms.select("venue", "n", F.posexplode(F.split("venue", r"\s+")).alias("at", "word")).withColumn("rest", F.xxhash64(F.concat_ws(" ", F.slice(F.split("venue", r"\s+"), F.lit(1), F.col("at"))), F.concat_ws(" ", F.expr(r"slice(split(venue, '\\s+'), at + 2, size(split(venue, '\\s+')))"))))
     word_n = spots.groupBy("word").agg(F.sum("n").alias("word_n"))
     spots = spots.join(word_n, "word")
     x, y = spots.alias("x"), spots.alias("y")
@@ -57,7 +64,7 @@ def venue_quality(rows: DataFrame) -> DataFrame:
     # A word seen in a single form and near a much more usual word is a slip even where the right form is absent.
     rare = spots.groupBy("word").agg(F.countDistinct("venue").alias("forms"), F.max("word_n").alias("word_n"), F.min("venue").alias("venue")).where((F.col("forms") == 1) & (F.length("word") >= 4))
     # Two words one edit apart share a form with one letter left out, so this is an equi-join.
-    shorter = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(200))))))
+    shorter = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
     r = rare.select(F.col("word").alias("r_word"), F.col("word_n").alias("r_n"), "venue", F.explode(shorter(F.col("word"))).alias("form"))
     u = word_n.where(F.length("word") >= 4).select(F.col("word").alias("u_word"), F.col("word_n").alias("u_n"), F.explode(shorter(F.col("word"))).alias("form"))
     near = r.join(u, "form").where((F.col("r_word") != F.col("u_word")) & (F.col("u_n") > 3 * F.col("r_n")) & (F.levenshtein("r_word", "u_word") <= 2)).select("venue").distinct()
@@ -70,15 +77,17 @@ def best_rows(groups: DataFrame, papers: DataFrame, inputs: DataFrame, judged: D
 
     ``groups``: id, group_id of papers rows in groups of two or more; ``judged``: record_key, is_cut of papers' abstracts.
     """
-    cuts = judged.where("tbl = 'papers'").select(F.col("record_key").alias("id"), "is_cut")
+    cuts = judged.where("tbl = 'papers'").select(F.col("record_key").alias("id"), "is_cut", "source")
+    trust = cuts.groupBy("source").agg(F.avg((~F.col("is_cut")).cast("double")).alias("trust"))  # a row per source
+    cuts = cuts.join(trust, cuts.source.eqNullSafe(trust.source), "left").select("id", "is_cut", "trust")
     rows = stored(
         papers.select("id", F.trim("abstract").alias("abstract"), "venue", "evidence_state", "created_at")
         .join(groups, "id")
         .join(cuts, "id", "left")
         .join(venue_quality(papers), "id", "left")
-        .select("id", "group_id", F.length("abstract").alias("chars"), (F.coalesce(~F.col("abstract").rlike(NO_ABSTRACT), F.lit(False)) & ~F.coalesce("is_cut", F.lit(False))).alias("whole"), "venue_score", full_text(F.col("evidence_state")).alias("full_text"), "created_at")
+        .select("id", "group_id", F.length("abstract").alias("chars"), (F.coalesce(~F.col("abstract").rlike(NO_ABSTRACT), F.lit(False)) & ~F.coalesce("is_cut", F.lit(False))).alias("whole"), "venue_score", full_text(F.col("evidence_state")).alias("full_text"), "created_at", "trust")
     )
-    recent = (F.col("created_at").desc(), F.col("id"))
+    recent = (F.col("trust").desc_nulls_last(), F.col("created_at").desc(), F.col("id"))
     abstract = top(rows.where("whole"), "group_id", F.col("chars").desc(), *recent).select("group_id", F.lit("abstract").alias("field_name"), F.col("id").alias("record_key"))
     venue = top(rows.where("venue_score is not null"), "group_id", F.col("venue_score").desc(), *recent).select("group_id", F.lit("venue").alias("field_name"), F.col("id").alias("record_key"))
     state = top(rows.where("full_text"), "group_id", *recent).select("group_id", F.lit("evidence_state").alias("field_name"), F.col("id").alias("record_key"))

@@ -45,7 +45,7 @@ def rows():
 
 def test_works(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows() * 2], "nid string, title string, authors string, date string, doi string, work string")
-    nodes, scored = matching.works(df)
+    nodes, scored, _, _ = matching.works(df)
     by = {}
     for r in nodes.collect():
         by.setdefault(r.work, set()).add(r.nid)
@@ -56,7 +56,7 @@ def test_works(spark):
 
 
 def test_works_of_an_empty_table(spark):
-    nodes, scored = matching.works(spark.createDataFrame([], "nid string, title string, authors string, date string, doi string"))
+    nodes, scored, _, _ = matching.works(spark.createDataFrame([], "nid string, title string, authors string, date string, doi string"))
     assert nodes.count() == 0 and scored.count() == 0
 
 
@@ -66,7 +66,7 @@ def test_wide_blocks_lose_no_link(spark):
     for k in range(70):
         a = f"{chr(65 + k % 26)}lbert Xu{'abcdefghijklmnopqrstuvwxyz'[k % 26] * 3}{'bcdfghjklm'[k // 26] * 3}"
         data += [(f"g{k}:0", "An introduction to the field of study", a, "2000", None), (f"g{k}:1", "An introduction to the field of study.", a, "2001", f"10.1234/z.{k}")]
-    nodes, _ = matching.works(spark.createDataFrame(data, "nid string, title string, authors string, date string, doi string"))
+    nodes = matching.works(spark.createDataFrame(data, "nid string, title string, authors string, date string, doi string"))[0]
     work = {r.nid: r.work for r in nodes.collect()}
     assert sum(work[f"g{k}:0"] == work[f"g{k}:1"] for k in range(70)) == 70
 
@@ -100,12 +100,65 @@ def test_chance_of_meeting_in_a_band():
         a = "".join(rng.choice(letters) for _ in range(60))
         b = "".join(rng.choice(letters) if rng.random() < 0.07 else c for c in a)
         j = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
-        kinds = {k >> 32 >= 100 for k in set(matching.bands(a, "smith")) & set(matching.bands(b, "smith"))}
-        met += [True in kinds, False in kinds]
+        tight, loose = matching.band_keys([a, b], ["smith", "smith"])
+        met += [bool(set(x[0]) & set(x[1])) for x in (loose, tight)]
         due += [1 - (1 - j**4) ** 8, 1 - (1 - j**8) ** 16]
     assert (met >= 0.95 * due).all(), (met, due)
 
 
+def test_bands_do_not_depend_on_the_batch():
+    cores = ["a b c", "", "ice", "kelp bed under ice", "x", "naïve 日本 語", "a b c"]
+    names = ["smith ann;diaz", "", "", "o", "smith", "x", "other"]
+    together = matching.band_keys(cores, names)
+    for i, (c, n) in enumerate(zip(cores, names)):
+        alone = matching.band_keys([c], [n])
+        assert alone[0][0].tolist() == together[0][i].tolist() and alone[1][0].tolist() == together[1][i].tolist()
+    assert together[0][0].tolist() == together[0][6].tolist() and not len(together[0][1])
+
+
+def test_the_cheap_test_of_words_is_necessary():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(2))
+        d = matching._distance(a, b) / max(len(a), len(b))
+        assert matching._unlike(a, b) == (d if d <= matching.LOOSELY else 1.0)
+
+
+def pairs_with_identifiers(n, seed, wrong=0.1):
+    """Feature rows of pairs of which the truth is known; identifiers agree by it but for errors."""
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        same = rng.random() < 0.6
+        ts = float(np.clip(rng.normal(0.95 if same else 0.65, 0.1), 0.4, 1))
+        au = float(np.clip(rng.normal(0.9 if same else 0.35, 0.25), 0, 1))
+        de = float(rng.random() < (1 - wrong if same else 0.01))
+        row = dict.fromkeys(matching.FEATURES, 0.0) | {"ts": ts, "au": au, "ta": ts * au, "poor": float(ts < 0.7), "ad": float(au < 0.34), "aum": float(0.34 <= au < 0.8), "y0": 1.0}
+        out.append(row | {"a": k, "b": k * 7 + 1, "de": de, "dd": 1 - de, "tm": 0.0, "same": same})
+    return pd.DataFrame(out)
+
+
+def test_confidences_are_calibrated(spark):
+    known = matching.Evidence.fit(pairs_with_identifiers(6000, 1))
+    assert abs(known.agree_same - 0.9) < 0.03 and known.agree_other < 0.05
+    assert all(abs(p - y) < 0.15 for _, n, p, y in known.reliability if n > 200), known.reliability
+    held = pairs_with_identifiers(6000, 2)
+    got = spark.createDataFrame(held).withColumn("confidence", known.confidence(F.col)).toPandas()
+    assert ((got.confidence >= 0.5) == got.same).mean() > 0.95
+    for lo in (0.0, 0.2, 0.5, 0.8):
+        k = (got.confidence >= lo) & (got.confidence < lo + 0.2 + 0.1 * (lo == 0.2))
+        assert k.sum() < 100 or abs(got.confidence[k].mean() - got.same[k].mean()) < 0.12
+
+
+def test_without_labels_the_prior_speaks(spark):
+    known = matching.Evidence.fit(pairs_with_identifiers(1, 1).iloc[:0])
+    assert np.abs(known.weights - matching.PRIOR).max() < 1 and known.reliability == []
+    equal = spark.createDataFrame([("ice bed", "", 2001, "smith ann"), ("ice bed", "10.1/x", 2001, "smith ann"), ("", "10.1/x", 0, "")], "core string, doi string, year int, names string").select(known.of_equals().alias("c")).collect()
+    assert 0.5 < equal[0].c < equal[1].c <= 1 and equal[2].c < 0.5
+
+
 def test_calibration_on_held_out_pairs():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))
