@@ -146,20 +146,36 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, item_id, start_word, words, near_words of every leak."""
+    """doc_id, item_id, start_word, words: the longest exact run of every leak."""
     return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start_word, end_word, words of passages that agree with gaps, exact ones included."""
+    return leakage.proximity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start_char, end_char of every sentence."""
     return sentences.sentence_spans(load(spark, sf_dir, "documents"), "doc_id", "text").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p1_reliability": p1_reliability, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p7_found": p7_found, "p7_text": p7_text, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p1_reliability": p1_reliability, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_entities": p5_entities, "p6_found": p6_found, "p7_found": p7_found, "p7_text": p7_text, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p9_near": p9_near, "p10_found": p10_found}
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*')"
 ORACLES: dict[str, str] = {
     "p9_found": f"""with d as (select doc_id, {_WORDS} as w from documents where text is not null), b as (select item_id, {_WORDS} as w from benchmark where text is not null),
  dg as (select doc_id, array_to_string(w[i : i + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
  bg as (select distinct item_id, array_to_string(w[i : i + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from b))
 select distinct doc_id, item_id from dg join bg using (g)""",
+    "p9_matches": f"""with d as (select doc_id, {_WORDS} as w from documents where text is not null), b as (select distinct item_id, {_WORDS} as w from benchmark where text is not null),
+ dg as (select doc_id, array_to_string(w[i : i + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
+ bg as (select distinct item_id, array_to_string(w[i : i + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as i from b)),
+ hit as (select distinct doc_id, item_id from dg join bg using (g)),
+ dw as (select doc_id, unnest(w) as t, unnest(range(0, len(w))) as p from d where doc_id in (select doc_id from hit)),
+ bw as (select item_id, unnest(w) as t, unnest(range(0, len(w))) as p from b),
+ met as (select hit.doc_id, hit.item_id, dw.p - bw.p as o, bw.p as p from hit join dw using (doc_id) join bw on bw.item_id = hit.item_id and bw.t = dw.t),
+ isle as (select *, p - row_number() over (partition by doc_id, item_id, o order by p) as k from met),
+ run as (select doc_id, item_id, o + min(p) as start_word, count(*) as words from isle group by doc_id, item_id, o, k)
+select doc_id, item_id, cast(start_word as bigint) as start_word, cast(words as bigint) as words from run where words >= 12
+ qualify row_number() over (partition by doc_id, item_id order by words desc, start_word) = 1""",
 }

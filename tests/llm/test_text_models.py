@@ -103,6 +103,45 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(s.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def brute_near(doc, item, least, core, gap, run):
+    """The most agreeing words in a passage, by trying every chain of runs."""
+    found = []
+    for i in range(len(doc)):
+        for j in range(len(item)):
+            if doc[i] == item[j] and not (i and j and doc[i - 1] == item[j - 1]):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n]:
+                    n += 1
+                if n >= run:
+                    found.append((i, j, n))
+    return found
+
+
+def test_proximity_bridges_gaps(spark):
+    words = [f"w{k}" for k in range(40)]
+    one_in = words[:8] + ["x"] + words[8:16]
+    one_out = words[:7] + words[8:16]
+    changed = words[:6] + ["y"] + words[7:16]
+    far = words[:8] + ["x"] * 5 + words[8:14]
+    short = words[:6] + ["x"] + words[6:10]
+    few = [w for k in range(0, 40, 4) for w in (words[k], words[k + 1], words[k + 2], "z")]  # no run of six
+    docs = [(k, " ".join(["pre"] * k + d + ["post"])) for k, d in enumerate([one_in, one_out, changed, far, short, few, words])] + [(90, None), (91, "")]
+    got = {r.doc_id: (r.start_word, r.end_word, r.words) for r in leakage.proximity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words)), (2, None)], "item_id long, text string")).collect()}
+    assert got == {0: (0, 17, 16), 1: (1, 16, 15), 2: (2, 18, 15), 6: (6, 46, 40)}
+    assert brute_near(one_in, words, 12, 6, 3, 3) == [(0, 0, 8), (9, 8, 8)]
+
+
+def test_shuffled_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = spark.createDataFrame([(k, text(12)) for k in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, text(400)) for k in range(20)], "doc_id long, text string")
+    rows = lambda: sorted(tuple(r) for r in leakage.leaks(docs, items, 4).collect())
+    whole = rows()
+    monkeypatch.setattr(leakage, "SENT_ROWS", 0)
+    assert rows() == whole and len(whole) > 50
+
+
 # ---- scans ----
 def test_context_decides_for_a_rarer_word(spark):
     texts = ["sheets fall here and they fall here"] * 150 + ["they may fail here"] * 30 + ["they may fa1l here", "sheets fa1l here"]
