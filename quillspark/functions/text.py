@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import functools
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import vocabulary as V
 
@@ -77,11 +75,6 @@ def label_hit(section: Column, kind: Column, labels: dict[str, list[str]]) -> Co
     return out
 
 
-def is_study_section(section: Column) -> Column:
-    low = F.lower(F.coalesce(section, F.lit("")))
-    return any_contains(low, V.STUDY_SECTIONS) & ~any_contains(low, V.BACKGROUND_SECTIONS)
-
-
 def nul_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\x00"), F.lit("")))
 
@@ -108,8 +101,7 @@ def lines(text: Column) -> Column:
 
 def first_title(text: Column, filename: Column) -> Column:
     """The first line of 8 to 180 characters that is no bare heading, else the file name without its ending."""
-    blocked = ["abstract", "introduction", "references", "contents", "index"]
-    found = F.filter(F.transform(lines(text), collapse), lambda l: F.length(l).between(8, 180) & ~F.lower(l).isin(*blocked))
+    found = F.filter(F.transform(lines(text), collapse), lambda l: F.length(l).between(8, 180) & ~F.lower(l).isin(*V.BARE_HEADINGS))
     stem = F.regexp_replace(F.regexp_extract(filename, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     return F.coalesce(F.get(found, F.lit(0)), F.nullif(stem, F.lit("")), F.lit("Uploaded paper"))
 
@@ -122,11 +114,11 @@ def labelled_line(text: Column, labels: str, most: int) -> Column:
 
 
 def first_authors(text: Column) -> Column:
-    return labelled_line(text, "authors?|by", 300)
+    return labelled_line(text, V.AUTHOR_LABELS, 300)
 
 
 def first_venue(text: Column) -> Column:
-    return labelled_line(text, "venue|journal|conference|published in", 200)
+    return labelled_line(text, V.VENUE_LABELS, 200)
 
 
 def parse_mdy(text: Column) -> Column:
@@ -165,7 +157,7 @@ def is_uuid(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?i)^\s*(?:urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?\s*$"), F.lit(False))
 
 
-@F.pandas_udf(T.StringType())
-def title_case(text: pd.Series) -> pd.Series:
-    """A capital after every non-letter, which initcap does not give."""
-    return text.map(lambda t: t.title() if isinstance(t, str) else None)
+def title_case(text: Column) -> Column:
+    """A capital after every non-letter, small letters after letters, which initcap does not give."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")

@@ -28,15 +28,21 @@ def mean_metrics(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in cols])
 
 
-def support_rates(judged: DataFrame) -> DataFrame:
-    """judged (answerable, supported): rates with their defined values for empty denominators."""
+def golden_metrics(per_query: DataFrame) -> DataFrame:
+    """The fourteen means of a golden set.
+
+    per_query: answerable, supported, coverage (share of the expected facts in the evidence) and the columns of
+    ``per_query_metrics`` (null for questions without an answer). Unsupported questions cover no fact. Rates with an
+    empty denominator have their defined values: 0 for support, 1 for abstention.
+    """
     a, s = F.col("answerable"), F.col("supported")
-    return judged.agg(
-        F.coalesce(F.try_divide(F.count_if(a & s), F.count_if(a)), F.lit(0.0)).alias("answerable_support"),
-        F.coalesce(F.try_divide(F.count_if(~a & s), F.count_if(~a)), F.lit(0.0)).alias("unanswerable_support"),
-        F.coalesce(F.try_divide(F.count_if(~a & ~s), F.count_if(~s)), F.lit(1.0)).alias("abstention_precision"),
-        F.coalesce(F.try_divide(F.count_if(~a & ~s), F.count_if(~a)), F.lit(1.0)).alias("abstention_recall"),
-    )
+    cols = ["hit_1", "hit_3", "hit_5", "hit_10", "rr", "ndcg_5", "ndcg_10", "precision_5", "recall_5"]
+    share = lambda n, d, empty: F.round(F.coalesce(F.try_divide(F.count_if(n), F.count_if(d)), F.lit(empty)), 6)
+    return per_query.agg(
+        F.count("*").alias("queries"), *[F.round(F.avg(F.when(a, F.col(c))), 6).alias(c) for c in cols],
+        share(a & s, a, 0.0).alias("answerable_support"), F.round(F.avg(F.when(a, F.when(s, F.col("coverage")).otherwise(0.0))), 6).alias("fact_coverage"),
+        share(~a & s, ~a, 0.0).alias("unanswerable_support"), share(~a & ~s, ~s, 1.0).alias("abstention_precision"), share(~a & ~s, ~a, 1.0).alias("abstention_recall"),
+    )
 
 
 def latency_summary(df: DataFrame, key: str, value: str, parts: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:

@@ -63,3 +63,22 @@ def uploads_to_register(files: DataFrame, papers: DataFrame) -> DataFrame:
     """files (owner_id, content) not yet known: external_id is the first 16 hex digits of the content's SHA-256."""
     f = files.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256)).withColumn("external_id", F.substring("content_hash", 1, 16))
     return insert_unless(papers, f.dropDuplicates(["external_id", "owner_id"]), ["external_id", "owner_id"])
+
+
+def persist_results(results: DataFrame, papers: DataFrame) -> DataFrame:
+    """external_id, paper_id, inserted, evidence_state, citation_count: what a list of search results leaves in the store.
+
+    results: seq (a total order), id, doi, title, pdf_url, citation_count. A result is the stored paper with its id,
+    else the newest one with its external id (identifier, else id, else title), else a new paper whose state depends on
+    whether it has a file. Of several results for one paper the last sets the citations, the first the state.
+    """
+    r = results.withColumn("external_id", falsy_chain(F.col("doi"), F.col("id"), F.col("title")))
+    known = papers.select(F.col("id").alias("by_id"), F.col("evidence_state").alias("id_state"))
+    newest = papers.where("external_id is not null").groupBy("external_id").agg(F.max_by(F.struct("id", "evidence_state"), F.struct("created_at", "id")).alias("newest"))
+    j = r.join(known, r["id"] == known["by_id"], "left").join(newest, "external_id", "left")
+    j = j.withColumn("paper_id", F.coalesce("by_id", "newest.id"))
+    initial = F.when(F.length(F.coalesce("pdf_url", F.lit(""))) > 0, "processing").otherwise("metadata-only")
+    state = F.when(F.col("by_id").isNotNull(), F.col("id_state")).when(F.col("newest").isNotNull(), F.col("newest.evidence_state")).otherwise(initial)
+    j = j.withColumn("target", F.coalesce("paper_id", F.concat(F.lit("new:"), "external_id"))).withColumn("state", state)
+    out = j.where("target is not null").groupBy("target").agg(F.max_by("external_id", "seq").alias("external_id"), F.first("paper_id").alias("paper_id"), F.min_by("state", "seq").alias("evidence_state"), F.max_by(F.coalesce("citation_count", F.lit(0)), F.col("seq")).alias("citation_count"))
+    return out.select("external_id", "paper_id", F.col("paper_id").isNull().alias("inserted"), "evidence_state", "citation_count")

@@ -30,8 +30,9 @@ def signals_of(kind: Column) -> Column:
 def evidence_supports(questions: DataFrame, chunks: DataFrame, query_keys: list[str], on: list[str] | None = None) -> DataFrame:
     """questions (keys, question), chunks (on, text, section) -> keys, kind, supported.
 
-    ``on``: the keys both sides have (all of them). With none, a fixed set of questions is put to every chunk and
-    the keys may lie on either side; the questions are then broadcast and nothing is shuffled before the aggregate.
+    ``on``: the keys both sides have (all of them). With fewer, a fixed set of questions meets the chunks by these keys, or
+    every chunk with none, and the other keys lie on either side; the questions are then broadcast and nothing is
+    shuffled before the aggregate.
 
     Per chunk booleans, then bool_or per query; a query without chunks is not supported.
     """
@@ -42,9 +43,12 @@ def evidence_supports(questions: DataFrame, chunks: DataFrame, query_keys: list[
     q = q.withColumn("compounds", compound).withColumn("roots", tx.content_words(F.array_join("compounds", " ")))
     q = q.withColumn("beyond", F.array_except("topic", "roots"))
     on = query_keys if on is None else on
-    own = on or [k for k in query_keys if k in chunks.columns]
+    own = list(dict.fromkeys([*on, *[k for k in query_keys if k in chunks.columns]]))
     c = chunks.select(*own, F.col("section"), tx.content_words(F.col("text")).alias("c_words"))
-    j = q.join(c, on, "left") if on else c.crossJoin(F.broadcast(q))  # a fixed set of questions
+    if set(on) == set(query_keys):
+        j = q.join(c, on, "left")
+    else:  # a fixed set of questions
+        j = c.join(F.broadcast(q), on) if on else c.crossJoin(F.broadcast(q))
     hit = lambda col: F.size(F.array_intersect(F.col(col), F.coalesce("c_words", F.array().cast("array<string>"))))
     need = F.when(F.size("topic") <= 2, 1).otherwise(F.ceil(F.size("topic") * 0.35))
     some = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
@@ -119,3 +123,46 @@ def extractive_answer(retrieved: DataFrame, query_keys: list[str]) -> DataFrame:
     verified = F.coalesce((F.length("evidence") > 0) & (F.size(F.array_intersect("asked", tx.words(F.col("evidence")))) > 0), F.lit(False))
     answer = F.when(verified, F.concat(F.lit("Based only on the retrieved paper evidence: "), F.col("evidence"), F.lit("\n\nEvidence: "), F.col("cites"))).otherwise(V.CANNOT_VERIFY)
     return out.select(*query_keys, answer.alias("answer"), verified.alias("verified"))
+
+
+def evidence_pipeline(questions: DataFrame, papers: DataFrame, chunks: DataFrame, paper: str = "paper_id", k: int = 30, shown: int = 6) -> DataFrame:
+    """Each question put to each paper: an answer with citations, or an abstention.
+
+    questions: question_id, question, question_vector (a fixed set; it is broadcast). papers: paper, title, authors,
+    venue, year, doi, full_text. chunks: paper, id, text, section, page, chunk_index, embedding.
+    -> paper, question_id, question, question_type, status, reranker, retrieved, evidence_count, answer, citations.
+
+    Questions about the paper's own data are answered from it where the field is filled. All others take the ``k`` chunks of
+    highest hybrid score, of which ``shown`` are kept; without support from these, or without the full text, the answer
+    is an abstention and nothing is cited.
+    """
+    from . import rank
+
+    q = questions.withColumn("intent", metadata_intent(F.col("question"))).withColumn("kind", classify(F.col("question"))).withColumn("q_words", tx.content_words(F.col("question")))
+    asked = papers.crossJoin(F.broadcast(q.drop("question_vector", "q_words")))  # a fixed set of questions
+    own = metadata_answer(F.col("intent"), F.col("title"), F.col("authors"), F.col("venue"), F.col("year"), F.col("doi"))
+    asked = asked.withColumn("own", own).select(paper, "question_id", "question", "kind", "own", "full_text")
+    keys = [paper, "question_id"]
+    pairs = chunks.withColumn("t_words", tx.content_words(F.col("text"))).crossJoin(F.broadcast(q.drop("intent")))
+    scored = rank.hybrid_score(pairs).withColumn("hybrid_score", F.round("hybrid_score", 9))
+    kept = rank.topk_per(scored, keys, shown, F.col("hybrid_score").desc(), F.col("chunk_index"), F.col("id")).select(*keys, "question", "rank", "text", "section", "page", "chunk_index")
+    backed = evidence_supports(q.select("question_id", "question"), kept.drop("question"), keys, on=["question_id"]).select(*keys, "supported")
+    texts = extractive_answer(kept, keys).select(*keys, F.col("answer").alias("extract"))
+    cited = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(":", F.coalesce(F.col("page").cast("string"), F.lit("")), F.coalesce("section", F.lit("")), F.col("chunk_index").cast("string")).alias("c")))).alias("c"))  # ``shown`` at most
+    retrieved = chunks.groupBy(paper).agg(F.count("*").alias("candidates"))
+    j = asked.join(backed, keys, "left").join(texts, keys, "left").join(cited, keys, "left").join(retrieved, paper, "left")
+    meta = F.col("own").isNotNull()
+    ok = meta | (F.coalesce("supported", F.lit(False)) & F.col("full_text"))
+    grounded = ok & ~meta
+    return j.select(
+        *keys, "question", F.when(meta, "metadata").otherwise(F.col("kind")).alias("question_type"), F.when(ok, "evidence-backed").otherwise("insufficient-evidence").alias("status"),
+        F.when(meta, "metadata-grounded").otherwise("hybrid-fallback").alias("reranker"), F.coalesce("candidates", F.lit(0)).cast("long").alias("retrieved"),
+        F.when(grounded, F.size("c")).otherwise(0).cast("long").alias("evidence_count"), F.when(meta, F.col("own")).when(ok, F.col("extract")).otherwise(V.CANNOT_VERIFY).alias("answer"),
+        F.when(grounded, F.array_join(F.transform("c", lambda x: x["c"]), ", ")).otherwise("").alias("citations"),
+    )
+
+
+def chat_rows(answers: DataFrame, session: str) -> DataFrame:
+    """Two messages an answer, in order: the question without citations and the answer with its own."""
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"), F.lit("").alias("citations")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.col("citations")))
+    return answers.select(F.col(session).alias("session_id"), "question_id", F.posexplode(turns).alias("place", "m")).select("session_id", (F.col("question_id") * 2 + F.col("place")).cast("long").alias("turn"), "m.role", "m.content", "m.citations")

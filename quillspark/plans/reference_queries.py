@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,9 +11,8 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions import vocabulary as V
 from ..operators import analysis, chunking, metrics, rank, relational, retrieval
-from ..session import load, shared_dir, spread
+from ..session import load, spread
 from ..sources import readers
-from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,10 +138,10 @@ def visibility_or_filter(spark, d):
     return relational.visible_to(p.crossJoin(F.broadcast(user)), F.col("user")).select("id", "owner_id", "evidence_state")  # one row
 
 
-@query("access_violations", "select distinct i.request_id, p.id from paper_inputs i join papers p on p.id = i.id where p.owner_id is not null and p.owner_id <> i.user_id")
+@query("access_violations", "select distinct i.request_id, i.user_id, i.id from paper_inputs i where exists (select 1 from papers p where p.id = i.id and p.owner_id is not null and p.owner_id <> i.user_id)")
 def access_violations(spark, d):
-    i, p = load(spark, d, "paper_inputs").select("request_id", "user_id", "id"), load(spark, d, "papers").where("owner_id is not null").select("id", "owner_id")
-    return i.join(p, "id").where("owner_id <> user_id").select("request_id", "id").distinct()
+    i, p = load(spark, d, "paper_inputs").select("request_id", "user_id", "id").alias("i"), load(spark, d, "papers").where("owner_id is not null").select("id", "owner_id").alias("p")
+    return i.join(p, (F.col("i.id") == F.col("p.id")) & (F.col("i.user_id") != F.col("p.owner_id")), "left_semi").distinct()
 
 
 @query("collection_documents", "select c.id as collection_id, c.name, c.user_id, count(d.doc_id) as n_docs from research_collections c join documents d on d.collection_id = c.id group by 1, 2, 3")
@@ -201,11 +199,11 @@ def json_path_filter(spark, d):
     return load(spark, d, "events").select("event_id", k.alias("k")).where("k > 90")
 
 
-@query("conditional_insert", "select p.id from papers p where p.evidence_state = 'queued' and not exists (select 1 from events e where json_extract_string(e.props, '$.k') = cast(length(p.title) as varchar) and e.event_type = 'error')")
+@query("conditional_insert", "select c_custkey as user_id from customer c where not exists (select 1 from events e where e.user_id = c.c_custkey and e.event_type = 'error')")
 def conditional_insert(spark, d):
-    jobs = load(spark, d, "events").where("event_type = 'error'").select(F.get_json_object("props", "$.k").alias("k"))
-    rows = load(spark, d, "papers").where("evidence_state = 'queued'").select("id", F.length("title").cast("string").alias("k"))
-    return relational.insert_unless(jobs, rows, ["k"]).select("id")
+    """A job for every customer who has none in the state of an error yet."""
+    jobs = load(spark, d, "events").where("event_type = 'error'").select("user_id")
+    return relational.insert_unless(jobs, load(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), ["user_id"])
 
 
 @query("upsert_merge", """with u as (select id, max(citation_count) as c from paper_inputs where citation_count > 0 and id is not null group by id)
@@ -288,9 +286,15 @@ def capped_union(spark, d):
 
 
 # ---- text ----
-@query("boilerplate_filter", "select doc_id from documents where regexp_matches(lower(text), '" + "|".join(V.BOILERPLATE) + "|cache policy data show') ")
+_PLAIN_BOILERPLATE = [p for p in V.BOILERPLATE if "\\" not in p]
+
+
+@query("boilerplate_filter", "select doc_id, regexp_matches(lower(t), '" + "|".join(V.BOILERPLATE) + f"') as is_boilerplate from (select doc_id, coalesce(text, '') || case when doc_id % 3 = 0 then ' ' || upper({_sql_list(_PLAIN_BOILERPLATE)}[cast(doc_id % {len(_PLAIN_BOILERPLATE)} as integer) + 1]) else '' end as t from documents)")
 def boilerplate_filter(spark, d):
-    return load(spark, d, "documents").where(tx.is_boilerplate(F.col("text")) | F.lower("text").rlike("cache policy data show")).select("doc_id")
+    """Every third document gets one of the phrases."""
+    phrase = F.element_at(tx.strings(_PLAIN_BOILERPLATE), (F.col("doc_id") % len(_PLAIN_BOILERPLATE)).cast("int") + 1)
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.upper(phrase))).otherwise(""))
+    return load(spark, d, "documents").select("doc_id", tx.is_boilerplate(t).alias("is_boilerplate"))
 
 
 @query("nul_audit", "select doc_id, length(text) - length(replace(text, chr(0), '')) as nuls, case when contains(text, chr(0)) then 'nul' end as reason from documents where text is not null")
@@ -298,9 +302,12 @@ def nul_audit(spark, d):
     return load(spark, d, "documents").where("text is not null").select("doc_id", tx.nul_count(F.col("text")).cast("long").alias("nuls"), tx.text_invalid_reason(F.col("text")).alias("reason"))
 
 
-@query("normalized_text", "select doc_id, sha256(replace(coalesce(text, ''), chr(0), '')) as digest from documents")
+@query("normalized_text", "select doc_id, sha256(replace(coalesce(text, ''), chr(0), '')) as digest, sha256(replace(coalesce(text, ''), chr(0), '')) as repaired from documents")
 def normalized_text(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.sha2(tx.normalize_text(F.col("text")).cast("binary"), 256).alias("digest"))
+    """Digests of the normalised text, and of what the repair makes of the same text read with the wrong encoding."""
+    digest = lambda c: F.sha2(tx.normalize_text(c).cast("binary"), 256)
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return load(spark, d, "documents").select("doc_id", digest(F.col("text")).alias("digest"), digest(broken).alias("repaired"))
 
 
 @query("domain_flags", "select id, " + ", ".join(f"({' or '.join(f'''contains(t, '{p}')''' for p in parts)}) as is_{k}" for k, parts in V.DOMAINS.items()) + " from (select id, lower(concat_ws(' ', coalesce(title, ''), coalesce(abstract, ''))) as t from papers)")
@@ -315,16 +322,6 @@ def word_windows(spark, d):
     return chunking.word_windows(load(spark, d, "documents"), ["doc_id"], "text")
 
 
-@query("section_chunks")
-def section_chunks(spark, d):
-    return chunking.section_chunks(load(spark, d, "paper_documents").dropDuplicates(["id"]), ["id"], "content")
-
-
-@query("metadata_lines")
-def metadata_lines(spark, d):
-    return load(spark, d, "paper_documents").dropDuplicates(["id"]).select("id", tx.first_title(F.coalesce("content", F.lit("")), F.coalesce("filename", F.lit(""))).alias("title"), tx.first_authors(F.coalesce("content", F.lit(""))).alias("authors"), tx.first_venue(F.coalesce("content", F.lit(""))).alias("venue"))
-
-
 @query("inverted_index_roundtrip", "select doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') as rebuilt from documents where len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0")
 def inverted_index_roundtrip(spark, d):
     docs = load(spark, d, "documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("p", "w"))
@@ -388,15 +385,6 @@ def titled_similarity_edges(spark, d):
     return analysis.titled_edges(similarity_edges(spark, d), load(spark, d, "papers"), "id", "title").select("request_id", "a", "b", "weight", "a_title", "b_title")
 
 
-@query("repaired_analyses", """select case when source = 'upload' then true else false end as repaired, count(*) as n from papers group by 1""")
-def repaired_analyses(spark, d):
-    p = load(spark, d, "papers")
-    kept = p.where("source not in ('upload', 'arxiv')").select("id", F.array(F.lit("It is fast.")).alias("strengths"), F.lit(0.85).alias("confidence"))
-    kept = kept.unionByName(p.where("source = 'arxiv'").select("id", F.array(F.lit("It is small.")).alias("strengths"), F.lit(0.7).alias("confidence")))
-    stale = p.where("source = 'upload'").select("id", F.array(F.lit("Not verified yet")).alias("strengths"), F.lit(0.5).alias("confidence"))
-    return analysis.repair_analyses(kept.unionByName(stale), p, "id", "title", "abstract").groupBy("repaired").agg(F.count("*").alias("n"))
-
-
 @query("object_keys", "select distinct id, 'papers/' || 'public' || '/' || coalesce(paper_id, '') || '/' || case when f = '' then 'document.pdf' else f end as object_key from (select id, paper_id, substr(regexp_replace(regexp_extract(coalesce(filename, ''), '([^/]*)/*$', 1), '[^a-zA-Z0-9_.-]', '_', 'g'), 1, 200) as f from paper_documents)")
 def object_keys(spark, d):
     return load(spark, d, "paper_documents").select("id", tx.object_key(F.lit(None).cast("string"), F.coalesce("paper_id", F.lit("")), F.col("filename")).alias("object_key")).distinct()
@@ -412,12 +400,6 @@ def analysis_summary(spark, d):
     return analysis.heuristic_analysis(load(spark, d, "papers"), "title", "abstract").select("id", "analysis_summary", "method_sentences", "confidence")
 
 
-@query("heuristic_analysis")
-def heuristic_analysis(spark, d):
-    a = analysis.heuristic_analysis(load(spark, d, "papers"), "title", "abstract")
-    return a.select("id", "analysis_summary", "method_sentences", F.array_join("strengths", "\n").alias("strengths"), F.array_join("weaknesses", "\n").alias("weaknesses"), "domain", "confidence")
-
-
 # ---- retrieval ----
 def _questions(spark):
     return spark.createDataFrame(QUESTIONS, "question_id int, question string")
@@ -467,36 +449,6 @@ def evidence_supports(spark, d):
     return per.groupBy("question_id", "kind").agg(F.count("*").alias("documents"), F.count_if("supported").alias("supported"))
 
 
-def _hybrid_pairs(spark, d):
-    """Each question against every chunk; its vector is that of a chunk in the store (the oracle can read it)."""
-    q, _ = _question_chunks(spark, d)
-    c = load(spark, d, "document_chunks").where("size(embedding) = 384").dropDuplicates(["id"])
-    v = c.orderBy("id").limit(1).select(F.col("embedding").alias("question_vector"))
-    c = spread(c)
-    q = q.withColumn("q_words", tx.content_words(F.col("question"))).withColumn("kind", retrieval.classify(F.col("question")))
-    c = c.select("id", "document_id", "text", "section", "chunk_index", "page", "embedding", tx.content_words(F.col("text")).alias("t_words"))
-    return c.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(v))  # ten questions, one vector
-
-
-@query("hybrid_topk", f"""with q as {_kinds(_Q_SQL, 'question_id, question')},
- c as (select id, any_value(document_id) as document_id, any_value(text) as text, any_value(section) as section, any_value(chunk_index) as chunk_index, any_value(embedding) as embedding from document_chunks where len(embedding) = 384 group by id),
- v as (select embedding as qv from c order by id limit 1),
- s as (select question_id, kind, id, q_words, lower(coalesce(section, '')) as sec, {_words('text', V.STOP_WORDS)} as cw, list_dot_product(cast(qv as double[]), cast(embedding as double[])) as dense from q, c, v),
- t as (select *, len(list_intersect(q_words, cw)) as shared from s),
- u as (select question_id, id, 0.55 * dense + 0.45 * (shared / greatest(len(q_words), 1)) + case when {_LABEL(V.PRIMARY_SECTIONS)} then 0.65 when {_LABEL(V.SECONDARY_SECTIONS)} then 0.65 * 0.4 else 0.0 end
-   - case when kind not in ('general', 'metadata') and ({' or '.join(f"contains(sec, '{b}')" for b in V.BACKGROUND_SECTIONS)}) then 0.65 else 0.0 end + 0.12 * shared as score from t)
-select question_id, id, round(score, 6) as score from (select *, row_number() over (partition by question_id order by round(score, 9) desc, id) as n from u) where n <= 6""")
-def hybrid_topk(spark, d):
-    s = rank.hybrid_score(_hybrid_pairs(spark, d))
-    return rank.topk_per(s, ["question_id"], 6, F.round("hybrid_score", 9).desc(), F.col("id")).select("question_id", "id", F.round("hybrid_score", 6).alias("score"))
-
-
-@query("extractive_answers")
-def extractive_answers(spark, d):
-    top = rank.topk_per(rank.hybrid_score(_hybrid_pairs(spark, d)), ["question_id"], 6, F.round("hybrid_score", 9).desc(), F.col("id"))
-    return retrieval.extractive_answer(rank.rerank(top), ["question_id"])
-
-
 @query("metadata_intents", "select question_id, case " + " ".join(f"when {' or '.join([f'''contains(q, '{p}')''' for p in V.METADATA_PHRASES[k]] + [f'''regexp_matches(q, '{p}')''' for p in V.METADATA_PATTERNS[k]])} then '{k}'" for k in V.METADATA_PHRASES) + f" when list_contains(regexp_extract_all(q, '[a-z0-9]+'), 'doi') then 'doi' end as intent from (select question_id, lower(trim(question)) as q from {_Q_SQL})")
 def metadata_intents(spark, d):
     return _questions(spark).select("question_id", retrieval.metadata_intent(F.col("question")).alias("intent"))
@@ -520,11 +472,11 @@ _RANKED_SQL = """with r as (select q.vec_id as query_id, e.vec_id, cast(e.label
 
 def _ranked_vectors(spark, d, k):
     """A stated query set (ids divisible by 100) against all vectors."""
-    e = load(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    pairs = e.join(q, F.col("vec_id") != F.col("query_id"))
-    s = pairs.select("query_id", "vec_id", (F.col("label") == F.col("q_label")).cast("int").alias("relevant"), F.round(vec.dot(F.col("q"), F.col("embedding")), 6).alias("sim"))
-    return rank.topk_per(s, ["query_id"], k, F.col("sim").desc(), F.col("vec_id"))
+    e = load(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    ranked = vec.blocked_topk(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), e, k)
+    labels = load(spark, d, "embeddings").select("vec_id", "label")
+    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    return ranked.join(labels, "vec_id").join(own, "query_id").select("query_id", "vec_id", "rank", (F.col("label") == F.col("q_label")).cast("int").alias("relevant"))
 
 
 @query("vector_topk", _RANKED_SQL + " select query_id, vec_id, cast(rank as integer) as rank from r where rank <= 5")
@@ -591,27 +543,3 @@ def openalex_projection(spark, d):
         F.struct(F.col("open_access").alias("is_oa")).alias("open_access"),
     )
     return readers.from_openalex(nested).select("doi", "title", "authors_raw", "venue", "citation_count", "url", "pdf_url", "open_access").distinct()
-
-
-@query("csv_jsonl_etl")
-def csv_jsonl_etl(spark, d):
-    """Papers written as the raw CSV, read strictly, normalised, de-duplicated into JSONL and read back."""
-    base = shared_dir(spark)
-    p = load(spark, d, "papers").where("length(trim(title)) > 0 and length(trim(abstract)) > 0 and length(trim(authors)) > 0")
-    raw = p.select("id", "title", F.col("source").alias("category"), F.lit("x.Y").alias("category_code"), F.date_format("created_at", "M/d/yy").alias("published_date"), F.date_format("created_at", "M/d/yy").alias("updated_date"), "authors", F.lit("first").alias("first_author"), F.col("abstract").alias("summary"), F.lit("0").alias("summary_word_count"))
-    raw.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{base}/csv")
-    readers.write_jsonl(readers.normalize_corpus(readers.read_corpus_csv(spark, f"{base}/csv")), f"{base}/jsonl", order="id")
-    return readers.read_corpus_jsonl(spark, f"{base}/jsonl").select("id", "title", "published_date", "summary_word_count", "content_hash")
-
-
-@query("stream_ingest")
-def stream_ingest(spark, d):
-    """Documents sent as messages, processed by a stream into tables; returns the job states with the chunk counts."""
-    base = shared_dir(spark)
-    docs = load(spark, d, "paper_documents").dropDuplicates(["id"])
-    msgs = docs.select(F.to_json(F.struct(F.concat(F.lit("job-"), "id").alias("job_id"), F.lit("PAPER_PROCESSING").alias("job_type"), "paper_id", F.col("id").alias("document_id"), "filename", "content")).alias("value"))
-    msgs.write.text(f"{base}/inbox")
-    ingest.ingest(spark, f"{base}/inbox", f"{base}/tables", f"{base}/checkpoint", per_trigger=1000).awaitTermination()
-    jobs = spark.read.parquet(f"{base}/tables/background_jobs")
-    chunks = spark.read.parquet(f"{base}/tables/document_chunks").groupBy("document_id").agg(F.count("*").alias("chunks"))
-    return jobs.select(F.expr("substring(id, 5)").alias("document_id"), "status", "error").join(chunks, "document_id", "left").select("document_id", "status", "error", F.coalesce("chunks", F.lit(0)).alias("chunks"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,36 +29,60 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``).
+_FOLDERS: dict[str, str] = {}  # of each application, its own folder within the shared one
 
-    Only where the setting is absent (tests, notebooks) a local folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-shared")
-        os.makedirs(base[7:], exist_ok=True)
-    return f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}"
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; survives the loss of executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh path in the folder all executors share (``spark.checkpoint.dir``), removed when the driver ends.
+
+    Only in local mode, where the setting is absent (tests, notebooks), a local folder is used; a cluster without it is an error.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-shared")
+            os.makedirs(base[7:], exist_ok=True)
+        _FOLDERS[app] = f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _FOLDERS[app])
+    return f"{_FOLDERS[app]}/{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before
+        if path.startswith("file://"):
+            shutil.rmtree(path[7:], ignore_errors=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and survives the loss of executors.
 
     Columnar and compressed, so it costs less disk than ``checkpoint()``.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quill_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``stored`` wrote for this frame; nothing may read it any more."""
+    path = getattr(df, "_quill_path", None)
+    if path:
+        fs, p = _fs(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -51,7 +50,9 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False, key: str = "i
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target) and not overwrite:
         raise FileExistsError(path)
-    seq = df.withColumn("_seq", F.col(order) if order else F.monotonically_increasing_id())
+    # Without an order the row that stands first in the files stays (by file, then place), however they are split.
+    counted = Observation()
+    seq = df.observe(counted, F.count(F.lit(1)).alias("rows")).withColumn("_seq", F.col(order) if order else F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("n")))
     staged = f"{path}.staged"
     fs.delete(hpath(staged), True)
     try:
@@ -64,7 +65,7 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False, key: str = "i
     fs.rename(hpath(staged), target)
     fs.delete(hpath(f"{path}.old"), True)
     written = spark.read.schema("id string").json(path).count()
-    return written, df.count() - written
+    return written, counted.get["rows"] - written
 
 
 def read_corpus_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -105,18 +106,35 @@ class _Recorded(DataSourceReader):
         self.path, self.limit = options["path"], int(options.get("limit", "50"))
         self.field = options.get("field", "results")
 
+    def _open(self):
+        """The file system of the folder (local, HDFS, S3), and the folder in it."""
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+
     def partitions(self):
-        return [InputPartition(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.endswith(".json")]
+        from pyarrow import fs
+
+        store, path = self._open()
+        found = [i.path for i in store.get_file_info(fs.FileSelector(path, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".json")]
+        return [InputPartition(p) for p in sorted(found)] or [InputPartition("")]
 
     def read(self, partition):
-        with open(partition.value, encoding="utf-8") as f:
-            page = json.load(f)
-        for i, item in enumerate(page.get(self.field, [])[: self.limit]):
-            yield os.path.basename(partition.value), i, json.dumps(item)
+        if not partition.value:
+            return
+        with self._open()[0].open_input_file(partition.value) as f:
+            text = f.read().decode("utf-8")
+        try:
+            pages = [json.loads(text)]
+        except ValueError:  # a page on each line
+            pages = [json.loads(line) for line in text.splitlines() if line.strip()]
+        for n, page in enumerate(pages):
+            for i, item in enumerate((page.get(self.field) or [])[: self.limit]):
+                yield f"{partition.value.rpartition('/')[2]}#{n}" if n else partition.value.rpartition("/")[2], i, json.dumps(item)
 
 
 class RecordedResponses(DataSource):
-    """A folder of recorded response pages, one partition each; at most ``limit`` items of a page."""
+    """A folder of recorded response pages, a partition for each file; at most ``limit`` items of a page."""
 
     @classmethod
     def name(cls) -> str:

@@ -23,7 +23,14 @@ JOB_TYPES = ("CORPUS_FULL_TEXT_INGESTION", "PAPER_PROCESSING")
 def messages(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
     """A stream of job messages; lines that are no JSON become rows without a job type."""
     raw = spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(path)
-    return raw.select(F.from_json("value", MESSAGE).alias("m"), "value").select("m.*", F.col("value").alias("raw"))
+    arrived = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"), F.sha2("value", 256).alias("digest"))
+    return raw.select(F.from_json("value", MESSAGE).alias("m"), "value", arrived.alias("arrived")).select("m.*", F.col("value").alias("raw"), "arrived")
+
+
+def last_of(rows: DataFrame, key: str) -> DataFrame:
+    """The row of each key that arrived last (time and path of its file, then its digest: a total order)."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.col("arrived")).alias("_row")).select("_row.*")
 
 
 def triage(batch: DataFrame) -> DataFrame:
@@ -39,14 +46,15 @@ def triage(batch: DataFrame) -> DataFrame:
 
 def derive(good: DataFrame) -> dict[str, DataFrame]:
     """documents, chunks and analyses of the messages of one batch; the last message of a document counts."""
-    last = good.dropDuplicates(["document_id"])
+    last = last_of(good, "document_id")
     docs = last.select(
         F.col("document_id").alias("id"), "paper_id", "filename", "content", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"),
-        F.coalesce(F.nullif("title", F.lit("")), tx.first_title(F.col("content"), F.coalesce("filename", F.lit("")))).alias("title"), tx.first_authors(F.col("content")).alias("authors"), tx.first_venue(F.col("content")).alias("venue"),
+        F.coalesce(F.nullif("title", F.lit("")), tx.first_title(F.col("content"), F.coalesce("filename", F.lit("")))).alias("title"), tx.first_authors(F.col("content")).alias("authors"), tx.first_venue(F.col("content")).alias("venue"), "arrived",
     )
     chunks = section_chunks(docs.withColumnRenamed("id", "document_id"), ["document_id"], "content").withColumn("embedding", hash_embedding("text"))
-    analyses = heuristic_analysis(docs.select("paper_id", "title", "content"), "title", "content").drop("content", "title")
-    return {"documents": docs, "document_chunks": chunks, "paper_analyses": analyses}
+    by_paper = last_of(docs.where("paper_id is not null"), "paper_id")
+    analyses = heuristic_analysis(by_paper.select("paper_id", "title", "content"), "title", "content").drop("content", "title")
+    return {"documents": docs.drop("arrived"), "document_chunks": chunks, "paper_analyses": analyses}
 
 
 def replace_rows(df: DataFrame, path: str, key: str) -> None:
@@ -78,9 +86,9 @@ def process_batch(target: str) -> Callable[[DataFrame, int], None]:
             tables = derive(good)
             replace_rows(tables["documents"], f"{target}/documents", "id")
             replace_rows(tables["document_chunks"], f"{target}/document_chunks", "document_id")
-            replace_rows(tables["paper_analyses"].where("paper_id is not null").dropDuplicates(["paper_id"]), f"{target}/paper_analyses", "paper_id")
-        status = seen.select(F.coalesce("job_id", F.sha2("raw", 256)).alias("id"), F.when(F.col("reason").isNull(), "COMPLETED").otherwise("FAILED").alias("status"), F.when(F.col("reason").isNull(), 100).otherwise(0).alias("progress"), F.substring("reason", 1, 500).alias("error"), F.lit(batch_id).alias("batch"))
-        replace_rows(status.dropDuplicates(["id"]), f"{target}/background_jobs", "id")
+            replace_rows(tables["paper_analyses"], f"{target}/paper_analyses", "paper_id")
+        status = seen.select(F.coalesce("job_id", F.sha2("raw", 256)).alias("id"), F.when(F.col("reason").isNull(), "COMPLETED").otherwise("FAILED").alias("status"), F.when(F.col("reason").isNull(), 100).otherwise(0).alias("progress"), F.substring("reason", 1, 500).alias("error"), F.lit(batch_id).alias("batch"), "arrived")
+        replace_rows(last_of(status, "id").drop("arrived"), f"{target}/background_jobs", "id")
         bad = seen.where("reason is not null").select(F.sha2("raw", 256).alias("id"), "raw", "reason")
         if not bad.isEmpty():
             replace_rows(bad.dropDuplicates(["id"]), f"{target}/dead_letters", "id")
@@ -93,7 +101,3 @@ def ingest(spark: SparkSession, inbox: str, target: str, checkpoint: str, per_tr
     """Process everything that lies in the inbox, then stop; run it again for what has arrived since."""
     return messages(spark, inbox, per_trigger).writeStream.foreachBatch(process_batch(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def windowed_counts(events: DataFrame, ts: str, key: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Beyond the reference: counts per event-time window, late rows accepted up to the watermark."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")

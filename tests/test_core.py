@@ -141,8 +141,71 @@ def test_ir_metrics(spark):
     m = metrics.per_query_metrics(spark.createDataFrame(rows, "q string, rank int, relevant int, expected int"), "q", "relevant", "expected").first()
     ideal = sum(1 / math.log2(i + 1) for i in (1, 2, 3))
     assert (m.hit_1, m.hit_3, m.rr, m.precision_5) == (0, 1, 0.5, 0.4) and math.isclose(m.ndcg_5, (1 / math.log2(3) + 1 / math.log2(5)) / ideal) and math.isclose(m.recall_5, 2 / 3)
-    s = metrics.support_rates(spark.createDataFrame([(True, True), (False, False), (False, True)], "answerable boolean, supported boolean")).first()
-    assert s.answerable_support == 1 and s.unanswerable_support == 0.5 and s.abstention_precision == 1 and s.abstention_recall == 0.5
+
+
+def test_golden_metrics(spark):
+    empty = {c: 0.0 for c in ("hit_3", "hit_5", "hit_10", "rr", "ndcg_5", "ndcg_10", "precision_5", "recall_5")}
+    rows = [dict(answerable=True, supported=True, coverage=0.5, hit_1=1.0, **empty), dict(answerable=True, supported=False, coverage=1.0, hit_1=0.0, **empty), dict(answerable=False, supported=False, coverage=None, hit_1=None, **empty), dict(answerable=False, supported=True, coverage=None, hit_1=None, **empty)]
+    schema = "answerable boolean, supported boolean, coverage double, hit_1 double, " + ", ".join(f"{c} double" for c in empty)
+    s = metrics.golden_metrics(spark.createDataFrame(rows, schema)).first()
+    assert (s.queries, s.hit_1, s.answerable_support, s.fact_coverage, s.unanswerable_support, s.abstention_precision, s.abstention_recall) == (4, 0.5, 0.5, 0.25, 0.5, 0.5, 0.5)
+    none = metrics.golden_metrics(spark.createDataFrame([], schema)).first()
+    assert (none.answerable_support, none.unanswerable_support, none.abstention_precision, none.abstention_recall) == (0, 0, 1, 1)
+
+
+def test_blocked_topk_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, size=(120, 8)).astype(float)  # many ties
+    rows = [(i, [float(x) for x in v[i]]) for i in range(120)]
+    e = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vec.blocked_topk(e.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "v as q"), e, 5, query_rows=5, vector_rows=30).collect()}
+    for q in range(0, 120, 10):
+        want = sorted((j for j in range(120) if j != q), key=lambda j: (-float(v[q] @ v[j]), j))[:5]
+        assert [got[q, k] for k in range(1, 6)] == want
+    assert vec.blocked_topk(e.limit(0).selectExpr("vec_id as query_id", "v as q"), e, 5).count() == 0
+
+
+def test_title_case_is_that_of_python(spark):
+    for t in ("results and FINDINGS", "o'neil's 3d-plot", "élan VITAL", "", "a", "x1y"):
+        assert one(spark, tx.title_case(F.col("t")), t=t) == t.title()
+
+
+def test_search_results_stay(spark):
+    import datetime as dt
+
+    day = lambda k: dt.datetime(2020, 1, k)
+    papers = spark.createDataFrame([("a", "10.1/x", "full-text", day(1)), ("b", "10.1/x", "failed", day(2)), ("c", "t", None, day(1))], "id string, external_id string, evidence_state string, created_at timestamp")
+    results = [("1", "a", "10.1/x", "t", None, 5), ("2", "zz", "10.1/x", "t", None, 7), ("3", None, "", "t", None, None), ("4", "n", None, "u", "http://f", 3), ("5", "n", None, "u", None, 4), ("6", None, None, None, None, 1)]
+    got = {(r.paper_id, r.external_id, r.inserted, r.evidence_state, r.citation_count) for r in relational.persist_results(spark.createDataFrame(results, "seq string, id string, doi string, title string, pdf_url string, citation_count int"), papers).collect()}
+    assert got == {("a", "10.1/x", False, "full-text", 5), ("b", "10.1/x", False, "failed", 7), ("c", "t", False, None, 0), (None, "n", True, "processing", 4)}
+
+
+def test_the_last_message_of_a_document_counts(spark):
+    rows = spark.createDataFrame([("d", "old", (1, "f")), ("d", "new", (2, "a")), ("d", "mid", (1, "g")), ("e", None, (1, "f"))], "id string, content string, arrived struct<at:int,path:string>")
+    assert {(r.id, r.content) for r in ingest.last_of(rows, "id").collect()} == {("d", "new"), ("e", None)}
+
+
+def test_shared_folder(spark, monkeypatch):
+    from quillspark import session
+
+    df = session.stored(spark.range(3))
+    assert df.count() == 3
+    session.discard(df)
+    import os
+    assert not os.path.exists(df._quill_path[7:])
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            applicationId, master = "x", "spark://host"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Cluster)
+
 
 
 def test_replace_is_idempotent(spark):
