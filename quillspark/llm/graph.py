@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -16,13 +16,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     both = stored(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp"))
-    labels = stored(labels)
+    before = labels = stored(labels)
     for _ in range(most):
         near = both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("comp", "c").alias("new"), F.col("comp").alias("old"))
         jump = step.join(labels.select(F.col("id").alias("new"), F.col("comp").alias("up")), "new", "left")
         new = stored(jump.select("id", F.least("new", F.coalesce("up", "new")).alias("comp"), "old"))
+        discard(before)
         if new.where("comp <> old").isEmpty():
             return new.select("id", "comp")
-        labels = new.select("id", "comp")
+        before, labels = new, new.select("id", "comp")
     raise RuntimeError("components did not settle")

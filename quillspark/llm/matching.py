@@ -33,11 +33,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.packed import PARTICLES, split_value
-from ..session import spread, stored
+from ..session import discard, spread, stored
 from .graph import components
 from .nicknames import FULL as FULL_NAME
 
@@ -104,7 +105,6 @@ def author_keys(value: str | None) -> str:
     return ";".join(x for x in out if x)
 
 
-@lru_cache(1 << 17)
 def near_words(a: str, b: str, long_most: int = 2) -> bool:
     """Equal but for one edit (``long_most`` in words of nine letters or more), swaps of neighbours counting one."""
     if a == b:
@@ -112,6 +112,14 @@ def near_words(a: str, b: str, long_most: int = 2) -> bool:
     la, lb = len(a), len(b)
     if abs(la - lb) > 2 or la < 4 or lb < 4:
         return False
+    if a[0] != b[0] and a[-1] != b[-1] and (la < 9 or lb < 9):
+        return False  # one edit leaves one end as it is
+    return _near_words(a, b, long_most)
+
+
+@lru_cache(1 << 16)
+def _near_words(a: str, b: str, long_most: int) -> bool:
+    la, lb = len(a), len(b)
     most = long_most if la >= 9 and lb >= 9 else 1
     # What the two share at either end cannot hold an edit.
     i, n = 0, min(la, lb)
@@ -158,6 +166,15 @@ def _unlike(w: str, v: str) -> float:
     return d if d <= LOOSELY else 1.0
 
 
+@lru_cache(1 << 16)
+def _letters(w: str) -> int:
+    """The set of a word's letters as bits: a letter that the other word lacks is an edit."""
+    out = 0
+    for ch in w:
+        out |= 1 << (ord(ch) & 63)
+    return out
+
+
 def title_features(a: str, b: str, common: frozenset[str] | set[str] = frozenset()) -> tuple[float, float, float]:
     """(share of matched words, words replaced, words left out).
 
@@ -182,9 +199,18 @@ def title_features(a: str, b: str, common: frozenset[str] | set[str] = frozenset
         return 1 - (len(rest) + len(left)) / (len(x) + len(y)), 3.0, float(abs(len(rest) - len(left)))
     lone = []
     for w in rest:
-        hit = next((v for v in left if not (w in common and v in common) and near_words(w, v)), None)
-        if hit is None and not w.isdigit():
-            close = min(((_unlike(w, v), v) for v in left if not v.isdigit() and abs(len(w) - len(v)) <= 3 and not (w in common and v in common)), default=(1.0, None))
+        m, k, usual = _letters(w), len(w), w in common
+        near = []
+        for v in left:
+            o = len(v)
+            room = LOOSELY * (k if k > o else o)
+            if -3 <= k - o <= 3 and not (usual and v in common):
+                l = _letters(v)
+                if (m & ~l).bit_count() <= room and (l & ~m).bit_count() <= room:
+                    near.append(v)
+        hit = next((v for v in near if near_words(w, v)), None)
+        if hit is None and near and not w.isdigit():
+            close = min(((_unlike(w, v), v) for v in near if not v.isdigit()), default=(1.0, None))
             hit = close[1] if close[0] <= LOOSELY else None
         if hit is None:
             lone.append(w)
@@ -282,30 +308,29 @@ def _minima(cores: list[str], at_once: int = 16_384) -> np.ndarray:
     return out
 
 
-def band_keys(cores: list[str], names: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Block keys of signatures: MinHash bands of the titles' trigrams, and looser ones joined with author tokens."""
+def band_keys(cores: list[str], names: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Block keys of signatures: MinHash bands of the titles' trigrams, and looser ones joined with author tokens; each as (places, keys)."""
     place = {c: i for i, c in enumerate(dict.fromkeys(c for c in cores if c))}
-    none = np.empty(0, np.int64)
     if not place:
-        return [none] * len(cores), [none] * len(cores)
+        none = np.empty(0, np.int64)
+        return (none, none), (none, none)
     low = _minima(list(place))
     tight = _mix((low.reshape(len(low), BANDS, ROWS_PER_BAND) * _WEIGHTS[:ROWS_PER_BAND]).sum(2) + np.arange(BANDS, dtype=np.uint64))
     loose = _mix((low[:, : LOOSE_BANDS * LOOSE_ROWS].reshape(len(low), LOOSE_BANDS, LOOSE_ROWS) * _WEIGHTS[8 : 8 + LOOSE_ROWS]).sum(2) + np.arange(100, 100 + LOOSE_BANDS, dtype=np.uint64))
-    one, other = [], []
-    for core, people in zip(cores, names):
-        if not core:
-            one.append(none)
-            other.append(none)
-            continue
-        i = place[core]
-        words = [[w for w in p.split() if not w.isupper()] for p in people.split(";")[:2]]
-        tokens = list(dict.fromkeys([w for p in words[:1] for w in p[:2]] + [w for p in words[1:] for w in p[:1]]))[:3]
-        heads = np.array([_word_hash(w) for w in tokens], np.uint64)
-        head = np.uint64(_word_hash(" ".join(core.split()[:6])))  # titles given with and without their second half
-        bands = np.r_[loose[i], head]
-        one.append(tight[i].view(np.int64))
-        other.append(_mix(bands[:, None] + heads[None, :] * _WEIGHTS[15]).ravel().view(np.int64))
-    return one, other
+    head = np.array([_word_hash(" ".join(c.split()[:6])) for c in place], np.uint64)  # titles given with and without their second half
+    loose = np.c_[loose, head]
+    rows = np.array([k for k, c in enumerate(cores) if c], np.int64)
+    at = np.array([place[c] for c in cores if c], np.int64)
+    who, tokens = [], []
+    for k, (core, people) in enumerate(zip(cores, names)):
+        if core and people:
+            words = [[w for w in p.split() if not w.isupper()] for p in people.split(";", 2)[:2]]
+            mine = dict.fromkeys([w for p in words[:1] for w in p[:2]] + [w for p in words[1:] for w in p[:1]])
+            tokens += [_word_hash(w) for w in mine]
+            who += [k] * len(mine)
+    own = np.array([place[cores[k]] for k in who], np.int64)
+    joined = _mix(loose[own] + np.array(tokens, np.uint64)[:, None] * _WEIGHTS[15])
+    return (np.repeat(rows, BANDS), tight[at].ravel().view(np.int64)), (np.repeat(np.array(who, np.int64), loose.shape[1]), joined.ravel().view(np.int64))
 
 
 _SIG = "nid string, sig string, core string, marker string, doi string, year int, names string"
@@ -331,20 +356,22 @@ def signatures(rows: DataFrame) -> DataFrame:
 def blocks(reps: DataFrame) -> DataFrame:
     """rep, key of every block a signature belongs to."""
 
-    @F.pandas_udf("array<long>")
-    def band(core: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([np.concatenate(x) for x in zip(*band_keys(list(core), list(names)))], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rep = b["rep"].to_numpy(zero_copy_only=False)
+            (i, tight), (j, loose) = band_keys(b["core"].to_pylist(), b["names"].to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(rep[np.r_[i, j]]), pa.array(np.r_[tight, loose])], ["rep", "key"])
 
     author = F.expr("split(split(names, ';')[0], ' ')[0]")
     second = F.expr("split(get(split(names, ';'), 1), ' ')[0]")
-    pair_year = F.when((F.col("names") != "") & second.isNotNull() & (F.col("year") > 0), F.xxhash64(F.lit("ay"), author, second, "year"))
-    by_doi = F.when(F.col("doi") != "", F.xxhash64(F.lit("d"), "doi"))
-    keys = F.concat(F.coalesce(band.asNondeterministic()("core", "names"), F.array().cast("array<long>")), F.array_compact(F.array(by_doi, pair_year)))
-    return spread(reps).select("rep", F.explode(keys).alias("key"))
+    pair_year = reps.where((F.col("names") != "") & second.isNotNull() & (F.col("year") > 0)).select("rep", F.xxhash64(F.lit("ay"), author, second, "year").alias("key"))
+    by_doi = reps.where("doi <> ''").select("rep", F.xxhash64(F.lit("d"), "doi").alias("key"))
+    bands = spread(reps.select("rep", "core", "names")).mapInArrow(run, "rep long, key long")
+    return bands.unionByName(by_doi).unionByName(pair_year)
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of signatures that share a block."""
+def candidate_pairs(reps: DataFrame, temporary: list[DataFrame] | None = None) -> DataFrame:
+    """Distinct pairs (a < b) of signatures that share a block; ``temporary`` gets the tables to discard once the pairs are read."""
     all_blocks = stored(blocks(reps))
     sizes = stored(all_blocks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))  # most blocks hold one signature
     wide_keys = sizes.where(F.col("size") > WIDE).select("key")
@@ -352,6 +379,8 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     usual = all_blocks.join(sizes.where(F.col("size") <= WIDE).select("key"), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
     ahead = usual.select(F.posexplode("reps").alias("i", "a"), "reps").select("a", F.explode(F.expr("slice(reps, i + 2, size(reps))")).alias("b"))
     more = _wide_pairs(all_blocks.join(wide_keys, "key", "left_semi").join(reps.select("rep", "marker"), "rep"))
+    if temporary is not None:
+        temporary += [all_blocks, sizes]
     return ahead.where("a <> b").unionByName(more).distinct()
 
 
@@ -398,7 +427,8 @@ def pair_features(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 ts, sub, drop = got
                 both = bool(names_a and names_b)
                 au = 0.0
-                if both:
+                # Titles that are not alike are of two works whatever the authors (see Evidence.confidence).
+                if both and (ts >= ALIKE or not core_a or not core_b):
                     key = (names_a, names_b)
                     au = authors.get(key)
                     if au is None:
@@ -508,7 +538,10 @@ def works(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Evidence]:
     """rows (nid, title, authors, date, doi) -> (nid, work, rep), the scored pairs of signatures (a, b, confidence), the signatures, the evidence."""
     sig = stored(signatures(rows).withColumn("rep", F.xxhash64("sig")).drop("sig"))
     reps = stored(sig.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("core", "marker", "doi", "year", "names")]))
-    features = stored(pair_features(candidate_pairs(reps), reps))
+    temporary: list[DataFrame] = []
+    features = stored(pair_features(candidate_pairs(reps, temporary), reps))
+    for t in temporary:
+        discard(t)
     scored, known = score(features)
     links = scored.where("confidence >= 0.5").select("a", "b", "confidence")
     comp = components(links)
