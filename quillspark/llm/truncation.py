@@ -1,9 +1,11 @@
 """Text cut off by field limits.
 
-A stack automaton reads each text once and tells whether its end is complete: no quote, bracket,
-markup tag or escape is left open, no sign of a cut stands there, and a terminator ends it. What the
-end alone cannot tell (a number, the last item of a list, an address, a text exactly at a length
-limit) is decided by evidence counted over the whole corpus and by the length baseline of the source.
+A stack automaton reads each text once and tells whether its end is complete: no quote, bracket, markup
+element or escape is left open and no sign of a cut stands there. A missing terminator is judged by the
+source: where texts end with one as a rule, a text without is cut; where they do not, only at a length
+limit or after a word that never ends a phrase in the corpus. What the end alone cannot tell (a number,
+the last item of a list, an address, a text exactly at a length limit) is decided by evidence counted over
+the whole corpus and by the length baseline of the source. Only rows that need the corpus are joined with it.
 
 Defined results: null, empty and blank texts are complete (nothing was cut); repeated rows count
 once; a text that ends with a whole sentence is complete, however short.
@@ -12,9 +14,9 @@ once; a text that ends with a whole sentence is complete, however short.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,7 +34,10 @@ TERMINATORS = ".!?。！？।؟॥"
 _CLOSERS = "\"'”’»›)]}）」』】"
 _PAIR = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "」": "「", "』": "『", "）": "（"}
 _OPEN = set(_PAIR.values())
-_MARKS = re.compile(r'["()\[\]{}“”«»「」『』（）]|<[a-zA-Z/!][^<>\s]*[^<>]*$')
+_MARKS = re.compile(r'["()\[\]{}“”«»「」『』（）]|<[a-zA-Z/!][^<>]{0,200}(?:>|$)')
+_ELEMENT = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*?(/?)>$")
+_NO_END_TAG = frozenset("br hr img input meta link wbr p li td tr th dt dd option".split())  # fixed values: elements that need not be closed
+USUAL_STOPS = 0.5  # share of a source's texts with a terminator from which a missing one tells
 _LIST_LABEL = re.compile(r"(?:^|[\s,;])\w{1,3}\)")
 _BROKEN = re.compile(r"(?:\\u?[0-9a-fA-F]{0,3}|&#?\w{0,8}|%[0-9A-Fa-f]?|�|[ÃÂ]|[\ud800-\udfff])$")
 _NUMBER_END = re.compile(r"(?:^|[\s(])((?:\S+\s+){0,2})(\d[\d.,]*)\.$")
@@ -54,7 +59,18 @@ def unclosed(text: str) -> bool:
     for m in _MARKS.finditer(text):
         c = m[0]
         if c[0] == "<":
-            return True
+            e = _ELEMENT.match(c)
+            if not e:
+                if c[-1] != ">":
+                    return True  # within a tag
+            elif not e[3] and e[2].lower() not in _NO_END_TAG:
+                tag = "<" + e[2].lower()
+                if not e[1]:
+                    stack.append(tag)
+                elif tag in stack:
+                    while stack.pop() != tag:
+                        pass
+            continue
         if c == '"':
             if '"' in stack:
                 while stack.pop() != '"':
@@ -85,7 +101,7 @@ def _quote_key(before: str, inside: str) -> str:
 
 
 def judge(text: str | None) -> tuple[str, str]:
-    """(verdict, key): cut, whole, or what the corpus must decide: number, list, address, quote (with its key)."""
+    """(verdict, key): cut, whole, or what the corpus must decide: number, list, address, quote, bare (no terminator), with its key."""
     t = (text or "").rstrip()
     if not t:
         return "whole", ""
@@ -124,9 +140,9 @@ def judge(text: str | None) -> tuple[str, str]:
         return "whole", ""
     if t[-1] in ")]）】" and len(t) > 2:
         return "whole", "remark"
-    if t[-1] in "\"”»」』" and len(t) > 2 and end in ",;:":
+    if end in ",;:-" or end.isspace():
         return "cut", "word"
-    return "cut", "word"
+    return "bare", "E " + re.sub(r"^\W+|\W+$", "", t.rpartition(" ")[2]).lower()
 
 
 def evidence(text: str, into: Counter) -> None:
@@ -145,6 +161,10 @@ def evidence(text: str, into: Counter) -> None:
 _STORED = "part string, tbl string, record_key string, source string, verdict string, key string, digest long, n long, yes long, no long"
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         seen: Counter = Counter()
@@ -152,7 +172,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in set(b["text"]):
             if t:
                 evidence(t, seen)
-        yield pd.DataFrame({"part": "v", "tbl": b["tbl"], "record_key": b["record_key"], "source": b["source"], "verdict": [v for v, _ in verdicts], "key": [k for _, k in verdicts], "digest": [zlib.crc32(t.encode("utf-8", "replace")) if t else 0 for t in b["text"]], "n": [len(t) if t else 0 for t in b["text"]], "yes": 0, "no": 0})
+        yield pd.DataFrame({"part": "v", "tbl": b["tbl"], "record_key": b["record_key"], "source": b["source"], "verdict": [v for v, _ in verdicts], "key": [k for _, k in verdicts], "digest": [_digest(t) if v in ("cut", "bare") else 0 for t, (v, _) in zip(b["text"], verdicts)], "n": [len(t) if t else 0 for t in b["text"]], "yes": 0, "no": 0})
         shapes = Counter(k for v, k in verdicts if v == "address")
         rows = [(k, n if e else 0, 0 if e else n) for (k, e), n in seen.items()] + [(k, n, 0) for k, n in shapes.items()]
         if rows:
@@ -167,32 +187,33 @@ def judged(texts: DataFrame) -> DataFrame:
     rows = part.where("part = 'v'").select("tbl", "record_key", "source", "verdict", "key", "digest", "n").distinct()
 
     # Length baseline of a source: a length at which far more texts lack an end than at the lengths around it.
-    near = Window.partitionBy("tbl", "source").orderBy("n")
-    lengths = rows.where("verdict = 'cut' and key in ('word', 'open')").groupBy("tbl", "source", "n").agg(F.countDistinct("digest").alias("at"))
+    rows = rows.withColumn("origin", F.coalesce("source", F.lit("")))
+    near = Window.partitionBy("tbl", "origin").orderBy("n")  # a row per length
+    lengths = rows.where("verdict = 'bare' or verdict = 'cut' and key in ('word', 'open')").groupBy("tbl", "origin", "n").agg(F.countDistinct("digest").alias("at"))
     limits = (
         lengths.withColumn("around", F.coalesce(F.sum("at").over(near.rangeBetween(-20, -1)), F.lit(0)) + F.coalesce(F.sum("at").over(near.rangeBetween(1, 20)), F.lit(0)))
         .where("at >= 8 and at * 40 > around * 6")
-        .select("tbl", F.coalesce("source", F.lit("")).alias("limit_source"), "n", F.lit(True).alias("at_limit"))
+        .select("tbl", "origin", "n", F.lit(True).alias("at_limit"))
     )
+    # Terminator baseline of a source: how many of its texts end with one.
+    stops = rows.where("n > 0").groupBy("tbl", "origin").agg((1 - F.avg((F.col("verdict") == "bare").cast("double"))).alias("stops"))
     # A whole number where decimals are usual is a decimal cut at its point.
     decimals = seen.where("key like 'N % f'").select(F.expr("concat(substring(key, 1, length(key) - 1), 'i')").alias("key"), (F.col("yes") + F.col("no")).alias("decimals"))
     addresses = seen.where("key like 'A %'").agg(F.sum("yes").alias("n")).first().n or 0
-    joined = (
-        rows.withColumn("limit_source", F.coalesce("source", F.lit("")))
-        .join(limits, ["tbl", "limit_source", "n"], "left")
-        .join(seen, "key", "left")
-        .join(decimals, "key", "left")
-    )
+    open_rows = rows.where("verdict not in ('cut', 'whole')")
+    asked = open_rows.select("key").distinct()
+    told = asked.join(seen, "key", "left").join(decimals, "key", "left")
+    joined = open_rows.join(limits, ["tbl", "origin", "n"], "left").join(stops, ["tbl", "origin"], "left").join(told, "key", "left")
     yes, no, at = F.coalesce("yes", F.lit(0)), F.coalesce("no", F.lit(0)), F.coalesce("at_limit", F.lit(False))
     is_cut = (
-        F.when(F.col("verdict") == "cut", True)
-        .when(F.col("verdict") == "whole", False)
+        F.when(F.col("verdict") == "bare", (F.col("stops") >= USUAL_STOPS) | at | ((yes == 0) & F.col("key").rlike(r"^E .*\p{L}")))
         .when(F.col("verdict") == "number", (no > yes) | ((yes == 0) & at) | (yes * 20 < F.coalesce("decimals", F.lit(0))))
         .when(F.col("verdict") == "quote", no > yes)
         .when(F.col("verdict") == "list", at | (yes < 2))
         .otherwise(at | (yes * 50 < addresses))
     )
-    return joined.select("tbl", "record_key", "source", is_cut.alias("is_cut"), F.when(is_cut, F.when(F.col("verdict") == "cut", F.col("key")).otherwise(F.col("verdict"))).alias("why"))
+    settled = rows.where("verdict in ('cut', 'whole')").select("tbl", "record_key", "source", (F.col("verdict") == "cut").alias("is_cut"), F.when(F.col("verdict") == "cut", F.col("key")).alias("why"))
+    return settled.unionByName(joined.select("tbl", "record_key", "source", is_cut.alias("is_cut"), F.when(is_cut, F.when(F.col("verdict") == "bare", "word").otherwise(F.col("verdict"))).alias("why")))
 
 
 def cut_rates(judged_rows: DataFrame) -> DataFrame:

@@ -17,7 +17,21 @@ WHOLE = [None, "", "   ", "One.", "Why did it fail?!", "It held. (ice core)", "N
 
 @pytest.mark.parametrize("text", CUT)
 def test_cut_ends(text):
-    assert truncation.judge(text)[0] == "cut"
+    assert truncation.judge(text)[0] in ("cut", "bare")
+
+
+@pytest.mark.parametrize("text,is_open", [("It was seen <i>here.", True), ("It was seen <i>here</i>.", False), ("Line one.<br>Line two.", False), ("x < y and y > z.", False), ("It was <b>seen <i>here</b>.", False), ("See <a href='x'>this</a> and <su", True), ("a <sub>2</sub> b.", False)])
+def test_markup_on_the_stack(text, is_open):
+    assert truncation.unclosed(text) == is_open
+
+
+def test_a_source_without_stops_is_no_cut_source(spark):
+    """Where no text has a terminator, only a length limit or a broken word tells."""
+    titles = ["Annual River Survey 2019", "Ice core handbook", "Kelp bed atlas", "River ice handbook", "Survey of kelp"]
+    rows = [("t", f"a{k}", "titles", titles[k % 5]) for k in range(40)] + [("t", "a-cut", "titles", "Annual River Surv")]
+    rows += [("t", f"b{k}", "texts", "We used the handbook. It is the Ice atlas. See kelp, 2019, and so on.") for k in range(40)] + [("t", "b-cut", "texts", "We used the handbook")]
+    got = {r.record_key: r.is_cut for r in truncation.judged(spark.createDataFrame(rows, "tbl string, record_key string, source string, text string")).collect()}
+    assert {k for k, v in got.items() if v} == {"a-cut", "b-cut"}
 
 
 @pytest.mark.parametrize("text", WHOLE)
