@@ -1,9 +1,12 @@
 """Several values packed in one field: infer the delimiter, split, explode with position.
 
-Two passes. The first one is pure SQL: per source it counts, for every candidate delimiter, in how
-many values it occurs and how regular the piece counts are. That small table (sources x candidates)
-becomes a prior. The second pass scores, for each value, the candidate readings by the regularity of
-their piece types plus the prior of the value's source, and keeps the best reading.
+Three passes. The first is pure SQL: per source it counts, for every candidate delimiter, in how many values
+it occurs and how regular the piece counts are. The second lets every value score its candidate readings by
+the regularity of their piece types and counts, per source and set of candidates, which reading wins. Where one
+wins nearly always, the source decides; the third pass lets a value of such a source depart only if its own
+score speaks clearly against it, and scores each value of a mixed source by itself, with the source's counts as
+a prior. Group names with a delimiter of their own are learned where quotes or a strong delimiter bound them and
+joined with the spans of the other values, however many there are.
 
 Defined results: null, empty and blank values give no rows; empty places and remarks that there are
 further names give no rows and take no position; extra columns of the input are ignored.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -141,45 +145,59 @@ def _weak_readings(text: str) -> dict[str, list[str]]:
     return out
 
 
-def split_value(value: str | None, prior: dict[str, float] | None = None, groups: re.Pattern | None = None) -> list[str]:
-    """The values of one field, in order."""
-    if value is None:
-        return []
-    text = value.strip()
+CLEARLY = 0.15  # by how much a value's own score must be higher to depart from its source
+
+
+def _prepared(value: str | None, spans: list[str] | None = None) -> tuple[list[str] | None, str, dict[str, list[str]]]:
+    """(pieces that need no choice, else None; the text with masked names; its readings)."""
+    text = (value or "").strip()
     if not text:
-        return []
-    prior = prior or {}
+        return [], "", {}
     if text[0] == "[" and re.match(r"\[\s*[\"'\]]", text):
-        pieces = _quoted(text[1:])
-    elif text[0] == '"' and text.count('"') > 1:
-        pieces = _quoted(text)
+        return _quoted(text[1:]), text, {}
+    if text[0] == '"' and text.count('"') > 1:
+        return _quoted(text), text, {}
+    text = _REMARK_TAIL.sub("", text)
+    text = _SUFFIX.sub(lambda m: f"{_COMMA} {m[1]}", text)
+    for g in spans or ():
+        text = text.replace(g, _mask(g))
+    text = _ORG_OF.sub(lambda m: _mask(m[0]), text)
+    text = _ORG_AMP.sub(lambda m: _mask(m[0]), text)
+    if _ANY_STRONG.search(text.strip(_TRIM)):
+        readings = {k: r.split(text) for k, r in _STRONG_RE.items() if r.search(text.strip(_TRIM))}
     else:
-        text = _REMARK_TAIL.sub("", text)
-        text = _SUFFIX.sub(lambda m: f"{_COMMA} {m[1]}", text)
-        if groups is not None:
-            text = groups.sub(lambda m: _mask(m[0]), text)
-        text = _ORG_OF.sub(lambda m: _mask(m[0]), text)
-        text = _ORG_AMP.sub(lambda m: _mask(m[0]), text)
-        if _ANY_STRONG.search(text.strip(_TRIM)):
-            readings = {k: r.split(text) for k, r in _STRONG_RE.items() if r.search(text.strip(_TRIM))}
-        else:
-            body = text.strip(" ,\t")
-            readings = _weak_readings(body) if re.search(r",|&|\sand\s", body) else {"single": [body]}
-        if len(readings) == 1:
-            pieces = next(iter(readings.values()))
-        else:
-
-            def score(item: tuple[str, list[str]]) -> float:
-                own = [p for p in item[1] if p.strip(_TRIM)]
-                kinds = [piece_type(p.strip(_TRIM)) for p in own]
-                if not kinds:
-                    return -1.0
-                return sum(_WEIGHT[k] for k in kinds) / len(kinds) - 0.05 * (len(set(kinds) - {"group"}) > 1) + 0.02 * prior.get(item[0].split("_")[0], 0.0) - 0.001 * (item[0] == "comma_pairs")
-
-            best = max(readings.items(), key=score)
-            pieces = best[1]
-            if best[0] == "comma_pairs":
-                pieces = _as_written(text, pieces)
+        body = text.strip(" ,\t")
+        readings = _weak_readings(body) if re.search(r",|&|\sand\s", body) else {"single": [body]}
+    if len(readings) == 1:
+        (name, pieces), *_ = readings.items()
+        return pieces, text, {}
+    return None, text, readings
+
+
+def _scores(readings: dict[str, list[str]], prior: dict[str, float]) -> dict[str, float]:
+    """How regular the piece types of each reading are; the prior only settles what is nearly equal."""
+    out = {}
+    for name, pieces in readings.items():
+        kinds = [piece_type(p.strip(_TRIM)) for p in pieces if p.strip(_TRIM)]
+        out[name] = sum(_WEIGHT[k] for k in kinds) / len(kinds) - 0.05 * (len(set(kinds) - {"group"}) > 1) + 0.02 * prior.get(name.split("_")[0], 0.0) - 0.001 * (name == "comma_pairs") if kinds else -1.0
+    return out
+
+
+def split_value(value: str | None, prior: dict[str, float] | None = None, spans: list[str] | None = None, decided: dict[str, str] | None = None) -> list[str]:
+    """The values of one field, in order.
+
+    ``prior``: of the source, by delimiter; ``decided``: of the source, the reading by set of candidates; ``spans``: group names in it.
+    """
+    pieces, text, readings = _prepared(value, spans)
+    if pieces is None:
+        scores = _scores(readings, prior or {})
+        best = max(scores, key=scores.get)
+        of_source = (decided or {}).get(" ".join(sorted(readings)))
+        if of_source is not None and scores[best] - scores[of_source] < CLEARLY:
+            best = of_source
+        pieces = readings[best]
+        if best == "comma_pairs":
+            pieces = _as_written(text, pieces)
     out = []
     for p in pieces:
         p = _unmask(_bare(p))
@@ -205,17 +223,15 @@ def _as_written(text: str, pairs: list[str]) -> list[str]:
 def delimiter_profile(df: DataFrame, value: str, source: str) -> DataFrame:
     """Per source and candidate: share of values that hold it, mean and spread of the piece counts.
 
-    One aggregation with map-side combine; its result has sources x candidates rows.
+    One aggregation with map-side combine and a column for each candidate; its result has sources x candidates rows.
     """
     cands = {**STRONG, **WEAK}
     v = F.col(value)
-    pieces = F.array(*[F.struct(F.lit(k).alias("delimiter"), F.size(F.split(v, p)).alias("n")) for k, p in cands.items()])
-    return (
-        df.where(F.length(F.trim(v)) > 0)
-        .select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.explode(pieces).alias("c"))
-        .groupBy("source", "c.delimiter")
-        .agg(F.count("*").alias("n_values"), F.count_if(F.col("c.n") > 1).alias("n_with"), F.avg(F.when(F.col("c.n") > 1, F.col("c.n"))).alias("mean_pieces"), F.stddev_pop(F.when(F.col("c.n") > 1, F.col("c.n"))).alias("sd_pieces"))
-    )
+    counted = df.where(F.length(F.trim(v)) > 0).select(F.coalesce(F.col(source), F.lit("")).alias("source"), *[F.size(F.split(v, p)).alias(k) for k, p in cands.items()])
+    held = lambda k: F.when(F.col(k) > 1, F.col(k))
+    wide = counted.groupBy("source").agg(F.count("*").alias("n_values"), *[x for k in cands for x in (F.count(held(k)).alias(f"{k}_n"), F.avg(held(k)).alias(f"{k}_m"), F.stddev_pop(held(k)).alias(f"{k}_s"))])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("delimiter"), F.col(f"{k}_n").alias("n_with"), F.col(f"{k}_m").alias("mean_pieces"), F.col(f"{k}_s").alias("sd_pieces")) for k in cands]))
+    return wide.select("source", "n_values", each.alias("c")).select("source", "c.delimiter", "n_values", "c.n_with", "c.mean_pieces", "c.sd_pieces")
 
 
 def priors(profile: DataFrame) -> dict[str, dict[str, float]]:
@@ -227,49 +243,107 @@ def priors(profile: DataFrame) -> dict[str, dict[str, float]]:
     return out
 
 
-_GROUPS_MOST = 100_000
+DECIDES, ENOUGH = 0.95, 30  # share of a source's values that one reading must win, and least number of values
 
 
-def group_names(df: DataFrame, value: str) -> re.Pattern | None:
-    """Group names with a delimiter of their own, learned where quotes or a strong delimiter bound them.
+def source_decisions(df: DataFrame, value: str, source: str, prior: dict[str, dict[str, float]]) -> dict[str, dict[str, str]]:
+    """Per source and set of candidate readings: the reading that wins in nearly all values, where there is one.
 
-    They are few (organisations, not people); beyond 100,000 the fixed patterns alone are used.
+    Counted per batch and then summed; rows are sources x sets of candidates x readings.
     """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            won: Counter = Counter()
+            for v, s in zip(b["v"], b["s"]):
+                pieces, _, readings = _prepared(v)
+                if pieces is None:
+                    scores = _scores(readings, prior.get(s, {}))
+                    won[s, " ".join(sorted(readings)), max(scores, key=scores.get)] += 1
+            if won:
+                yield pd.DataFrame([(*k, n) for k, n in won.items()], columns=["source", "candidates", "reading", "n"])
+
+    rows = df.where(F.length(F.trim(value)) > 0).select(F.col(value).alias("v"), F.coalesce(F.col(source), F.lit("")).alias("s")).mapInPandas(run, "source string, candidates string, reading string, n long")
+    total = rows.groupBy("source", "candidates", "reading").agg(F.sum("n").alias("n")).collect()
+    of: dict[tuple[str, str], dict[str, int]] = {}
+    for r in total:
+        of.setdefault((r.source, r.candidates), {})[r.reading] = r.n
+    out: dict[str, dict[str, str]] = {}
+    for (s, c), won in of.items():
+        best = max(sorted(won), key=won.get)
+        if sum(won.values()) >= ENOUGH and won[best] >= DECIDES * sum(won.values()):
+            out.setdefault(s, {})[c] = best
+    return out
+
+
+_ORG_SQL = r"\b(" + "|".join(ORG_WORDS) + r")\b"
+
+
+def group_names(df: DataFrame, value: str) -> DataFrame:
+    """g: group names with a delimiter of their own, learned where quotes or a strong delimiter bound them in more than one value."""
     v = F.col(value)
     bounded = F.when(v.rlike(r"^\s*\["), F.regexp_extract_all(v, F.lit(r"[\"']([^\"']*)[\"']"), F.lit(1))).otherwise(F.split(F.regexp_replace(v, r'^\s*"|"\s*$', ""), r'"?\s*[;；、|\t\r\n]+\s*"?|\s+[/·]\s+|","'))
     strong = v.rlike(r"[\r\n;；、|\t]|\s[/·]\s|^\s*[\[\"]")
-    names = (
-        df.where(strong & v.rlike(r"\b(" + "|".join(ORG_WORDS) + r")\b"))
+    return (
+        df.where(strong & v.rlike(_ORG_SQL))
         .select(F.explode(bounded).alias("g"))
         .select(F.trim("g").alias("g"))
-        .where(F.col("g").rlike(r",|&|\sand\s") & F.col("g").rlike(r"\b(" + "|".join(ORG_WORDS) + r")\b") & ~F.col("g").rlike(r"^(and|&)\s|\bet al\b") & (F.length("g") < 120))
-        .groupBy("g").count().where("count > 1").select("g").limit(_GROUPS_MOST + 1)
+        .where(F.col("g").rlike(r",|&|\sand\s") & F.col("g").rlike(_ORG_SQL) & ~F.col("g").rlike(r"^(and|&)\s|\bet al\b"))
+        .groupBy("g").count().where("count > 1").select("g")
     )
-    rows = [r.g for r in names.collect()]
-    if not rows or len(rows) > _GROUPS_MOST:
-        return None
-    return re.compile("|".join(re.escape(g) for g in sorted(rows, key=lambda g: (-len(g), g))))
+
+
+_BOUND = re.compile(r"\s*[,;&]\s*(?:and\s+)?|\s+and\s+")
+
+
+def group_spans(value: str) -> list[str]:
+    """What may be a group name with a delimiter of its own: all runs of pieces, from bound to bound, that hold a group word."""
+    text = _REMARK_TAIL.sub("", value.strip())
+    marks = [(0, 0), *[m.span() for m in _BOUND.finditer(text)], (len(text), len(text))]
+    words = [m.start() for m in _ORG.finditer(text)]
+    out = []
+    for i in range(len(marks) - 1):
+        for j in range(i + 2, len(marks)):
+            a, b = marks[i][1], marks[j][0]
+            if any(a <= w < b for w in words):
+                out.append(text[a:b])
+    return out
+
+
+def group_matches(df: DataFrame, value: str, names: DataFrame) -> DataFrame:
+    """value, spans: the learned group names that stand in a value, longest first. An equi-join, whatever the number of names."""
+    v = F.col(value)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def spans(values: pd.Series) -> pd.Series:
+        return pd.Series([list(dict.fromkeys(group_spans(t))) for t in values], dtype=object)
+
+    spans = spans.asNondeterministic()
+    asked = df.where(v.rlike(_ORG_SQL) & v.rlike(r",|&|\sand\s") & ~v.rlike(r"^\s*[\[\"]")).select(v.alias("value")).distinct()
+    each = asked.select("value", F.explode(spans("value")).alias("g"))
+    met = each.join(names, "g").groupBy("value").agg(F.collect_set("g").alias("spans"))  # of one value
+    return met.select("value", F.transform(F.array_sort(F.transform("spans", lambda g: F.struct((-F.length(g)).alias("l"), g.alias("g")))), lambda x: x["g"]).alias("spans"))
 
 
 def split_packed(df: DataFrame, keys: list[str], value: str, source: str) -> DataFrame:
     """``keys`` + pos (from 1) + piece; one row per value named in the field."""
     prior = priors(delimiter_profile(df, value, source))
-    groups = group_names(df, value)
-    pattern = groups.pattern if groups else None
+    decided = source_decisions(df, value, source, prior)
+    met = group_matches(df, value, group_names(df, value))
+    rows = df.select(*keys, F.col(value).alias("_value"), F.col(source).alias("_source")).join(met.withColumnRenamed("value", "_value"), "_value", "left")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pieces(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        rx = re.compile(pattern) if pattern else None
-        for values, sources in parts:
+    def pieces(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for values, sources, spans in parts:
             memo: dict[tuple, list[str]] = {}
             out = []
-            for v, s in zip(values, sources):
+            for v, s, g in zip(values, sources, spans):
                 k = (v, s)
                 if k not in memo:
-                    memo[k] = split_value(v, prior.get(s or "", {}), rx)
+                    memo[k] = split_value(v, prior.get(s or "", {}), list(g) if g is not None else None, decided.get(s or "", {}))
                 out.append(memo[k])
             yield pd.Series(out, dtype=object)
 
     pieces = pieces.asNondeterministic()  # else the filter inferred for explode runs it a second time
 
-    return df.select(*keys, pieces(F.col(value), F.col(source)).alias("_pieces")).select(*keys, F.posexplode("_pieces").alias("pos0", "piece")).select(*keys, (F.col("pos0") + 1).cast("long").alias("pos"), "piece")
+    return rows.select(*keys, pieces("_value", "_source", "spans").alias("_pieces")).select(*keys, F.posexplode("_pieces").alias("pos0", "piece")).select(*keys, (F.col("pos0") + 1).cast("long").alias("pos"), "piece")

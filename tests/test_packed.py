@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillspark.operators import packed
 from quillspark.operators.packed import piece_type, split_packed, split_value
 
 CASES = [
@@ -48,3 +49,27 @@ def test_group_names_are_learned(spark):
     rows = [(str(i), v, "s") for i, v in enumerate(['["Selna & Idren Field Stations"]', "Selna & Idren Field Stations; A. One", "B. Two & Selna & Idren Field Stations"])]
     got = [r.piece for r in split_packed(spark.createDataFrame(rows, "id string, authors string, source string"), ["id"], "authors", "source").collect()]
     assert got.count("Selna & Idren Field Stations") == 3 and "B. Two" in got
+
+
+def test_the_source_decides_where_it_is_uniform(spark):
+    """A value that can be read either way follows its source, one that clearly departs does not."""
+    inverted = [(f"i{k}", f"Holur, Noor{'abcdefghij'[k % 10]}, Mar, Len{'klmnopqrst'[k % 10]}", "inv") for k in range(60)]
+    plain = [(f"p{k}", f"Noor{'abcdefghij'[k % 10]} Holur, Len Mar", "plain") for k in range(60)]
+    odd = [("odd", "A. One, B. Two, C. Three", "inv")]
+    df = spark.createDataFrame(inverted + plain + odd, "id string, authors string, source string")
+    decided = packed.source_decisions(df, "authors", "source", {})
+    assert decided["inv"]["comma comma_pairs single"] == "comma_pairs" and decided["plain"]["comma comma_pairs single"] == "comma"
+    got = {}
+    for r in split_packed(df, ["id"], "authors", "source").collect():
+        got.setdefault(r.id, {})[r.pos] = r.piece
+    assert got["i0"] == {1: "Holur, Noora", 2: "Mar, Lenk"} and got["p0"] == {1: "Noora Holur", 2: "Len Mar"} and got["odd"] == {1: "A. One", 2: "B. Two", 3: "C. Three"}
+
+
+def test_many_group_names(spark):
+    """Learned names are joined, however many and however long."""
+    names = [f"Ice & {'Very ' * 30 if k == 0 else ''}Sand {chr(97 + k % 26)}{chr(97 + k // 26)} Stations" for k in range(300)]
+    rows = [(f"s{k}{j}", f"{n}; A. One", "s") for k, n in enumerate(names) for j in range(2)] + [(f"w{k}", f"B. Two, {n} and C. Three", "s") for k, n in enumerate(names)]
+    got = {}
+    for r in split_packed(spark.createDataFrame(rows, "id string, authors string, source string"), ["id"], "authors", "source").collect():
+        got.setdefault(r.id, {})[r.pos] = r.piece
+    assert all(got[f"w{k}"] == {1: "B. Two", 2: n, 3: "C. Three"} for k, n in enumerate(names))
