@@ -198,24 +198,26 @@ def title_features(a: str, b: str, common: frozenset[str] | set[str] = frozenset
     if own >= 3 and other >= 3:  # three common words replaced by others: no misspelling explains that
         return 1 - (len(rest) + len(left)) / (len(x) + len(y)), 3.0, float(abs(len(rest) - len(left)))
     lone = []
+    known = [(v, len(v), _letters(v), v in common) for v in left]
     for w in rest:
         m, k, usual = _letters(w), len(w), w in common
         near = []
-        for v in left:
-            o = len(v)
-            room = LOOSELY * (k if k > o else o)
-            if -3 <= k - o <= 3 and not (usual and v in common):
-                l = _letters(v)
+        for v, o, l, c in known:
+            if -3 <= k - o <= 3 and not (usual and c):
+                room = LOOSELY * (k if k > o else o)
                 if (m & ~l).bit_count() <= room and (l & ~m).bit_count() <= room:
                     near.append(v)
-        hit = next((v for v in near if near_words(w, v)), None)
-        if hit is None and near and not w.isdigit():
-            close = min(((_unlike(w, v), v) for v in near if not v.isdigit()), default=(1.0, None))
-            hit = close[1] if close[0] <= LOOSELY else None
+        hit = None
+        if near:
+            hit = next((v for v in near if near_words(w, v)), None)
+            if hit is None and not w.isdigit():
+                close = min(((_unlike(w, v), v) for v in near if not v.isdigit()), default=(1.0, None))
+                hit = close[1] if close[0] <= LOOSELY else None
         if hit is None:
             lone.append(w)
         else:
             left.remove(hit)
+            known.remove(next(x for x in known if x[0] == hit))
     n = len(x) + len(y)
     lone = [w for w in lone if w not in _SMALL]
     left = [w for w in left if w not in _SMALL]
@@ -404,7 +406,10 @@ FOLDS = 4
 
 
 def pair_features(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """a, b, the text view, and the identifiers' view: de (equal), dd (different), tm (a title is missing)."""
+    """a, b, the text view, and the identifiers' view: de (equal), dd (different), tm (a title is missing).
+
+    Pairs of titles that are not alike are settled here as two works and have no row.
+    """
     side = lambda p: reps.select(F.col("rep").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("core", "marker", "doi", "year", "names")])
     # Another part, a correction or a reply is another work whatever else agrees.
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where("marker_a = marker_b")
@@ -425,10 +430,11 @@ def pair_features(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 if got is None:
                     got = titles[key] = title_features(core_a, core_b, common)
                 ts, sub, drop = got
+                if ts < ALIKE and core_a and core_b:
+                    continue  # of two works whatever else agrees (see Evidence.confidence)
                 both = bool(names_a and names_b)
                 au = 0.0
-                # Titles that are not alike are of two works whatever the authors (see Evidence.confidence).
-                if both and (ts >= ALIKE or not core_a or not core_b):
+                if both:
                     key = (names_a, names_b)
                     au = authors.get(key)
                     if au is None:
@@ -436,7 +442,8 @@ def pair_features(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 dy = abs(year_a - year_b) if year_a and year_b else -1
                 ids = bool(doi_a) and bool(doi_b)
                 out.append((a, c, ts, float(ts < 0.7), float(sub == 1), float(sub >= 2), min(drop, 3.0), au, float(both and au < 0.34), float(both and 0.34 <= au < 0.8), float(not both), float(dy == 0), float(dy == 1), float(dy > 1), ts * au, float(ids and doi_a == doi_b), float(ids and doi_a != doi_b), float(not core_a or not core_b)))
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return joined.drop("marker_a", "marker_b").mapInPandas(run, "a long, b long, " + ", ".join(f"{f} double" for f in names[2:]))
 
@@ -498,7 +505,7 @@ class Evidence:
             z = z + F.lit(float(v)) * get(f)
         q, r = self.agree_same, self.agree_other
         text = (1 / (1 + F.exp(-z)) - r) / (q - r)  # the labels agree with the truth but for the identifiers' errors
-        text = F.when(get("tm") == 1, get("au") / 2).when(get("ts") < ALIKE, 0.0).otherwise(text)
+        text = F.when(get("tm") == 1, get("au") / 2).when(get("ts") < ALIKE, 0.0).otherwise(text)  # with 1e-4 no identifier outweighs it
         text = F.least(F.greatest(text, F.lit(1e-4)), F.lit(1 - 1e-3))
         told = F.when(get("de") == 1, float(np.log(q / r))).when(get("dd") == 1, float(np.log((1 - q) / (1 - r)))).otherwise(0.0)
         return 1 / (1 + F.exp(-(F.log(text / (1 - text)) + told)))
