@@ -1,12 +1,13 @@
 """Most similar vectors for every vector, by additive quantisation.
 
-The index is fitted on a bounded sample: a coarse codebook (its centroids are the cells) and, on what
-it leaves over, full-dimensional residual codebooks. Every vector is encoded by beam search over all
-codebooks; its codes, the squared norm of their sum and the vector itself go to one file per cell in
-the shared folder. The search runs one task per run of neighbouring cells: each query builds its
-lookup table of inner products with all codewords, scores the vectors of the cells it probes by table
-lookups and stored norms, and reranks the best exactly. Only vectors are shuffled, once, by cell;
-candidates are never materialised as rows.
+The index is fitted on a bounded sample: two coarse codebooks (a cell is a word of the first and one of the
+second, which quantises what the first leaves over) and, on what both leave over, full-dimensional residual
+codebooks. The number of cells follows the number of vectors: the sample bounds the first codebook, the second
+grows. Every vector is encoded by beam search over all residual codebooks; its codes, the squared norm of their
+sum and the vector itself go to files by cell in the shared folder, a large cell to several. The search runs
+over those files: each query builds its lookup table of inner products with all codewords, scores the vectors of
+the cells it probes by table lookups and stored norms, and reranks the best exactly, a bounded number of
+candidates at a time. Only vectors are shuffled, once, by cell; candidates are never materialised as rows.
 
 Exact copies of one vector (however many) are represented by their first ids; the others take those as
 neighbours, so no group of copies is paired with itself. Defined results: null, empty, all-zero,
@@ -30,7 +31,9 @@ from ..session import shared_dir, spread
 
 FIT_ROWS = 12_288  # bound of the sample the codebooks are fitted on
 CELL_ROWS = 350  # wanted vectors in a cell
-MOST_CELLS = 2_048  # bound of the coarse codebook
+FIRST_WORDS = 2_048  # bound of the first coarse codebook; FIT_ROWS / 8 bounds it too
+FILE_ROWS = 8_192  # vectors of a file; a larger cell has several
+AT_ONCE = 16_384  # candidates that a block of queries meets at a time
 STAGES, WORDS, BEAM = 6, 64, 4
 PROBES, RERANK = 10, 384
 _ANTI_ROWS = 1_000_000  # ids of surplus copies up to here are broadcast
@@ -53,40 +56,79 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 @dataclass
 class Codebooks:
-    coarse: np.ndarray  # cells x d
+    first: np.ndarray  # k1 x d
+    second: np.ndarray  # k2 x d; cell = place in first * k2 + place in second
     words: np.ndarray  # (stages * words) x d, full-dimensional
 
     @classmethod
     def fit(cls, sample: np.ndarray, n: int, seed: int = 7) -> Codebooks:
         rng = np.random.default_rng(seed)
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        cells = int(min(max(1, n // CELL_ROWS), MOST_CELLS, max(1, len(x) // 8)))
-        coarse = _kmeans(x, cells, 8, rng)
-        near = (x @ coarse.T - 0.5 * (coarse * coarse).sum(1)).argmax(1)
-        rest, books = x - coarse[near], []
+        cells = max(1, n // CELL_ROWS)
+        k1 = int(min(cells, FIRST_WORDS, max(1, len(x) // 8)))
+        k2 = int(min(-(-cells // k1), max(1, len(x) // 8)))
+        first = _by_nearness(_kmeans(x, k1, 8, rng)).astype(np.float32)
+        rest = x - first[_closest(x, first)]
+        second = _kmeans(rest, k2, 8, rng).astype(np.float32) if k2 > 1 else np.zeros((1, x.shape[1]), np.float32)
+        rest = rest - second[_closest(rest, second)]
+        books = []
         for _ in range(STAGES):
             book = _kmeans(rest, min(WORDS, len(rest)), 5, rng)
             book = np.vstack([book, np.zeros((WORDS - len(book), x.shape[1]), x.dtype)])
-            rest = rest - book[(rest @ book.T - 0.5 * (book * book).sum(1)).argmax(1)]
+            rest = rest - book[_closest(rest, book)]
             books.append(book)
-        return cls(_by_nearness(coarse).astype(np.float32), np.vstack(books).astype(np.float32))
+        return cls(first, second, np.vstack(books).astype(np.float32))
+
+    @property
+    def cells(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def coarse_dots(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Inner products of x with the decoded ``cells``."""
+        return (x @ self.first.T)[:, cells // len(self.second)] + (x @ self.second.T)[:, cells % len(self.second)]
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        one = _closest(x, self.first)
+        if len(self.second) == 1:
+            return one
+        return one * len(self.second) + _closest(x - self.first[one], self.second)
+
+    def probes(self, x: np.ndarray, own: int, most: int) -> list[int]:
+        """The cells near to a block of queries of one cell: by votes of each query's nearest ones, then by nearness."""
+        k2 = len(self.second)
+        near = x @ self.first.T - 0.5 * (self.first * self.first).sum(1)
+        ids = np.arange(near.shape[1])
+        if k2 > 1:  # both parts of the cells under the first words that most queries are near to
+            heads = np.argsort(-self._votes(near, 8), kind="stable")[: 4 * most]
+            ids = (heads[:, None] * k2 + np.arange(k2)[None, :]).ravel()
+            norm = ((self.first[heads][:, None, :] + self.second[None, :, :]) ** 2).sum(2).ravel()
+            near = self.coarse_dots(x, ids) - 0.5 * norm
+        votes = self._votes(near, 4)
+        chosen = ids[np.argsort(-votes, kind="stable")[:most]]
+        return sorted({*chosen.tolist(), own})
+
+    @staticmethod
+    def _votes(near: np.ndarray, each: int) -> np.ndarray:
+        p = min(each, near.shape[1])
+        return np.bincount(np.argpartition(-near, p - 1, axis=1)[:, :p].ravel(), minlength=near.shape[1]) + near.mean(0) * 1e-3
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """cell, codes (n x stages), squared norm of the decoded vector, by beam search over all codebooks."""
         n = len(x)
-        c2 = (self.coarse * self.coarse).sum(1)
-        cell = (x @ self.coarse.T - 0.5 * c2).argmax(1)
+        cell = self.place(x)
+        base = self.first[cell // len(self.second)] + self.second[cell % len(self.second)]
         dots = x @ self.words.T  # with every codeword
         gram = self.words @ self.words.T
-        cross = self.coarse @ self.words.T
+        cross = (self.first @ self.words.T)[cell // len(self.second)] + (self.second @ self.words.T)[cell % len(self.second)]
         w2 = np.diag(gram)
+        along = np.einsum("nd,nd->n", x, base)
         # err = |decoded|^2 - 2 x.decoded, kept for each beam
-        err = (c2[cell] - 2 * np.einsum("nd,nd->n", x, self.coarse[cell]))[:, None]
+        err = ((base * base).sum(1) - 2 * along)[:, None]
         codes = np.zeros((n, 1, STAGES), np.int64)
         rows = np.arange(n)[:, None]
         for m in range(STAGES):
             at = slice(m * WORDS, (m + 1) * WORDS)
-            gain = (w2[at] + 2 * cross[cell, at] - 2 * dots[:, at])[:, None, :]
+            gain = (w2[at] + 2 * cross[:, at] - 2 * dots[:, at])[:, None, :]
             for j in range(m):
                 gain = gain + 2 * gram[codes[:, :, j] + j * WORDS, at]
             total = (err[:, :, None] + gain).reshape(n, -1)
@@ -97,10 +139,14 @@ class Codebooks:
             codes[:, :, m] = best % WORDS
         first = err.argmin(1)
         final = codes[np.arange(n), first]
-        dot = np.einsum("nd,nd->n", x, self.coarse[cell]) + np.take_along_axis(dots, final + np.arange(STAGES) * WORDS, 1).sum(1)
+        dot = along + np.take_along_axis(dots, final + np.arange(STAGES) * WORDS, 1).sum(1)
         return cell, final.astype(np.uint8), (err[np.arange(n), first] + 2 * dot).astype(np.float32)
 
 
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+
+
 def _by_nearness(c: np.ndarray) -> np.ndarray:
     """Order the cells so that neighbours in number are neighbours in space (halving along the main direction)."""
     if len(c) <= 2:
@@ -135,82 +181,101 @@ def usable(chunks: DataFrame, key: str, vector: str, d: int) -> DataFrame:
     return chunks.where(good).select(F.col(key).alias("id"), v.cast("array<float>").alias("v"))
 
 
-class _Cells:
-    """Cells read from the shared folder; the latest stay in memory up to a bound."""
+class _Files:
+    """Files of cells read from the shared folder; the latest stay in memory up to a bound."""
 
     def __init__(self, path: str, d: int, most: int = 96_000_000):
         from pyarrow import fs
 
         self.fs, self.path = fs.FileSystem.from_uri(path)
         self.d, self.most, self.size = d, most, 0
-        self.kept: OrderedDict[int, tuple] = OrderedDict()
+        self.kept: OrderedDict[str, tuple] = OrderedDict()
+        self.listed: dict[int, list[str]] = {}
 
-    def get(self, cell: int):
-        import pyarrow.dataset as ds
+    def of(self, cell: int) -> list[str]:
         from pyarrow import fs
 
-        if cell in self.kept:
-            self.kept.move_to_end(cell)
-            return self.kept[cell]
-        at = f"{self.path}/cell={cell}"
-        if self.fs.get_file_info(at).type == fs.FileType.NotFound:
-            got = None
-        else:
-            t = ds.dataset(at, filesystem=self.fs, format="parquet").to_table(columns=["id", "v", "codes", "norm2"])
-            ids, first = np.unique(np.array(t["id"].to_pylist(), dtype=object), return_index=True)  # repeated rows count once
-            v = _unpack([t["v"][int(i)].as_py() for i in first], self.d)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(-1, STAGES)[first]
-            got = ids, v, codes.astype(np.int64) + np.arange(STAGES) * WORDS, t["norm2"].to_numpy()[first]
-        self.kept[cell] = got
-        self.size += got[1].nbytes if got else 0
+        if cell not in self.listed:
+            if len(self.listed) > 100_000:
+                self.listed.clear()
+            found = self.fs.get_file_info(fs.FileSelector(f"{self.path}/cell={cell}", allow_not_found=True))
+            self.listed[cell] = sorted(i.path for i in found if i.path.endswith(".parquet"))
+        return self.listed[cell]
+
+    def get(self, path: str):
+        import pyarrow.parquet as pq
+
+        if path in self.kept:
+            self.kept.move_to_end(path)
+            return self.kept[path]
+        with self.fs.open_input_file(path) as f:
+            t = pq.ParquetFile(f).read(columns=["id", "v", "codes", "norm2"])
+        ids, first = np.unique(np.array(t["id"].to_pylist(), dtype=object), return_index=True)  # repeated rows count once
+        v = _unpack(t["v"].take(first).to_pylist(), self.d)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(-1, STAGES)[first]
+        got = ids, v, codes.astype(np.int64) + np.arange(STAGES) * WORDS, t["norm2"].to_numpy()[first]
+        self.kept[path] = got
+        self.size += got[1].nbytes
         while self.size > self.most and len(self.kept) > 1:
             _, old = self.kept.popitem(last=False)
-            self.size -= old[1].nbytes if old else 0
+            self.size -= old[1].nbytes
         return got
 
 
-def _search_cell(cells: _Cells, books: Codebooks, cell: int, k: int, probes: int, rerank: int, block: int = 256):
-    own = cells.get(cell)
-    if own is None:
-        return
+def _groups(files: list[tuple[int, str]], store: _Files):
+    """The probed files, read in groups of about ``AT_ONCE`` vectors: what a block of queries meets at a time."""
+    now, size = [], 0
+    for cell, path in files:
+        got = store.get(path)
+        if now and size + len(got[0]) > AT_ONCE:
+            yield now
+            now, size = [], 0
+        now.append((cell, got))
+        size += len(got[0])
+    if now:
+        yield now
+
+
+def _search_file(store: _Files, books: Codebooks, cell: int, path: str, k: int, probes: int, rerank: int, block: int = 256):
+    own = store.get(path)
     ids, q = own[0], own[1]
-    half = 0.5 * (books.coarse * books.coarse).sum(1)
     for s in range(0, len(q), block):
-        x = q[s : s + block]
-        coarse = x @ books.coarse.T
-        near = coarse - half
-        p = min(4, near.shape[1])
-        votes = np.bincount(np.argpartition(-near, p - 1, axis=1)[:, :p].ravel(), minlength=near.shape[1]) + near.mean(0) * 1e-3
-        probed = sorted(np.argsort(-votes, kind="stable")[:probes])
-        others = [(c, o) for c in probed if (o := cells.get(int(c))) is not None]
-        oid = np.concatenate([o[0] for _, o in others])
-        ov = [o[1] for _, o in others]
+        x, mine = q[s : s + block], ids[s : s + block]
         table = x @ books.words.T
-        # Lookup-table scoring: 2 x.decoded - |decoded|^2 orders as the distance to the decoded vector does.
-        score = np.empty((len(x), len(oid)), np.float32)
-        at, starts = 0, []
-        for c, (_, _, codes, norm2) in others:
-            part = score[:, at : at + len(norm2)]
-            part[:] = coarse[:, c][:, None]
-            for m in range(codes.shape[1]):
-                part += np.take(table, codes[:, m], axis=1)
-            part *= 2
-            part -= norm2
-            if c == cell:
-                part[np.arange(len(x)), s + np.arange(len(x))] = -np.inf
-            starts.append(at)
-            at += len(norm2)
-        take = min(rerank, at)
-        top = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < at else np.tile(np.arange(at), (len(x), 1))
-        v = np.concatenate(ov) if len(ov) > 1 else ov[0]
+        best: list[list[tuple[float, str]]] = [[] for _ in range(len(x))]
+        for others in _groups([(c, f) for c in books.probes(x, cell, probes) for f in store.of(c)], store):
+            oid = np.concatenate([o[0] for _, o in others])
+            v = np.concatenate([o[1] for _, o in others]) if len(others) > 1 else others[0][1][1]
+            coarse = books.coarse_dots(x, np.array([c for c, _ in others]))
+            # Lookup-table scoring: 2 x.decoded - |decoded|^2 orders as the distance to the decoded vector does.
+            score = np.empty((len(x), len(oid)), np.float32)
+            at = 0
+            for g, (_, (_, _, codes, norm2)) in enumerate(others):
+                part = score[:, at : at + len(norm2)]
+                part[:] = coarse[:, g][:, None]
+                for m in range(codes.shape[1]):
+                    part += np.take(table, codes[:, m], axis=1)
+                part *= 2
+                part -= norm2
+                at += len(norm2)
+            take = min(rerank, at)
+            top = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < at else np.tile(np.arange(at), (len(x), 1))
+            for i in range(len(x)):
+                near = top[i]
+                sims = v[near] @ x[i]
+                few = near[np.argpartition(-sims, k + 8)[: k + 9]] if len(near) > k + 9 else near
+                exact = v[few].astype(np.float64) @ x[i].astype(np.float64)
+                best[i] += [(float(e), oid[j]) for e, j in zip(exact, few)]
         for i in range(len(x)):
-            mine = top[i][np.isfinite(score[i, top[i]])]
-            sims = v[mine] @ x[i]
-            best = mine[np.argpartition(-sims, k + 3)[: k + 4]] if len(mine) > k + 4 else mine
-            exact = v[best].astype(np.float64) @ x[i].astype(np.float64)
-            for rank, j in enumerate(sorted(range(len(best)), key=lambda j: (-round(float(exact[j]), 7), oid[best[j]]))[:k], 1):
-                yield ids[s + i], oid[best[j]], rank, float(exact[j])
+            seen: dict[str, float] = {}  # repeated rows count once
+            for e, o in sorted(best[i], key=lambda r: (-round(r[0], 7), r[1])):
+                if o != mine[i] and o not in seen:
+                    seen[o] = e
+                    if len(seen) == k:
+                        break
+            for rank, (o, e) in enumerate(seen.items(), 1):
+                yield mine[i], o, rank, e
 
 
 def _uri(spark, path: str) -> str:
@@ -253,20 +318,25 @@ def nearest(chunks: DataFrame, key: str, vector: str, d: int, k: int = 5, probes
                 yield pd.DataFrame({"cell": cell, "id": part["id"].to_numpy(), "v": _pack(v), "codes": [c.tobytes() for c in codes], "norm2": norm2})
 
     path = shared_dir(spark)
-    spread(rows).mapInPandas(encode, "cell int, id string, v binary, codes binary, norm2 float").repartition("cell").write.partitionBy("cell").parquet(path)
-    n_cells, where = len(books.coarse), _uri(spark, path)
+    encoded = spread(rows).mapInPandas(encode, "cell int, id string, v binary, codes binary, norm2 float")
+    encoded.hint("rebalance", "cell").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("cell").parquet(path)  # a cell too large for one task is split
+    where = _uri(spark, path)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = _Cells(where, d)
+        store, books = _Files(where, d), sent.value
         for b in batches:
-            for cell in b["id"]:
-                found = list(_search_cell(cells, books, int(cell), k, probes, rerank))
+            for cell, file in zip(b["cell"], b["file"]):
+                found = list(_search_file(store, books, int(cell), f"{store.path}/cell={int(cell)}/{file}", k, probes, rerank))
                 if found:
                     a, o, r, s = zip(*found)
                     yield pd.DataFrame({"id": a, "neighbour": o, "rank": r, "similarity": s})
 
-    tasks = max(1, min(n_cells, max(spark.sparkContext.defaultParallelism * 3, n_cells // 16)))
-    out = spark.range(0, n_cells, 1, tasks).mapInPandas(search, "id string, neighbour string, rank int, similarity double")
+    sent = spark.sparkContext.broadcast(books)  # at most FIRST_WORDS + 2 x FIT_ROWS / 8 + 384 vectors
+    # A task takes a run of neighbouring cells, so it reads few files twice; a cell of many files goes to several tasks.
+    written = spark.read.schema("id string, cell int").parquet(path)
+    files = written.select("cell", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).distinct()
+    tasks = max(spark.sparkContext.defaultParallelism * 3, math.ceil(n / (CELL_ROWS * 16)))
+    out = files.repartitionByRange(tasks, "cell", "file").mapInPandas(search, "id string, neighbour string, rank int, similarity double")
     return out.unionByName(copies) if surplus_n else out
 
 

@@ -281,6 +281,24 @@ def test_nearest_recall_against_brute_force(spark):
     assert np.mean([len(got[i] & want[i]) / 5 for i in range(1500)]) >= 0.95
 
 
+def test_two_levels_of_cells_and_split_files(spark, monkeypatch):
+    """Cells beyond the first codebook, files far smaller than a cell and few candidates at a time: the same recall."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 32))
+    v = (centres[rng.integers(0, 12, 2400)] + 0.4 * rng.normal(size=(2400, 32))).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:05d}", x.tolist()) for i, x in enumerate(v)], "id string, e array<float>")
+    for name, value in (("FIRST_WORDS", 3), ("CELL_ROWS", 200), ("FILE_ROWS", 40), ("AT_ONCE", 300)):
+        monkeypatch.setattr(vectors, name, value)
+    books = vectors.Codebooks.fit(v, 2400)
+    assert books.cells == 12 and len(books.first) == 3
+    got = {}
+    for r in vectors.nearest(df, "id", "e", 32).collect():
+        got.setdefault(int(r.id), set()).add(int(r.neighbour))
+    want = brute_neighbours(v.astype(np.float64), 5)
+    assert set(got) == set(range(2400)) and all(len(s) == 5 for s in got.values())
+    assert np.mean([len(got[i] & want[i]) / 5 for i in range(2400)]) >= 0.95
+
+
 def test_a_third_of_all_rows_are_copies(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(200, 16)).astype(np.float32)
