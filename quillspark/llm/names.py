@@ -3,13 +3,16 @@
 Names are parsed into family name, given name and initials; where two plain words may stand in either
 order, the roles their words take elsewhere in the corpus decide. A prefix-filtered set-similarity join on
 q-grams (the q-grams of one part, joined with the other part, rarest first) finds keys that differ
-in one part; a soft token comparison verifies them, in which rare words count more: two words that are both
-usual are different names, a rare word near a usual one is a slip. Initials join the person of the same
-family name they fit; closed groups of keys are the entities. Venues are compared word by word: equal, one edit
-apart, or one an abbreviation of the other.
-
-Defined results: null and blank names take no part; a spelling pairs with others of its entity, never with
-itself; repeated rows count once; with several fitting persons, initials go to the most frequent one.
+in one part. A soft weighted token similarity verifies them: each token weighs by its rarity (the log of all
+partners over its own), equal tokens count in full, and a token one edit away counts by its likeness times the
+chance that the rarer spelling is a slip of the usual one: it is one while it occurs with no more partners than
+slips of the usual word would. Initials join the person of the same family name they fit; closed groups of keys
+are the entities. Venues are compared word by word: equal, one edit apart, or one an abbreviation of the other.
+
+Every name has a confidence: the similarity that links it, and for initials the share of the person among all
+that fit. Defined results: null and blank names take no part; a spelling pairs with others of its entity, never
+with itself; repeated rows count once; with several fitting persons, initials go to the likeliest, the most
+frequent one.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..operators.packed import ORG_WORDS, PARTICLES
 from ..session import stored
-from .graph import components
+from .graph import block_pairs, components
 from .matching import fold, near_words
 from .nicknames import FULL
 from .survivors import NO_VENUE
@@ -32,7 +35,8 @@ from .survivors import NO_VENUE
 _SUFFIX = re.compile(r",?\s+(?:Jr|Sr)\.?$|,\s*(?:JR|SR|II|III)\.?$")  # JR without a comma are initials
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.-?){1,4}$|^[A-Z]{1,3}$|^[^\W\d_]$")
 _ORG = re.compile(r"\b(?:" + "|".join(ORG_WORDS) + r")\b")
-USUAL = 4  # other parts a word must occur with to be a usual one, and a tenth of those of the word it resembles
+SLIPS, SLIP_SHARE, STEEP = 3, 0.1, 4  # a slip is seen with up to so many partners or that share of the usual word's; how sharply the chance falls beyond
+ALIKE = 0.5  # similarity from which two keys are one person
 
 
 def parse_name(name: str) -> tuple[str, str, str, str, str]:
@@ -133,16 +137,15 @@ def similar_pairs(rows: DataFrame, key: str, tokens: str, least: float) -> DataF
     """key_a < key_b whose token sets have a Jaccard similarity of ``least`` or more.
 
     Prefix filtering: tokens in order of rising frequency; two sets that similar share one of the first
-    n - ceil(least * n) + 1. Only those are joined, with a filter on the sizes.
+    n - ceil(least * n) + 1. Only those are joined, with a filter on the sizes; frequent tokens are joined in squares.
     """
     each = rows.select(key, F.explode(tokens).alias("t"))
     freq = each.groupBy("t").agg(F.count("*").alias("f"))
     ordered = each.join(freq, "t").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o")).select(key, F.transform("o", lambda s: s["t"]).alias("set"))
     size = F.size("set")
     prefix = stored(ordered.select(key, "set", size.alias("size"), F.slice("set", 1, (size - F.ceil(size * least) + 1).cast("int")).alias("prefix")))
-    probe = prefix.select(key, "size", F.explode("prefix").alias("t"))
-    x, y = probe.alias("x"), probe.alias("y")
-    cand = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col(f"x.{key}") < F.col(f"y.{key}")) & (F.col("x.size") >= F.col("y.size") * least) & (F.col("y.size") >= F.col("x.size") * least)).select(F.col(f"x.{key}").alias("key_a"), F.col(f"y.{key}").alias("key_b")).distinct()
+    probe = prefix.select(F.col(key).alias("key"), "size", F.explode("prefix").alias("t"))
+    cand = block_pairs(probe, "t", "key", ["size"]).where((F.col("size_a") >= F.col("size_b") * least) & (F.col("size_b") >= F.col("size_a") * least)).select("key_a", "key_b").distinct()
     sets = lambda p: prefix.select(F.col(key).alias(f"key_{p}"), F.col("set").alias(f"set_{p}"))
     both = cand.join(sets("a"), "key_a").join(sets("b"), "key_b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -163,39 +166,53 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near_words(x, y, 1) or (min(len(x), len(y)) in (2, 3) and x[:1] == y[:1] and near_words(x + "....", y + "....")) or (len(x) == len(y) == 4 and sorted(x) == sorted(y) and x[0] == y[0]) for x, y in zip(a, b)])
 
 
+def soft_similarity(equal_usage: Column, usage_a: Column, usage_b: Column, likeness: Column, all_equal: Column, all_other: Column) -> Column:
+    """Of two keys with one equal token and one that differs.
+
+    The usages are the tokens' numbers of partners, ``all_*`` those of all tokens of that kind.
+    """
+    rarity = lambda usage, of: F.log(1 + of / usage)
+    less, more = F.least(usage_a, usage_b), F.greatest(usage_a, usage_b)
+    slip = 1 / (1 + F.pow(less / F.greatest(F.lit(float(SLIPS)), more * SLIP_SHARE), STEEP))
+    same, other = rarity(equal_usage, all_equal), rarity(less, all_other)
+    return (same + other * likeness * slip) / (same + other)
+
+
 def person_keys(settled: DataFrame) -> DataFrame:
-    """family|given -> entity (the least key)."""
+    """key, family, given, n, entity (the least key), confidence (of the key in its entity)."""
     keys = stored(settled.where("form = 'sure' and given <> '' and family <> ''").groupBy("family", "given").agg(F.sum("n").alias("n")).withColumn("key", F.concat_ws("|", "family", "given")))
     with_family = keys.groupBy("family").agg(F.count("*").alias("givens"))
     with_given = keys.groupBy("given").agg(F.count("*").alias("families"))
-    wide = keys.join(with_family, "family").join(with_given, "given")
-    wide = stored(wide.select("key", "family", "given", "givens", "families", "n"))
+    wide = stored(keys.join(with_family, "family").join(with_given, "given").select("key", "family", "given", "givens", "families", "n"))
+    all_families, all_givens = (F.lit(float(x)) for x in wide.agg(F.countDistinct("family"), F.countDistinct("given")).first())
     by_family = near_families(keys, "given")
     by_given = similar_pairs(keys.select("key", F.transform(grams(F.col("given"), 1), lambda g: F.concat_ws("|", "family", g)).alias("t")), "key", "t", 0.6)
     side = lambda p: wide.select(F.col("key").alias(f"key_{p}"), *[F.col(c).alias(f"{c}_{p}") for c in ("family", "given", "givens", "families", "n")])
     pairs = by_family.unionByName(by_given).distinct().join(side("a"), "key_a").join(side("b"), "key_b")
-    # Rare words count more: where both words are usual they are two names.
-    rare = lambda c: (F.least(f"{c}_a", f"{c}_b") < USUAL) | (F.least(f"{c}_a", f"{c}_b") * 10 <= F.greatest(f"{c}_a", f"{c}_b"))
-    family_slip = (F.col("given_a") == F.col("given_b")) & rare("givens") & _near("family_a", "family_b")
-    few = F.col("givens_a") <= USUAL  # a rare family name speaks for one person
-    given_slip = (F.col("family_a") == F.col("family_b")) & (rare("families") | few) & _near("given_a", "given_b")
-    links = pairs.where(family_slip | given_slip).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    likeness = lambda c: 1 - 1 / F.greatest(F.length(f"{c}_a"), F.length(f"{c}_b"))
+    family_slip = (F.col("given_a") == F.col("given_b")) & _near("family_a", "family_b")
+    given_slip = (F.col("family_a") == F.col("family_b")) & _near("given_a", "given_b")
+    similarity = F.when(family_slip, soft_similarity(F.col("families_a"), F.col("givens_a"), F.col("givens_b"), likeness("family"), all_families, all_givens)).when(given_slip, soft_similarity(F.col("givens_a"), F.col("families_a"), F.col("families_b"), likeness("given"), all_givens, all_families))
+    links = stored(pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), similarity.alias("s")).where(F.col("s") >= ALIKE))
     comp = components(links)
-    return wide.join(comp.withColumnRenamed("id", "key"), "key", "left").select("key", "family", "given", "n", F.coalesce("comp", "key").alias("entity"))
+    ends = links.select(F.col("a").alias("key"), "s").unionByName(links.select(F.col("b").alias("key"), "s")).groupBy("key").agg(F.max("s").alias("s"))
+    return wide.join(comp.withColumnRenamed("id", "key"), "key", "left").join(ends, "key", "left").select("key", "family", "given", "n", F.coalesce("comp", "key").alias("entity"), F.coalesce("s", F.lit(1.0)).alias("confidence"))
 
 
 def person_entities(names: DataFrame) -> DataFrame:
-    """names (name, n) -> name, entity."""
+    """names (name, n) -> name, entity, confidence."""
     settled = stored(settle_order(stored(parsed_names(names))))
     keys = stored(person_keys(settled))
-    full = settled.where("form = 'sure' and given <> ''").join(keys.select("family", "given", "entity"), ["family", "given"]).select("name", "entity")
+    full = settled.where("form = 'sure' and given <> ''").join(keys.select("family", "given", "entity", "confidence"), ["family", "given"]).select("name", "entity", "confidence")
     # Initials: the entity of that family name whose given name starts so; middle initials must agree where both are known.
     middles = settled.where("form = 'sure' and given <> '' and length(initials) > 1").join(keys.select("family", "given", "entity"), ["family", "given"]).groupBy("entity").agg(F.collect_set(F.substring("initials", 2, 1)).alias("middles"))
     weight = keys.groupBy("entity").agg(F.sum("n").alias("weight"))
     homes = keys.select("entity", "family", F.substring("given", 1, 1).alias("initial")).distinct().join(weight, "entity").join(middles, "entity", "left")
     short = settled.where("form = 'sure' and given = '' and family <> ''").select("name", "family", F.substring("initials", 1, 1).alias("initial"), F.substring("initials", 2, 1).alias("middle"))
     fits = short.join(homes, ["family", "initial"]).withColumn("agree", F.when((F.col("middle") == "") | F.col("middles").isNull(), 0).when(F.array_contains("middles", F.col("middle")), 1).otherwise(-1))
-    best = fits.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.col("agree").desc(), F.col("weight").desc(), "entity"))).where("r = 1").select("name", "entity")
+    # The most frequent person is the likeliest; the confidence is this person's share among those that fit as well.
+    share = fits.groupBy("name", "agree").agg(F.max_by("entity", F.struct(F.col("weight"), F.col("entity"))).alias("entity"), (F.max("weight") / F.sum("weight")).alias("confidence"))
+    best = share.groupBy("name").agg(F.max_by(F.struct("entity", "confidence"), F.col("agree")).alias("b")).select("name", "b.entity", "b.confidence")
     # No such person: a family name one slip away, with the same initial.
     lone = stored(short.join(best, "name", "left_anti").select("name", "family", "initial"))
     probe = lone.select(F.concat_ws("|", F.lit("~"), "family", "initial").alias("key"), "family", "initial").distinct().unionByName(homes.select(F.concat_ws("|", "entity", "family", "initial").alias("key"), "family", "initial"))
@@ -204,8 +221,9 @@ def person_entities(names: DataFrame) -> DataFrame:
     part = lambda c, i: F.element_at(F.split(F.col(c), "[|]"), i)
     slips = near.where(_near(part("k", 2), part("o", -2))).select(part("k", 2).alias("family"), part("k", 3).alias("initial"), F.concat_ws("|", part("o", 1), part("o", 2)).alias("entity")).join(weight, "entity")
     slip = slips.withColumn("r", F.row_number().over(Window.partitionBy("family", "initial").orderBy(F.col("weight").desc(), "entity"))).where("r = 1").select("family", "initial", "entity")
-    alone = lone.join(slip, ["family", "initial"], "left").select("name", F.coalesce("entity", F.concat_ws("|", "family", F.concat(F.lit("~"), "initial"))).alias("entity"))
-    groups = settled.where("form = 'group'").select("name", F.concat(F.lit("group|"), "family").alias("entity"))
+    slip = slip.withColumn("confidence", F.lit(ALIKE))
+    alone = lone.join(slip, ["family", "initial"], "left").select("name", F.coalesce("entity", F.concat_ws("|", "family", F.concat(F.lit("~"), "initial"))).alias("entity"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    groups = settled.where("form = 'group'").select("name", F.concat(F.lit("group|"), "family").alias("entity"), F.lit(1.0).alias("confidence"))
     return full.unionByName(best).unionByName(alone).unionByName(groups)
 
 
@@ -258,7 +276,7 @@ def abbreviates(a: str, b: str) -> bool:
 
 
 def venue_entities(venues: DataFrame) -> DataFrame:
-    """venues (name, n) -> name, entity."""
+    """venues (name, n) -> name, entity, confidence (of capitals: the venue's share among those with these initials)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -272,7 +290,7 @@ def venue_entities(venues: DataFrame) -> DataFrame:
 
     rows = stored(venues.where(~F.col("name").rlike(NO_VENUE)).mapInPandas(run, "name string, n long, words string, initials string, short boolean"))
     keys = rows.where("not short").groupBy("words", "initials").agg(F.sum("n").alias("n"))
-    by_initials = keys.alias("x").join(keys.alias("y"), (F.col("x.initials") == F.col("y.initials")) & (F.col("x.words") < F.col("y.words"))).select(F.col("x.words").alias("key_a"), F.col("y.words").alias("key_b"))
+    by_initials = block_pairs(keys, "initials", "words")
     by_grams = similar_pairs(keys.select(F.col("words").alias("key"), grams(F.col("words"), 3).alias("t")), "key", "t", 0.7)
 
     @F.pandas_udf("boolean")
@@ -286,13 +304,13 @@ def venue_entities(venues: DataFrame) -> DataFrame:
     links = by_initials.unionByName(by_grams).distinct().where(same("key_a", "key_b")).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     comp = components(links)
     entity = stored(keys.join(comp.withColumnRenamed("id", "words"), "words", "left").select("words", "initials", "n", F.coalesce("comp", "words").alias("entity")))
-    long = rows.where("not short").join(entity.select("words", "entity"), "words").select("name", "entity")
+    long = rows.where("not short").join(entity.select("words", "entity"), "words").select("name", "entity", F.lit(1.0).alias("confidence"))
     # A word of capitals joins the venue with these initials, the most frequent one if there are several.
     homes = entity.groupBy("initials", "entity").agg(F.sum("n").alias("n"))
-    best = homes.withColumn("r", F.row_number().over(Window.partitionBy("initials").orderBy(F.col("n").desc(), "entity"))).where("r = 1").select("initials", "entity")
+    best = homes.groupBy("initials").agg(F.max_by("entity", F.struct(F.col("n"), F.col("entity"))).alias("entity"), (F.max("n") / F.sum("n")).alias("share"))
     caps = rows.where("short").join(best, "initials", "left")
-    proc = best.select(F.concat(F.lit("p"), "initials").alias("initials"), F.col("entity").alias("p_entity"))
-    short = caps.join(proc, "initials", "left").select("name", F.coalesce("entity", "p_entity", "words").alias("entity"))
+    proc = best.select(F.concat(F.lit("p"), "initials").alias("initials"), F.col("entity").alias("p_entity"), F.col("share").alias("p_share"))
+    short = caps.join(proc, "initials", "left").select("name", F.coalesce("entity", "p_entity", "words").alias("entity"), F.coalesce("share", "p_share", F.lit(1.0)).alias("confidence"))
     return long.unionByName(short)
 
 

@@ -111,8 +111,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kind, name, entity: one row per spelling."""
-    return _author_entities(spark, sf_dir).select(F.lit("author").alias("kind"), "name", "entity").unionByName(_venue_entities(spark, sf_dir).select(F.lit("venue").alias("kind"), "name", "entity"))
+    """kind, name, entity, confidence: one row per spelling."""
+    columns = lambda kind: [F.lit(kind).alias("kind"), "name", "entity", F.round("confidence", 6).alias("confidence")]
+    return _author_entities(spark, sf_dir).select(*columns("author")).unionByName(_venue_entities(spark, sf_dir).select(*columns("venue")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
