@@ -121,6 +121,9 @@ def near_words(a: str, b: str, long_most: int = 2) -> bool:
 def _near_words(a: str, b: str, long_most: int) -> bool:
     la, lb = len(a), len(b)
     most = long_most if la >= 9 and lb >= 9 else 1
+    one, other = _letters(a), _letters(b)
+    if (one & ~other).bit_count() > most or (other & ~one).bit_count() > most:
+        return False  # a letter the other word lacks is an edit
     # What the two share at either end cannot hold an edit.
     i, n = 0, min(la, lb)
     while i < n and a[i] == b[i]:
@@ -237,20 +240,26 @@ def common_words(reps: DataFrame) -> frozenset[str]:
     return frozenset(r.w for r in words.where(F.col("n") >= max(5, COMMON * total)).collect())
 
 
-def _same_author(a: str, b: str) -> float:
-    x, y = a.split(), b.split()
-    xl, yl = [w for w in x if not w.isupper()], [w for w in y if not w.isupper()]
-    left = list(yl)
+@lru_cache(1 << 15)
+def _people(names: str) -> tuple[tuple[str, ...], ...]:
+    """The words of each author, without initials."""
+    return tuple(tuple(w for w in p.split() if not w.isupper()) for p in names.split(";"))
+
+
+@lru_cache(1 << 17)
+def _same_author(x: tuple[str, ...], y: tuple[str, ...]) -> float:
+    if x == y and x:
+        return 1.0
+    left = list(y)
     lone = []
-    for w in xl:
+    for w in x:
         hit = next((v for v in left if near_words(w, v)), None)
         if hit is None:
             lone.append(w)
         else:
             left.remove(hit)
-    met = len(xl) - len(lone)
-    if not met:
-        return 1.0 if xl and yl and near_words("".join(xl[:2]), "".join(yl[:2])) else 0.0
+    if len(x) == len(lone):
+        return 1.0 if x and y and near_words("".join(x[:2]), "".join(y[:2])) else 0.0
     if not lone or not left:
         return 1.0
     return 0.6 if {w[0] for w in lone} & {w[0] for w in left} else 0.2  # one name agrees, the other does not
@@ -258,9 +267,9 @@ def _same_author(a: str, b: str) -> float:
 
 def author_similarity(a: str, b: str) -> float:
     """Share of the shorter list that agrees at its place (or anywhere, for less)."""
-    x, y = a.split(";"), b.split(";")
+    x, y = _people(a), _people(b)
     n = min(len(x), len(y))
-    at_place = sum(_same_author(p, q) for p, q in zip(x, y)) / n
+    at_place = sum(map(_same_author, x, y)) / n
     if at_place == 1.0:
         return 1.0
     anywhere = sum(max(_same_author(p, q) for q in y) for p in x) / len(x) if len(x) <= len(y) else sum(max(_same_author(p, q) for p in x) for q in y) / len(y)
