@@ -35,18 +35,22 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(keep) else chr(next(rest)) for b in range(256)]
 
 
+def read_tables(path: str) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """The ids of the bytes, and the merges (left, right, made) in rank order, of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab = model["vocab"]
+    pairs = (p.split(" ") if isinstance(p, str) else p for p in model["merges"])
+    return [vocab[c] for c in _byte_letters()], [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+
+
 class MergeReplay:
     """The vocabulary, and the replay of its merges over many words at once."""
 
-    def __init__(self, path: str = DEFAULT_VOCABULARY):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab = model["vocab"]
-        self.byte_id = [vocab[c] for c in _byte_letters()]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+    def __init__(self, path: str = DEFAULT_VOCABULARY, tables: tuple[list[int], list[tuple[int, int, int]]] | None = None):
+        byte_id, merges = tables or read_tables(path)
+        self.byte_id = byte_id
+        self.merges = {(a, b): (rank, made) for rank, (a, b, made) in enumerate(merges)}
         self.memo: dict[str, list[int]] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -123,11 +127,13 @@ class MergeReplay:
 def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY, chars: int = 4_000_000) -> DataFrame:
     """``key`` and ids (array<int>) of every document; map-only.
 
-    ``chars``: texts are replayed in slices of about so many characters, which bounds memory.
+    ``chars``: texts are replayed in slices of about so many characters, which bounds memory. The vocabulary is read by
+    the driver and broadcast (a few MB); executors need no file.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(read_tables(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        replay = MergeReplay(vocabulary)
+        replay = MergeReplay(tables=sent.value)
         for b in batches:
             keys, texts = b[key], list(b[text])
             start, size = 0, 0

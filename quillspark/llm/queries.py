@@ -73,25 +73,29 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(papers.join(groups, "work").select("id", "group_id"))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """group_id, field_name, record_key of the row that holds the best value."""
+def _best_rows(spark: SparkSession, sf_dir: str, groups: DataFrame) -> DataFrame:
     papers, inputs = load(spark, sf_dir, "papers"), load(spark, sf_dir, "paper_inputs")
     texts = papers.select(F.lit("papers").alias("tbl"), F.col("id").alias("record_key"), "source", F.col("abstract").alias("text"))
-    return survivors.best_rows(_groups(spark, sf_dir), papers, inputs, truncation.judged(texts)).select("group_id", "field_name", "record_key").distinct()
+    return survivors.best_rows(groups, papers, inputs, truncation.judged(texts)).select("group_id", "field_name", "record_key").distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group_id, field_name, record_key of the row that holds the best value."""
+    return _best_rows(spark, sf_dir, _groups(spark, sf_dir))
 
 
 def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One built record per group: the best abstract, venue, state and citation count."""
-    best = stored(p4_found(spark, sf_dir))
-    papers = load(spark, sf_dir, "papers")
-    values = best.join(papers.select(F.col("id").alias("record_key"), "abstract", "venue"), "record_key", "left")
-    counts = load(spark, sf_dir, "paper_inputs").where("citation_count > 0").groupBy(F.col("input_id").alias("record_key")).agg(F.max("citation_count").alias("citations"))
-    pick = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c)))
-    return (
-        values.join(counts, "record_key", "left")
-        .groupBy("group_id")
-        .agg(pick("abstract", "abstract").alias("abstract"), pick("venue", "venue").alias("venue"), F.max(F.when(F.col("field_name") == "evidence_state", F.lit("full-text"))).alias("evidence_state"), pick("citation_count", "citations").alias("citation_count"))
-    )
+    """One built record per group: the fullest row's title, authors, year and DOI, and the best abstract, venue, state and citation count."""
+    groups = _groups(spark, sf_dir)
+    best = stored(_best_rows(spark, sf_dir, groups))
+    papers = load(spark, sf_dir, "papers").distinct()
+    base = survivors.fullest(papers.join(groups, "id"), "group_id", ["title", "authors", "year", "doi"])
+    values = best.where("field_name <> 'citation_count'").join(papers.select(F.col("id").alias("record_key"), "abstract", "venue", "evidence_state"), "record_key")
+    counts = load(spark, sf_dir, "paper_inputs").where("citation_count > 0").groupBy(F.col("input_id").alias("record_key")).agg(F.max("citation_count").alias("citation_count"))
+    pick = lambda c: F.max(F.when(F.col("field_name") == c, F.col(c))).alias(c)
+    fields = values.groupBy("group_id").agg(pick("abstract"), pick("venue"), pick("evidence_state"))
+    cited = best.where("field_name = 'citation_count'").join(counts, "record_key").select("group_id", "citation_count")
+    return base.join(fields, "group_id", "left").join(cited, "group_id", "left")
 
 
 def _author_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

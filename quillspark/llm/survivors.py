@@ -72,6 +72,14 @@ def venue_quality(rows: DataFrame) -> DataFrame:
     return full.join(right, "venue").select("id", F.col("n").alias("venue_score"))
 
 
+def fullest(rows: DataFrame, group: str, fields: list[str]) -> DataFrame:
+    """group and ``fields`` of the row with most filled fields, the latest and then the least id among equals; a field it lacks comes from the next row that has it."""
+    filled = sum((F.length(F.trim(F.col(c).cast("string"))) > 0).cast("int") if c != "year" else (F.coalesce(F.col(c), F.lit(0)) != 0).cast("int") for c in fields)
+    order = F.struct(F.coalesce(filled, F.lit(0)).alias("n"), F.col("created_at"), F.col("id"))
+    has = lambda c: (F.col(c) != 0) if c == "year" else F.length(F.trim(F.col(c))) > 0
+    return rows.groupBy(group).agg(*[F.max_by(F.when(has(c), F.col(c)), F.when(has(c), order)).alias(c) for c in fields])
+
+
 def best_rows(groups: DataFrame, papers: DataFrame, inputs: DataFrame, judged: DataFrame) -> DataFrame:
     """group_id, field_name, record_key.
 

@@ -314,3 +314,12 @@ def test_nearest_of_few_and_none(spark):
     one = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "id string, e array<float>")
     assert {(r.id, r.neighbour) for r in vectors.nearest(one, "id", "e", 2).collect()} == {("x", "y"), ("y", "x")}
     assert vectors.nearest(one.limit(0), "id", "e", 2).count() == 0
+
+
+def test_the_fullest_row_is_completed(spark):
+    import datetime as dt
+
+    day = lambda k: dt.datetime(2020, 1, k)
+    rows = [("a", "g", "T", None, 0, "10.1/x", day(1)), ("b", "g", "T one", "A; B", 2001, None, day(2)), ("c", "g", "", " ", None, "", day(3)), ("d", "h", None, None, None, None, None)]
+    got = {r.g: (r.title, r.authors, r.year, r.doi) for r in survivors.fullest(spark.createDataFrame(rows, "id string, g string, title string, authors string, year int, doi string, created_at timestamp"), "g", ["title", "authors", "year", "doi"]).collect()}
+    assert got == {"g": ("T one", "A; B", 2001, "10.1/x"), "h": (None, None, None, None)}
