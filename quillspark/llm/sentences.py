@@ -505,9 +505,11 @@ SCRIPTS = {"bare": f"[{_BARE}]", "kana": "[\u3040-\u30ff]", "han": "[\u4e00-\u9f
 
 
 def _script(text: Column) -> Column:
+    """The script of the first character of such a script; one scan of the text."""
+    ch = F.regexp_extract(text, "[" + "".join(rx[1:-1] for rx in SCRIPTS.values()) + "]", 0)
     out = F.lit("other")
     for name, rx in reversed(SCRIPTS.items()):
-        out = F.when(text.rlike(rx), name).otherwise(out)
+        out = F.when(ch.rlike(rx), name).otherwise(out)
     return out
 
 
@@ -540,9 +542,8 @@ def train(docs: DataFrame, text: str) -> Model:
     if not sizes:
         return Model(keys, Chain({}, {}))
     place = F.pmod(F.xxhash64("t"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for name, n in sizes.items():
-        chosen = chosen | ((F.col("script") == name) & (place < min(1_000_000, math.ceil(1e6 * FIT_TEXTS / n))))
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1_000_000, math.ceil(1e6 * FIT_TEXTS / n)))])
+    chosen = place < share[F.col("script")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
