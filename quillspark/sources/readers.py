@@ -18,14 +18,17 @@ PROVIDER_SCHEMA = "id string, title string, summary string, authors_raw string,
 
 
 def read_corpus_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The raw corpus; the whole job fails on a missing column, an extra cell or a blank required cell."""
+    """The raw corpus; the whole job fails on a missing column, an extra cell or a blank required cell.
+
+    The header of one file gives the columns; every other file's header is checked against it.
+    """
     header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     names = [c.lstrip("﻿") for c in header.columns]
     missing = sorted(set(CSV_COLUMNS) - set(names))
     if missing:
         raise ValueError(f"Missing required CSV columns: {', '.join(missing)}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"').csv(path)
     blank = F.lit(False)
     for c in CSV_COLUMNS:
         blank = blank | (F.length(F.trim(F.coalesce(c, F.lit("")))) == 0)

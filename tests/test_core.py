@@ -293,3 +293,13 @@ def test_stream_is_idempotent_and_isolates_failures(spark, tmp_path):
     assert sorted(c.text for c in chunks) == ["Fine.", "Other words now."] and len(chunks[0].embedding) == 384
     assert spark.read.parquet(f"{target}/dead_letters").count() == 3
     assert spark.read.parquet(f"{target}/paper_analyses").count() == 1
+
+
+def test_every_csv_header_is_checked(spark, tmp_path):
+    row = ["1", "t", "c", "x.Y", "1/2/20", "1/2/20", "a", "a", "s", "1"]
+    for name, columns in (("a.csv", readers.CSV_COLUMNS), ("b.csv", readers.CSV_COLUMNS)):
+        (tmp_path / name).write_text(",".join(columns) + "\n" + ",".join([name, *row[1:]]) + "\n")
+    assert readers.read_corpus_csv(spark, str(tmp_path)).count() == 2
+    (tmp_path / "b.csv").write_text(",".join(["title", "id", *readers.CSV_COLUMNS[2:]]) + "\n" + ",".join(row) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_corpus_csv(spark, str(tmp_path)).collect()
