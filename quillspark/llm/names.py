@@ -133,23 +133,41 @@ def grams(text: Column, q: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (q - 1), F.lit(1))), lambda i: F.substring(t, i, q)))
 
 
-def similar_pairs(rows: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
-    """key_a < key_b whose token sets have a Jaccard similarity of ``least`` or more.
+def similar_pairs(rows: DataFrame, key: str, tokens: str, least: float | str) -> DataFrame:
+    """key_a < key_b whose token sets have a Jaccard similarity of ``least`` (a number, or a column of it) or more.
 
     Prefix filtering: tokens in order of rising frequency; two sets that similar share one of the first
     n - ceil(least * n) + 1. Only those are joined, with a filter on the sizes; frequent tokens are joined in squares.
     """
-    each = rows.select(key, F.explode(tokens).alias("t"))
+    each = rows.select(F.col(key).alias("key"), (F.col(least) if isinstance(least, str) else F.lit(least)).alias("least"), F.explode(tokens).alias("t"))
     freq = each.groupBy("t").agg(F.count("*").alias("f"))
-    ordered = each.join(freq, "t").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o")).select(key, F.transform("o", lambda s: s["t"]).alias("set"))
+    ordered = each.join(freq, "t").groupBy("key", "least").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o")).select("key", "least", F.transform("o", lambda s: s["t"]).alias("set"))
     size = F.size("set")
-    prefix = stored(ordered.select(key, "set", size.alias("size"), F.slice("set", 1, (size - F.ceil(size * least) + 1).cast("int")).alias("prefix")))
-    probe = prefix.select(F.col(key).alias("key"), "size", F.explode("prefix").alias("t"))
-    cand = block_pairs(probe, "t", "key", ["size"]).where((F.col("size_a") >= F.col("size_b") * least) & (F.col("size_b") >= F.col("size_a") * least)).select("key_a", "key_b").distinct()
-    sets = lambda p: prefix.select(F.col(key).alias(f"key_{p}"), F.col("set").alias(f"set_{p}"))
+    prefix = stored(ordered.select("key", "least", "set", size.alias("size"), F.slice("set", 1, (size - F.ceil(size * F.col("least")) + 1).cast("int")).alias("prefix")))
+    probe = prefix.select("key", "least", "size", F.explode("prefix").alias("t"))
+    cand = block_pairs(probe, "t", "key", ["size", "least"]).where((F.col("size_a") >= F.col("size_b") * F.col("least_a")) & (F.col("size_b") >= F.col("size_a") * F.col("least_a"))).select("key_a", "key_b", F.col("least_a").alias("least")).distinct()
+    sets = lambda p: prefix.select(F.col("key").alias(f"key_{p}"), F.col("set").alias(f"set_{p}"))
     both = cand.join(sets("a"), "key_a").join(sets("b"), "key_b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(shared >= least * (F.size("set_a") + F.size("set_b") - shared)).select("key_a", "key_b")
+    return both.where(shared >= F.col("least") * (F.size("set_a") + F.size("set_b") - shared)).select("key_a", "key_b")
+
+
+def _kind(rows: DataFrame, kind: str, text: str, other: str, q: int, least: float) -> DataFrame:
+    """Rows of one similarity join among several done at once: keys and tokens carry its two letters."""
+    return rows.select(F.concat(F.lit(f"{kind}|"), "key").alias("key"), F.transform(grams(F.col(text), q), lambda g: F.concat_ws("|", F.lit(kind), other, g)).alias("t"), F.lit(least).alias("least"))
+
+
+def _joined(kinds: list[DataFrame]) -> DataFrame:
+    """key_a < key_b of all joins, without the letters."""
+    rows = kinds[0]
+    for k in kinds[1:]:
+        rows = rows.unionByName(k)
+    plain = lambda c: F.substring(c, F.lit(4), F.length(c)).alias(c)
+    return similar_pairs(rows, "key", "t", "least").select(plain("key_a"), plain("key_b")).distinct()
+
+
+def _family_kinds(rows: DataFrame, other: str) -> list[DataFrame]:
+    return [_kind(rows, "f2", "family", other, 2, 0.3), _kind(rows.where(F.length("family") <= 5), "f1", "family", other, 1, 0.6)]
 
 
 def near_families(rows: DataFrame, other: str) -> DataFrame:
@@ -157,8 +175,7 @@ def near_families(rows: DataFrame, other: str) -> DataFrame:
 
     In up to four letters a swap leaves too few 2-grams; single letters keep a Jaccard of 0.6 at any one edit.
     """
-    of = lambda df, q, least: similar_pairs(df.select("key", F.transform(grams(F.col("family"), q), lambda g: F.concat_ws("|", other, g)).alias("t")), "key", "t", least)
-    return of(rows, 2, 0.3).unionByName(of(rows.where(F.length("family") <= 5), 1, 0.6)).distinct()
+    return _joined(_family_kinds(rows, other))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -185,10 +202,9 @@ def person_keys(settled: DataFrame) -> DataFrame:
     with_given = keys.groupBy("given").agg(F.count("*").alias("families"))
     wide = stored(keys.join(with_family, "family").join(with_given, "given").select("key", "family", "given", "givens", "families", "n"))
     all_families, all_givens = (F.lit(float(x)) for x in wide.agg(F.countDistinct("family"), F.countDistinct("given")).first())
-    by_family = near_families(keys, "given")
-    by_given = similar_pairs(keys.select("key", F.transform(grams(F.col("given"), 1), lambda g: F.concat_ws("|", "family", g)).alias("t")), "key", "t", 0.6)
+    near = stored(_joined([*_family_kinds(keys, "given"), _kind(keys, "g1", "given", "family", 1, 0.6)]))
     side = lambda p: wide.select(F.col("key").alias(f"key_{p}"), *[F.col(c).alias(f"{c}_{p}") for c in ("family", "given", "givens", "families", "n")])
-    pairs = by_family.unionByName(by_given).distinct().join(side("a"), "key_a").join(side("b"), "key_b")
+    pairs = near.join(side("a"), "key_a").join(side("b"), "key_b")
     likeness = lambda c: 1 - 1 / F.greatest(F.length(f"{c}_a"), F.length(f"{c}_b"))
     family_slip = (F.col("given_a") == F.col("given_b")) & _near("family_a", "family_b")
     given_slip = (F.col("family_a") == F.col("family_b")) & _near("given_a", "given_b")

@@ -31,6 +31,7 @@ def top(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+SMALL_WORDS = ("of", "on", "in", "and", "the", "for", "to", "de", "et")  # fixed values: never abbreviations
 LEAST_USES = 3  # times a word must stand in titles to be a word
 
 
@@ -47,8 +48,9 @@ def venue_quality(rows: DataFrame) -> DataFrame:
     full = shaped.where((F.size(words) >= 3) & ~v.rlike(r"[.&,;:]") & ~v.rlike(r"^(?i:the)\s") & v.rlike(r"^\p{Lu}\p{Ll}") & ~v.rlike(r"(?:^|\s)(?!(?:of|on|in|and|the|for|to|de|et)\b)\p{Ll}\S*") & ~v.rlike(r"\b\p{Lu}{2,}"))
     forms = stored(full.groupBy("venue").agg(F.count("*").alias("n")))
     # A short word is an abbreviation unless the titles of the corpus use it as a word.
-    brief = forms.select("venue", F.explode(F.split("venue", r"\s+")).alias("w")).where("length(w) <= 4").select("venue", F.lower("w").alias("w"))
-    plain = rows.select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w")).where("length(w) <= 4").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_USES)
+    brief = forms.select("venue", F.explode(F.split("venue", r"\s+")).alias("w")).where("length(w) <= 4").select("venue", F.lower("w").alias("w")).where(~F.col("w").isin(*SMALL_WORDS))
+    titles = F.col("title") if "title" in rows.columns else F.lit("")
+    plain = rows.select(F.explode(F.regexp_extract_all(F.lower(titles), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w")).where("length(w) <= 4").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_USES)
     forms = stored(forms.join(brief.join(plain, "w", "left_anti").select("venue").distinct(), "venue", "left_anti"))
     # Words are compared within places: the same venue with one word misspelled has all other words in common.
     spots = forms.select("venue", "n", F.posexplode(F.split("venue", r"\s+")).alias("at", "word")).withColumn("rest", F.xxhash64(F.concat_ws(" ", F.slice(F.split("venue", r"\s+"), F.lit(1), F.col("at"))), F.concat_ws(" ", F.expr(r"slice(split(venue, '\\s+'), at + 2, size(split(venue, '\\s+')))"))))
@@ -85,7 +87,8 @@ def best_rows(groups: DataFrame, papers: DataFrame, inputs: DataFrame, judged: D
 
     ``groups``: id, group_id of papers rows in groups of two or more; ``judged``: record_key, is_cut of papers' abstracts.
     """
-    cuts = judged.where("tbl = 'papers'").select(F.col("record_key").alias("id"), "is_cut", "source")
+    source = F.col("source") if "source" in judged.columns else F.lit(None).cast("string")  # without sources all are trusted alike
+    cuts = judged.where("tbl = 'papers'").select(F.col("record_key").alias("id"), "is_cut", source.alias("source"))
     trust = cuts.groupBy("source").agg(F.avg((~F.col("is_cut")).cast("double")).alias("trust"))  # a row per source
     cuts = cuts.join(trust, cuts.source.eqNullSafe(trust.source), "left").select("id", "is_cut", "trust")
     rows = stored(

@@ -218,6 +218,17 @@ def test_survivors(spark):
     assert got == {("a", "abstract", "a"), ("a", "venue", "a"), ("a", "evidence_state", "b"), ("a", "citation_count", "i2")}
 
 
+def test_short_words_and_trust_are_learned(spark):
+    """A short word of a venue is a word if titles use it; of equally complete rows that of the more trusted source stays."""
+    titles = ["Open data on ice", "The open sea", "Open beds"]
+    papers = spark.createDataFrame([(f"t{k}", t, "x", None, None, k) for k, t in enumerate(titles)] + [("a", "T", "It is whole here.", "Annals of Open Ecology", None, 9), ("b", "T", "It is whole too..", "Annals of Phys Ecology", None, 8)], "id string, title string, abstract string, venue string, evidence_state string, n int").withColumn("created_at", F.expr("timestampadd(DAY, n, timestamp_ntz'2024-01-01')"))
+    groups = spark.createDataFrame([("a", "a"), ("b", "a")], "id string, group_id string")
+    inputs = spark.createDataFrame([], "input_id string, id string, citation_count int, submitted_at timestamp, received_at timestamp")
+    judged = spark.createDataFrame([("papers", "a", False, "s"), ("papers", "t0", True, "s"), ("papers", "b", False, "good"), ("papers", "t1", False, "good")], "tbl string, record_key string, is_cut boolean, source string")
+    got = {(r.field_name, r.record_key) for r in survivors.best_rows(groups, papers, inputs, judged).collect()}
+    assert got == {("venue", "a"), ("abstract", "b")}
+
+
 @pytest.mark.parametrize("name,want", [("Smith, Ann B.", ("smith", "ann")), ("Ann B. Smith", ("smith", "ann")), ("Smith AB", ("smith", "")), ("A. Smith", ("smith", "")), ("Ann VON ESK", ("vonesk", "ann")), ("Ann vonEsk", ("vonesk", "ann")), ("AF Braakley", ("braakley", "")), ("Smith, Liz", ("smith", "elizabeth")), ("Ann Smith, Jr.", ("smith", "ann"))])
 def test_parse_name(name, want):
     assert names.parse_name(name)[1:3] == want
