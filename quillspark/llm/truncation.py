@@ -38,6 +38,7 @@ _MARKS = re.compile(r'["()\[\]{}“”«»「」『』（）]|<[a-zA-Z/!][^<>]{0
 _ELEMENT = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*?(/?)>$")
 _NO_END_TAG = frozenset("br hr img input meta link wbr p li td tr th dt dd option".split())  # fixed values: elements that need not be closed
 USUAL_STOPS = 0.5  # share of a source's texts with a terminator from which a missing one tells
+_ANY_MARK = re.compile(r'["(\[{“«「『（<]')
 _LIST_LABEL = re.compile(r"(?:^|[\s,;])\w{1,3}\)")
 _BROKEN = re.compile(r"(?:\\u?[0-9a-fA-F]{0,3}|&#?\w{0,8}|%[0-9A-Fa-f]?|�|[ÃÂ]|[\ud800-\udfff])$")
 _NUMBER_END = re.compile(r"(?:^|[\s(])((?:\S+\s+){0,2})(\d[\d.,]*)\.$")
@@ -46,9 +47,9 @@ _DIGITS = re.compile(r"[0-9][0-9.,]*")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S*$")
 _HEADS = re.compile(r"[Kk]ey ?words|[Ii]ndex terms|Subjects|Topics")
 _LIST_END = re.compile(r"(?:Keywords|Key words|Index terms|Subjects|Topics)\s*[:–-]\s*([^.!?]*)$", re.I)
-_BEFORE_STOP = re.compile(r"([^\W\d_][\w-]*)[.,;!?)](?!\.)")
+_BEFORE_STOP = re.compile(r"(?<![^\W\d_])([^\W\d_][\w-]*+)[.,;!?)](?!\.)")
 _QUOTE_END = re.compile(r'(^|\S)\s*["“«]([^"“”«»]{1,300}[.!?])["”»]$')
-_QUOTE_IN = re.compile(r'(^|[^\s"])\s*["“«]([^"“”«»]{1,300}[.!?])["”»](?=\s+(\S))')
+_QUOTE_IN = re.compile(r'["“«]([^"“”«»]{1,300}[.!?])["”»](?=\s+(\S))')
 _REMARK_END = re.compile(r"(^|\S+)\s*\([^()]*\)$")
 _WORD_DOT = re.compile(r"(\S+?)\.$")
 
@@ -56,6 +57,8 @@ _WORD_DOT = re.compile(r"(\S+?)\.$")
 def unclosed(text: str) -> bool:
     """The stack automaton: True if a quote, bracket or tag is still open at the end."""
     stack: list[str] = []
+    if not _ANY_MARK.search(text):
+        return False
     for m in _MARKS.finditer(text):
         c = m[0]
         if c[0] == "<":
@@ -145,17 +148,18 @@ def judge(text: str | None) -> tuple[str, str]:
     return "bare", "E " + re.sub(r"^\W+|\W+$", "", t.rpartition(" ")[2]).lower()
 
 
-def evidence(text: str, into: Counter) -> None:
-    """What stands within the text, away from its end: numbers that end a sentence or do not, words that end a phrase."""
+def evidence(text: str, into: Counter, words: Counter) -> None:
+    """What stands within the text, away from its end: numbers that end a sentence or do not, words (as written) that end a phrase."""
     for m in _NUMBER_IN.finditer(text):
         before = text[max(0, m.start() - 40) : m.start()].split()[-2:]
         ends = m[1] == "." and (m[2].isupper() or m[2] in "\"“«([")
         into[_number_key(" ".join(before), m[0]), ends] += 1
     if '"' in text or "”" in text or "»" in text:
         for m in _QUOTE_IN.finditer(text):
-            into[_quote_key(m[1], m[2]), not m[3].islower()] += 1
-    for w in _BEFORE_STOP.findall(text):
-        into["E " + w.lower(), True] += 1
+            before = text[max(0, m.start() - 20) : m.start()].rstrip()[-1:]
+            if before != '"':
+                into[_quote_key(before, m[1]), not m[2].islower()] += 1
+    words.update(_BEFORE_STOP.findall(text))
 
 
 _STORED = "part string, tbl string, record_key string, source string, verdict string, key string, digest long, n long, yes long, no long"
@@ -169,9 +173,12 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         seen: Counter = Counter()
         verdicts = [judge(t) for t in b["text"]]
+        words: Counter = Counter()
         for t in set(b["text"]):
             if t:
-                evidence(t, seen)
+                evidence(t, seen, words)
+        for w, n in words.items():
+            seen["E " + w.lower(), True] += n
         yield pd.DataFrame({"part": "v", "tbl": b["tbl"], "record_key": b["record_key"], "source": b["source"], "verdict": [v for v, _ in verdicts], "key": [k for _, k in verdicts], "digest": [_digest(t) if v in ("cut", "bare") else 0 for t, (v, _) in zip(b["text"], verdicts)], "n": [len(t) if t else 0 for t in b["text"]], "yes": 0, "no": 0})
         shapes = Counter(k for v, k in verdicts if v == "address")
         rows = [(k, n if e else 0, 0 if e else n) for (k, e), n in seen.items()] + [(k, n, 0) for k, n in shapes.items()]
