@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -85,6 +86,12 @@ def discard(df: DataFrame) -> None:
         fs.delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished work now, not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Use all cores for Python-heavy stages over few, small files.
 
