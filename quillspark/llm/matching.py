@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.packed import PARTICLES, split_value
-from ..session import discard, spread, stored
+from ..session import discard, release, spread, stored
 from .graph import components
 from .nicknames import FULL as FULL_NAME
 
@@ -558,6 +558,8 @@ def works(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Evidence]:
     features = stored(pair_features(candidate_pairs(reps, temporary), reps))
     for t in temporary:
         discard(t)
+    temporary.clear()
+    release(rows.sparkSession)
     scored, known = score(features)
     links = scored.where("confidence >= 0.5").select("a", "b", "confidence")
     comp = components(links)
