@@ -310,6 +310,23 @@ def test_two_levels_of_cells_and_split_files(spark, monkeypatch):
     assert np.mean([len(got[i] & want[i]) / 5 for i in range(2400)]) >= 0.95
 
 
+def test_many_small_clusters_beyond_the_sample(spark, monkeypatch):
+    """More clusters than the sample knows, many in a cell: a block's votes leave most of a query's neighbours out."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(200, 64))
+    v = (centres[rng.permutation(np.repeat(np.arange(200), 25))] + 0.6 * rng.normal(size=(5000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:05d}", x.tolist()) for i, x in enumerate(v)], "id string, e array<float>")
+    for name, value in (("FIT_ROWS", 200), ("CELL_ROWS", 50)):
+        monkeypatch.setattr(vectors, name, value)
+    got = {}
+    for r in vectors.nearest(df, "id", "e", 64, probes=3).collect():
+        got.setdefault(int(r.id), set()).add(int(r.neighbour))
+    want = brute_neighbours(v.astype(np.float64), 5)
+    assert set(got) == set(range(5000)) and all(len(s) == 5 for s in got.values())
+    recall = np.mean([len(got[i] & want[i]) / 5 for i in range(5000)])
+    assert recall >= 0.95, recall
+
+
 def test_a_third_of_all_rows_are_copies(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(200, 16)).astype(np.float32)
