@@ -13,8 +13,10 @@ it; both views together give the confidence of a pair, by Bayes' rule. Links abo
 works. Where labels are few, prior weights (``PRIOR``) and a few typical pairs (``PROTOTYPES``) outweigh them.
 
 All pairs of signatures that share a block are scored, at any size of the block: one of more signatures than
-``WIDE`` is cut into squares that are joined apart, so a hot block spreads over the tasks. Its cost still grows
-with the square of its size.
+``WIDE`` is cut into squares that are paired apart, so a hot block spreads over the tasks. Its cost still grows
+with the square of its size. As pairs may grow faster than the rows, only what links is kept: the blocks are
+gathered a part of the keys at a time, and their pairs scored a part of the signatures at a time, each so large
+that the disk it takes follows the number of signatures.
 
 Defined results: rows without a title match only by identifier, half as surely as their authors agree; titles
 that share less than ``ALIKE`` of their words are of two works; null attributes are missing, not equal; sequels,
@@ -29,7 +31,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -46,6 +48,10 @@ BANDS, ROWS_PER_BAND = 16, 8  # for the title alone: nearly equal titles
 LOOSE_BANDS, LOOSE_ROWS = 8, 4  # for the title together with an author token
 WIDE = 48
 FIT_PAIRS = 20_000  # bound of the sample the classifier is fitted on
+FIT_REPS = 32_768  # about so many signatures with an identifier at most, drawn by hash, give the pairs for it
+PART_REPS, MOST_PARTS = 25_000, 12  # signatures for each part of the block keys, and the parts at most
+MEETINGS = 6  # of signatures in blocks, scored at a time: so many times the signatures
+FEW = 60_000  # as many signatures as fewer count as
 
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "one": 1, "two": 2, "three": 3, "four": 4}
 # What may stand before or after a title and makes it another work.
@@ -381,28 +387,57 @@ def blocks(reps: DataFrame) -> DataFrame:
     return bands.unionByName(by_doi).unionByName(pair_year)
 
 
-def candidate_pairs(reps: DataFrame, temporary: list[DataFrame] | None = None) -> DataFrame:
-    """Distinct pairs (a < b) of signatures that share a block; ``temporary`` gets the tables to discard once the pairs are read."""
-    all_blocks = stored(blocks(reps))
-    sizes = stored(all_blocks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))  # most blocks hold one signature
-    wide_keys = sizes.where(F.col("size") > WIDE).select("key")
-    # Lists only of keys with WIDE members or fewer: the wide ones are taken out before anything is collected.
-    usual = all_blocks.join(sizes.where(F.col("size") <= WIDE).select("key"), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
-    ahead = usual.select(F.posexplode("reps").alias("i", "a"), "reps").select("a", F.explode(F.expr("slice(reps, i + 2, size(reps))")).alias("b"))
-    more = _wide_pairs(all_blocks.join(wide_keys, "key", "left_semi").join(reps.select("rep", "marker"), "rep"))
-    if temporary is not None:
-        temporary += [all_blocks, sizes]
-    return ahead.where("a <> b").unionByName(more).distinct()
+def block_lists(reps: DataFrame, n: int) -> list[DataFrame]:
+    """Stored tables of reps: the signatures of each block of two or more, in order; ``n``: the number of signatures."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b["rep"].to_numpy(), b["key"].to_numpy()) for b in batches]
+        if held:
+            rep, key = map(np.concatenate, zip(*held))
+            order = np.lexsort((rep, key))
+            rep, key = rep[order], key[order]
+            new = np.r_[True, key[1:] != key[:-1]]
+            once = new | np.r_[True, rep[1:] != rep[:-1]]
+            rep, new = rep[once], new[once]
+            sizes = np.diff(np.r_[np.flatnonzero(new), len(rep)])
+            ends = np.r_[0, sizes[sizes > 1].cumsum()].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(rep[np.repeat(sizes > 1, sizes)]))], ["reps"])
+
+    parts = max(1, min(n // PART_REPS, MOST_PARTS))
+    # Half of a key is kept: strangers that share it are scored like any pair.
+    keys = blocks(reps).select("rep", F.expr("cast(shiftright(key, 32) as int)").alias("key"), F.pmod("key", F.lit(parts)).cast("int").alias("part"))
+    entries = stored(keys, "part") if parts > 1 else stored(keys)
+    out = []
+    for p in range(parts):  # the shuffled keys of a part are released before the next
+        out.append(stored(entries.where(F.col("part") == p).select("rep", "key").repartition("key").mapInArrow(gather, "reps array<long>")))
+        if parts > 1:
+            release(reps.sparkSession)
+    discard(entries)
+    return out
+
+
+def pairs_of(lists: DataFrame, part: int = 0, parts: int = 1, share: float = 1.0) -> DataFrame:
+    """Distinct pairs (a < b) of signatures that share a block: those of a part of the ``a``, among a share of all by hash. A block is cut into squares of ``WIDE`` by ``WIDE``."""
+    cut = F.expr(f"transform(sequence(0, cast((size(reps) - 1) div {WIDE} as int)), i -> slice(reps, i * {WIDE} + 1, {WIDE}))")
+    if share < 1:
+        lists = lists.select(F.filter("reps", lambda r: drawn(r, share)).alias("reps")).where("size(reps) > 1")
+    wide = F.size("reps") > WIDE
+    squares = lists.where(wide).select(cut.alias("cuts")).select("cuts", F.posexplode("cuts").alias("i", "left"))
+    squares = squares.select("left", F.explode(F.expr("slice(cuts, i + 1, size(cuts))")).alias("right")).repartition(lists.sparkSession.sparkContext.defaultParallelism)
+    sides = lists.where(~wide).select(F.col("reps").alias("left"), F.col("reps").alias("right")).unionByName(squares)
+    ahead = sides.select(F.explode("left").alias("a"), "right")
+    if parts > 1:
+        ahead = ahead.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == part)
+    return ahead.select("a", F.explode(F.expr("filter(right, b -> b > a)")).alias("b")).distinct()
+
 
+def drawn(rep: Column, share: float) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fit"), rep), F.lit(1_000_000)) < int(1e6 * share)
 
-def _wide_pairs(wide: DataFrame) -> DataFrame:
-    """All pairs of equal marker in blocks of any size: a block is cut into squares of about ``WIDE`` by ``WIDE``, each joined on its own."""
-    parts = wide.groupBy("key", "marker").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("parts"))
-    rows = stored(wide.join(parts, ["key", "marker"]).withColumn("part", F.expr("cast(pmod(xxhash64(rep), parts) as int)")))
-    left = rows.select("key", "marker", F.col("rep").alias("a"), F.col("part").alias("i"), F.explode(F.expr("sequence(part, parts - 1)")).alias("j"))
-    right = rows.select("key", "marker", F.col("rep").alias("b"), F.explode(F.expr("sequence(0, part)")).alias("i"), F.col("part").alias("j"))
-    met = left.join(right, ["key", "marker", "i", "j"]).where("i < j or a < b").where("a <> b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+def candidate_pairs(reps: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of signatures that share a block."""
+    return pairs_of(reduce(DataFrame.unionByName, block_lists(reps, reps.count())))
 
 
 FEATURES = ["ts", "poor", "sub1", "sub2", "drop", "au", "ad", "aum", "am", "y0", "y1", "y2", "ta"]
@@ -414,7 +449,7 @@ ALIKE = 0.4  # share of matched title words from which a pair has something in c
 FOLDS = 4
 
 
-def pair_features(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def pair_features(pairs: DataFrame, reps: DataFrame, common: frozenset[str]) -> DataFrame:
     """a, b, the text view, and the identifiers' view: de (equal), dd (different), tm (a title is missing).
 
     Pairs of titles that are not alike are settled here as two works and have no row.
@@ -422,7 +457,6 @@ def pair_features(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     side = lambda p: reps.select(F.col("rep").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("core", "marker", "doi", "year", "names")])
     # Another part, a correction or a reply is another work whatever else agrees.
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where("marker_a = marker_b")
-    common = common_words(reps)
     names = ["a", "b", *FEATURES, "de", "dd", "tm"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -535,12 +569,6 @@ def evidence(features: DataFrame) -> Evidence:
     return Evidence.fit(labelled.where(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000)) < share).toPandas().sort_values(["a", "b"]))
 
 
-def score(features: DataFrame) -> tuple[DataFrame, Evidence]:
-    """All pairs with their confidence, and the evidence it rests on."""
-    known = evidence(features)
-    return features.withColumn("confidence", known.confidence(F.col)), known
-
-
 def linked_at(scored: DataFrame, levels: tuple[float, ...]) -> DataFrame:
     """id, level, comp: the works at rising levels. Two rows that share one are linked by a path of links as sure as the level."""
     out = None
@@ -551,17 +579,33 @@ def linked_at(scored: DataFrame, levels: tuple[float, ...]) -> DataFrame:
 
 
 def works(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Evidence]:
-    """rows (nid, title, authors, date, doi) -> (nid, work, rep), the scored pairs of signatures (a, b, confidence), the signatures, the evidence."""
+    """rows (nid, title, authors, date, doi) -> (nid, work, rep), the linked pairs of signatures (a, b, confidence of one half or more), the signatures, the evidence."""
+    spark = rows.sparkSession
     sig = stored(signatures(rows).withColumn("rep", F.xxhash64("sig")).drop("sig"))
     reps = stored(sig.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("core", "marker", "doi", "year", "names")]))
-    temporary: list[DataFrame] = []
-    features = stored(pair_features(candidate_pairs(reps, temporary), reps))
-    for t in temporary:
+    rep_of = stored(sig.select("nid", "rep").distinct())
+    discard(sig)
+    release(spark)
+    n, common = reps.count(), common_words(reps)
+    blocked = block_lists(reps, n)
+    lists = reduce(DataFrame.unionByName, blocked)
+    told = reps.where("doi <> ''")  # only these give labels
+    share = min(1.0, FIT_REPS / max(1, told.count()))
+    features = stored(pair_features(pairs_of(lists, share=share), told.where(drawn(F.col("rep"), share)) if share < 1 else told, common))
+    known = evidence(features)
+    discard(features)
+    release(spark)
+    size = F.size("reps").cast("long")
+    met = lists.agg(F.sum(size * (size - 1))).first()[0] or 0
+    parts = max(1, -(-met // (2 * MEETINGS * max(n, FEW))))
+    linked = []
+    for p in range(parts):  # what the pairs of a part take is released before the next
+        scored = pair_features(pairs_of(lists, p, parts), reps, common).withColumn("confidence", known.confidence(F.col))
+        linked.append(stored(scored.where("confidence >= 0.5").select("a", "b", "confidence")))
+        release(spark)
+    for t in blocked:
         discard(t)
-    temporary.clear()
-    release(rows.sparkSession)
-    scored, known = score(features)
-    links = scored.where("confidence >= 0.5").select("a", "b", "confidence")
+    links = reduce(DataFrame.unionByName, linked)
     comp = components(links)
-    nodes = sig.select("nid", "rep").distinct().join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("nid", F.coalesce("comp", "rep").alias("work"), "rep")
-    return nodes, scored, reps, known
+    nodes = rep_of.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("nid", F.coalesce("comp", "rep").alias("work"), "rep")
+    return nodes, links, reps, known

@@ -28,7 +28,6 @@ LEVELS = (0.5, 0.7, 0.9, 0.95, 0.99)
 def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """paper_id, record_id, confidence: of the pair itself, or of the surest path of links between the two (in steps of ``LEVELS``), whichever is higher."""
     nodes, scored, reps, known = matching.works(_work_rows(spark, sf_dir))
-    scored = stored(scored.select("a", "b", "confidence"))
     papers = nodes.where("nid like 'p:%'").select(F.expr("substring(nid, 3)").alias("paper_id"), "work", F.col("rep").alias("rep_p"))
     records = nodes.where("nid like 'r:%'").select(F.expr("substring(nid, 3)").alias("record_id"), "work", F.col("rep").alias("rep_r"))
     pairs = stored(papers.join(records, "work").select("paper_id", "record_id", "rep_p", "rep_r", F.least("rep_p", "rep_r").alias("a"), F.greatest("rep_p", "rep_r").alias("b")))

@@ -82,6 +82,29 @@ def test_blocks_of_any_size_give_all_pairs(spark, n):
     assert len(got) == len(set(got)) and want <= set(got)
 
 
+def test_what_is_kept_follows_the_rows(spark, monkeypatch):
+    """A title of many works: pairs grow with the square of the rows, what is stored of them does not; parts lose no link."""
+    data = []
+    for k in range(70):
+        a = f"{chr(65 + k % 26)}lbert Xu{'abcdefghijklmnopqrstuvwxyz'[k % 26] * 3}{'bcdfghjklm'[k // 26] * 3}"
+        data += [(f"g{k}:0", "An introduction to the field of study", a, "2000", None), (f"g{k}:1", "An introduction to the field of study.", a, "2001", f"10.1234/z.{k}")]
+    for name, value in (("FIT_REPS", 20), ("PART_REPS", 70), ("MEETINGS", 600), ("FEW", 1)):
+        monkeypatch.setattr(matching, name, value, raising=False)
+    kept, write = [], matching.stored
+
+    def stored(df, *by):
+        out = write(df, *by)
+        if "a" in df.columns:
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "stored", stored)
+    nodes = matching.works(spark.createDataFrame(data, "nid string, title string, authors string, date string, doi string"))[0]
+    work = {r.nid: r.work for r in nodes.collect()}
+    assert sum(work[f"g{k}:0"] == work[f"g{k}:1"] for k in range(70)) == 70
+    assert max(kept) <= 5 * len(data) and len(kept) >= 3, kept
+
+
 def test_papers_that_meet_through_a_record_are_one_group(spark, tmp_path):
     papers = [("a", "Neural ozone layer for speech act in science", "Ann Smith; Bo Larsson", 2019, None), ("b", None, "Ann Smith; Bo Larsson", 2019, "10.1234/ab.1"), ("c", "Arid membrane under epidemic kelp bed", "Carla Diaz", 2015, None)]
     records = [("r", "Neural ozone layer for speech act in science", "Ann Smith; Bo Larsson", "2019-05-01", "10.1234/ab.1"), ("s", "Arid membrane under epidemic kelp bed", "Carla Diaz", "2015", None)]
