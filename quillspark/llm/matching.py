@@ -12,11 +12,11 @@ work, and where it is sure of two. As those labels err at that rate, the text's
 it; both views together give the confidence of a pair, by Bayes' rule. Links above one half are closed to
 works. Where labels are few, prior weights (``PRIOR``) and a few typical pairs (``PROTOTYPES``) outweigh them.
 
-All pairs of signatures that share a block are scored, at any size of the block: one of more signatures than
-``WIDE`` is cut into squares that are paired apart, so a hot block spreads over the tasks. Its cost still grows
-with the square of its size. As pairs may grow faster than the rows, only what links is kept: the blocks are
-gathered a part of the keys at a time, and their pairs scored a part of the signatures at a time, each so large
-that the disk it takes follows the number of signatures.
+All pairs of signatures that share a block are scored, at any size of the block. Signatures are stored in chunks
+and have numbers; a task scores the pairs of two chunks, which it reads from the shared folder. Blocks send it the
+numbers of their signatures, not pairs with what they compare, so pairs exist only in its memory, a bounded number
+at a time. The cost in time of a hot block still grows with the square of its size. Only what links is kept, and
+meetings are scored a part of the signatures at a time, each so large that its disk follows their number.
 
 Defined results: rows without a title match only by identifier, half as surely as their authors agree; titles
 that share less than ``ALIKE`` of their words are of two works; null attributes are missing, not equal; sequels,
@@ -25,17 +25,19 @@ corrections and replies are works of their own; repeated rows count once.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +45,18 @@ from ..operators.packed import PARTICLES, split_value
 from ..session import discard, release, spread, stored
 from .graph import components
 from .nicknames import FULL as FULL_NAME
+from .vectors import _uri
 
 BANDS, ROWS_PER_BAND = 16, 8  # for the title alone: nearly equal titles
 LOOSE_BANDS, LOOSE_ROWS = 8, 4  # for the title together with an author token
-WIDE = 48
 FIT_PAIRS = 20_000  # bound of the sample the classifier is fitted on
 FIT_REPS = 32_768  # about so many signatures with an identifier at most, drawn by hash, give the pairs for it
-PART_REPS, MOST_PARTS = 25_000, 12  # signatures for each part of the block keys, and the parts at most
-MEETINGS = 6  # of signatures in blocks, scored at a time: so many times the signatures
+CHUNK_REPS, FEW_CHUNKS = (25_000, 400_000), 6  # signatures of a chunk: the fewer up to so many chunks, then as many as two of which a task holds
+SHIFT = 20  # bits of a signature's place in its chunk
+BUCKET_ENTRIES = 400_000  # entries of block keys that are gathered together
+MEETINGS = 24  # of signatures in blocks, scored at a time: so many times the signatures
 FEW = 60_000  # as many signatures as fewer count as
+AT_ONCE = 1_000_000  # pairs that a task lays out at a time
 
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "one": 1, "two": 2, "three": 3, "four": 4}
 # What may stand before or after a title and makes it another work.
@@ -246,14 +251,36 @@ def common_words(reps: DataFrame) -> frozenset[str]:
     return frozenset(r.w for r in words.where(F.col("n") >= max(5, COMMON * total)).collect())
 
 
+@lru_cache(1 << 16)
+def _person(name: str) -> tuple[tuple[str, ...], int, int]:
+    """The words of an author without initials; as bits, the forms that a word near one of them shares; the letters of the first two words."""
+    words = tuple(w for w in name.split() if not w.isupper())
+    forms = 0
+    for w in words:
+        # One edit or a swap leaves a form with one letter less in common, or the word itself; two edits are allowed from nine letters on.
+        for f in [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))] if len(w) >= 4 else [w]:
+            forms |= 2 << (hash(f) & 4095)
+        forms |= len(w) >= 9
+    return words, forms, _letters("".join(words[:2]))
+
+
 @lru_cache(1 << 15)
-def _people(names: str) -> tuple[tuple[str, ...], ...]:
-    """The words of each author, without initials."""
-    return tuple(tuple(w for w in p.split() if not w.isupper()) for p in names.split(";"))
+def _people(names: str) -> tuple[tuple[tuple[str, ...], int, int], ...]:
+    return tuple(map(_person, names.split(";")))
+
+
+def _same_author(p: tuple[tuple[str, ...], int, int], q: tuple[tuple[str, ...], int, int]) -> float:
+    x, forms_x, letters_x = p
+    y, forms_y, letters_y = q
+    if not forms_x & forms_y:  # no word is near any: only the names as a whole may be
+        if (letters_x & ~letters_y).bit_count() > 2 or (letters_y & ~letters_x).bit_count() > 2:
+            return 0.0
+        return 1.0 if x and y and near_words("".join(x[:2]), "".join(y[:2])) else 0.0
+    return _same_words(x, y)
 
 
 @lru_cache(1 << 17)
-def _same_author(x: tuple[str, ...], y: tuple[str, ...]) -> float:
+def _same_words(x: tuple[str, ...], y: tuple[str, ...]) -> float:
     if x == y and x:
         return 1.0
     left = list(y)
@@ -370,74 +397,214 @@ def signatures(rows: DataFrame) -> DataFrame:
     return spread(rows.select("nid", "title", "authors", "date", "doi")).mapInPandas(run, _SIG)
 
 
-def blocks(reps: DataFrame) -> DataFrame:
-    """rep, key of every block a signature belongs to."""
+@dataclass
+class Chunks:
+    """Signatures stored in chunks by their key, a folder each, in order: a signature's number is its chunk and its place there.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tasks read them from the shared folder, so what is shuffled of a signature is its number.
+    """
+
+    reps: DataFrame
+    uri: str
+    n: int  # chunks
+
+    @classmethod
+    def of(cls, reps: DataFrame, most: int) -> Chunks:
+        """``most``: the number of signatures, or more."""
+        few, many = CHUNK_REPS
+        n = max(1, min(most // few, FEW_CHUNKS), -(-most // many))
+        placed = reps.withColumn("chunk", F.pmod("rep", F.lit(n)).cast("int"))
+        out = stored(placed.repartition(n, "chunk").sortWithinPartitions("chunk", "rep"), "chunk")
+        return cls(out, _uri(reps.sparkSession, out._quill_path), n)
+
+    def reader(self):
+        """chunk, columns -> an Arrow table, on any machine."""
+        return partial(_read_chunk, self.uri)
+
+
+def _read_chunk(uri: str, chunk: int, columns: list[str]) -> pa.Table | None:
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(uri)
+    found = files.get_file_info(fs.FileSelector(f"{path}/chunk={chunk}", allow_not_found=True))
+    tables = []
+    for name in sorted(i.path for i in found if i.path.endswith(".parquet")):
+        with files.open_input_file(name) as f:
+            tables.append(pq.ParquetFile(f).read(columns=columns))
+    if sum(map(len, tables)) >= 1 << SHIFT:
+        raise ValueError("a chunk holds too many signatures")
+    return pa.concat_tables(tables).combine_chunks() if tables else None
+
+
+def block_keys(cores: list[str], names: list[str], dois: list[str], years: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of every block that signatures belong to: bands, the identifier, the first two authors with the year."""
+    (i, tight), (j, loose) = band_keys(cores, names)
+    by_doi = [(k, _word_hash("d " + d)) for k, d in enumerate(dois) if d]
+    people = [(k, x.split(";", 2)) for k, x in enumerate(names) if years[k] > 0]
+    by_pair = [(k, _word_hash(f"ay {x[0].split(' ', 1)[0]};{x[1].split(' ', 1)[0]};{years[k]}")) for k, x in people if len(x) > 1]
+    more = np.array(by_doi + by_pair, np.uint64).reshape(-1, 2)
+    return np.r_[i, j, more[:, 0].astype(np.int64)], np.r_[tight.view(np.uint64), loose.view(np.uint64), _mix(more[:, 1])]
+
+
+def block_lists(chunks: Chunks, n: int) -> DataFrame:
+    """Stored: the signatures' numbers of each block of two or more, in order; many blocks in a row (sizes, ids), with the times that two meet in them. ``n``: the number of signatures."""
+    spark, read = chunks.reps.sparkSession, chunks.reader()
+    cuts = -(-3 * spark.sparkContext.defaultParallelism // chunks.n)
+    buckets = max(12, 40 * n // BUCKET_ENTRIES)
+
+    def keyed(batches: Iterator[pa.RecordBatch], step: int = 5_000) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rep = b["rep"].to_numpy(zero_copy_only=False)
-            (i, tight), (j, loose) = band_keys(b["core"].to_pylist(), b["names"].to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(rep[np.r_[i, j]]), pa.array(np.r_[tight, loose])], ["rep", "key"])
+            for task in b["id"].to_pylist():
+                chunk, cut = divmod(task, cuts)
+                t = read(chunk, ["core", "names", "doi", "year"])
+                size = 0 if t is None else len(t)
+                for s in range(size * cut // cuts, size * (cut + 1) // cuts, step):
+                    part = t.slice(s, min(step, size * (cut + 1) // cuts - s))
+                    at, key = block_keys(*(part[c].to_pylist() for c in ("core", "names", "doi", "year")))
+                    bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                    order = np.lexsort((at, bucket))
+                    at, key, bucket = at[order].astype("<u2"), key[order].astype("<u4"), bucket[order]  # half of a key: its bucket tells the rest
+                    ends = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
+                    spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]], pa.int32()), pa.array([chunk << SHIFT | s] * len(spans), pa.int64()), pa.array([at[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([key[x:y].tobytes() for x, y in spans], pa.binary())], ["bucket", "base", "at", "key"])
 
-    author = F.expr("split(split(names, ';')[0], ' ')[0]")
-    second = F.expr("split(get(split(names, ';'), 1), ' ')[0]")
-    pair_year = reps.where((F.col("names") != "") & second.isNotNull() & (F.col("year") > 0)).select("rep", F.xxhash64(F.lit("ay"), author, second, "year").alias("key"))
-    by_doi = reps.where("doi <> ''").select("rep", F.xxhash64(F.lit("d"), "doi").alias("key"))
-    bands = spread(reps.select("rep", "core", "names")).mapInArrow(run, "rep long, key long")
-    return bands.unionByName(by_doi).unionByName(pair_year)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for b in batches for row in zip(*(b[c].to_pylist() for c in ("bucket", "base", "at", "key")))]
+        if not held:
+            return
+        ids = np.concatenate([np.frombuffer(at, "<u2").astype(np.uint32) + np.uint32(base) for _, base, at, _ in held])
+        key = np.concatenate([np.frombuffer(k, "<u4").astype(np.uint64) | np.uint64(bucket << 32) for bucket, _, _, k in held])
+        order = np.lexsort((ids, key))
+        ids, key = ids[order], key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        once = new | np.r_[True, ids[1:] != ids[:-1]]
+        ids, new = ids[once], new[once]
+        sizes = np.diff(np.r_[np.flatnonzero(new), len(ids)])
+        ids, sizes = ids[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+        if len(sizes):
+            yield _binary(sizes=[sizes.astype("<u4")], ids=[ids.astype("<u4")], met=[int((sizes * (sizes - 1)).sum())])
 
+    tasks = spark.range(0, chunks.n * cuts, 1, chunks.n * cuts)
+    entries = tasks.mapInArrow(keyed, "bucket int, base long, at binary, key binary")
+    return stored(entries.repartition("bucket").mapInArrow(gather, "sizes binary, ids binary, met long"))
 
-def block_lists(reps: DataFrame, n: int) -> list[DataFrame]:
-    """Stored tables of reps: the signatures of each block of two or more, in order; ``n``: the number of signatures."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b["rep"].to_numpy(), b["key"].to_numpy()) for b in batches]
-        if held:
-            rep, key = map(np.concatenate, zip(*held))
-            order = np.lexsort((rep, key))
-            rep, key = rep[order], key[order]
-            new = np.r_[True, key[1:] != key[:-1]]
-            once = new | np.r_[True, rep[1:] != rep[:-1]]
-            rep, new = rep[once], new[once]
-            sizes = np.diff(np.r_[np.flatnonzero(new), len(rep)])
-            ends = np.r_[0, sizes[sizes > 1].cumsum()].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(rep[np.repeat(sizes > 1, sizes)]))], ["reps"])
-
-    parts = max(1, min(n // PART_REPS, MOST_PARTS))
-    # Half of a key is kept: strangers that share it are scored like any pair.
-    keys = blocks(reps).select("rep", F.expr("cast(shiftright(key, 32) as int)").alias("key"), F.pmod("key", F.lit(parts)).cast("int").alias("part"))
-    entries = stored(keys, "part") if parts > 1 else stored(keys)
-    out = []
-    for p in range(parts):  # the shuffled keys of a part are released before the next
-        out.append(stored(entries.where(F.col("part") == p).select("rep", "key").repartition("key").mapInArrow(gather, "reps array<long>")))
-        if parts > 1:
-            release(reps.sparkSession)
-    discard(entries)
-    return out
+def _binary(**columns: list) -> pa.RecordBatch:
+    """Arrays as bytes, numbers as they are."""
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in v], pa.binary()) if isinstance(v[0], np.ndarray) else pa.array(v, pa.int64()) for v in columns.values()], list(columns))
+
 
+def drawn(ids: np.ndarray, share: float) -> np.ndarray:
+    return _mix(ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(32) < np.uint64(int(share * (1 << 32)))
 
-def pairs_of(lists: DataFrame, part: int = 0, parts: int = 1, share: float = 1.0) -> DataFrame:
-    """Distinct pairs (a < b) of signatures that share a block: those of a part of the ``a``, among a share of all by hash. A block is cut into squares of ``WIDE`` by ``WIDE``."""
-    cut = F.expr(f"transform(sequence(0, cast((size(reps) - 1) div {WIDE} as int)), i -> slice(reps, i * {WIDE} + 1, {WIDE}))")
-    if share < 1:
-        lists = lists.select(F.filter("reps", lambda r: drawn(r, share)).alias("reps")).where("size(reps) > 1")
-    wide = F.size("reps") > WIDE
-    squares = lists.where(wide).select(cut.alias("cuts")).select("cuts", F.posexplode("cuts").alias("i", "left"))
-    squares = squares.select("left", F.explode(F.expr("slice(cuts, i + 1, size(cuts))")).alias("right")).repartition(lists.sparkSession.sparkContext.defaultParallelism)
-    sides = lists.where(~wide).select(F.col("reps").alias("left"), F.col("reps").alias("right")).unionByName(squares)
-    ahead = sides.select(F.explode("left").alias("a"), "right")
-    if parts > 1:
-        ahead = ahead.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == part)
-    return ahead.select("a", F.explode(F.expr("filter(right, b -> b > a)")).alias("b")).distinct()
 
+def cells(lists: DataFrame, n: int, part: int = 0, parts: int = 1, share: float = 1.0) -> DataFrame:
+    """Every block's signatures of two chunks that meet (cell, place of both), those of a part of the ones ahead, among a share of all.
+
+    A block sends its signatures to the cells, not its pairs: a hot one costs their number times the ``n`` chunks, not its square.
+    """
 
-def drawn(rep: Column, share: float) -> Column:
-    return F.pmod(F.xxhash64(F.lit("fit"), rep), F.lit(1_000_000)) < int(1e6 * share)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for sizes, ids in zip(b["sizes"].to_pylist(), b["ids"].to_pylist()):
+                ids = np.frombuffer(ids, "<u4")
+                block = np.repeat(np.arange(len(sizes) // 4), np.frombuffer(sizes, "<u4"))
+                if share < 1:
+                    some = drawn(ids, share)
+                    ids, block = ids[some], block[some]
+                if not len(ids):
+                    continue
+                chunk, place = (ids >> SHIFT).astype(np.int64), ids & np.uint32((1 << SHIFT) - 1)
+                first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (chunk[1:] != chunk[:-1])])
+                size, of = np.diff(np.r_[first, len(ids)]), block[first]
+                chunk = chunk[first]
+                ahead = size
+                if parts > 1:
+                    mine = place % parts == part
+                    ahead = np.add.reduceat(mine, first, dtype=np.int64)
+                    kept, before = place[mine], np.r_[0, ahead.cumsum()[:-1]]
+                else:
+                    kept, before = place, first
+                for d in range(n):
+                    left = np.arange(max(0, len(of) - d))
+                    left = left[(of[left] == of[left + d]) & (ahead[left] > 0) & (size[left] > (d == 0))]
+                    if d and not len(left):
+                        break
+                    cell = _cell(chunk[left], chunk[left + d])
+                    order = np.argsort(cell, kind="stable")
+                    left, cell = left[order], cell[order]
+                    for x in np.split(np.arange(len(left)), np.flatnonzero(cell[1:] != cell[:-1]) + 1) if len(left) else ():
+                        i, j = left[x], left[x] + d
+                        yield _binary(cell=[int(cell[x[0]])], n_left=[ahead[i].astype("<u4")], n_right=[size[j].astype("<u4")], left=[kept[_spans(before[i], ahead[i])]], right=[place[_spans(first[j], size[j])]])
+
+    return lists.mapInArrow(run, "cell long, n_left binary, n_right binary, left binary, right binary")
+
+
+def _cell(x, y):
+    """The number of the cell of two chunks, x <= y."""
+    return y * (y + 1) // 2 + x
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from each start on, so many each."""
+    return np.repeat(starts - (sizes.cumsum() - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _pairs(n_left: np.ndarray, n_right: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs of a cell in order, about ``AT_ONCE`` at a time; ``same``: of a chunk with itself."""
+    of = np.repeat(np.arange(len(n_left)), n_left)
+    starts = n_right.cumsum() - n_right
+    turns = int(-(-(n_left * n_right).sum() // AT_ONCE))
+    turn = _mix(left.astype(np.uint64) + np.uint64(1)) % np.uint64(max(1, turns))
+    for k in range(turns):
+        some = turn == k
+        block = of[some]
+        a, b = np.repeat(left[some], n_right[block]), right[_spans(starts[block], n_right[block])]
+        if same:
+            a, b = a[b > a], b[b > a]
+        both = np.unique(a.astype(np.int64) << SHIFT | b)
+        if len(both):
+            yield both >> SHIFT, both & ((1 << SHIFT) - 1)
+
+
+def meet(chunks: Chunks, met: DataFrame, columns: list[str], found, schema: str) -> DataFrame:
+    """What ``found`` makes of the pairs of signatures of each cell: two Arrow tables of ``columns``, a row for each signature that meets another, and the places of the pairs in them."""
+    read = chunks.reader()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for b in batches:
+            for row in zip(*(b[c].to_pylist() for c in ("cell", "n_left", "n_right", "left", "right"))):
+                held.setdefault(row[0], []).append(row[1:])
+        for cell in sorted(held):
+            y = (math.isqrt(8 * cell + 1) - 1) // 2
+            x = cell - _cell(0, y)
+            n_left, n_right, left, right = (np.frombuffer(b"".join(v), "<u4") for v in zip(*held.pop(cell)))
+            sides = []
+            for chunk, places in ((x, left), (y, right)):
+                some, at = np.unique(places, return_inverse=True)
+                sides.append((read(chunk, columns).take(some), at))
+            if x == y:  # both sides count in one table
+                some, at = np.unique(np.r_[left, right], return_inverse=True)
+                table = read(x, columns).take(some)
+                sides = [(table, at[: len(left)]), (table, at[len(left) :])]
+            for a, b in _pairs(n_left.astype(np.int64), n_right.astype(np.int64), sides[0][1], sides[1][1], x == y):
+                yield from found(sides[0][0], sides[1][0], a, b)
+
+    return met.repartitionById(_cell(0, chunks.n), F.col("cell").cast("int")).mapInArrow(run, schema)
 
 
 def candidate_pairs(reps: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of signatures that share a block."""
-    return pairs_of(reduce(DataFrame.unionByName, block_lists(reps, reps.count())))
+    n = reps.count()
+    chunks = Chunks.of(reps, n)
+
+    def found(x: pa.Table, y: pa.Table, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = x["rep"].to_numpy()[a], y["rep"].to_numpy()[b]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return meet(chunks, cells(block_lists(chunks, n), chunks.n), ["rep"], found, "a long, b long")
 
 
 FEATURES = ["ts", "poor", "sub1", "sub2", "drop", "au", "ad", "aum", "am", "y0", "y1", "y2", "ta"]
@@ -449,46 +616,59 @@ ALIKE = 0.4  # share of matched title words from which a pair has something in c
 FOLDS = 4
 
 
-def pair_features(pairs: DataFrame, reps: DataFrame, common: frozenset[str]) -> DataFrame:
-    """a, b, the text view, and the identifiers' view: de (equal), dd (different), tm (a title is missing).
+def pair_features(chunks: Chunks, met: DataFrame, common: frozenset[str], told: bool = False) -> DataFrame:
+    """a, b, the text view, and the identifiers' view: de (equal), dd (different), tm (a title is missing); ``told``: only pairs of two identifiers.
 
     Pairs of titles that are not alike are settled here as two works and have no row.
     """
-    side = lambda p: reps.select(F.col("rep").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("core", "marker", "doi", "year", "names")])
-    # Another part, a correction or a reply is another work whatever else agrees.
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where("marker_a = marker_b")
     names = ["a", "b", *FEATURES, "de", "dd", "tm"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(x: pa.Table, y: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Another part, a correction or a reply is another work whatever else agrees.
+        markers = {m: k for k, m in enumerate(pc.unique(pa.concat_tables([x.select(["marker"]), y.select(["marker"])])["marker"]).to_pylist())}
+        code = lambda t: np.array([markers[m] for m in t["marker"].to_pylist()])
+        fit = code(x)[left] == code(y)[right]
+        if told:
+            has = lambda t: np.array([bool(d) for d in t["doi"].to_pylist()])
+            fit &= has(x)[left] & has(y)[right]
+        left, right = left[fit], right[fit]
+        rep_x, core_x, doi_x, year_x, names_x = (x[c].to_pylist() for c in ("rep", "core", "doi", "year", "names"))
+        rep_y, core_y, doi_y, year_y, names_y = (rep_x, core_x, doi_x, year_x, names_x) if x is y else (y[c].to_pylist() for c in ("rep", "core", "doi", "year", "names"))
         titles: dict[tuple[str, str], tuple[float, float, float]] = {}
         authors: dict[tuple[str, str], float] = {}
-        for b in batches:
-            out = []
-            if len(titles) + len(authors) > 200_000:
-                titles.clear()
-                authors.clear()
-            for a, c, core_a, core_b, doi_a, doi_b, year_a, year_b, names_a, names_b in zip(*[b[x].tolist() for x in ("a", "b", "core_a", "core_b", "doi_a", "doi_b", "year_a", "year_b", "names_a", "names_b")]):
-                key = (core_a, core_b)
-                got = titles.get(key)
-                if got is None:
-                    got = titles[key] = title_features(core_a, core_b, common)
-                ts, sub, drop = got
-                if ts < ALIKE and core_a and core_b:
-                    continue  # of two works whatever else agrees (see Evidence.confidence)
-                both = bool(names_a and names_b)
-                au = 0.0
-                if both:
-                    key = (names_a, names_b)
-                    au = authors.get(key)
-                    if au is None:
-                        au = authors[key] = author_similarity(names_a, names_b)
-                dy = abs(year_a - year_b) if year_a and year_b else -1
-                ids = bool(doi_a) and bool(doi_b)
-                out.append((a, c, ts, float(ts < 0.7), float(sub == 1), float(sub >= 2), min(drop, 3.0), au, float(both and au < 0.34), float(both and 0.34 <= au < 0.8), float(not both), float(dy == 0), float(dy == 1), float(dy > 1), ts * au, float(ids and doi_a == doi_b), float(ids and doi_a != doi_b), float(not core_a or not core_b)))
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-    return joined.drop("marker_a", "marker_b").mapInPandas(run, "a long, b long, " + ", ".join(f"{f} double" for f in names[2:]))
+        out = []
+        for i, j in zip(left.tolist(), right.tolist()):
+            if rep_x[i] < rep_y[j]:
+                a, c, core_a, core_b, doi_a, doi_b, year_a, year_b, names_a, names_b = rep_x[i], rep_y[j], core_x[i], core_y[j], doi_x[i], doi_y[j], year_x[i], year_y[j], names_x[i], names_y[j]
+            else:
+                a, c, core_a, core_b, doi_a, doi_b, year_a, year_b, names_a, names_b = rep_y[j], rep_x[i], core_y[j], core_x[i], doi_y[j], doi_x[i], year_y[j], year_x[i], names_y[j], names_x[i]
+            key = (core_a, core_b)
+            got = titles.get(key)
+            if got is None:
+                if len(titles) + len(authors) > 200_000:
+                    titles.clear()
+                    authors.clear()
+                got = titles[key] = title_features(core_a, core_b, common)
+            ts, sub, drop = got
+            if ts < ALIKE and core_a and core_b:
+                continue  # of two works whatever else agrees (see Evidence.confidence)
+            both = bool(names_a and names_b)
+            au = 0.0
+            if both:
+                key = (names_a, names_b)
+                au = authors.get(key)
+                if au is None:
+                    au = authors[key] = author_similarity(names_a, names_b)
+            dy = abs(year_a - year_b) if year_a and year_b else -1
+            ids = bool(doi_a) and bool(doi_b)
+            out.append((a, c, ts, float(ts < 0.7), float(sub == 1), float(sub >= 2), min(drop, 3.0), au, float(both and au < 0.34), float(both and 0.34 <= au < 0.8), float(not both), float(dy == 0), float(dy == 1), float(dy > 1), ts * au, float(ids and doi_a == doi_b), float(ids and doi_a != doi_b), float(not core_a or not core_b)))
+            if len(out) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out)], names)
+
+    return meet(chunks, met, ["rep", "core", "marker", "doi", "year", "names"], found, "a long, b long, " + ", ".join(f"{f} double" for f in names[2:]))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40, prior: np.ndarray | None = None) -> np.ndarray:
@@ -582,29 +762,28 @@ def works(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Evidence]:
     """rows (nid, title, authors, date, doi) -> (nid, work, rep), the linked pairs of signatures (a, b, confidence of one half or more), the signatures, the evidence."""
     spark = rows.sparkSession
     sig = stored(signatures(rows).withColumn("rep", F.xxhash64("sig")).drop("sig"))
-    reps = stored(sig.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("core", "marker", "doi", "year", "names")]))
+    chunks = Chunks.of(sig.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("core", "marker", "doi", "year", "names")]), sig.count())
+    reps = chunks.reps
     rep_of = stored(sig.select("nid", "rep").distinct())
     discard(sig)
     release(spark)
     n, common = reps.count(), common_words(reps)
-    blocked = block_lists(reps, n)
-    lists = reduce(DataFrame.unionByName, blocked)
-    told = reps.where("doi <> ''")  # only these give labels
-    share = min(1.0, FIT_REPS / max(1, told.count()))
-    features = stored(pair_features(pairs_of(lists, share=share), told.where(drawn(F.col("rep"), share)) if share < 1 else told, common))
+    lists = block_lists(chunks, n)
+    release(spark)
+    told = reps.where("doi <> ''").count()  # only these give labels
+    share = min(1.0, FIT_REPS / max(1, told))
+    features = stored(pair_features(chunks, cells(lists, chunks.n, share=share), common, told=True))
     known = evidence(features)
     discard(features)
     release(spark)
-    size = F.size("reps").cast("long")
-    met = lists.agg(F.sum(size * (size - 1))).first()[0] or 0
+    met = lists.agg(F.sum("met")).first()[0] or 0
     parts = max(1, -(-met // (2 * MEETINGS * max(n, FEW))))
     linked = []
-    for p in range(parts):  # what the pairs of a part take is released before the next
-        scored = pair_features(pairs_of(lists, p, parts), reps, common).withColumn("confidence", known.confidence(F.col))
+    for p in range(parts):  # what the meetings of a part take is released before the next
+        scored = pair_features(chunks, cells(lists, chunks.n, p, parts), common).withColumn("confidence", known.confidence(F.col))
         linked.append(stored(scored.where("confidence >= 0.5").select("a", "b", "confidence")))
         release(spark)
-    for t in blocked:
-        discard(t)
+    discard(lists)
     links = reduce(DataFrame.unionByName, linked)
     comp = components(links)
     nodes = rep_of.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("nid", F.coalesce("comp", "rep").alias("work"), "rep")

@@ -91,12 +91,14 @@ def best_rows(groups: DataFrame, papers: DataFrame, inputs: DataFrame, judged: D
     cuts = judged.where("tbl = 'papers'").select(F.col("record_key").alias("id"), "is_cut", source.alias("source"))
     trust = cuts.groupBy("source").agg(F.avg((~F.col("is_cut")).cast("double")).alias("trust"))  # a row per source
     cuts = cuts.join(trust, cuts.source.eqNullSafe(trust.source), "left").select("id", "is_cut", "trust")
+    # What the ranks need of a text is taken before the joins, so no text is shuffled.
+    abstract = F.trim("abstract")
+    own = papers.select("id", F.length(abstract).alias("chars"), F.coalesce(~abstract.rlike(NO_ABSTRACT), F.lit(False)).alias("present"), full_text(F.col("evidence_state")).alias("full_text"), "created_at")
     rows = stored(
-        papers.select("id", F.trim("abstract").alias("abstract"), "venue", "evidence_state", "created_at")
-        .join(groups, "id")
+        own.join(groups, "id")
         .join(cuts, "id", "left")
         .join(venue_quality(papers), "id", "left")
-        .select("id", "group_id", F.length("abstract").alias("chars"), (F.coalesce(~F.col("abstract").rlike(NO_ABSTRACT), F.lit(False)) & ~F.coalesce("is_cut", F.lit(False))).alias("whole"), "venue_score", full_text(F.col("evidence_state")).alias("full_text"), "created_at", "trust")
+        .select("id", "group_id", "chars", (F.col("present") & ~F.coalesce("is_cut", F.lit(False))).alias("whole"), "venue_score", "full_text", "created_at", "trust")
     )
     recent = (F.col("trust").desc_nulls_last(), F.col("created_at").desc(), F.col("id"))
     abstract = top(rows.where("whole"), "group_id", F.col("chars").desc(), *recent).select("group_id", F.lit("abstract").alias("field_name"), F.col("id").alias("record_key"))

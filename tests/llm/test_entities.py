@@ -105,6 +105,39 @@ def test_what_is_kept_follows_the_rows(spark, monkeypatch):
     assert max(kept) <= 5 * len(data) and len(kept) >= 3, kept
 
 
+def test_a_hot_block_sends_numbers_not_pairs(spark, monkeypatch):
+    """Signatures in several chunks: all pairs meet, in parts too, and what is sent of a block follows its size, not its square."""
+    monkeypatch.setattr(matching, "CHUNK_REPS", (50, 60))
+    monkeypatch.setattr(matching, "AT_ONCE", 500)
+    n = 300
+    reps = [(k * 7919 - 10**6, f"title {k}", "", "10.1234/one", 0, "") for k in range(n)]
+    df = spark.createDataFrame(reps, "rep long, core string, marker string, doi string, year int, names string")
+    chunks = matching.Chunks.of(df, n)
+    lists = matching.block_lists(chunks, n)
+    assert chunks.n == 5 or chunks.n == 6
+    hot = max(len(r.ids) // 4 for r in lists.collect())
+    assert hot >= n
+    got = [(r.a, r.b) for r in matching.candidate_pairs(df).collect()]
+    keys = [r[0] for r in reps]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]}
+    blocks = sum(len(r.ids) // 4 for r in lists.collect())
+    sent = lambda *p: sum(len(r.left) + len(r.right) for r in matching.cells(lists, chunks.n, *p).collect()) // 4
+    assert sent() <= 2 * chunks.n * blocks < n * (n - 1) / 2 * 4
+    found = lambda x, y, a, b: iter([matching.pa.RecordBatch.from_arrays([matching.pa.array([len(a)])], ["n"])])
+    count = lambda *p: sum(r.n for r in matching.meet(chunks, matching.cells(lists, chunks.n, *p), ["rep"], found, "n long").collect())
+    assert count(0, 3) + count(1, 3) + count(2, 3) == n * (n - 1) // 2
+
+
+def test_authors_are_alike_with_and_without_the_glance_at_their_forms():
+    rng = random.Random(3)
+    words = ["smith", "smiht", "smyth", "li", "bo", "larsson", "larson", "alexandrina", "alexadrna", "ann", "anne", "vanburen", "van", "buren"]
+    people = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 4))) for _ in range(150)] + ["J smith", "A"]
+    for a in people:
+        for b in people:
+            p, q = matching._person(a), matching._person(b)
+            assert matching._same_author(p, q) == matching._same_words(p[0], q[0]), (a, b)
+
+
 def test_papers_that_meet_through_a_record_are_one_group(spark, tmp_path):
     papers = [("a", "Neural ozone layer for speech act in science", "Ann Smith; Bo Larsson", 2019, None), ("b", None, "Ann Smith; Bo Larsson", 2019, "10.1234/ab.1"), ("c", "Arid membrane under epidemic kelp bed", "Carla Diaz", 2015, None)]
     records = [("r", "Neural ozone layer for speech act in science", "Ann Smith; Bo Larsson", "2019-05-01", "10.1234/ab.1"), ("s", "Arid membrane under epidemic kelp bed", "Carla Diaz", "2015", None)]
