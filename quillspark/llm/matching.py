@@ -37,7 +37,6 @@ from functools import lru_cache, partial, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +66,8 @@ _SAME_KIND = {"corrigendum": "correction", "erratum": "correction", "errata": "c
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,20}>|&[a-z]+;")
 _WORD = re.compile(r"[^\W_]+")
 _DOI = re.compile(r"10\.\d{4,9}/\S+")
+_JOINED_NAMES = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
+_NAME_GAP = re.compile(r"[\s,.\-]+")
 _YEAR = re.compile(r"(?:19|20)\d\d")
 
 
@@ -80,11 +81,12 @@ def fold(text: str) -> str:
 
 def title_parts(title: str | None) -> tuple[str, str]:
     """(core words, marker): the marker tells parts, corrections and replies from the work itself."""
-    t = fold(_TAG.sub(" ", title or "").replace("&", " and ")).strip(" \"'“”«»`")
+    t = title or ""
+    t = fold(_TAG.sub(" ", t).replace("&", " and ") if "<" in t or "&" in t else t).strip(" \"'“”«»`")
     marker = ""
     words = _WORD.findall(t)
     if len(words) > 3:
-        k = next((k for k in _KINDS if near_words(words[0], k)), "")
+        k = _kind(words[0])
         linked = words[1] in ("to", "on", "of", "for")
         if k and (linked or k in _STRONG_KINDS or re.match(rf"\W*{words[0]}\s*[:–—-]", t)):
             marker = _SAME_KIND.get(k, k)
@@ -95,12 +97,17 @@ def title_parts(title: str | None) -> tuple[str, str]:
     elif len(words) > 3 and words[-1] in ("ii", "iii", "iv"):
         marker += f" part{_ROMAN[words[-1]]}"
         words = words[:-1]
-    elif len(words) > 4 and (near_words(words[-1], "sequel") or any(near_words(words[-1], k) for k in _TAILS) and words[-2] in ("a", "the", "an")):
+    elif len(words) > 4 and (near_words(words[-1], "sequel") or words[-2] in ("a", "the", "an") and any(near_words(words[-1], k) for k in _TAILS)):
         marker += f" {next(k for k in _TAILS if near_words(words[-1], k))}"
         words = words[: -2 if words[-2] in ("a", "the", "an") else -1]
     return " ".join(words), marker.strip()
 
 
+@lru_cache(1 << 14)
+def _kind(word: str) -> str:
+    return next((k for k in _KINDS if near_words(word, k)), "")
+
+
 def doi_of(text: str | None) -> str:
     m = _DOI.search((text or "").lower().replace("%2f", "/"))
     return m[0].rstrip(".,; )") if m else ""
@@ -108,12 +115,14 @@ def doi_of(text: str | None) -> str:
 
 def author_keys(value: str | None) -> str:
     """One word list per author, joined by ';': tokens of three letters or more, then initials in capitals."""
-    out = []
-    for name in split_value(value):
-        name = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", name)  # VanBuren
-        words = [w for w in re.split(r"[\s,.\-]+", fold(name.replace("'", "").replace("’", ""))) if w and w not in PARTICLES and w not in ("jr", "sr", "dela")]
-        out.append(" ".join([FULL_NAME.get(w, w) for w in words if len(w) > 2] + [w.upper() for w in words if len(w) <= 2]))
-    return ";".join(x for x in out if x)
+    return ";".join(x for x in map(_author_key, split_value(value)) if x)
+
+
+@lru_cache(1 << 16)
+def _author_key(name: str) -> str:
+    name = _JOINED_NAMES.sub(" ", name)  # VanBuren
+    words = [w for w in _NAME_GAP.split(fold(name.replace("'", "").replace("’", ""))) if w and w not in PARTICLES and w not in ("jr", "sr", "dela")]
+    return " ".join([FULL_NAME.get(w, w) for w in words if len(w) > 2] + [w.upper() for w in words if len(w) <= 2])
 
 
 def near_words(a: str, b: str, long_most: int = 2) -> bool:
@@ -305,6 +314,8 @@ def author_similarity(a: str, b: str) -> float:
     at_place = sum(map(_same_author, x, y)) / n
     if at_place == 1.0:
         return 1.0
+    if at_place >= 0.7:  # no agreement elsewhere counts for more
+        return at_place - (0.1 if len(x) != len(y) and n == 1 else 0.0)
     anywhere = sum(max(_same_author(p, q) for q in y) for p in x) / len(x) if len(x) <= len(y) else sum(max(_same_author(p, q) for p in x) for q in y) / len(y)
     return max(at_place, 0.7 * anywhere) - (0.1 if len(x) != len(y) and n == 1 else 0.0)
 
@@ -325,9 +336,33 @@ def _word_hash(w: str) -> int:
     return zlib.crc32(b) << 32 | zlib.crc32(b[::-1])
 
 
-def _minima(cores: list[str], at_once: int = 16_384) -> np.ndarray:
-    """MinHash values of each text's character trigrams, computed for many texts at once."""
-    texts = [f" {c} " for c in cores]
+def _minima(cores: list[str], most: int = 20_000, at_once: int = 256) -> np.ndarray:
+    """MinHash values of each text's character trigrams: the least of its words' and of the trigrams between two words, each computed once for many texts."""
+    out = np.empty((len(cores), _SEEDS.shape[1]), np.uint64)
+    i = 0
+    while i < len(cores):
+        place: dict[str, int] = {}
+        of = []
+        while i + len(of) < len(cores) and len(place) < most:
+            c = cores[i + len(of)]
+            words = c.split(" ")
+            pieces = [f" {c} "] if "" in words else [f" {w} " for w in words] + [f"{v[-1]} {w[0]}" for v, w in zip(words, words[1:])]
+            of.append([place.setdefault(p, len(place)) for p in pieces])
+        low = _lowest(list(place))
+        order = sorted(range(len(of)), key=lambda k: -len(of[k]))
+        for s in range(0, len(of), at_once):
+            some = order[s : s + at_once]
+            got = low[[of[k][0] for k in some]]
+            for p in range(1, len(of[some[0]])):
+                ids = [of[k][p] for k in some if len(of[k]) > p]
+                np.minimum(got[: len(ids)], low[ids], out=got[: len(ids)])
+            out[np.array(some) + i] = got
+        i += len(of)
+    return out
+
+
+def _lowest(texts: list[str], at_once: int = 16_384) -> np.ndarray:
+    """MinHash values of the trigrams within each text of three characters or more."""
     out = np.empty((len(texts), _SEEDS.shape[1]), np.uint64)
     i = 0
     while i < len(texts):
@@ -616,61 +651,72 @@ ALIKE = 0.4  # share of matched title words from which a pair has something in c
 FOLDS = 4
 
 
-def pair_features(chunks: Chunks, met: DataFrame, common: frozenset[str], told: bool = False) -> DataFrame:
+def pair_features(chunks: Chunks, met: DataFrame, common: frozenset[str], told: bool = False, known: Evidence | None = None) -> DataFrame:
     """a, b, the text view, and the identifiers' view: de (equal), dd (different), tm (a title is missing); ``told``: only pairs of two identifiers.
 
-    Pairs of titles that are not alike are settled here as two works and have no row.
+    Pairs of titles that are not alike are settled here as two works and have no row; with ``known``, neither have
+    those that no agreement of their authors could link, whose authors are not compared.
     """
     names = ["a", "b", *FEATURES, "de", "dd", "tm"]
 
     def found(x: pa.Table, y: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
         # Another part, a correction or a reply is another work whatever else agrees.
-        markers = {m: k for k, m in enumerate(pc.unique(pa.concat_tables([x.select(["marker"]), y.select(["marker"])])["marker"]).to_pylist())}
-        code = lambda t: np.array([markers[m] for m in t["marker"].to_pylist()])
-        fit = code(x)[left] == code(y)[right]
+        (mark_x, mark_y), _ = _codes(x, y, "marker")
+        (doi_x, doi_y), dois = _codes(x, y, "doi")
+        fit = mark_x[left] == mark_y[right]
+        has = np.array([bool(d) for d in dois], bool)
         if told:
-            has = lambda t: np.array([bool(d) for d in t["doi"].to_pylist()])
-            fit &= has(x)[left] & has(y)[right]
+            fit &= has[doi_x][left] & has[doi_y][right]
         left, right = left[fit], right[fit]
-        rep_x, core_x, doi_x, year_x, names_x = (x[c].to_pylist() for c in ("rep", "core", "doi", "year", "names"))
-        rep_y, core_y, doi_y, year_y, names_y = (rep_x, core_x, doi_x, year_x, names_x) if x is y else (y[c].to_pylist() for c in ("rep", "core", "doi", "year", "names"))
-        titles: dict[tuple[str, str], tuple[float, float, float]] = {}
-        authors: dict[tuple[str, str], float] = {}
-        out = []
-        for i, j in zip(left.tolist(), right.tolist()):
-            if rep_x[i] < rep_y[j]:
-                a, c, core_a, core_b, doi_a, doi_b, year_a, year_b, names_a, names_b = rep_x[i], rep_y[j], core_x[i], core_y[j], doi_x[i], doi_y[j], year_x[i], year_y[j], names_x[i], names_y[j]
-            else:
-                a, c, core_a, core_b, doi_a, doi_b, year_a, year_b, names_a, names_b = rep_y[j], rep_x[i], core_y[j], core_x[i], doi_y[j], doi_x[i], year_y[j], year_x[i], names_y[j], names_x[i]
-            key = (core_a, core_b)
-            got = titles.get(key)
-            if got is None:
-                if len(titles) + len(authors) > 200_000:
-                    titles.clear()
-                    authors.clear()
-                got = titles[key] = title_features(core_a, core_b, common)
-            ts, sub, drop = got
-            if ts < ALIKE and core_a and core_b:
-                continue  # of two works whatever else agrees (see Evidence.confidence)
-            both = bool(names_a and names_b)
-            au = 0.0
-            if both:
-                key = (names_a, names_b)
-                au = authors.get(key)
-                if au is None:
-                    au = authors[key] = author_similarity(names_a, names_b)
-            dy = abs(year_a - year_b) if year_a and year_b else -1
-            ids = bool(doi_a) and bool(doi_b)
-            out.append((a, c, ts, float(ts < 0.7), float(sub == 1), float(sub >= 2), min(drop, 3.0), au, float(both and au < 0.34), float(both and 0.34 <= au < 0.8), float(not both), float(dy == 0), float(dy == 1), float(dy > 1), ts * au, float(ids and doi_a == doi_b), float(ids and doi_a != doi_b), float(not core_a or not core_b)))
-            if len(out) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out)], names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*out)], names)
+        rep_x, rep_y = x["rep"].to_numpy(), y["rep"].to_numpy()
+        turned = rep_x[left] > rep_y[right]  # the lesser key comes first
+
+        def ahead(of_x: np.ndarray, of_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            one, other = of_x[left], of_y[right]
+            return np.where(turned, other, one), np.where(turned, one, other)
+
+        (core_x, core_y), cores = _codes(x, y, "core")
+        core_a, core_b = ahead(core_x, core_y)
+        ts, sub, drop = _of_each(lambda v, w: title_features(v, w, common), core_a, core_b, cores, 3).T
+        titled = np.array([bool(c) for c in cores], bool)
+        tm = ~(titled[core_a] & titled[core_b])
+        alike = tm | ~(ts < ALIKE)  # others are of two works whatever else agrees (see Evidence.confidence)
+        left, right, turned, ts, sub, drop, tm = (v[alike] for v in (left, right, turned, ts, sub, drop, tm))
+        (names_x, names_y), people = _codes(x, y, "names")
+        names_a, names_b = ahead(names_x, names_y)
+        named = np.array([bool(p) for p in people], bool)
+        both = named[names_a] & named[names_b]
+        year_a, year_b = ahead(x["year"].to_numpy().astype(np.int64), y["year"].to_numpy().astype(np.int64))
+        dy = np.where((year_a != 0) & (year_b != 0), np.abs(year_a - year_b), -1)
+        doi_a, doi_b = ahead(doi_x, doi_y)
+        ids = has[doi_a] & has[doi_b]
+        f = {"ts": ts, "poor": ts < 0.7, "sub1": sub == 1, "sub2": sub >= 2, "drop": np.minimum(drop, 3.0), "am": ~both, "y0": dy == 0, "y1": dy == 1, "y2": dy > 1, "de": ids & (doi_a == doi_b), "dd": ids & (doi_a != doi_b), "tm": tm}
+        f["a"], f["b"] = ahead(rep_x, rep_y)
+        if known is not None:
+            may = known.may_link(f)
+            f, both, names_a, names_b = {k: v[may] for k, v in f.items()}, both[may], names_a[may], names_b[may]
+        au = np.zeros(len(both))
+        au[both] = _of_each(lambda v, w: (author_similarity(v, w),), names_a[both], names_b[both], people, 1)[:, 0]
+        f |= {"au": au, "ad": both & (au < 0.34), "aum": both & (au >= 0.34) & (au < 0.8), "ta": f["ts"] * au}
+        for s in range(0, len(au), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(f[k][s : s + 10_000].astype(np.int64 if k in ("a", "b") else np.float64)) for k in names], names)
 
     return meet(chunks, met, ["rep", "core", "marker", "doi", "year", "names"], found, "a long, b long, " + ", ".join(f"{f} double" for f in names[2:]))
 
 
+def _codes(x: pa.Table, y: pa.Table, column: str) -> tuple[tuple[np.ndarray, np.ndarray], list[str]]:
+    """A number for each value of two tables' column, equal for equal values, and the values by number."""
+    both = pa.chunked_array([*x[column].chunks, *y[column].chunks], x.schema.field(column).type).combine_chunks().dictionary_encode("encode")
+    codes = both.indices.to_numpy().astype(np.int64)
+    return (codes[: len(x)], codes[len(x) :]), both.dictionary.to_pylist()
+
+
+def _of_each(f, a: np.ndarray, b: np.ndarray, values: list[str], width: int) -> np.ndarray:
+    """The ``width`` numbers that ``f`` gives for each pair of values by number; equal pairs are computed once."""
+    pairs, at = np.unique(a * len(values) + b, return_inverse=True)
+    return np.fromiter((f(values[k // len(values)], values[k % len(values)]) for k in pairs.tolist()), np.dtype((float, width)), len(pairs))[at]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40, prior: np.ndarray | None = None) -> np.ndarray:
     """Weights and intercept by Newton steps; an L2 term draws them to ``prior`` (zero unless given)."""
     x = np.c_[x, np.ones(len(x))]
@@ -733,6 +779,19 @@ class Evidence:
         told = F.when(get("de") == 1, float(np.log(q / r))).when(get("dd") == 1, float(np.log((1 - q) / (1 - r)))).otherwise(0.0)
         return 1 / (1 + F.exp(-(F.log(text / (1 - text)) + told)))
 
+    def may_link(self, f: dict[str, np.ndarray]) -> np.ndarray:
+        """Whether some agreement of the authors, which ``f`` does not have yet, gives a pair a confidence of one half."""
+        w, q, r = dict(zip(FEATURES, self.weights.tolist())), self.agree_same, self.agree_other
+        if q <= r:
+            return np.ones(len(f["ts"]), bool)
+        z = self.weights[-1] + sum(w[k] * f[k] for k in ("ts", "poor", "sub1", "sub2", "drop", "am", "y0", "y1", "y2"))
+        # Between these agreements, the weights' sum is linear: it is highest at one of them.
+        ends = [(au, kind) for lo, hi, kind in ((-0.1, 0.34, w["ad"]), (0.34, 0.8, w["aum"]), (0.8, 1.0, 0.0)) for au in (lo, hi)]
+        z = z + np.where(f["am"], 0.0, np.max([(w["au"] + w["ta"] * f["ts"]) * au + kind for au, kind in ends], axis=0))
+        text = np.clip((1 / (1 + np.exp(-np.clip(z, -500, 500))) - r) / (q - r), 1e-4, 1 - 1e-3)
+        told = np.where(f["de"], np.log(q / r), np.where(f["dd"], np.log((1 - q) / (1 - r)), 0.0))
+        return f["tm"] | (np.log(text / (1 - text)) + told > -1e-6)
+
     def of_equals(self) -> Column:
         """The confidence that two rows of one signature (core, doi, year, names) are of one work."""
         flag = lambda c: F.when(c, 1.0).otherwise(0.0)
@@ -780,7 +839,7 @@ def works(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Evidence]:
     parts = max(1, -(-met // (2 * MEETINGS * max(n, FEW))))
     linked = []
     for p in range(parts):  # what the meetings of a part take is released before the next
-        scored = pair_features(chunks, cells(lists, chunks.n, p, parts), common).withColumn("confidence", known.confidence(F.col))
+        scored = pair_features(chunks, cells(lists, chunks.n, p, parts), common, known=known).withColumn("confidence", known.confidence(F.col))
         linked.append(stored(scored.where("confidence >= 0.5").select("a", "b", "confidence")))
         release(spark)
     discard(lists)

@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,6 +61,14 @@ _TRIM = " \t\r\n\xa0　\"'“”„«»,;；、|"
 _COMMA, _AND, _AMP = "", "", ""  # stand for delimiters that belong to a name
 _UNMASK = str.maketrans({_COMMA: ",", _AMP: "&"})
 _LEAD_CONJ = re.compile(r"^(?:and\s+|&\s*)")
+_CONJ = re.compile(r"\s+and\s+|\s*&\s*")
+_COMMA_OR_CONJ = re.compile(r",|\s+and\s+|\s*&\s*")
+_ANY_WEAK = re.compile(r",|&|\sand\s")
+_WITHIN_GROUP = re.compile(r"[,&]|\sand\s")
+_SEVERAL = re.compile(r"\sand\s|&|[;|]")
+_STRONG_MARKS = {"newline": "\r\n", "semicolon": ";", "wide_semicolon": "；", "wide_comma": "、", "bar": "|", "tab": "\t", "slash": "/", "dot": "·"}  # a candidate needs one of them
+_AFTER_REMARK = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + ",;.)"
+_REMARK_ENDS = ("al", "others", "more", "authors")
 
 
 def _mask(text: str) -> str:
@@ -67,7 +76,7 @@ def _mask(text: str) -> str:
 
 
 def _unmask(text: str) -> str:
-    return text.translate(_UNMASK).replace(_AND, "and")
+    return text if text.isascii() else text.translate(_UNMASK).replace(_AND, "and")
 
 
 def _bare(piece: str) -> str:
@@ -110,16 +119,17 @@ def _given(piece: str) -> bool:
     return all(_INITIALS.match(w) for w in words[head:]) and not _INITIALS.match(words[0]) or len(words) == 1
 
 
+@lru_cache(1 << 16)
 def piece_type(piece: str) -> str:
     """full: given and family name in either order; inverted: family, given; group; mono; other."""
     p = piece.strip()
     if _ORG.search(p):
-        return "group" if not re.search(r"[,&]|\sand\s", p) else "other"
+        return "group" if not _WITHIN_GROUP.search(p) else "other"
     if "," in p:
         a, _, b = p.partition(",")
         single = len([w for w in a.split() if w.lower() not in PARTICLES]) == 1
         return "inverted" if "," not in b and " and " not in b and _surname(a) and _given(b) and (single or len(b.split()) == 1 or bool(_INITIALS.match(b.strip()))) else "other"
-    if re.search(r"\sand\s|&|[;|]", p):
+    if _SEVERAL.search(p):
         return "other"
     words = p.split()
     if not words or _INITIALS.match(p):
@@ -133,21 +143,25 @@ _WEIGHT = {"full": 1.0, "inverted": 1.0, "group": 1.0, "mono": 0.35, "other": 0.
 def _weak_readings(text: str) -> dict[str, list[str]]:
     """The ways to read a value without a strong delimiter."""
     comma = [_LEAD_CONJ.sub("", x.strip()) for x in text.split(",")]
-    conj = re.compile(r"\s+and\s+|\s*&\s*")
     out = {"single": [text]}
     if "," in text:
-        out["comma"] = [y for x in comma for y in conj.split(x)]
-        flat = [x for x in (y for x in re.split(r",|\s+and\s+|\s*&\s*", text) for y in [x.strip()]) if x]
+        out["comma"] = [y for x in comma for y in _CONJ.split(x)]
+        flat = [x for x in (y for x in _COMMA_OR_CONJ.split(text) for y in [x.strip()]) if x]
         if len(flat) % 2 == 0:
             out["comma_pairs"] = [f"{a}, {b}" for a, b in zip(flat[::2], flat[1::2])]
-    if conj.search(text):
-        out["and"] = [x.strip(" ,") for x in conj.split(text)]
+    if _CONJ.search(text):
+        out["and"] = [x.strip(" ,") for x in _CONJ.split(text)]
     return out
 
 
 CLEARLY = 0.15  # by how much a value's own score must be higher to depart from its source
 
 
+def _remark_may_end(text: str) -> bool:
+    """Whether the text ends as a value does to which a remark of further names is added."""
+    return text.endswith(("…", "...")) or text.rstrip(_AFTER_REMARK)[-8:].casefold().endswith(_REMARK_ENDS)
+
+
 def _prepared(value: str | None, spans: list[str] | None = None) -> tuple[list[str] | None, str, dict[str, list[str]]]:
     """(pieces that need no choice, else None; the text with masked names; its readings)."""
     text = (value or "").strip()
@@ -157,17 +171,23 @@ def _prepared(value: str | None, spans: list[str] | None = None) -> tuple[list[s
         return _quoted(text[1:]), text, {}
     if text[0] == '"' and text.count('"') > 1:
         return _quoted(text), text, {}
-    text = _REMARK_TAIL.sub("", text)
-    text = _SUFFIX.sub(lambda m: f"{_COMMA} {m[1]}", text)
+    # Most values hold nothing that these patterns need.
+    if _remark_may_end(text):
+        text = _REMARK_TAIL.sub("", text)
+    if "Jr" in text or "Sr" in text or "II" in text or "Ph" in text:
+        text = _SUFFIX.sub(lambda m: f"{_COMMA} {m[1]}", text)
     for g in spans or ():
         text = text.replace(g, _mask(g))
-    text = _ORG_OF.sub(lambda m: _mask(m[0]), text)
-    text = _ORG_AMP.sub(lambda m: _mask(m[0]), text)
-    if _ANY_STRONG.search(text.strip(_TRIM)):
-        readings = {k: r.split(text) for k, r in _STRONG_RE.items() if r.search(text.strip(_TRIM))}
+    if " of " in text or " for " in text or " on " in text:
+        text = _ORG_OF.sub(lambda m: _mask(m[0]), text)
+    if " & " in text:
+        text = _ORG_AMP.sub(lambda m: _mask(m[0]), text)
+    bare = text.strip(_TRIM)
+    if _ANY_STRONG.search(bare):
+        readings = {k: r.split(text) for k, r in _STRONG_RE.items() if any(c in bare for c in _STRONG_MARKS[k]) and r.search(bare)}
     else:
         body = text.strip(" ,\t")
-        readings = _weak_readings(body) if re.search(r",|&|\sand\s", body) else {"single": [body]}
+        readings = _weak_readings(body) if _ANY_WEAK.search(body) else {"single": [body]}
     if len(readings) == 1:
         (name, pieces), *_ = readings.items()
         return pieces, text, {}

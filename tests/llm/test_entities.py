@@ -172,6 +172,62 @@ def test_bands_do_not_depend_on_the_batch():
     assert keys[at == 0].tolist() == keys[at == 6].tolist() and not (at == 1).any()
 
 
+def test_trigrams_of_a_word_are_hashed_once(monkeypatch):
+    """Titles made of the same words cost their distinct words, and get the values of all their trigrams."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(20)]
+    cores = [" ".join(rng.choice(words) for _ in range(10)) for _ in range(400)] + ["x", "日本 語", " a  b ", " "]
+    hashed, mix = [], matching._mix
+    monkeypatch.setattr(matching, "_mix", lambda x: (hashed.append(len(x)), mix(x))[1])
+    got = matching._minima(cores)
+    assert sum(hashed) < sum(map(len, cores)) / 10, hashed
+    for c, low in list(zip(cores, got))[::40] + list(zip(cores, got))[-4:]:
+        t = np.array([ord(ch) for ch in f" {c} "], np.uint64)
+        grams = mix(t[:-2] * matching._WEIGHTS[0] + t[1:-1] * matching._WEIGHTS[1] + t[2:] * matching._WEIGHTS[2])
+        assert (low == (grams[:, None] * matching._SEEDS[0] + matching._SEEDS[1]).min(0)).all(), c
+
+
+def test_authors_of_pairs_that_cannot_link_are_not_compared(spark, monkeypatch, tmp_path):
+    """Titles that share half of their words, by the same two authors in one year, are of two works whoever wrote them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    data = [(f"h{k}", f"arid membrane under kelp {word()} {word()} {word()}", f"Smith Ann; Larsson Bo; {word().title()} Carla", "2001", None) for k in range(40)]
+    data += [(f"{r[0]}:1", r[1] + ".", r[2], "2002", None) for r in data[:5]]
+    asked, compare = str(tmp_path / "asked"), matching.author_similarity
+
+    def counted(a, b):
+        with open(asked, "a") as f:
+            f.write("1")
+        return compare(a, b)
+
+    monkeypatch.setattr(matching, "author_similarity", counted)
+    nodes, linked, _, _ = matching.works(spark.createDataFrame(data, "nid string, title string, authors string, date string, doi string"))
+    work = {r.nid: r.work for r in nodes.collect()}
+    assert [k for k in range(5) if work[f"h{k}"] == work[f"h{k}:1"]] == [0, 1, 2, 3, 4] and len(set(work.values())) == 40
+    with open(asked) as f:
+        assert 5 <= len(f.read()) < 40 * 39 / 2 / 10
+
+
+def test_only_pairs_that_cannot_link_are_left_out():
+    """Whatever the authors' agreement, a pair with a confidence of one half is kept."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    ts, both, y = rng.uniform(matching.ALIKE, 1, n), rng.random(n) < 0.8, rng.integers(0, 4, n)
+    sub, told, au = rng.integers(0, 3, n), rng.integers(0, 3, n), rng.choice([0.0, -0.1, 0.339, 0.34, 0.5, 0.799, 0.8, 1.0], n) * both
+    f = {"ts": ts, "poor": ts < 0.7, "sub1": sub == 1, "sub2": sub == 2, "drop": rng.uniform(0, 3, n), "am": ~both, "y0": y == 0, "y1": y == 1, "y2": y == 2, "de": told == 1, "dd": told == 2, "tm": np.zeros(n, bool)}
+    full = f | {"au": au, "ad": both & (au < 0.34), "aum": both & (au >= 0.34) & (au < 0.8), "ta": ts * au}
+    left_out = 0
+    for weights, q, r in [(matching.PRIOR, 0.9, 0.005), *((rng.normal(size=14) * 2, 0.5 + rng.random() / 2, rng.random() / 2) for _ in range(20))]:
+        w = np.array(weights)
+        z = w[-1] + sum(v * full[k] for k, v in zip(matching.FEATURES, w))
+        text = np.clip((1 / (1 + np.exp(-z)) - r) / (q - r), 1e-4, 1 - 1e-3)
+        links = np.log(text / (1 - text)) + np.where(f["de"], np.log(q / r), np.where(f["dd"], np.log((1 - q) / (1 - r)), 0.0)) >= 0
+        may = matching.Evidence(w, q, r, []).may_link(f)
+        assert not (links & ~may).any()
+        left_out += (~may).sum()
+    assert left_out > n
+
+
 def slow_title_features(a, b, common):
     """The word comparison without its cheap tests."""
     x, y = a.split(), b.split()

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,3 +75,34 @@ def test_many_group_names(spark):
     for r in split_packed(spark.createDataFrame(rows, "id string, authors string, source string"), ["id"], "authors", "source").collect():
         got.setdefault(r.id, {})[r.pos] = r.piece
     assert all(got[f"w{k}"] == {1: "B. Two", 2: n, 3: "C. Three"} for k, n in enumerate(names))
+
+
+def test_patterns_that_a_value_cannot_match_are_not_tried(monkeypatch):
+    """Plain values skip the patterns of remarks, suffixes and groups; no value that one of them matches does."""
+    tried = []
+
+    class Tried:
+        def __init__(self, name):
+            self.name, self.pattern = name, getattr(packed, name)
+
+        def sub(self, by, text):
+            tried.append((self.name, text))
+            return self.pattern.sub(by, text)
+
+    names = ("_REMARK_TAIL", "_SUFFIX", "_ORG_OF", "_ORG_AMP")
+    plain = {n: getattr(packed, n) for n in names}
+    for n in names:
+        monkeypatch.setattr(packed, n, Tried(n))
+    assert split_value("Ann Smith; Bo Larsson") == ["Ann Smith", "Bo Larsson"] and split_value("Smith, A., Larsson, B.") == ["Smith, A.", "Larsson, B."] and not tried
+    rng = random.Random(2)
+    bits = ["Ann Smith", "Smith, A.", ", Jr.", ", III", ", Ph.D.", " and ", " & ", ", ", "; ", "et al", "ET AL.", "otherſ", "MORE", "3 more authors", "…", "...", ".", ")", "\x1c", "\u3000", "Institute of Ice, Snow and Water", "Ice & Snow Survey", " for "]
+    for _ in range(5000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 6))).strip()
+        if not text or text[0] in "[\"":
+            continue
+        tried.clear()
+        split_value(text)
+        at = dict(tried)
+        for n in names:  # each pattern sees the text as the ones before left it
+            assert n in at or not plain[n].search(text), (n, text)
+            text = plain[n].sub({"_REMARK_TAIL": "", "_SUFFIX": lambda m: f"{packed._COMMA} {m[1]}"}.get(n, lambda m: packed._mask(m[0])), text)
